@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logweir.functions.text import empty_map
+from logweir.functions.text import keyed_map
 
 _DELETED = " (deleted)"
 
@@ -56,23 +56,24 @@ def reported_path(reported: Column, path: Column) -> Column:
     return F.coalesce(F.nullif(reported, F.lit("")), path)
 
 
-def container_attributes(path: Column) -> Column:
-    """Pod, namespace, container and id from ``<pod>_<ns>_<container>-<id>.log``."""
-    base = F.substring_index(path, "/", -1)
-    name = F.regexp_replace(base, r"(?s)\.[^.]*\z", "")
+def container_parts(path: Column) -> dict[str, Column]:
+    """Pod, namespace, container and id from ``<pod>_<ns>_<container>-<id>.log``.
+
+    The name needs two underscores; the last dash splits container and id
+    unless it comes first.  A part that is not there is null.
+    """
+    name = F.regexp_replace(F.substring_index(path, "/", -1), r"(?s)\.[^.]*\z", "")
     shape = r"(?s)^([^_]*)_([^_]*)_(.*)\z"
-    rest = F.regexp_extract(name, shape, 3)
-    split_rest = r"(?s)^(.+)-([^-]*)\z"
-    pod = F.create_map(
-        F.lit("k8s.pod.name"), F.regexp_extract(name, shape, 1),
-        F.lit("k8s.namespace.name"), F.regexp_extract(name, shape, 2),
-    )
-    container = F.create_map(
-        F.lit("k8s.container.name"), F.regexp_extract(rest, split_rest, 1),
-        F.lit("container.id"), F.regexp_extract(rest, split_rest, 2),
-    )
-    return (
-        F.when(~F.rlike(name, F.lit(shape)), empty_map())
-        .when(F.rlike(rest, F.lit(split_rest)), F.map_concat(pod, container))
-        .otherwise(pod)
-    )
+    split_shape = r"(?s)^[^_]*_[^_]*_(.+)-([^-]*)\z"
+    named, split = F.rlike(name, F.lit(shape)), F.rlike(name, F.lit(split_shape))
+    return {
+        "k8s.pod.name": F.when(named, F.regexp_extract(name, shape, 1)),
+        "k8s.namespace.name": F.when(named, F.regexp_extract(name, shape, 2)),
+        "k8s.container.name": F.when(split, F.regexp_extract(name, split_shape, 1)),
+        "container.id": F.when(split, F.regexp_extract(name, split_shape, 2)),
+    }
+
+
+def container_attributes(path: Column) -> Column:
+    """The container parts as a map."""
+    return keyed_map(container_parts(path))

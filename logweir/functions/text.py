@@ -162,6 +162,18 @@ def merge_maps(*maps: Column) -> Column:
     return out
 
 
+def keyed_map(values: Mapping[str, Column]) -> Column:
+    """A map of literal names, in name order; a null value leaves its name out.
+
+    With every name known when the plan is built no map has to be merged or
+    sorted at run time.
+    """
+    if not values:
+        return empty_map()
+    entries = [F.struct(F.lit(name).alias("key"), values[name].alias("value")) for name in sorted(values)]
+    return F.map_from_entries(F.filter(F.array(*entries), lambda entry: entry["value"].isNotNull()))
+
+
 def sorted_entries(values: Column) -> Column:
     """Map entries in key order; a null map has none."""
     return F.array_sort(F.map_entries(F.coalesce(values, empty_map())))

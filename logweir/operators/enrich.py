@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.functions import paths, text
+from logweir.functions.patterns import java_pattern
 from logweir.rules import FileRule, ProcessRule
 
 
@@ -30,33 +31,41 @@ def with_severity(records: DataFrame) -> DataFrame:
 def enrich(records: DataFrame, rules: Sequence[FileRule | ProcessRule]) -> DataFrame:
     """Add severity, attributes, trace id and ``dropped`` by the rule of the row.
 
-    Needs ``body``, ``attributes`` (from the framing) and, with more than one
-    rule, ``rule``.  Later attributes win: framing, level, extractors in order.
+    Needs ``body``; ``stream`` and ``flag`` of the framing when there are any;
+    ``rule`` with more than one rule.  Later attributes win: framing, level,
+    extractors in order.  Each pattern is evaluated once, in a projection of
+    its own, before the map is put together from known names.
     """
     body = F.col("body")
+    leveled = with_severity(records)
+    keys = sorted({item.key for rule in rules for item in rule.extractors})
 
-    def extracted(rule):
-        return text.extract_attributes(body, [(item.key, item.pattern) for item in rule.extractors])
+    def extracted(key: str) -> Column:
+        def value(rule) -> Column:
+            patterns = [item.pattern for item in rule.extractors if item.key == key]
+            if not patterns:
+                return F.lit(None).cast("string")
+            return F.nullif(F.regexp_extract(body, java_pattern(patterns[0]), 1), F.lit(""))
 
-    def traced(rule):
+        return by_rule(rules, value)
+
+    def traced(rule) -> Column:
         return text.trace_id(body, rule.trace_id.pattern, rule.trace_id.completion)
 
-    def dropped(rule):
+    def dropped(rule) -> Column:
         levels = [level.upper() for level in rule.drop_levels]
         return F.col("severity_text").isin(levels) if levels else F.lit(False)
 
-    return (
-        with_severity(records)
-        .withColumns({"_extracted": by_rule(rules, extracted), "_level": text.level_attribute(F.col("severity_text"))})
-        .withColumns(
-            {
-                "attributes": text.merge_maps(F.col("attributes"), F.col("_level"), F.col("_extracted")),
-                "trace_id": by_rule(rules, traced),
-                "dropped": by_rule(rules, dropped),
-            }
-        )
-        .drop("_extracted", "_level")
-    )
+    matched = leveled.withColumns({f"_x{index}": extracted(key) for index, key in enumerate(keys)})
+    values = {"log.level": F.nullif(F.col("severity_text"), F.lit(""))}
+    if "stream" in records.columns:
+        values |= {"log.iostream": F.col("stream"), "log.cri.flag": F.col("flag")}
+    for index, key in enumerate(keys):
+        found = F.col(f"_x{index}")
+        values[key] = F.coalesce(found, values[key]) if key in values else found
+    return matched.withColumns(
+        {"attributes": text.keyed_map(values), "trace_id": by_rule(rules, traced), "dropped": by_rule(rules, dropped)}
+    ).drop(*[f"_x{index}" for index in range(len(keys))])
 
 
 def drop_levels(records: DataFrame) -> DataFrame:
@@ -77,24 +86,36 @@ def stamp(records: DataFrame, *, now: Column | None = None) -> DataFrame:
 
 
 def resource_of(
-    path: Column, rules: Sequence[FileRule | ProcessRule], source_type: str, *, extra: Column | None = None,
+    path: Column,
+    rules: Sequence[FileRule | ProcessRule],
+    source_type: str,
+    *,
+    extra: Mapping[str, Column] | None = None,
     rule: str = "rule",
 ) -> Column:
-    """Resource map of a target: rule, container or process parts, fixed keys."""
-    parts = [by_rule(rules, lambda item: text.literal_map(item.attributes), rule=rule)]
-    if source_type == "container":
-        parts.append(paths.container_attributes(path))
-    if extra is not None:
-        parts.append(extra)
-    name = F.lit(rules[0].name) if len(rules) == 1 else F.col(rule)
-    parts.append(
-        F.create_map(
-            F.lit("log.file.path"), path,
-            F.lit("log.source.type"), F.lit(source_type),
-            F.lit("log.source.rule"), name,
+    """Resource map of a target: rule attributes, container or process parts, fixed keys.
+
+    Later parts win.  All names are known from the rules, so each gets one
+    value expression.
+    """
+    nothing = F.lit(None).cast("string")
+    names = sorted({name for item in rules for name in item.attributes})
+
+    def attribute(name: str) -> Column:
+        return by_rule(
+            rules, lambda item: F.lit(item.attributes[name]) if name in item.attributes else nothing, rule=rule
         )
-    )
-    return text.merge_maps(*parts)
+
+    values = {name: attribute(name) for name in names}
+    parts = dict(extra or {})
+    if source_type == "container":
+        parts |= paths.container_parts(path)
+    for name, value in parts.items():
+        values[name] = F.coalesce(value, values[name]) if name in values else value
+    values["log.file.path"] = path
+    values["log.source.type"] = F.lit(source_type)
+    values["log.source.rule"] = F.lit(rules[0].name) if len(rules) == 1 else F.col(rule)
+    return text.keyed_map(values)
 
 
 def with_resource(

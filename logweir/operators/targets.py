@@ -81,11 +81,11 @@ def process_targets(
     matched = match_processes(processes, rules)
     joined = matched.join(open_files, [*host, "pid"])
     chosen = limit_files(select_paths(joined, rules), rules, host=host)
-    attributes = F.create_map(
-        F.lit("process.pid"), F.col("pid").cast("string"),
-        F.lit("process.name"), F.col("comm"),
-        F.lit("process.command_line"), F.col("cmdline"),
-    )
+    attributes = {
+        "process.pid": F.col("pid").cast("string"),
+        "process.name": F.col("comm"),
+        "process.command_line": F.col("cmdline"),
+    }
     resource = resource_of(F.col("path"), rules, "process", extra=attributes)
     return chosen.withColumn("source_type", F.lit("process")).withColumn("resource", resource).withColumn(
         "resource_key", text.resource_key(F.col("resource"))

@@ -15,6 +15,7 @@ def local_session(cores: int | str = "*", name: str = "logweir", **conf: object)
         "spark.sql.shuffle.partitions": 8,
         "spark.sql.adaptive.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.driver.host": "127.0.0.1",
         "spark.driver.bindAddress": "127.0.0.1",
