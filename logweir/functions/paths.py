@@ -56,24 +56,33 @@ def reported_path(reported: Column, path: Column) -> Column:
     return F.coalesce(F.nullif(reported, F.lit("")), path)
 
 
-def container_parts(path: Column) -> dict[str, Column]:
+def container_name_parts(path: Column) -> Column:
+    """Base name without its last extension, cut at the first two underscores."""
+    base = F.substring_index(path, "/", -1)
+    extension = F.substring_index(base, ".", -1)
+    name = F.when(F.contains(base, F.lit(".")), F.left(base, F.length(base) - F.length(extension) - 1)).otherwise(base)
+    return F.split(name, "_", 3)
+
+
+def container_parts(parts: Column) -> dict[str, Column]:
     """Pod, namespace, container and id from ``<pod>_<ns>_<container>-<id>.log``.
 
-    The name needs two underscores; the last dash splits container and id
-    unless it comes first.  A part that is not there is null.
+    Takes ``container_name_parts``, which needs two underscores in the name.
+    The last dash splits container and id unless it comes first.  A part that
+    is not there is null.
     """
-    name = F.regexp_replace(F.substring_index(path, "/", -1), r"(?s)\.[^.]*\z", "")
-    shape = r"(?s)^([^_]*)_([^_]*)_(.*)\z"
-    split_shape = r"(?s)^[^_]*_[^_]*_(.+)-([^-]*)\z"
-    named, split = F.rlike(name, F.lit(shape)), F.rlike(name, F.lit(split_shape))
+    named, rest = F.size(parts) == 3, F.get(parts, F.lit(2))
+    last = F.substring_index(rest, "-", -1)
+    cut = F.length(rest) - F.length(last) - 1
+    split = named & F.contains(rest, F.lit("-")) & (cut > 0)
     return {
-        "k8s.pod.name": F.when(named, F.regexp_extract(name, shape, 1)),
-        "k8s.namespace.name": F.when(named, F.regexp_extract(name, shape, 2)),
-        "k8s.container.name": F.when(split, F.regexp_extract(name, split_shape, 1)),
-        "container.id": F.when(split, F.regexp_extract(name, split_shape, 2)),
+        "k8s.pod.name": F.when(named, F.get(parts, F.lit(0))),
+        "k8s.namespace.name": F.when(named, F.get(parts, F.lit(1))),
+        "k8s.container.name": F.when(split, F.left(rest, cut)),
+        "container.id": F.when(split, last),
     }
 
 
 def container_attributes(path: Column) -> Column:
     """The container parts as a map."""
-    return keyed_map(container_parts(path))
+    return keyed_map(container_parts(container_name_parts(path)))

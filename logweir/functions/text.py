@@ -95,23 +95,20 @@ def cri_attributes(stream: Column, flag: Column) -> Column:
 # ---------------------------------------------------------------- severity
 
 
+def _lookup(values: Mapping[str, Column]) -> Column:
+    return F.create_map(*[part for name, value in values.items() for part in (F.lit(name), value)])
+
+
 def severity_text(body: Column) -> Column:
     """Level named first in the first line of the body, or the empty string."""
     word = F.upper(F.regexp_extract(F.substring_index(body, "\n", 1), SEVERITY_PATTERN, 1))
-    by_level: dict[str, list[str]] = {}
-    for name, level in SEVERITY_WORDS.items():
-        by_level.setdefault(level, []).append(name)
-    out = F.when(word == "", "")
-    for level, words in by_level.items():
-        out = out.when(word.isin(words), level)
-    return out.otherwise("")
+    levels = _lookup({name: F.lit(level) for name, level in SEVERITY_WORDS.items()})
+    return F.coalesce(F.element_at(levels, word), F.lit(""))
 
 
 def severity_number(level: Column) -> Column:
-    out = F.when(level == "", 0)
-    for name, number in SEVERITY_NUMBERS.items():
-        out = out.when(level == name, number)
-    return out.otherwise(0)
+    numbers = _lookup({name: F.lit(number) for name, number in SEVERITY_NUMBERS.items()})
+    return F.coalesce(F.element_at(numbers, level), F.lit(0))
 
 
 def level_attribute(level: Column) -> Column:
@@ -174,9 +171,15 @@ def keyed_map(values: Mapping[str, Column]) -> Column:
     return F.map_from_entries(F.filter(F.array(*entries), lambda entry: entry["value"].isNotNull()))
 
 
+def keyed_text(values: Mapping[str, Column]) -> Column:
+    """``resource_key`` of the map that ``keyed_map`` makes of the same values."""
+    zero = F.lit("\0")
+    return F.concat_ws("", *[F.concat(F.lit(f"{name}\0"), values[name], zero) for name in sorted(values)])
+
+
 def sorted_entries(values: Column) -> Column:
     """Map entries in key order; a null map has none."""
-    return F.array_sort(F.map_entries(F.coalesce(values, empty_map())))
+    return F.sort_array(F.map_entries(F.coalesce(values, empty_map())))
 
 
 def resource_key(values: Column) -> Column:
@@ -189,14 +192,11 @@ def resource_key(values: Column) -> Column:
 
 def record_size(body: Column, trace: Column, *maps: Column) -> Column:
     """Estimated size in bytes: body, id and 128, and 32 more per map entry."""
-    size = F.octet_length(body) + F.coalesce(F.octet_length(trace), F.lit(0)) + F.lit(128)
-    total = size.cast("long")
+    total = F.octet_length(body).cast("long") + F.coalesce(F.octet_length(trace), F.lit(0)) + 128
     for values in maps:
-        total = total + F.aggregate(
-            sorted_entries(values),
-            F.lit(0).cast("long"),
-            lambda acc, e: acc + F.octet_length(e["key"]) + F.octet_length(e["value"]) + F.lit(32),
-        )
+        names, texts = F.array_join(F.map_keys(values), ""), F.array_join(F.map_values(values), "")
+        used = F.octet_length(names) + F.octet_length(texts) + F.size(values) * 32
+        total = total + F.when(values.isNotNull(), used).otherwise(0)
     return total
 
 

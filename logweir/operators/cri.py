@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweir.functions import text
+from logweir.operators.steps import settle
 
-_STAMP = r"^(\d{4}-\d{2}-\d{2})T(\d{1,2})(:\d{2}:\d{2})(?:[.,](\d+))?(Z|[+-]\d{2}:\d{2})\z"
+_STAMP = r"^\d{4}-\d{2}-\d{2}T\d{1,2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})\z"
 
 
 def parse_cri(lines: DataFrame, *, line: str = "line") -> DataFrame:
@@ -15,27 +16,30 @@ def parse_cri(lines: DataFrame, *, line: str = "line") -> DataFrame:
 
     Adds ``cri_ok``, ``ts`` (microseconds), ``time_unix_nano`` (all digits),
     ``utc_offset`` (seconds, as written), ``stream``, ``flag`` and ``body``.
-    The steps are separate projections so that each line is split once.
+    The steps are separate projections so that each line is split once, and
+    one pattern checks the time; its parts are then at known places.
     """
-    part = F.split(F.col(line), " ", 4)
-    pieces = lines.withColumn("_part", part)
+    pieces = lines.withColumn("_part", F.split(F.col(line), " ", 4))
+    first = F.get("_part", F.lit(0))
     framed = (
         (F.size("_part") == 4)
         & F.get("_part", F.lit(1)).isin("stdout", "stderr")
         & F.get("_part", F.lit(2)).isin("P", "F")
     )
-    stamped = pieces.withColumn("_stamp", F.when(framed, F.get("_part", F.lit(0))))
-
-    def group(index: int):
-        return F.regexp_extract("_stamp", _STAMP, index)
-
-    timed = stamped.withColumns(
+    stamped = pieces.withColumn("_stamp", F.when(framed & F.rlike(first, F.lit(_STAMP)), first))
+    # An hour of one digit is allowed; with two, every part has its place.
+    short = F.substring("_stamp", 13, 1) == ":"
+    full = F.concat(F.substring("_stamp", 1, 11), F.lit("0"), F.expr("substring(_stamp, 12)"))
+    even = stamped.withColumn("_stamp", F.when(short, full).otherwise(F.col("_stamp")))
+    zone = F.when(F.endswith("_stamp", F.lit("Z")), F.lit("Z")).otherwise(F.right("_stamp", F.lit(6)))
+    timed = even.withColumns(
         {
-            "_local": F.try_to_timestamp(
-                F.concat(group(1), F.lit("T"), F.lpad(group(2), 2, "0"), group(3), F.lit("Z"))
+            "_local": F.try_to_timestamp(F.concat(F.substring("_stamp", 1, 19), F.lit("Z"))),
+            "_digits": F.when(
+                F.substring("_stamp", 20, 1).isin(".", ","),
+                F.split_part(F.translate(F.expr("substring(_stamp, 21)"), "Z+", "--"), F.lit("-"), F.lit(1)),
             ),
-            "_digits": group(4),
-            "_zone": group(5),
+            "_zone": zone,
         }
     )
     hours = F.substring("_zone", 2, 2).try_cast("int")
@@ -56,15 +60,15 @@ def parse_cri(lines: DataFrame, *, line: str = "line") -> DataFrame:
     seconds = F.unix_seconds("_local") - F.col("utc_offset")
     micros = seconds * F.lit(1_000_000) + F.floor(F.col("_nanos") / 1000)
     nanos = F.try_add(F.try_multiply(seconds, F.lit(1_000_000_000)), F.col("_nanos"))
-    return placed.withColumns(
-        {
-            "cri_ok": ok,
-            "ts": F.when(ok, F.timestamp_micros(micros)),
-            "time_unix_nano": F.when(ok, nanos),
-            "stream": F.when(ok, F.get("_part", F.lit(1))),
-            "flag": F.when(ok, F.get("_part", F.lit(2))),
-            "body": F.when(ok, F.get("_part", F.lit(3))).otherwise(F.col(line)),
-        }
+    return settle(
+        placed,
+        cri_ok=ok,
+        utc_offset=F.col("utc_offset"),
+        ts=F.when(ok, F.timestamp_micros(micros)),
+        time_unix_nano=F.when(ok, nanos),
+        stream=F.when(ok, F.get("_part", F.lit(1))),
+        flag=F.when(ok, F.get("_part", F.lit(2))),
+        body=F.when(ok, F.get("_part", F.lit(3))).otherwise(F.col(line)),
     ).drop("_part", "_stamp", "_local", "_digits", "_zone", "_nanos")
 
 

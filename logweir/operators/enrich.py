@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logweir.functions import paths, text
 from logweir.functions.patterns import java_pattern
+from logweir.operators.steps import settle
 from logweir.rules import FileRule, ProcessRule
 
 
@@ -23,7 +24,7 @@ def by_rule(rules: Sequence[FileRule | ProcessRule], make, *, rule: str = "rule"
 
 
 def with_severity(records: DataFrame) -> DataFrame:
-    return records.withColumn("severity_text", text.severity_text(F.col("body"))).withColumn(
+    return settle(records, severity_text=text.severity_text(F.col("body"))).withColumn(
         "severity_number", text.severity_number(F.col("severity_text"))
     )
 
@@ -85,18 +86,18 @@ def stamp(records: DataFrame, *, now: Column | None = None) -> DataFrame:
     )
 
 
-def resource_of(
+def resource_values(
     path: Column,
     rules: Sequence[FileRule | ProcessRule],
     source_type: str,
     *,
     extra: Mapping[str, Column] | None = None,
     rule: str = "rule",
-) -> Column:
-    """Resource map of a target: rule attributes, container or process parts, fixed keys.
+) -> dict[str, Column]:
+    """Resource entries of a target: rule attributes, container or process parts, fixed names.
 
     Later parts win.  All names are known from the rules, so each gets one
-    value expression.
+    value expression.  A container target has its name parts in ``_name``.
     """
     nothing = F.lit(None).cast("string")
     names = sorted({name for item in rules for name in item.attributes})
@@ -109,28 +110,39 @@ def resource_of(
     values = {name: attribute(name) for name in names}
     parts = dict(extra or {})
     if source_type == "container":
-        parts |= paths.container_parts(path)
+        parts |= paths.container_parts(F.col("_name"))
     for name, value in parts.items():
         values[name] = F.coalesce(value, values[name]) if name in values else value
     values["log.file.path"] = path
     values["log.source.type"] = F.lit(source_type)
     values["log.source.rule"] = F.lit(rules[0].name) if len(rules) == 1 else F.col(rule)
-    return text.keyed_map(values)
+    return values
 
 
 def with_resource(
-    records: DataFrame, rules: Sequence[FileRule | ProcessRule], source_type: str, *, path: str = "path"
+    records: DataFrame,
+    rules: Sequence[FileRule | ProcessRule],
+    source_type: str,
+    *,
+    path: str = "path",
+    extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add ``resource`` and its canonical ``resource_key``."""
-    return records.withColumn("resource", resource_of(F.col(path), rules, source_type)).withColumn(
-        "resource_key", text.resource_key(F.col("resource"))
-    )
+    values = resource_values(F.col(path), rules, source_type, extra=extra)
+    # Values first, so that the map and the key share them.
+    columns = {name: f"_r{index}" for index, name in enumerate(sorted(values))}
+    if source_type == "container":
+        records = records.withColumn("_name", paths.container_name_parts(F.col(path)))
+    found = records.withColumns({columns[name]: value for name, value in values.items()})
+    shared = {name: F.col(column) for name, column in columns.items()}
+    return found.withColumns(
+        {"resource": text.keyed_map(shared), "resource_key": text.keyed_text(shared)}
+    ).drop("_name", *columns.values())
 
 
 def with_record_size(records: DataFrame) -> DataFrame:
-    return records.withColumn(
-        "size", text.record_size(F.col("body"), F.col("trace_id"), F.col("attributes"), F.col("resource"))
-    )
+    size = text.record_size(F.col("body"), F.col("trace_id"), F.col("attributes"), F.col("resource"))
+    return settle(records, size=size)
 
 
 def split_oversize(records: DataFrame, *, max_bytes: int) -> tuple[DataFrame, DataFrame]:

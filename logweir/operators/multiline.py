@@ -117,7 +117,7 @@ def _line_groups(lines: DataFrame, start_pattern: str, max_size: int, block: Col
 def _merge(rows: DataFrame, first: Sequence[str]) -> DataFrame:
     """Join the lines of each segment; bounded by the line and byte limits."""
     with_text = F.when(F.col("line") != "", F.col("line_no"))
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    ordered = F.sort_array(F.collect_list(F.struct("line_no", "line")))
     joined = F.array_join(F.transform(ordered, lambda item: item["line"]), "\n")
     return (
         rows.groupBy("file_key", "_group", "_segment")

@@ -93,7 +93,7 @@ def resource_logs(batched: DataFrame, keys: Sequence[str], *, scope: str = SCOPE
         .groupBy(*batch_keys, "resource_key")
         .agg(
             F.first("resource").alias("resource"),
-            F.array_sort(F.collect_list(F.struct("pos", "record"))).alias("records"),
+            F.sort_array(F.collect_list(F.struct("pos", "record"))).alias("records"),
         )
     )
     one = F.struct(
@@ -105,7 +105,7 @@ def resource_logs(batched: DataFrame, keys: Sequence[str], *, scope: str = SCOPE
             )
         ).alias("scopeLogs"),
     )
-    lists = F.array_sort(F.collect_list(F.struct("resource_key", one.alias("entry"))))
+    lists = F.sort_array(F.collect_list(F.struct("resource_key", one.alias("entry"))))
     return (
         grouped.groupBy(*batch_keys)
         .agg(F.transform(lists, lambda item: item["entry"]).alias("resourceLogs"))

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.functions import paths, text
+from logweir.functions import paths
 from logweir.functions.patterns import java_pattern
-from logweir.operators.enrich import by_rule, resource_of
+from logweir.operators import enrich
+from logweir.operators.enrich import by_rule
 from logweir.rules import ProcessRule, RuleSet
 
 
@@ -86,9 +87,8 @@ def process_targets(
         "process.name": F.col("comm"),
         "process.command_line": F.col("cmdline"),
     }
-    resource = resource_of(F.col("path"), rules, "process", extra=attributes)
-    return chosen.withColumn("source_type", F.lit("process")).withColumn("resource", resource).withColumn(
-        "resource_key", text.resource_key(F.col("resource"))
+    return enrich.with_resource(
+        chosen.withColumn("source_type", F.lit("process")), rules, "process", extra=attributes
     )
 
 
@@ -108,20 +108,10 @@ def file_targets(files: DataFrame, rule, source_type: str, rule_idx: int) -> Dat
     found = files.withColumn("include_idx", first).where(
         F.col("include_idx").isNotNull() & ~paths.matches_any(F.col("path"), rule.exclude)
     )
-    return (
-        found.withColumns(
-            {
-                "source_type": F.lit(source_type),
-                "rule": F.lit(rule.name),
-                "rule_idx": F.lit(rule_idx),
-                "resource": resource_of(F.col("path"), [rule], source_type),
-            }
-        ).withColumn("resource_key", text.resource_key(F.col("resource")))
+    named = found.withColumns(
+        {"source_type": F.lit(source_type), "rule": F.lit(rule.name), "rule_idx": F.lit(rule_idx)}
     )
-
-
-# Fixed order of the source families.
-SOURCE_RANK = {"process": 0, "file": 1, "container": 2}
+    return enrich.with_resource(named, [rule], source_type)
 
 
 def first_target_per_path(

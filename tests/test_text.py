@@ -66,6 +66,8 @@ def test_trace_id(spark, value, completion, expected):
         ("2026-08-22T10:20:30Z stdout P ", ("stdout", "P", "", 0, 0)),
         ("2026-08-22T10:20:30,5+08:00 stdout F a b  c", ("stdout", "F", "a b  c", 500000000, 28800)),
         ("2026-08-22T1:20:30.1-00:30 stdout F x", ("stdout", "F", "x", 100000000, -1800)),
+        ("2026-08-22T10:20:30+08:00 stdout F x", ("stdout", "F", "x", 0, 28800)),
+        ("2026-08-22T10:20:30.1234567899-08:00 stdout F x", ("stdout", "F", "x", 123456789, -28800)),
         ("plain text", None),
         ("2026-02-30T10:20:30Z stdout F x", None),
         ("2026-08-22T10:20:30 stdout F x", None),
