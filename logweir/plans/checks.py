@@ -443,3 +443,18 @@ select 'off' as mode, user_id as key, count(*) as passed, cast(0 as bigint) as l
 union all select 'block', key, count(*), count(*) filter (is_late) from late group by 2
 union all select 'drop', key, count(*) filter (admitted), 0 from steps group by 2""",
 }
+CHECKS |= {
+    "streamed_documents": CHECKS["merged_documents"],
+    "streamed_documents_limited": CHECKS["merged_documents_limited"],
+    "tailed_documents": f"select part, start_offset, end_offset, line from ({CHECKS['scan_offsets']})",
+    "streamed_admissions": CHECKS["admitted"],
+    "streamed_waits": CHECKS["admitted_late"],
+    "fanned_out": f"""with {SENT}
+select 'alerts' as sink, 'ok' as outcome, cast(null as varchar) as error, (select count(*) from sent) as written
+union all select 'broken', 'failed', 'sink is down', null
+union all select 'export', 'ok', null, (select count(*) from records where level <> 'TRACE')""",
+    "refreshed_policy": f"""with {EVENTS}
+select cast(0 as integer) as round, 'one' as title, count(*) as sent from records where level = 'WARN'
+union all select 1, 'one', count(*) from records where level = 'WARN'
+union all select 2, 'three', count(*) from records where level in ('ERROR', 'INFO') and not contains(body, 'req1')""",
+}

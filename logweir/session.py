@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -50,3 +52,17 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder; nothing is created or removed."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_logweir_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="logweir-package-")) / "logweir.zip"
+    with zipfile.ZipFile(archive, "w") as zipped:
+        for source in sorted(package.rglob("*.py")):
+            zipped.write(source, Path(package.name) / source.relative_to(package))
+    context.addPyFile(str(archive))
+    context._logweir_shipped = True
