@@ -132,20 +132,27 @@ def extract_attributes(body: Column, extractors: Sequence[tuple[str, str]]) -> C
     return F.map_from_entries(F.filter(entries, lambda entry: entry["value"] != ""))
 
 
-def trace_id(body: Column, pattern: str | None, completion: bool = False) -> Column:
-    """Trace id bytes from the first capture group, or null.
+def trace_match(body: Column, pattern: str | None) -> Column:
+    """Text of the first capture group that names the trace; '' without one."""
+    return F.regexp_extract(body, java_pattern(pattern), 1) if pattern else F.lit("")
+
+
+def trace_bytes(found: Column, completion: bool = False) -> Column:
+    """Trace id bytes of a match, or null.
 
     Without completion the matched text itself is the id.  With completion 16
     hex digits are padded to 32, 32 are decoded, the rest gives null.
     """
-    if not pattern:
-        return F.lit(None).cast("binary")
-    found = F.regexp_extract(body, java_pattern(pattern), 1)
     if not completion:
         return F.when(found != "", F.encode(found, "UTF-8"))
-    padded = F.when(F.octet_length(found) == 16, F.concat(F.lit("0" * 16), found)).otherwise(found)
-    usable = F.rlike(padded, F.lit(r"^[0-9A-Fa-f]{32}\z")) & ~F.rlike(padded, F.lit(r"^0+\z"))
-    return F.when(usable, F.unhex(padded))
+    digits = F.octet_length(found)
+    usable = F.rlike(found, F.lit(r"^[0-9A-Fa-f]+\z")) & ~F.rlike(found, F.lit(r"^0+\z"))
+    return F.when(digits.isin(16, 32) & usable, F.unhex(F.lpad(found, 32, "0")))
+
+
+def trace_id(body: Column, pattern: str | None, completion: bool = False) -> Column:
+    """Trace id bytes from the first capture group of a pattern, or null."""
+    return trace_bytes(trace_match(body, pattern), completion)
 
 
 # ---------------------------------------------------------------- maps

@@ -91,9 +91,33 @@ def _part(kind: str, prefix: Column, value: Column, suffix: Column) -> Column:
     )
 
 
+def _field_lines() -> list[Column]:
+    """Title and fields as whole lines; null where the value is empty."""
+    out = [F.concat(F.lit(TITLE_PREFIX), escape(F.col("title")))]
+    for name, label, marked in FIELDS:
+        prefix, suffix = (OPEN, CLOSE) if marked else ("", "")
+        line = F.concat(F.lit(f"> **{label}：** {prefix}"), escape(F.col(name)), F.lit(suffix))
+        out.append(F.when(F.col(name) != "", line))
+    return out
+
+
 def render(limit: int, *, body: str = "body") -> Column:
     """The message within ``limit`` code points.
 
+    A message that fits is put together directly; only one that does not fit
+    goes through the budget, part by part.
+    """
+    quoted = F.replace(escape(F.col(body)), F.lit("\n"), F.lit(f"{CLOSE}\n> {OPEN}"))
+    whole = F.concat_ws(
+        "\n", *_field_lines(), F.lit(""), F.lit(BODY_HEADING), F.concat(F.lit(f"> {OPEN}"), quoted, F.lit(CLOSE))
+    )
+    fits = (F.length(body) <= limit) & (F.length(whole) <= limit)
+    return F.when(fits, whole).otherwise(_render_bounded(limit, body))
+
+
+def _render_bounded(limit: int, body: str) -> Column:
+    """The message cut to its budget.
+
     All parts share one budget and are written in order.  A title or field
     whose fixed text does not fit is skipped; the first body line that does not
     fit ends the message.  Each body line costs at least its fixed text, so

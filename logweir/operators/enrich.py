@@ -51,13 +51,14 @@ def enrich(records: DataFrame, rules: Sequence[FileRule | ProcessRule]) -> DataF
         return by_rule(rules, value)
 
     def traced(rule) -> Column:
-        return text.trace_id(body, rule.trace_id.pattern, rule.trace_id.completion)
+        return text.trace_bytes(F.col("_trace"), rule.trace_id.completion)
 
     def dropped(rule) -> Column:
         levels = [level.upper() for level in rule.drop_levels]
         return F.col("severity_text").isin(levels) if levels else F.lit(False)
 
-    matched = leveled.withColumns({f"_x{index}": extracted(key) for index, key in enumerate(keys)})
+    trace = by_rule(rules, lambda rule: text.trace_match(body, rule.trace_id.pattern))
+    matched = leveled.withColumns({"_trace": trace, **{f"_x{index}": extracted(key) for index, key in enumerate(keys)}})
     values = {"log.level": F.nullif(F.col("severity_text"), F.lit(""))}
     if "stream" in records.columns:
         values |= {"log.iostream": F.col("stream"), "log.cri.flag": F.col("flag")}
@@ -66,7 +67,7 @@ def enrich(records: DataFrame, rules: Sequence[FileRule | ProcessRule]) -> DataF
         values[key] = F.coalesce(found, values[key]) if key in values else found
     return matched.withColumns(
         {"attributes": text.keyed_map(values), "trace_id": by_rule(rules, traced), "dropped": by_rule(rules, dropped)}
-    ).drop(*[f"_x{index}" for index in range(len(keys))])
+    ).drop("_trace", *[f"_x{index}" for index in range(len(keys))])
 
 
 def drop_levels(records: DataFrame) -> DataFrame:

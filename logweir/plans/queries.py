@@ -20,7 +20,7 @@ from logweir.rules import (
     RuleSet,
     TraceId,
 )
-from logweir.session import scratch_dir
+from logweir.session import scratch_dir, staged
 from logweir.sources.text_lines import scan_lines
 
 POD_RULE = FileRule(
@@ -345,8 +345,10 @@ def oversize_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _batched(spark: SparkSession, folder: str) -> DataFrame:
+    """Packed records; the packing passes read them from a written table."""
     kept = enrich.drop_levels(records(spark, folder))
     kept = kept.withColumn("pod", F.regexp_extract("path", "(pod[0-9]+)_", 1))
+    kept = staged(enrich.with_record_size(kept), "records")
     return otlp.pack_batches(kept, ["pod"], ["line_no"], EXPORT, block=F.floor(F.col("line_no") / 100_000))
 
 

@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", name: str = "logweir", **conf: object) -> SparkSession:
@@ -54,6 +54,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read back.
+
+    For a result that several passes need: each then reads only its columns,
+    and nothing is computed again when an executor is lost.
+    """
+    where = scratch_dir(df.sparkSession, name)
+    df.write.parquet(where)
+    return df.sparkSession.read.parquet(where)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the Python workers, once per application."""
     context = spark.sparkContext
