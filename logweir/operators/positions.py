@@ -37,7 +37,7 @@ def resume_lines(lines: DataFrame, positions: DataFrame, *, start_at: str | Colu
 def committed(lines: DataFrame, *, now: Column) -> DataFrame:
     """Committed offset per file after a round."""
     return lines.groupBy("file_key").agg(
-        F.first("path").alias("path"), F.max("end_offset").alias("offset"), F.max(now).alias("updated_at")
+        F.max_by("path", "end_offset").alias("path"), F.max("end_offset").alias("offset"), F.max(now).alias("updated_at")
     )
 
 

@@ -182,7 +182,9 @@ def merged_documents_limited(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merged_conversations(spark: SparkSession, folder: str) -> DataFrame:
-    return multiline.merge_lines(views.conv_lines(spark, folder), "^user> ")
+    """Turns of a conversation; a long one is handled a thousand turns at a time."""
+    thousand_turns = F.floor(F.col("line_no") / 1_000_000_000)
+    return multiline.merge_lines(views.conv_lines(spark, folder), "^user> ", block=thousand_turns)
 
 
 # ---------------------------------------------------------------- rows

@@ -26,24 +26,24 @@ import codecs
 import glob
 import json
 import os
+import sys
 import time
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 SCHEMA = "file_key string, path string, start_offset long, end_offset long, line string"
 _CHUNK = 1 << 20
 
-# One mark per bad byte, as in text.repair_utf8.
-codecs.register_error("mark_bytes", lambda error: ("�", error.start + 1))
-
 
 def _matched(patterns: list[str]) -> list[str]:
     found: dict[str, None] = {}
     for pattern in patterns:
-        for path in sorted(glob.glob(pattern, include_hidden=True)):
+        # Rule globs negate a set with a caret.
+        for path in sorted(glob.glob(pattern.replace("[^", "[!"), include_hidden=True)):
             found.setdefault(path)
     return list(found)
 
@@ -165,6 +165,7 @@ class TailReader(DataSourceStreamReader):
         return pieces
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+        codecs.register_error("mark_byte", _mark_byte)
         for key, path, floor, start, end in partition.ranges:
             rows: list[tuple[int, int, str]] = []
             held = 0
@@ -189,6 +190,11 @@ def _batch(key: str, path: str, rows: list[tuple[int, int, str]]) -> pa.RecordBa
     )
 
 
+def _mark_byte(error: UnicodeDecodeError) -> tuple[str, int]:
+    """One mark per bad byte, as in ``text.repair_utf8``."""
+    return "�", error.start + 1
+
+
 def _line_start(file, floor: int, start: int) -> int:
     """Start of the line that is open at ``start``, not before ``floor``."""
     at = start
@@ -224,12 +230,14 @@ def _lines(path: str, floor: int, start: int, end: int, max_chars: int) -> Itera
                 head += part[: keep - len(head)]
             if part.endswith(b"\n"):
                 body = head.removesuffix(b"\n").removesuffix(b"\r")
-                yield begin, at, body.decode("utf-8", "mark_bytes")[:max_chars]
+                yield begin, at, body.decode("utf-8", "mark_byte")[:max_chars]
                 begin, head = at, b""
 
 
 def tail_lines(spark, *, include: list[str], exclude: list[str] | tuple[str, ...] = (), **options: object):
     """A stream of lines of the files matched by the globs."""
+    # The planner of a source may start without this package on its path.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(TailSource)
     reader = spark.readStream.format(TailSource.name())
     reader = reader.option("include", json.dumps(list(include))).option("exclude", json.dumps(list(exclude)))

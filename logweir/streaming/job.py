@@ -77,13 +77,15 @@ def start(
     folder: str,
     policy: PolicyTable | None = None,
     once: bool = False,
-    limit_key: str = "rule",
+    limit_key: str = "file_key",
 ) -> StreamingQuery:
     """Run one rule: read, merge, enrich, limit, fan out.
 
     ``folder`` is on shared storage and holds the checkpoint and the outputs.
     A round starts every ``read_interval``; ``once`` runs a single round.
     The checkpoint carries offsets, open records and buckets over a restart.
+    The rate limit holds per ``limit_key``: a file by default, because a limit
+    over the whole stream would send every record through one task.
     """
     rules.validate(spark)
     records = rule_records(spark, rules, rule, progress=f"{folder}/progress.json").withColumn("rule", F.lit(rule.name))

@@ -41,7 +41,7 @@ def model_cut(items, max_rows, max_bytes):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_greedy_cut_equals_the_step_model(spark, seed):
     rng = random.Random(seed)
     max_rows, max_bytes = rng.randint(1, 6), rng.randint(4, 40)
@@ -198,8 +198,10 @@ GAPS = {
 }
 
 
-@pytest.mark.parametrize("kind", list(GAPS))
-@pytest.mark.parametrize("rate, burst", [(10, 1), (10, 3), (9.7, 5), (0.001, 1), (40, 2)])
+@pytest.mark.parametrize(
+    "kind, rate, burst",
+    [("busy", 10, 1), ("busy", 9.7, 5), ("near", 10, 3), ("near", 9.7, 1), ("mixed", 10, 3), ("mixed", 0.001, 1)],
+)
 def test_drop_mode_equals_the_step_model(spark, kind, rate, burst):
     rows, frame = arrivals(spark, burst, GAPS[kind])
     expected, buckets, last = {}, {}, {}
