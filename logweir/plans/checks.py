@@ -348,7 +348,8 @@ from doc_lines""",
     "merged_conversations": f"with {CONVERSATIONS} {_merge('conv_lines', '^user> ')}",
     "cri_fields": f"""with {MIXED}
 select line_no, path, ok as cri_ok, cast(us as varchar) as ts_us, cast(us * 1000 as varchar) as time_unix_nano, case when ok then stream end as stream,
-  case when ok then flag end as flag, case when ok then body else line end as body from timed""",
+  case when ok then flag end as flag, case when ok then body else line end as body,
+  case when ok then 'log.cri.flag=' || flag || ';log.iostream=' || stream else '' end as attributes from timed""",
     "severities": f"""with {EVENTS}, found as (select line_no, {_severity('body')} as severity_text from records)
 select line_no, severity_text, {NUMBER} as severity_number, 'log.level=' || severity_text as level from found""",
     "document_severities": f"""

@@ -72,7 +72,7 @@ def flat(values: Column) -> Column:
 
 
 def _parsed(spark: SparkSession, folder: str) -> DataFrame:
-    return with_cri_attributes(parse_cri(views.event_lines(spark, folder)))
+    return parse_cri(views.event_lines(spark, folder))
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,8 +191,8 @@ def merged_conversations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cri_fields(spark: SparkSession, folder: str) -> DataFrame:
-    return parse_cri(views.mixed_lines(spark, folder)).select(
-        "line_no", "path", "cri_ok", F.unix_micros("ts").cast("string").alias("ts_us"),
+    return with_cri_attributes(parse_cri(views.mixed_lines(spark, folder))).select(
+        "line_no", "path", flat(F.col("attributes")).alias("attributes"), "cri_ok", F.unix_micros("ts").cast("string").alias("ts_us"),
         F.col("time_unix_nano").cast("string").alias("time_unix_nano"), "stream", "flag", "body",
     )
 

@@ -13,6 +13,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores when the files hold fewer row groups than there are cores.
+
+    Large tables have far more splits than cores and are read as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def micros(column: str) -> Column:
     """Microseconds of a zoneless timestamp, whatever the session zone."""
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {column})")
@@ -20,7 +29,7 @@ def micros(column: str) -> Column:
 
 def event_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Container log lines, one per event."""
-    return table(spark, folder, "events").selectExpr(
+    return spread(table(spark, folder, "events"), "event_id").selectExpr(
         "event_id as line_no",
         """concat('/var/log/containers/pod', cast(user_id % 7 as string), '_ns', cast(user_id % 3 as string),
                   '_svc', cast(user_id % 5 as string), '-c', cast(user_id as string), '.log') as path""",
@@ -43,7 +52,7 @@ def mixed_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def doc_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of each document, as if it were a file; the last piece has no newline."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"), "doc_id")
     return docs.select(
         F.col("doc_id").alias("file_key"),
         F.octet_length("text").cast("long").alias("file_size"),

@@ -1,12 +1,12 @@
-"""The whole collection job of one rule as a streaming query."""
+"""The whole collection job of one rule, as a streaming query or over a batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logweir.operators import enrich, lines
+from logweir.operators import enrich, lines, multiline
 from logweir.operators.cri import parse_cri
 from logweir.rules import FileRule, RuleSet, duration_ms
 from logweir.sources.tail_source import tail_lines
@@ -115,7 +115,20 @@ def _plain(records: DataFrame) -> DataFrame:
     return records.drop("resource", "resource_key")
 
 
-def batch_records(source: DataFrame, rules: RuleSet, rule: FileRule, source_type: str, *, merged: DataFrame | None = None) -> DataFrame:
-    """The same records from a batch of lines."""
-    bodies = merged if merged is not None else framed(lines.clean_lines(source, max_log_size=rules.limits.max_log_size), rule).withColumnRenamed("line", "body")
-    return finish(bodies, rules, rule, source_type)
+def batch_records(
+    source: DataFrame, rules: RuleSet, rule: FileRule, source_type: str, *, block: Column | None = None
+) -> DataFrame:
+    """The records of a batch of scanned lines with offsets; open records are closed.
+
+    Pass ``block=F.col("block_start")`` for files that do not fit a task.
+    """
+    limits = rules.limits
+    bodies = framed(lines.clean_lines(source, max_log_size=limits.max_log_size), rule)
+    if rule.multiline.start_pattern:
+        bodies = multiline.merge_lines(
+            bodies, rule.multiline.start_pattern, max_size=limits.max_multiline_size,
+            max_lines=limits.max_multiline_lines, block=block, first=("start_offset", *_FIRST),
+        )
+    else:
+        bodies = bodies.withColumnRenamed("line", "body")
+    return finish(bodies.select("file_key", "start_offset", "body", *_FIRST), rules, rule, source_type)

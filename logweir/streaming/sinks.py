@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,11 +83,6 @@ def fan_out(sinks: dict[str, Sink], outcomes: str) -> Sink:
     return send
 
 
-def with_defaults(policy: AlertPolicy, **changes: object) -> AlertPolicy:
-    """A copy of a policy with some values changed."""
-    return replace(policy, **changes)
-
-
 def read_outcomes(spark: SparkSession, outcomes: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").parquet(outcomes).select(
         "batch_id", "sink", "outcome", F.col("error")

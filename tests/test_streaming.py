@@ -7,11 +7,13 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from logweir.operators.lines import complete_lines, with_offsets
 from logweir.operators.multiline import merge_lines
 from logweir.rules import (
     AlertPolicy, ExportOptions, Extractor, FileRule, FlowControl, Limits, Multiline, RuleSet, TraceId,
 )
 from logweir.sources.tail_source import TailReader, tail_lines
+from logweir.sources.text_lines import scan_lines
 from logweir.streaming import job, sinks
 from logweir.streaming.stateful import merge_stream, open_records
 
@@ -195,6 +197,12 @@ def test_whole_job(spark, tmp_path):
     second = entries[0]["scopeLogs"][0]["logRecords"][1]
     assert second["traceId"] == "0" * 16 + "57c52734aa944c84" and second["severityNumber"] == 17
     assert second["timeUnixNano"] == "1787365230500000000"
+    # The same files as a batch: the same records, and the open one closed.
+    scanned = scan_lines(spark, rule.include)
+    placed = complete_lines(with_offsets(scanned, block=F.col("block_start")))
+    batch = job.batch_records(placed, rules, rule, "container", block=F.col("block_start")).collect()
+    assert [row.body for row in sorted(batch, key=lambda row: row.start_offset)] == [*bodies, "ERROR last"]
+    assert {row.resource["k8s.pod.name"] for row in batch} == {"web"}
 
 
 def test_job_with_flow_control_drops(spark, tmp_path):
