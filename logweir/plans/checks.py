@@ -213,8 +213,8 @@ steps as (
     lateral (select case when t.status in (408, 429) or t.status >= 500 then greatest(s.following, t.asked) else s.following end as w)
   where s.outcome not in ('ok', 'permanent', 'gave_up'))
 select batch_id, cast(attempt as integer) as attempts, outcome,
-  case when outcome like 'retry%' then wait end as wait_ms,
-  case when outcome like 'retry%' then epoch_us(tried) + wait * 1000 end as next_us
+  case when outcome like 'retry%' then wait else -1 end as wait_ms,
+  case when outcome like 'retry%' then epoch_us(tried) + wait * 1000 else -1 end as next_us
 from steps qualify row_number() over (partition by batch_id order by attempt desc) = 1
 """
 
@@ -330,12 +330,12 @@ select file_key, line_no, left(case when line_no % 3 = 0 then line || chr(65533)
 select d.file_key, line_no, start_offset, end_offset from doc_offsets d left join positions p using (file_key)
 where start_offset >= case when p."offset" is null and d.file_key % 2 = 0 then file_size when p."offset" > file_size then 0
   else coalesce(p."offset", 0) end""",
-    "committed_offsets": f"with {COMMITTED} select * from committed",
+    "committed_offsets": f"""with {COMMITTED} select file_key, path, "offset", epoch_us(updated_at) as updated_us from committed""",
     "merged_positions": f"""with {COMMITTED}, {POSITIONS}
 select coalesce(p.file_key, c.file_key) as file_key,
   case when c.file_key is null or (c.path = p.path and c."offset" = p."offset") then p.path else c.path end as path,
   case when c.file_key is null or (c.path = p.path and c."offset" = p."offset") then p."offset" else c."offset" end as "offset",
-  case when c.file_key is null or (c.path = p.path and c."offset" = p."offset") then p.updated_at else c.updated_at end as updated_at
+  case when c.file_key is null or (c.path = p.path and c."offset" = p."offset") then epoch_us(p.updated_at) else epoch_us(c.updated_at) end as updated_us
 from positions p full join committed c on p.file_key = c.file_key""",
     "pruned_positions": f"""with {POSITIONS}
 select file_key, path, "offset" from positions p where updated_at < timestamp '2024-01-02 06:00:00'
@@ -452,7 +452,7 @@ CHECKS |= {
     "streamed_waits": CHECKS["admitted_late"],
     "fanned_out": f"""with {SENT}
 select 'alerts' as sink, 'ok' as outcome, cast(null as varchar) as error, (select count(*) from sent) as written
-union all select 'broken', 'failed', 'sink is down', null
+union all select 'broken', 'failed', 'sink is down', 0
 union all select 'export', 'ok', null, (select count(*) from records where level <> 'TRACE')""",
     "refreshed_policy": f"""with {EVENTS}
 select cast(0 as integer) as round, 'one' as title, count(*) as sent from records where level = 'WARN'

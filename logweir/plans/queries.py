@@ -146,8 +146,12 @@ def _committed(spark: SparkSession, folder: str) -> DataFrame:
     return positions.committed(complete, now=F.expr(f"timestamp_ntz'{NOW}'"))
 
 
+def _shown(table: DataFrame) -> DataFrame:
+    return table.select("file_key", "path", "offset", views.micros("updated_at").alias("updated_us"))
+
+
 def committed_offsets(spark: SparkSession, folder: str) -> DataFrame:
-    return _committed(spark, folder)
+    return _shown(_committed(spark, folder))
 
 
 def merged_positions(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,7 +159,7 @@ def merged_positions(spark: SparkSession, folder: str) -> DataFrame:
     where = scratch_dir(spark, "positions")
     merged = positions.merge_positions(views.positions(spark, folder), _committed(spark, folder))
     positions.write_positions(merged, where)
-    return spark.read.parquet(where)
+    return _shown(spark.read.parquet(where))
 
 
 def pruned_positions(spark: SparkSession, folder: str) -> DataFrame:
@@ -405,7 +409,12 @@ def exported_requests(spark: SparkSession, folder: str) -> DataFrame:
 def delivery_schedule(spark: SparkSession, folder: str) -> DataFrame:
     retry = Retry(initial_interval="30s", max_interval="20m", max_elapsed_time="50m")
     found = outbox.schedule(views.attempts(spark, folder), retry)
-    return found.select("batch_id", "attempts", "outcome", "wait_ms", F.unix_micros("next_at").alias("next_us"))
+    # -1 where the batch has come to an end, so that the columns have no nulls.
+    ended = F.lit(-1).cast("long")
+    return found.select(
+        "batch_id", "attempts", "outcome", F.coalesce("wait_ms", ended).alias("wait_ms"),
+        F.coalesce(F.unix_micros("next_at"), ended).alias("next_us"),
+    )
 
 
 # ---------------------------------------------------------------- alerts

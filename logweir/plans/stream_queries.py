@@ -166,9 +166,8 @@ def fanned_out(spark: SparkSession, folder: str) -> DataFrame:
     bodies = F.regexp_count("value", F.lit('"timeUnixNano"')).cast("long")
     export = deep.text(f"{where}/export").agg(F.sum(bodies).alias("written"))
     written = alerts.withColumn("sink", F.lit("alerts")).unionByName(export.withColumn("sink", F.lit("export")))
-    return sinks.read_outcomes(spark, f"{where}/outcomes").select("sink", "outcome", "error").distinct().join(
-        written, "sink", "left"
-    )
+    outcomes = sinks.read_outcomes(spark, f"{where}/outcomes").select("sink", "outcome", "error").distinct()
+    return outcomes.join(written, "sink", "left").withColumn("written", F.coalesce("written", F.lit(0)))
 
 
 def refreshed_policy(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,17 +61,3 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     where = scratch_dir(df.sparkSession, name)
     df.write.parquet(where)
     return df.sparkSession.read.parquet(where)
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give this package to the Python workers, once per application."""
-    context = spark.sparkContext
-    if getattr(context, "_logweir_shipped", False):
-        return
-    package = Path(__file__).parent
-    archive = Path(tempfile.mkdtemp(prefix="logweir-package-")) / "logweir.zip"
-    with zipfile.ZipFile(archive, "w") as zipped:
-        for source in sorted(package.rglob("*.py")):
-            zipped.write(source, Path(package.name) / source.relative_to(package))
-    context.addPyFile(str(archive))
-    context._logweir_shipped = True

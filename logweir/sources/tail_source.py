@@ -26,12 +26,10 @@ import codecs
 import glob
 import json
 import os
-import sys
 import time
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -236,8 +234,6 @@ def _lines(path: str, floor: int, start: int, end: int, max_chars: int) -> Itera
 
 def tail_lines(spark, *, include: list[str], exclude: list[str] | tuple[str, ...] = (), **options: object):
     """A stream of lines of the files matched by the globs."""
-    # The planner of a source may start without this package on its path.
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(TailSource)
     reader = spark.readStream.format(TailSource.name())
     reader = reader.option("include", json.dumps(list(include))).option("exclude", json.dumps(list(exclude)))
