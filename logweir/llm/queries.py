@@ -6,26 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweir.llm import quality, secrets, toxicity
+from logweir.llm import decontaminate, fingerprints, html_extract, mixture, quality, secrets, toxicity, warc
 from logweir.llm.common import read
 
 
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, folder, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op4_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(read(spark, folder, "pages"))
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(read(spark, folder, "documents"))
 
 
+def op6_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.taken(read(spark, folder, "documents"))
+
+
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(read(spark, folder, "documents"), secrets.ledger_at(spark))
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(read(spark, folder, "pages"))
+
+
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.report(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
+    "op4_html": op4_html,
     "op5_quality": op5_quality,
+    "op6_mixture": op6_mixture,
     "op7_secrets": op7_secrets,
+    "op8_warc": op8_warc,
+    "op9_decontamination": op9_decontamination,
 }
 
 CHECKS: dict[str, str] = {}
