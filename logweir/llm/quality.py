@@ -293,3 +293,10 @@ def classify(documents: DataFrame, settings: Settings = Settings()) -> DataFrame
     scored = score(documents.select("doc_id", "text"), fit(documents, settings), column="score")
     accepted = F.when(F.col("score") >= settings.threshold, 1).otherwise(0)
     return scored.select("doc_id", "score", accepted.alias("accepted"))
+
+
+def keep_good(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The documents that the scorer accepts, all columns as they are."""
+    scorer = fit(documents, settings)
+    rows = documents.select(F.struct("*").alias("_row"), F.col("text"))
+    return score(rows, scorer, column="_quality").where(F.col("_quality") >= settings.threshold).select("_row.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweir.llm import decontaminate, fingerprints, html_extract, mixture, quality, secrets, toxicity, warc
+from logweir.llm import decontaminate, fingerprints, html_extract, jaccard, mixture, quality, repeats, secrets, toxicity, warc
 from logweir.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.groups(read(spark, folder, "documents"))
+
+
 def op4_html(spark: SparkSession, folder: str) -> DataFrame:
     return html_extract.extract(read(spark, folder, "pages"))
 
@@ -42,15 +46,22 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove(read(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
+    "op3_jaccard": op3_jaccard,
     "op4_html": op4_html,
     "op5_quality": op5_quality,
     "op6_mixture": op6_mixture,
     "op7_secrets": op7_secrets,
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
+    "op10_repeats": op10_repeats,
 }
 
 CHECKS: dict[str, str] = {}
