@@ -143,7 +143,8 @@ def benchmark_windows(benchmark: DataFrame, settings: Settings = Settings()) ->
                 if length >= settings.shortest:
                     size = min(settings.window, length)
                     rows += [(item, length, *row) for row in _windows(template, text, [size], settings, None)]
-            yield pd.DataFrame(rows, columns=["item_id", "length", "hash", "item_place", "size", "item_slots"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["item_id", "length", "hash", "item_place", "size", "item_slots"])
 
     texts = benchmark.where("item_id is not null").select("item_id", whole("text").alias("text")).distinct()
     return texts.mapInPandas(
@@ -173,6 +174,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, settings: Settings = Setti
             if sizes and (wanted is None or len(wanted)):
                 for at, text in enumerate(batch["text"]):
                     rows += [(at, *row) for row in _windows(template, text, sizes, settings, wanted)]
+            if not rows:
+                continue
             picked = [row[0] for row in rows]
             yield pd.DataFrame(
                 {

@@ -82,8 +82,12 @@ def with_next(documents: DataFrame, settings: Settings = Settings()) -> DataFram
     rows = (
         documents.select("doc_id", whole("text").alias("text"))
         .withColumn("_range", place)
-        .withColumn("_bucket", F.col("_range") * (2 * each + 2) + F.least(F.floor(offset).cast("long"), F.lit(2 * each)))
-        .withColumn("_bucket", F.coalesce("_bucket", F.lit(-1).cast("long")))
+        .withColumn(
+            "_bucket",
+            F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(
+                F.col("_range") * (2 * each + 2) + F.least(F.floor(offset).cast("long"), F.lit(2 * each))
+            ),
+        )
         .select("_bucket", "doc_id", "text")
     )
     ordered = Window.partitionBy("_bucket").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))

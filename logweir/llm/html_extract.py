@@ -173,7 +173,8 @@ def learn(pages: DataFrame, settings: Settings = Settings()) -> dict[str, float]
                     if not token.dropped:
                         cell = found.setdefault(_key(token), [0, 0])
                         cell[token.inside] += len(token.text.split()) if not token.tag else 1
-        yield pd.DataFrame([(key, *cell) for key, cell in found.items()], columns=["key", "out", "inside"])
+        if found:
+            yield pd.DataFrame([(key, *cell) for key, cell in found.items()], columns=["key", "out", "inside"])
 
     rows = (
         sample.mapInPandas(counts, "key string, out long, inside long")

@@ -284,7 +284,8 @@ def remove(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     is empty.  Rows with one id hide nothing from each other, a null id is
     larger than any other.  ``starts`` and ``ends`` are the removed byte spans.
     """
-    rows = documents.select("doc_id", whole("text").alias("text"))
+    # As text, a null id and a large one reach the tasks unchanged.
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), whole("text").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, parts = -(-total // settings.chunk) + 1, -(-total // settings.part) + 1
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
@@ -381,10 +382,11 @@ def remove(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     masks = keys.groupBy("part").applyInPandas(shared, "chunk long, part long, mask binary")
     sent = by_chunk.cogroup(masks.groupBy("chunk")).applyInPandas(contexts, "part long, chunk long, packed binary")
     spans = sent.groupBy("part").applyInPandas(covered, "chunk long, packed binary")
-    return by_chunk.cogroup(spans.toDF("chunk", "packed").groupBy("chunk")).applyInPandas(kept, _RESULT)
+    found = by_chunk.cogroup(spans.toDF("chunk", "packed").groupBy("chunk")).applyInPandas(kept, _RESULT)
+    return found.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
 
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
+_RESULT = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
 _RESULT_NAMES = [part.split()[0] for part in _RESULT.split(", ")]
 
 
@@ -405,4 +407,4 @@ def _kept(own: _Chunk, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
         digest.update(data[place:high])
         removed = sum(finishes) - sum(begins)
         out.append((value, high - low, removed, len(begins), digest.hexdigest(), begins, finishes))
-    return pd.DataFrame(out, columns=_RESULT_NAMES).astype({"doc_id": "Int64"})
+    return pd.DataFrame(out, columns=_RESULT_NAMES)

@@ -134,7 +134,8 @@ def scan(documents: DataFrame, ledger: Ledger, rules: Sequence[Rule] = RULES) ->
                 for blob, text, todo in zip(batch["blob"], batch["text"], batch["todo"], strict=True)
                 for name in todo
             ]
-            yield pd.DataFrame(rows, columns=["blob", "kind", "version", "spans"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["blob", "kind", "version", "spans"])
 
     found = unseen.mapInPandas(spans, "blob string, kind string, version int, spans array<struct<start:int,end:int>>")
     batch = scratch_dir(spark, "secret-batch")

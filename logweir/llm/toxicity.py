@@ -163,7 +163,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
         .groupBy("doc_id")
-        .agg(F.max("toxic").alias("_toxic"))
+        .agg(F.max("toxic").cast("int").alias("_toxic"))
     )
     # Bounded by the settings: at most 4 * per_class short rows.
     picked = [

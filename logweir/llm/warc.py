@@ -68,7 +68,8 @@ def write(pages: DataFrame, folder: str, *, least: int = LEAST_REVISIT, records_
     lines = [
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
         F.when(F.col("page_id").isNotNull(), F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(">"))),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", " ")),
+        # In brackets, so that no header line can end like a magic.
+        F.concat(F.lit("WARC-Target-URI: <"), F.regexp_replace("url", r"[\r\n]", " "), F.lit(">")),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z"),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("payload_digest")),
         F.when(~first, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
