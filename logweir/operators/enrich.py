@@ -66,13 +66,23 @@ def enrich(records: DataFrame, rules: Sequence[FileRule | ProcessRule]) -> DataF
         found = F.col(f"_x{index}")
         values[key] = F.coalesce(found, values[key]) if key in values else found
     return matched.withColumns(
-        {"attributes": text.keyed_map(values), "trace_id": by_rule(rules, traced), "dropped": by_rule(rules, dropped)}
+        {
+            "attributes": text.keyed_map(values),
+            "trace_id": by_rule(rules, traced),
+            # A row of no known rule is never dropped by it; see ``unmatched``.
+            "dropped": F.coalesce(by_rule(rules, dropped), F.lit(False)),
+        }
     ).drop("_trace", *[f"_x{index}" for index in range(len(keys))])
 
 
 def drop_levels(records: DataFrame) -> DataFrame:
     """Keep the records whose level the rule does not drop."""
-    return records.where(~F.col("dropped"))
+    return records.where(~F.coalesce("dropped", F.lit(False)))
+
+
+def unmatched(records: DataFrame, rules: Sequence[FileRule | ProcessRule], *, rule: str = "rule") -> DataFrame:
+    """Rows whose rule is none of these, for a side table: no extractor or drop list applies to them."""
+    return records.where(~F.coalesce(F.col(rule).isin([item.name for item in rules]), F.lit(False)))
 
 
 def stamp(records: DataFrame, *, now: Column | None = None) -> DataFrame:

@@ -62,9 +62,18 @@ def merge_lines(
         out="_segment",
         block_rows=block_rows,
     )
+    # What a segment starts with before its first text is never part of a body,
+    # and no limit cuts it: such rows go before any list is made.
+    loose = loose.where(_has_text_since(F.col("_group")))
+    begin = cut.groupBy(*keys, "_segment").agg(F.min("line_no").alias("_begin"))
+    cut = cut.join(begin, [*keys, "_segment"]).where(_has_text_since(F.col("_begin"))).drop("_begin")
     return _merge(loose, first).unionByName(_merge(cut, first))
 
 
+def _has_text_since(begin: Column) -> Column:
+    return F.coalesce(F.col("_last_text"), F.lit(-2)) >= begin
+
+
 def _line_groups(lines: DataFrame, start_pattern: str, max_size: int, block: Column | None) -> DataFrame:
     """Lines with the first line of their group, place and bytes within it.
 
@@ -92,7 +101,7 @@ def _line_groups(lines: DataFrame, start_pattern: str, max_size: int, block: Col
         ["file_key"],
         ["line_no"],
         sums={"_total": used, "_nth": F.lit(1).cast("long")},
-        maxes={"_group": F.when(begins, F.col("line_no"))},
+        maxes={"_group": F.when(begins, F.col("line_no")), "_last_text": F.when(F.col("line") != "", F.col("line_no"))},
         block=F.col("_part") if block is not None else None,
     ).withColumn("_group", F.coalesce(F.col("_group"), F.lit(-1)).cast("long"))
     # Totals at the start of the group, carried along as a running maximum.

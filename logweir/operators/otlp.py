@@ -122,6 +122,6 @@ def requests(batched: DataFrame, keys: Sequence[str], *, scope: str = SCOPE) ->
 def write_requests(documents: DataFrame, path: str, *, compression: str = "") -> None:
     """Write one request document per line, gzipped when asked."""
     if compression not in ("", "gzip"):
-        raise ValueError("compression must be empty or gzip")
+        raise ValueError("unknown compression, only gzip can be named")
     writer = documents.select("request").write.mode("errorifexists")
     writer.option("compression", compression or "none").text(path)

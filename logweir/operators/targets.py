@@ -54,7 +54,7 @@ def select_paths(opened: DataFrame, rules: Sequence[ProcessRule], *, path: str =
         return keep & ~_matches(path, rule.exclude_regex) if rule.exclude_regex else keep
 
     return opened.withColumn(path, paths.strip_deleted(F.col(path))).where(
-        F.startswith(path, F.lit("/")) & by_rule(rules, wanted)
+        F.startswith(path, F.lit("/")) & F.coalesce(by_rule(rules, wanted), F.lit(False))
     )
 
 

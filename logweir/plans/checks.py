@@ -69,7 +69,8 @@ committed as (
 CONVERSATIONS = """
 conv_pieces as (select conv_id as file_key, turn, string_split(role || '> ' || text, chr(10)) as l from conversations),
 conv_lines as (
-  select file_key, turn * 1000000 + generate_subscripts(l, 1) - 1 as line_no, unnest(l) as line from conv_pieces)
+  select file_key, row_number() over (partition by file_key order by turn, part) - 1 as line_no, line
+  from (select file_key, turn, generate_subscripts(l, 1) as part, unnest(l) as line from conv_pieces))
 """
 
 

@@ -30,7 +30,7 @@ POD_RULE = FileRule(
     start_at="beginning",
     attributes={"service.name": "shop", "deployment.environment": "test"},
     extractors=(
-        Extractor("request.id", r"\b(?:TRACE|DEBUG|INFO|WARN|ERROR|FATAL)\s+-\s+(\S+)\s+-"),
+        Extractor("request.id", r" - (req\d+) - "),
         Extractor("event.type", r" - ([a-z]+) trace_id="),
     ),
     trace_id=TraceId(r"trace_id=([0-9a-fA-F]+)", completion=True),
@@ -186,9 +186,9 @@ def merged_documents_limited(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merged_conversations(spark: SparkSession, folder: str) -> DataFrame:
-    """Turns of a conversation; a long one is handled a thousand turns at a time."""
-    thousand_turns = F.floor(F.col("line_no") / 1_000_000_000)
-    return multiline.merge_lines(views.conv_lines(spark, folder), "^user> ", block=thousand_turns)
+    """Turns of a conversation; a long one is handled some thousand lines at a time."""
+    part = F.floor(F.col("line_no") / 4096)
+    return multiline.merge_lines(views.conv_lines(spark, folder), "^user> ", block=part)
 
 
 # ---------------------------------------------------------------- rows

@@ -89,6 +89,15 @@ def _write_files(parts: DataFrame, target: str, *, half: bool) -> None:
     parts.groupBy("part").applyInPandas(write, "part long").agg(F.count(F.lit(1))).collect()
 
 
+#: Small enough that most files of the small tables need several rounds.
+_ROUND_BYTES = 64 * 1024
+
+
+def _rounds(folder: str) -> int:
+    largest = max((os.path.getsize(os.path.join(folder, name)) for name in os.listdir(folder)), default=0)
+    return 2 + 2 * largest // _ROUND_BYTES
+
+
 def tailed_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Files that grow between two runs; the second resumes where the first stopped."""
     where = _shared_path(scratch_dir(spark, "tailed"))
@@ -99,10 +108,12 @@ def tailed_documents(spark: SparkSession, folder: str) -> DataFrame:
     for half in (True, False):
         _write_files(parts, f"{where}/in", half=half)
         lines = tail_lines(
-            spark, include=[f"{where}/in/*.log"], start_at="beginning", max_bytes_per_file=1 << 40,
+            spark, include=[f"{where}/in/*.log"], start_at="beginning", max_bytes_per_file=_ROUND_BYTES,
             progress=f"{where}/progress.json",
         )
-        _run(lines, where)
+        # A round ends at the cap of a file; further rounds follow until nothing is left.
+        for _ in range(_rounds(f"{where}/in")):
+            _run(lines, where)
     part = F.regexp_extract("path", r"/(\d+)\.log$", 1).cast("long")
     return spark.read.parquet(f"{where}/out").select(part.alias("part"), "start_offset", "end_offset", "line")
 

@@ -8,20 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweir.operators.ordered import running
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores when the files hold fewer row groups than there are cores.
-
-    Large tables have far more splits than cores and are read as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def micros(column: str) -> Column:
     """Microseconds of a zoneless timestamp, whatever the session zone."""
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {column})")
@@ -29,7 +22,7 @@ def micros(column: str) -> Column:
 
 def event_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Container log lines, one per event."""
-    return spread(table(spark, folder, "events"), "event_id").selectExpr(
+    return table(spark, folder, "events").selectExpr(
         "event_id as line_no",
         """concat('/var/log/containers/pod', cast(user_id % 7 as string), '_ns', cast(user_id % 3 as string),
                   '_svc', cast(user_id % 5 as string), '-c', cast(user_id as string), '.log') as path""",
@@ -52,7 +45,7 @@ def mixed_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def doc_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of each document, as if it were a file; the last piece has no newline."""
-    docs = spread(table(spark, folder, "documents"), "doc_id")
+    docs = table(spark, folder, "documents")
     return docs.select(
         F.col("doc_id").alias("file_key"),
         F.octet_length("text").cast("long").alias("file_size"),
@@ -67,8 +60,11 @@ def conv_lines(spark: SparkSession, folder: str) -> DataFrame:
         "turn",
         F.posexplode(F.split(F.concat(F.col("role"), F.lit("> "), F.col("text")), "\n")).alias("part", "line"),
     )
-    # Turn and part give the order; a turn has far fewer lines than the factor.
-    return turns.select("file_key", (F.col("turn") * 1_000_000 + F.col("part")).alias("line_no"), "line")
+    # Turn and part give the order, whatever the length of a turn.
+    numbered = running(
+        turns, ["file_key"], ["turn", "part"], sums={"line_no": F.lit(1).cast("long")}, block=F.col("turn"), exclusive=True
+    )
+    return numbered.select("file_key", "line_no", "line")
 
 
 def processes(spark: SparkSession, folder: str) -> DataFrame:

@@ -92,9 +92,7 @@ class ProcessRule:
 
 @dataclass(frozen=True)
 class Limits:
-    discovery_interval: str = "5s"
     read_interval: str = "1s"
-    position_flush_interval: str = "15s"
     max_read_bytes_per_file: int = 4 * 1024 * 1024
     max_log_size: int = 1024 * 1024
     max_multiline_size: int = 4 * 1024 * 1024
@@ -125,7 +123,6 @@ class ExportOptions:
     compression: str = ""
     batch_size: int = 500
     max_batch_bytes: int = 4 * 1024 * 1024
-    flush_interval: str = "1s"
     max_queue_bytes: int = 64 * 1024 * 1024
     retry: Retry = Retry()
 
@@ -184,16 +181,19 @@ class RuleSet:
         _check_limits(self.limits)
         if self.flow_control.enabled:
             _check_flow(self.flow_control)
+        names = [rule.name for _, _, rule in self.rules]
+        again = sorted({name for name in names if name and names.count(name) > 1})
+        _require(not again, f"rule names must differ, they key the rows of a rule: {', '.join(again)}")
         for kind, _, rule in self.rules:
             try:
                 if kind == "process":
                     _require(
                         bool(rule.name and (rule.comm_regex or rule.cmdline_regex) and rule.include_regex),
-                        "name, include_regex and comm_regex or cmdline_regex are required",
+                        "needs a name, an include_regex, and a comm_regex or cmdline_regex",
                     )
                 else:
-                    _require(bool(rule.name and rule.include), "name and include are required")
-                    _require(rule.format in ("", "cri"), "format must be empty or cri")
+                    _require(bool(rule.name and rule.include), "needs a name and at least one include glob")
+                    _require(rule.format in ("", "cri"), "unknown format, only cri can be named")
                 _check_rule(rule, spark)
             except RuleError as error:
                 raise RuleError(f"{kind} rule {rule.name!r}: {error}") from error
@@ -240,7 +240,7 @@ def _require(condition: bool, message: str) -> None:
 
 
 def _check_export(export: ExportOptions) -> None:
-    _require(export.compression in ("", "gzip"), "export compression must be empty or gzip")
+    _require(export.compression in ("", "gzip"), "unknown export compression, only gzip can be named")
     _require(
         min(export.batch_size, export.max_batch_bytes, export.max_queue_bytes) > 0,
         "export batch_size, max_batch_bytes and max_queue_bytes must be positive",
@@ -249,7 +249,6 @@ def _check_export(export: ExportOptions) -> None:
         export.max_queue_bytes >= export.max_batch_bytes,
         "export max_queue_bytes must be at least max_batch_bytes",
     )
-    _require(duration_ms(export.flush_interval) > 0, "export flush_interval must be positive")
 
 
 def _check_limits(limits: Limits) -> None:
@@ -289,7 +288,7 @@ def _check_pattern(name: str, pattern: str, spark: SparkSession | None, *, group
 
 
 def _check_rule(rule: ProcessRule | FileRule, spark: SparkSession | None) -> None:
-    _require(rule.start_at in ("", "beginning", "end"), "start_at must be beginning or end")
+    _require(rule.start_at in ("", "beginning", "end"), "start_at is neither beginning nor end")
     for name in ("comm_regex", "cmdline_regex", "include_regex", "exclude_regex"):
         if getattr(rule, name, ""):
             _check_pattern(name, getattr(rule, name), spark)
@@ -297,7 +296,7 @@ def _check_rule(rule: ProcessRule | FileRule, spark: SparkSession | None) -> Non
         _check_pattern("start_pattern", rule.multiline.start_pattern, spark)
     duration_ms(rule.multiline.flush_after)
     for item in rule.extractors:
-        _require(bool(item.key and item.pattern), "extractor key and pattern are required")
+        _require(bool(item.key and item.pattern), "an extractor needs a key and a pattern")
         _check_pattern(f"extractor {item.key!r}", item.pattern, spark, groups=1)
     keys = [item.key for item in rule.extractors]
     _require(len(set(keys)) == len(keys), "duplicate extractor key")

@@ -11,17 +11,14 @@ from pyspark.sql import functions as F
 from logweir.functions import paths
 
 
-def _existing(spark: SparkSession, globs: Sequence[str]) -> list[str]:
-    """Globs that match something; a glob without a file is not an error."""
-    found = []
-    for glob in globs:
-        try:
-            spark.read.text(glob)
-            found.append(glob)
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-    return found
+def _listed(spark: SparkSession, glob: str) -> DataFrame | None:
+    """The lines under a glob; one without a file is not an error."""
+    try:
+        return spark.read.option("lineSep", "\n").text(glob)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+    return None
 
 
 def scan_lines(spark: SparkSession, include: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
@@ -36,30 +33,28 @@ def scan_lines(spark: SparkSession, include: Sequence[str], exclude: Sequence[st
     schema = (
         "path string, file_key string, file_size long, block_start long, row_id long, include_idx int, line string"
     )
-    scans = []
-    globs = _existing(spark, include)
-    for glob in globs:
-        raw = spark.read.option("lineSep", "\n").text(glob)
-        path = paths.local_path(F.col("_metadata.file_path"))
-        scans.append(
-            raw.select(
-                path.alias("path"),
-                path.alias("file_key"),
-                F.col("_metadata.file_size").alias("file_size"),
-                F.col("_metadata.file_block_start").alias("block_start"),
-                F.monotonically_increasing_id().alias("row_id"),
-                F.lit(list(include).index(glob)).alias("include_idx"),
-                F.col("value").alias("line"),
-            ).where(
-                # The glob itself again: a matched folder would list its files.
-                paths.matches_any(F.col("path"), [glob])
-                & ~paths.matches_any(F.col("path"), globs[: globs.index(glob)])
-                & ~paths.matches_any(F.col("path"), list(exclude))
-            )
+    out = None
+    path = paths.local_path(F.col("_metadata.file_path"))
+    for index, glob in enumerate(include):
+        raw = _listed(spark, glob)
+        if raw is None:
+            continue
+        # The filter uses file metadata alone and comes before anything numbered,
+        # so that Spark drops files from the listing instead of reading them.
+        # The glob itself counts again: a matched folder would list its files.
+        kept = raw.where(
+            paths.matches_any(path, [glob])
+            & ~paths.matches_any(path, list(include[:index]))
+            & ~paths.matches_any(path, list(exclude))
         )
-    if not scans:
-        return spark.createDataFrame([], schema)
-    out = scans[0]
-    for scan in scans[1:]:
-        out = out.unionByName(scan)
-    return out
+        scan = kept.select(
+            path.alias("path"),
+            path.alias("file_key"),
+            F.col("_metadata.file_size").alias("file_size"),
+            F.col("_metadata.file_block_start").alias("block_start"),
+            F.monotonically_increasing_id().alias("row_id"),
+            F.lit(index).alias("include_idx"),
+            F.col("value").alias("line"),
+        )
+        out = scan if out is None else out.unionByName(scan)
+    return spark.createDataFrame([], schema) if out is None else out

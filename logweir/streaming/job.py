@@ -10,8 +10,9 @@ from logweir.operators import enrich, lines, multiline
 from logweir.operators.cri import parse_cri
 from logweir.rules import FileRule, RuleSet, duration_ms
 from logweir.sources.tail_source import tail_lines
+from logweir.streaming.limits import limited_sink
 from logweir.streaming.sinks import PolicyTable, alert_sink, export_sink, fan_out
-from logweir.streaming.stateful import limit_stream, merge_stream
+from logweir.streaming.stateful import merge_stream
 
 _FIRST = ("path", "ts", "time_unix_nano", "utc_offset", "stream", "flag")
 
@@ -77,32 +78,30 @@ def start(
     folder: str,
     policy: PolicyTable | None = None,
     once: bool = False,
-    limit_key: str = "file_key",
+    limit_key: str | None = None,
 ) -> StreamingQuery:
     """Run one rule: read, merge, enrich, limit, fan out.
 
     ``folder`` is on shared storage and holds the checkpoint and the outputs.
     A round starts every ``read_interval``; ``once`` runs a single round.
-    The checkpoint carries offsets, open records and buckets over a restart.
-    The rate limit holds per ``limit_key``: a file by default, because a limit
-    over the whole stream would send every record through one task.
+    The checkpoint carries offsets and open records over a restart, the folder
+    ``buckets`` the flow control.  One bucket holds for all files of the rule,
+    or one per value of ``limit_key``.  Refused records are counted in
+    ``dropped``; records that had to wait carry ``admit_ts``.
     """
     rules.validate(spark)
     records = rule_records(spark, rules, rule, progress=f"{folder}/progress.json").withColumn("rule", F.lit(rule.name))
-    if rules.flow_control.enabled:
-        order = ("ts", "file_key", "start_offset")
-        records = limit_stream(_plain(records), limit_key, rules.flow_control, order=order)
-        records = enrich.with_resource(
-            records.where("admitted").drop("admitted", "admit_us"), [rule], "container" if rule in rules.containers else "file"
-        )
     sinks = {}
     if rules.alerts.enabled or policy is not None:
         sinks["alerts"] = alert_sink(f"{folder}/alerts", policy or rules.alerts)
     if rules.export.enabled:
         sinks["export"] = export_sink(f"{folder}/export", rules.export, ["file_key"], ["start_offset"])
+    sink = fan_out(sinks, f"{folder}/outcomes")
+    if rules.flow_control.enabled:
+        sink = limited_sink(sink, rules.flow_control, folder, F.col(limit_key) if limit_key else F.lit("all"))
     writer = (
         records.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
-        .foreachBatch(fan_out(sinks, f"{folder}/outcomes"))
+        .foreachBatch(sink)
         .queryName(f"logs {rule.name}")
     )
     if once:
@@ -110,11 +109,6 @@ def start(
     return writer.trigger(processingTime=f"{int(duration_ms(rules.limits.read_interval))} milliseconds").start()
 
 
-def _plain(records: DataFrame) -> DataFrame:
-    """Columns that Arrow state steps carry cheaply; the resource is made again after."""
-    return records.drop("resource", "resource_key")
-
-
 def batch_records(
     source: DataFrame, rules: RuleSet, rule: FileRule, source_type: str, *, block: Column | None = None
 ) -> DataFrame:

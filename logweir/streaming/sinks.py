@@ -74,7 +74,8 @@ def fan_out(sinks: dict[str, Sink], outcomes: str) -> Sink:
                     sink(batch, batch_id)
                     rows.append((batch_id, name, "ok", None))
                 except Exception as error:  # noqa: BLE001 - best effort by design
-                    rows.append((batch_id, name, "failed", str(error).splitlines()[0]))
+                    said = str(error).splitlines() or [type(error).__name__]
+                    rows.append((batch_id, name, "failed", said[0]))
             table = spark.createDataFrame(rows, "batch_id long, sink string, outcome string, error string")
             table.coalesce(1).write.mode("overwrite").parquet(f"{outcomes}/batch={batch_id}")
         finally:

@@ -117,6 +117,24 @@ def open_records(spark: SparkSession, checkpoint: str, first: Sequence[str] = ()
     )
 
 
+def bucket_pass(
+    scale: Scale, waits: bool, times: Sequence[int], parts: int, last: int | None
+) -> tuple[list[bool], list[int], int, int | None]:
+    """Follow one bucket over arrivals in order: who passes, when, and the bucket after them."""
+    admitted, at = [], []
+    for now in times:
+        now = now if last is None else max(now, last)
+        parts = min(scale.full, parts + (0 if last is None else now - last) * scale.gain)
+        passes = waits or parts >= scale.unit
+        if passes:
+            parts -= scale.unit
+        admitted.append(passes)
+        # With less than nothing in the bucket the record waits for it to fill.
+        at.append(now + max(0, -(parts // scale.gain)) if waits else now)
+        last = now
+    return admitted, at, parts, last
+
+
 def limit_stream(
     records: DataFrame, key: str, options: FlowControl, *, ts: str = "ts", order: Sequence[str] = ("ts", "seq")
 ) -> DataFrame:
@@ -143,17 +161,7 @@ def limit_stream(
         if state.exists:
             held, last = state.get
             parts = int(held)
-        admitted, at = [], []
-        for now in frame["_us"].tolist():
-            now = now if last is None else max(now, last)
-            parts = min(scale.full, parts + (0 if last is None else now - last) * scale.gain)
-            passes = waits or parts >= scale.unit
-            if passes:
-                parts -= scale.unit
-            admitted.append(passes)
-            # With less than nothing in the bucket the record waits for it to fill.
-            at.append(now + max(0, -(parts // scale.gain)) if waits else now)
-            last = now
+        admitted, at, parts, last = bucket_pass(scale, waits, frame["_us"].tolist(), parts, last)
         state.update((str(parts), last))
         yield frame[names].assign(admitted=admitted, admit_us=at)
 

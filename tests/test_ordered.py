@@ -73,22 +73,25 @@ def test_greedy_cut_equals_the_step_model(spark, seed):
 
 
 def model_merge(lines, is_start, max_size, max_lines):
-    """(first line with text, body) of each record of one file."""
-    out, body, rows, size, first = [], "", 0, 0, None
-    for number, line in enumerate(lines):
-        if len(line.encode()) > max_size:
-            line = line[:max_size]
-        over = body != "" and (size + len(line.encode()) + 1 > max_size or rows >= max_lines)
-        if (is_start(line) or over) and body != "":
-            out.append((first, body))
-            body, rows, size = "", 0, 0
-        if body == "":
-            first = number
-        else:
-            body, size = body + "\n", size + 1
-        body, size, rows = body + line, size + len(line.encode()), rows + 1
-    if body != "":
-        out.append((first, body))
+    """(first line with text, body) of each record: from each first text the longest stretch that may be one record."""
+    lines = [line if len(line.encode()) <= max_size else line[:max_size] for line in lines]
+    texts = [number for number, line in enumerate(lines) if line]
+    out, begin = [], 0
+    while any(number >= begin for number in texts):
+        first = min(number for number in texts if number >= begin)
+
+        def fits(end):
+            inner = lines[first + 1 : end]
+            skipped = first - begin
+            size = sum(len(line.encode()) + 1 for line in lines[first:end]) - 1
+            # Blank lines before the first text count as lines but have no bytes.
+            return not any(map(is_start, inner)) and size <= max_size and skipped + end - first <= max_lines
+
+        end = first + 1
+        while end < len(lines) and fits(end + 1):
+            end += 1
+        out.append((first, "\n".join(lines[first:end])))
+        begin = end
     return out
 
 
@@ -120,21 +123,15 @@ def test_merge_equals_the_step_model(spark, seed, blocks):
     assert all(row.lines == row.body.count("\n") + 1 for row in found)
 
 
-START = r"^(?:(?:(?:\d{4}[-/])?\d{2}[-/]\d{2})[ T])?\d{2}:\d{2}:\d{2}(?:[.,]\d{3,9})?(?:Z|[+-]\d{2}:?\d{2})?"
+START = r"^(?:\[[a-z-]+\] )?(?:\d{1,2}\.\d{1,2}\.\d{2} |[A-Z][a-z]{2} {1,2}\d{1,2} |#)\d+"
 
 
-def test_stack_traces_merge_for_all_time_styles(spark):
-    rest = ["com.example.QueryException: query is invalid", "\tat com.example.Query.run(Query.java:72)", "\tat java.lang.Thread.run(Thread.java:830)"]
-    stamps = [
-        ("11:13:10.692", "11:13:23.469"), ("08-25 18:51:22", "08-25 18:51:23"),
-        ("2026-08-24 11:13:10.692", "2026-08-24 11:13:23.469"),
-        ("2026-08-24T11:13:10.692123456Z", "2026-08-24T11:13:23.469123456Z"),
-        ("2026/08/24 11:13:10,692", "2026/08/24 11:13:23,469"), ("2026-08-24 11:13:10", "2026-08-24 11:13:23"),
-        ("2026-08-24 11:13:10.692+08:00", "2026-08-24 11:13:23.469+08:00"),
-    ]
+def test_indented_dumps_merge_for_all_line_heads(spark):
+    rest = ["  cause: crate 17 too heavy", "    | scale 3, lane B", "    | 412 kg of 400 kg"]
+    heads = [("3.11.31 0742", "3.11.31 0743"), ("Nov  3 0742", "Nov  3 0801"), ("#17", "#18"), ("[lane-b] #17", "[lane-c] #2"), ("[x] 03.11.31 1", "#4")]
     rows, expected = [], []
-    for key, (first, second) in enumerate(stamps):
-        lines = [first + " ERROR - a - failed", *rest, second + " ERROR - b - failed"]
+    for key, (first, second) in enumerate(heads):
+        lines = [first + " WARN scale halted", *rest, second + " INFO scale runs"]
         rows += [(str(key), number, line) for number, line in enumerate(lines)]
         expected += [(str(key), 0, "\n".join(lines[:4])), (str(key), 4, lines[4])]
     frame = spark.createDataFrame(rows, "file_key string, line_no long, line string")
@@ -245,20 +242,27 @@ def test_switch_and_report(spark):
 
 
 def model_schedule(attempts, retry_on, initial, longest, limit):
-    """(attempts, outcome, wait) after the attempts of one batch, times in ms."""
-    wait, started = initial, attempts[0][0]
-    for number, (at, status, asked) in enumerate(attempts, 1):
-        if status is not None and 200 <= status < 300:
-            return number, "ok", None
-        if status is not None and status not in (408, 429) and status < 500:
-            return number, "permanent", None
-        if status is not None and asked > wait:
-            wait = asked
-        if not retry_on or (limit > 0 and at - started + wait > limit):
-            return number, "gave_up", None
-        last = (number, "retry_network" if status is None else "retry_status", wait)
-        wait = min(longest, wait * 2)
-    return last
+    """(attempts, outcome, wait) after the attempts of one batch, times in ms.
+
+    Waits are written as a list first: the n-th is the initial wait doubled
+    after each failure, or longer where an answer asked for more.
+    """
+    final = {number: "ok" for number, (_, status, _) in enumerate(attempts) if status in range(200, 300)}
+    final |= {
+        number: "permanent"
+        for number, (_, status, _) in enumerate(attempts)
+        if status is not None and status not in (408, 429, *range(200, 300)) and status < 500
+    }
+    waits = [initial]
+    for _, status, asked in attempts:
+        wait = max(waits.pop(), asked if status is not None else 0)
+        waits += [wait, min(longest, 2 * wait)]
+    for number, (at, _, _) in enumerate(attempts):
+        if number not in final and (not retry_on or 0 < limit < at - attempts[0][0] + waits[number]):
+            final[number] = "gave_up"
+    if final:
+        return min(final) + 1, final[min(final)], None
+    return len(attempts), "retry_network" if attempts[-1][1] is None else "retry_status", waits[len(attempts) - 1]
 
 
 @pytest.mark.parametrize("retry", [Retry(), Retry(max_elapsed_time="0s"), Retry(enabled=False), Retry(initial_interval="40s"), Retry(max_interval="1h", max_elapsed_time="2h")])

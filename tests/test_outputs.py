@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 import random
 from dataclasses import replace
 
@@ -18,7 +19,7 @@ RECORD = "body string, severity_text string, attributes map<string,string>, reso
 
 
 def record(spark, body="request failed", level="ERROR", attributes=None, resource=None):
-    moment = dt.datetime(2026, 8, 22, 10, 20, 30)
+    moment = dt.datetime(2031, 11, 5, 23, 59, 1)
     return spark.createDataFrame([(body, level, attributes or {}, resource or {}, moment)], RECORD)
 
 
@@ -127,6 +128,17 @@ def test_scan_takes_first_glob_and_skips_folders(spark, tmp_path):
     assert rows == [("a.log", 1, "a.log\r"), ("a.log", 1, "last"), ("b.log", 0, "b.log\r"), ("b.log", 0, "last")]
 
 
+def test_excluded_files_are_not_read(spark, tmp_path):
+    for name in ("keep.log", "skip.log"):
+        (tmp_path / name).write_bytes(b"x" * 5000 + b"\n")
+    found = scan_lines(spark, [f"{tmp_path}/*.log"], [f"{tmp_path}/skip*"])
+    assert {row.path.rsplit("/", 1)[1] for row in found.collect()} == {"keep.log"}
+    # The executed plan counts the files that its scans selected.
+    leaves = found._jdf.queryExecution().executedPlan().collectLeaves()
+    files = [leaves.apply(at).metrics().apply("numFiles").value() for at in range(leaves.size())]
+    assert files == [1]
+
+
 def test_positions_prune(spark):
     rows = [("k1", "/a", 1), ("k2", "/b", 1), ("k3", "/c", 9)]
     stored = spark.createDataFrame(rows, "file_key string, path string, day int").withColumn("updated_at", F.timestamp_seconds(F.col("day")))
@@ -140,60 +152,54 @@ def test_positions_prune(spark):
 
 
 def test_alert_message(spark):
-    policy = AlertPolicy(title="API 日志告警", environment="生产环境", host="other", error_type_keywords=("DatabaseException",))
-    body = "ERROR - request-a - DatabaseException: query failed: SELECT `metric.name` WHERE value < 1\n\tat com.example.QueryService.execute(QueryService.java:72)"
-    frame = record(spark, body, attributes={"request.id": "request-a"}, resource={"host.name": "app-host", "log.source.rule": "application", "log.file.path": "/var/log/application.log"})
+    policy = AlertPolicy(title="Lager Süd", environment="Probe", host="other", error_type_keywords=("ScaleJam",))
+    body = "ERROR - order 55 - ScaleJam: lane <B> of `hall_2` blocked\n   | crate 17"
+    frame = record(spark, body, attributes={"request.id": "order-55"}, resource={"host.name": "hall-2", "log.source.rule": "scales", "log.file.path": "/srv/weights.log"})
     row = alerts.messages(frame, policy).first()
-    for part in ("### 🚨 API 日志告警", "**环境：** 生产环境\n> **主机：** app-host", "**时间：** 2026-08-22 10:20:30", "**日志级别：**",
-                 '**错误类型：** <font color="warning">DatabaseException</font>', "**日志来源：** application",
-                 "**日志文件：** /var/log/application.log", "**请求 ID：**", "\\`metric.name\\`", "value \\< 1",
-                 '\n> <font color="warning">\tat com.example.QueryService.execute'):
-        assert part in row.content, part
-    assert json.loads(row.payload) == {"msgtype": "markdown", "markdown": {"content": row.content}}
+    head, *rest = row.content.split("\n")
+    assert head == alerts.TITLE_PREFIX + "Lager Süd"
+    for value in ("Probe", "hall-2", "ScaleJam", "scales", "/srv/weights.log", "order-55"):
+        assert sum(value in line for line in rest if line.startswith("> **")) == 1, value
+    assert any("\\<B\\> of \\`hall_2\\` blocked" in line for line in rest)
+    assert rest[-1] == f"> {alerts.OPEN}   | crate 17{alerts.CLOSE}"
+    assert json.loads(row.payload)["markdown"]["content"] == row.content
 
 
 def test_alert_defaults_and_filters(spark):
-    policy = AlertPolicy(host="10.0.0.12", ignore_keywords=("harmless",))
-    assert "**主机：** 10.0.0.12" in alerts.messages(record(spark), policy).first().content
-    assert alerts.DEFAULT_TITLE in alerts.messages(record(spark), policy).first().content
-    assert alerts.messages(record(spark, level="INFO"), policy).count() == 0
-    assert alerts.messages(record(spark, "known harmless error"), policy).count() == 0
-    warn = replace(policy, severity_levels=("warn",))
-    assert alerts.messages(record(spark, level="WARN"), warn).count() == 1
-    assert alerts.messages(record(spark, level="ERROR"), warn).count() == 0
+    policy = AlertPolicy(host="hall-9", ignore_keywords=("drill",))
+    sent = alerts.messages(record(spark), policy).first().content
+    assert "hall-9" in sent and alerts.DEFAULT_TITLE in sent
+    cases = [("INFO", "pump stopped", ("ERROR",), 0), ("ERROR", "a drill, pump stopped", ("ERROR",), 0), ("WARN", "pump slow", ("warn",), 1), ("ERROR", "pump stopped", ("warn",), 0)]
+    for level, body, levels, count in cases:
+        assert alerts.messages(record(spark, body, level=level), replace(policy, severity_levels=levels)).count() == count
 
 
 def model_render(title, fields, body, limit):
-    content, left = "", limit
+    """The longest message within the limit: whole parts while they fit, then one part cut to the room left.
 
-    def cut(text, room):
-        if len(text) <= room:
-            return text
-        return text[:room] if room <= len(alerts.TRUNCATED) else text[: room - len(alerts.TRUNCATED)] + alerts.TRUNCATED
-
-    def line(prefix, text, suffix):
-        nonlocal content, left
-        separator = "\n" if content else ""
-        fixed = len(separator + prefix + suffix)
-        if left < fixed:
-            return False
-        shown = cut(text, left - fixed)
-        content += separator + prefix + shown + suffix
-        left -= fixed + len(shown)
-        return True
+    A part is its fixed marks around a text.  The first part whose marks do not
+    fit ends the body; a field that does not fit is left out.
+    """
 
     def escaped(text):
-        return "".join("\\" + c if c in "\\`<>" else c for c in text)
-
-    line(alerts.TITLE_PREFIX, escaped(title), "")
-    for (_, label, marked), value in zip(alerts.FIELDS, fields):
-        if value:
-            line(f"> **{label}：** " + (alerts.OPEN if marked else ""), escaped(value), alerts.CLOSE if marked else "")
-    if left > 0 and content:
-        content, left = content + "\n", left - 1
-    line(alerts.BODY_HEADING, "", "")
-    for part in body.split("\n"):
-        if not line("> " + alerts.OPEN, escaped(part), alerts.CLOSE):
+        return re.sub(r"([\\`<>])", r"\\\1", text)
+
+    def cut(text, room):
+        tail = alerts.TRUNCATED if room > len(alerts.TRUNCATED) else ""
+        return text if len(text) <= room else text[: room - len(tail)] + tail
+
+    marked = [(f"> **{label}：** " + alerts.OPEN * strong, escaped(value), alerts.CLOSE * strong) for (_, label, strong), value in zip(alerts.FIELDS, fields) if value]
+    lines = [("> " + alerts.OPEN, escaped(part), alerts.CLOSE) for part in body.split("\n")]
+    content = ""
+    for at, part in enumerate([(alerts.TITLE_PREFIX, escaped(title), ""), *marked, None, (alerts.BODY_HEADING, "", ""), *lines]):
+        if part is None:
+            content += "\n" if content and len(content) < limit else ""
+            continue
+        before, text, after = ("\n" if content else "") + part[0], part[1], part[2]
+        room = limit - len(content + before + after)
+        if room >= 0:
+            content += before + cut(text, room) + after
+        elif at > len(marked) + 2:
             break
     return content
 
@@ -216,7 +222,7 @@ def test_bounded_messages_equal_the_budget_model(spark):
 
 
 def test_request_documents(spark):
-    moment = dt.datetime(2026, 8, 22, 10, 20, 30)
+    moment = dt.datetime(2031, 11, 5, 23, 59, 1)
     schema = RECORD + ", severity_number int, trace_id binary, observed_ts timestamp, time_unix_nano long, resource_key string, k string, n long"
     rows = [
         ("hello", "ERROR", {}, {"service.name": "demo"}, moment, 17, bytearray(b"\x01" * 16), moment, 1, "r", "k", 0),
@@ -249,7 +255,7 @@ def test_oversize_records_are_rejected(spark):
 )
 def test_retry_after(spark, text, ms):
     frame = spark.createDataFrame([(text,)], "t string")
-    now = F.timestamp_seconds(F.lit(int(dt.datetime(2026, 8, 22, 10, 20, 30, tzinfo=dt.timezone.utc).timestamp())))
+    now = F.timestamp_seconds(F.lit(int(dt.datetime(2031, 11, 5, 23, 59, 1, tzinfo=dt.timezone.utc).timestamp())))
     assert frame.select(outbox.retry_after_ms(F.col("t"), now)).first()[0] == ms
 
 
