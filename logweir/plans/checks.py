@@ -448,6 +448,7 @@ union all select 'drop', key, count(*) filter (admitted), 0 from steps group by
 CHECKS |= {
     "streamed_documents": CHECKS["merged_documents"],
     "streamed_documents_limited": CHECKS["merged_documents_limited"],
+    "limited_batches": CHECKS["admitted_fleet"],
     "tailed_documents": f"select part, start_offset, end_offset, line from ({CHECKS['scan_offsets']})",
     "streamed_admissions": CHECKS["admitted"],
     "streamed_waits": CHECKS["admitted_late"],

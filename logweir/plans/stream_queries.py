@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from logweir.plans import queries as batch
 from logweir.plans import views
-from logweir.rules import ExportOptions, FlowControl
+from logweir.rules import ExportOptions, FlowControl, Limits
 from logweir.session import scratch_dir
 from logweir.sources.tail_source import tail_lines
-from logweir.streaming import sinks
+from logweir.streaming import limits, sinks
 from logweir.streaming.stateful import limit_stream, merge_stream, open_records
 
 
@@ -89,13 +89,13 @@ def _write_files(parts: DataFrame, target: str, *, half: bool) -> None:
     parts.groupBy("part").applyInPandas(write, "part long").agg(F.count(F.lit(1))).collect()
 
 
-#: Small enough that most files of the small tables need several rounds.
-_ROUND_BYTES = 64 * 1024
+#: What a round reads of one file, as the rules have it.
+_ROUND_BYTES = Limits().max_read_bytes_per_file
 
 
 def _rounds(folder: str) -> int:
     largest = max((os.path.getsize(os.path.join(folder, name)) for name in os.listdir(folder)), default=0)
-    return 2 + 2 * largest // _ROUND_BYTES
+    return 1 + largest // _ROUND_BYTES
 
 
 def tailed_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,6 +131,32 @@ def _limited(spark: SparkSession, folder: str, mode: str) -> DataFrame:
     return spark.read.parquet(f"{where}/out")
 
 
+def limited_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """One fleet-wide bucket over days of events as micro-batches, one of them replayed."""
+    where = scratch_dir(spark, "limited-batches")
+    options = FlowControl(enabled=True, mode="drop", rate_per_second=batch.FLEET_RATE, burst=batch.FLEET_BURST)
+    events = views.table(spark, folder, "events").select(
+        F.lit("fleet").alias("file_key"),
+        F.col("event_id").alias("start_offset"),
+        F.timestamp_micros(views.micros("ts")).alias("ts"),
+    )
+    days = events.select(F.to_date("ts").alias("day"))
+    bounds = days.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+
+    def keep(passed: DataFrame, batch_id: int) -> None:
+        passed.select("start_offset").write.mode("overwrite").parquet(f"{where}/out/batch={batch_id}")
+
+    sink = limits.limited_sink(keep, options, where, F.lit("all"))
+    span = (bounds["last"] - bounds["first"]).days + 1
+    quarter = F.floor(F.datediff(F.to_date("ts"), F.lit(bounds["first"])) * 4 / span).cast("int")
+    for number in (0, 1, 1, 2, 3):
+        sink(events.where(quarter == number), number)
+    admitted = spark.read.parquet(f"{where}/out").select("start_offset", F.lit(True).alias("admitted"))
+    return events.join(admitted, "start_offset", "left").select(
+        F.col("start_offset").alias("seq"), F.coalesce("admitted", F.lit(False)).alias("admitted")
+    )
+
+
 def streamed_admissions(spark: SparkSession, folder: str) -> DataFrame:
     return _limited(spark, folder, "drop").select("key", "seq", "admitted")
 
@@ -208,6 +234,6 @@ QUERIES = {
     function.__name__: function
     for function in (
         streamed_documents, streamed_documents_limited, tailed_documents, streamed_admissions, streamed_waits,
-        fanned_out, refreshed_policy,
+        limited_batches, fanned_out, refreshed_policy,
     )
 }
