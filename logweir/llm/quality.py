@@ -54,11 +54,11 @@ FUNCTION_WORDS = frozenset(
 
 
 class _Words(dict):
-    """Word to a row of per-word facts; filled on first sight, emptied when it grows too large."""
+    """Word to a column of per-word facts; filled on first sight, emptied when it grows too large."""
 
     def __init__(self, buckets: int):
         super().__init__()
-        self.buckets, self.facts = buckets, np.zeros((1024, 10), np.int64)
+        self.buckets, self.facts = buckets, np.zeros((10, 1024), np.int64)
 
     def __missing__(self, word: str) -> int:
         letters = sum(map(str.isalpha, word))
@@ -70,9 +70,9 @@ class _Words(dict):
                 shape.append(kind)
             last = kind
         at = len(self)
-        if at == len(self.facts):
-            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
-        self.facts[at] = (
+        if at == self.facts.shape[1]:
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)], axis=1)
+        self.facts[:, at] = (
                 zlib.crc32(word.encode("utf-8", "replace")),
                 zlib.crc32("".join(shape).encode("utf-8", "replace")),
                 len(word),
@@ -87,19 +87,20 @@ class _Words(dict):
         self[word] = at
         return at
 
-    def look_up(self, text: str) -> np.ndarray:
+    def look_up(self, text: str, facts: int = 10) -> np.ndarray:
+        """The first so many facts of each word of a text, a row per fact."""
         if len(self) > 300_000:
             self.clear()
-        at = list(map(self.__getitem__, text.split()))
-        return self.facts[np.array(at, np.int64)]
+        at = np.array(list(map(self.__getitem__, text.split())), np.int64)
+        return self.facts[:facts].take(at, axis=1)
 
 
 def _measures(rows: np.ndarray) -> list[float]:
     """The value each heuristic looks at, in the order of ``HEURISTICS``."""
-    count = len(rows)
-    words = rows[:, 0]
-    marks = max(rows[:, 2].sum(), 1)
-    letters = max(rows[:, 3].sum(), 1)
+    words = rows[0]
+    count = len(words)
+    marks = max(rows[2].sum(), 1)
+    letters = max(rows[3].sum(), 1)
     same = (words[1:] == words[:-1]).mean() if count > 1 else 0.0
     if count >= 8:
         joined = np.zeros(count - 3, np.uint64)
@@ -109,20 +110,20 @@ def _measures(rows: np.ndarray) -> list[float]:
     else:
         repeated = 0.0
     return [
-        rows[:, 5].sum() / marks,
-        rows[:, 4].sum() / letters,
+        rows[5].sum() / marks,
+        rows[4].sum() / letters,
         same,
         repeated,
-        rows[:, 6].sum() / count,
-        rows[:, 9].mean(),
-        1 - rows[:, 8].mean() if count >= 10 else 0.93,
-        1 - rows[:, 7].mean() if count >= 30 else 0.98,
+        rows[6].sum() / count,
+        rows[9].mean(),
+        1 - rows[8].mean() if count >= 10 else 0.93,
+        1 - rows[7].mean() if count >= 30 else 0.98,
     ]
 
 
 def _votes(rows: np.ndarray) -> str:
     """One character per heuristic: b, g, or - where it does not say."""
-    if not len(rows):
+    if not rows.shape[1]:
         return "b" * len(HEURISTICS)
     values = _measures(rows)
     return "".join(
@@ -134,8 +135,8 @@ def _votes(rows: np.ndarray) -> str:
 def _hashed(rows: np.ndarray, buckets: int) -> np.ndarray:
     """Log-scaled shares of hashed shapes, pairs of shapes, and word echoes."""
     out = np.zeros(buckets)
-    if len(rows):
-        shape, word = rows[:, 1], rows[:, 0]
+    word, shape = rows[0], rows[1]
+    if len(word):
         pairs = (shape[:-1] * 31 + shape[1:] + 7) % buckets
         echo = [(1009 * gap) % buckets for gap in (1, 2, 3)]
         out += np.bincount(shape % buckets, minlength=buckets)
@@ -144,7 +145,7 @@ def _hashed(rows: np.ndarray, buckets: int) -> np.ndarray:
             out[place] += 4 * (word[gap:] == word[:-gap]).sum()
         known = np.unique(word).size
         out[11 % buckets] += 2 * (len(word) - known) if len(word) < 400 else 0
-        out = np.sqrt(out / len(rows))
+        out = np.sqrt(out / len(word))
     return out
 
 
@@ -279,9 +280,9 @@ def score(documents: DataFrame, scorer: Scorer | None, *, column: str = "quality
         for batch in batches:
             out = []
             for text in batch:
-                rows = words.look_up(text)
+                rows = words.look_up(text, 2)
                 value = _hashed(rows, scorer.settings.buckets) @ weights + scorer.bias
-                out.append(1 / (1 + np.exp(-np.clip(value, -30, 30))) if len(rows) else 0.0)
+                out.append(1 / (1 + np.exp(-np.clip(value, -30, 30))) if rows.shape[1] else 0.0)
             yield pd.Series(out, dtype=float)
 
     scored.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}

@@ -34,9 +34,9 @@ class Settings:
 
     window: int = 40
     step: int = 32
-    level: int = 9
+    level: int = 10
     per_class: int = 2500
-    slice_chars: int = 4000
+    slice_chars: int = 20_000
     gram: int = 5
     ratio: float = 10.0
     least_documents: int = 4
