@@ -6,7 +6,9 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
+import zstandard
 
 from logweir.llm import decontaminate, fingerprints, jaccard, mixture, repeats, secrets, warc
 from logweir.llm.components import components
@@ -73,28 +75,27 @@ def test_near_duplicates(similar, block):
     assert len(wrong) <= 0.01 * len(sets)
 
 
-def test_matrix_and_pairwise_verification_agree():
-    import pandas as pd
-    import zstandard
-
+@pytest.mark.parametrize("count", [9, 40])
+def test_verification_of_a_node(count):
+    """Few members are compared one by one, many by a membership matrix."""
     settings = jaccard.Settings()
     random = np.random.default_rng(1)
     base = [f"w{at}" for at in range(60)]
     pack = zstandard.ZstdCompressor()
-    rows = []
-    for at in range(40):
+    rows, sets = [], []
+    for at in range(count):
         words = list(base)
         for place in random.integers(0, 60, at % 4):
             words[place] = f"x{at}"
-        text = " ".join(words)
-        sets = jaccard.shingles(text, jaccard._Hashes(), 5)
-        rows.append((0, 0, 0, 0, f"{at:03}", 1, jaccard._signature(sets, jaccard._multipliers(settings)).tolist(), pack.compress(text.encode())))
+        found = jaccard.shingles(" ".join(words), jaccard._Hashes(), 5)
+        sets.append(set(found.tolist()))
+        signature = jaccard._signature(found, jaccard._multipliers(settings)).tolist()
+        rows.append((0, 0, 0, 0, f"{at:03}", at + 1, signature, pack.compress(" ".join(words).encode())))
     members = pd.DataFrame(rows, columns=["tree", "one", "two", "block", "digest", "copies", "signature", "packed"])
-    whole = jaccard._verify(members, 6, None, settings).set_index("digest")
-    for start in range(0, 30, 10):
-        few = jaccard._verify(members.iloc[start : start + 10], 6, None, settings)
-        texts = [" ".join([]) for _ in few]
-        assert set(few["digest"]) <= set(whole.index) and texts is not None
+    result = jaccard._verify(members.sample(frac=1, random_state=2), 6, None, settings).set_index("digest")
+    for at in range(count):
+        linked = [o for o in range(count) if o != at and len(sets[at] & sets[o]) >= 0.8 * len(sets[at] | sets[o])]
+        assert (result["linked"].get(f"{at:03}", 0)) == sum(o + 1 for o in linked)
 
 
 def test_components(spark):
