@@ -15,12 +15,14 @@ records before it.  Three facts keep it parallel and exact:
   known from the clock alone.  Together with the fluid bucket that gives the
   content itself.
 
-So a long run is cut into blocks; only arrivals at which the bucket may
-overflow unseen are followed one after the other, as bare numbers.
+So a long run is cut into blocks, and each block gives one step for the fluid
+bucket and one for the residue; one task per run follows the steps, one small
+row per block.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from fractions import Fraction
 
@@ -33,6 +35,7 @@ from pyspark.sql import types as T
 
 from logweir.operators.ordered import running
 from logweir.rules import FlowControl
+from logweir.session import staged
 
 
 class Scale:
@@ -113,9 +116,13 @@ def mark_admitted(
     block: Column | None = None,
     block_rows: int = 65536,
 ) -> DataFrame:
-    """Add ``admitted``: whether a whole token was there when the record came."""
+    """Add ``admitted``: whether a whole token was there when the record came.
+
+    Arrivals are staged in the shared folder; pass narrow ones.
+    """
     scale = Scale(rate, burst)
-    runs = _runs(arrivals, keys, scale, ts, order, block)
+    # Read several times below: written once, so that the order is found once.
+    runs = staged(_runs(arrivals, keys, scale, ts, order, block), "arrivals")
     run_keys = [*keys, "_run"]
     sure = F.col("_pos") < burst
     # Only runs with more records than the bucket holds need the bucket at all.
@@ -190,12 +197,12 @@ def _true_content(fluid: int, residue: int, unit: int) -> int:
 
 
 def _true_block(waits: Sequence[int], fluid: int, scale: Scale) -> dict[str, object]:
-    """What a block does to the content modulo one token.
+    """What a block does to the content modulo one token, as one step.
 
-    ``reset`` is the residue after the last moment the bucket was full for
-    certain, with the clock since then added, or null.  ``clock`` is the time
-    since the block began or that moment.  ``near`` lists the arrivals after
-    it at which the bucket may overflow: clock and fluid content there.
+    After a moment when the bucket was full for certain the residue is known:
+    ``after``.  Otherwise ``edges`` cut the residues at the start into stretches
+    and ``ends`` has the residue after the block for each, null where only the
+    clock counts.
     """
     clock, reset = 0, None
     near_clock: list[int] = []
@@ -210,17 +217,44 @@ def _true_block(waits: Sequence[int], fluid: int, scale: Scale) -> dict[str, obj
             near_clock.append(clock)
             near_fluid.append(content)
         fluid = max(0, content - scale.unit)
-    return {"reset": reset, "clock": clock, "near_clock": near_clock, "near_fluid": near_fluid, "fluid_out": fluid}
+    edges, ends = _paint(near_clock, near_fluid, clock, scale)
+    if reset is not None:
+        return {"after": _residue_after(reset, edges, ends, clock, scale), "clock": clock, "edges": [], "ends": []}
+    return {"after": None, "clock": clock, "edges": edges, "ends": ends}
+
+
+def _paint(clocks: Sequence[int], fluids: Sequence[int], clock: int, scale: Scale) -> tuple[list[int], list[int | None]]:
+    """The residues at a block's start in stretches that end alike.
+
+    At each arrival where the bucket may overflow unseen, one arc of residues
+    does; from there all go on as one.  Painted from the last arrival to the
+    first, the first overflow of a residue stays on top, and stretches under
+    it vanish, so the list does not grow with the arrivals once the arcs cover
+    the circle.
+    """
+    edges, ends = [0], [None]
+
+    def paint(low: int, high: int, end: int) -> None:
+        first, last = bisect_left(edges, low), bisect_left(edges, high)
+        rest = ends[bisect_right(edges, high) - 1]
+        beyond = high < scale.unit and not (last < len(edges) and edges[last] == high)
+        edges[first:last] = [low, high] if beyond else [low]
+        ends[first:last] = [end, rest] if beyond else [end]
+
+    for at, fluid in zip(reversed(clocks), reversed(fluids), strict=True):
+        low = (scale.full - at) % scale.unit
+        end = _residue_after(low, edges, ends, clock, scale)
+        high = low + scale.unit - (scale.full - fluid)
+        if high > scale.unit:
+            paint(0, high - scale.unit, end)
+        paint(low, min(high, scale.unit), end)
+    kept = [at for at in range(len(edges)) if not at or ends[at] != ends[at - 1]]
+    return [edges[at] for at in kept], [ends[at] for at in kept]
 
 
-def _residue_after(residue: int, block: dict, scale: Scale) -> int:
-    """Residue at the end of a block, following unseen overflows one by one."""
-    base = residue if block["reset"] is None else int(block["reset"])
-    since = 0
-    for clock, fluid in zip(block["near_clock"], block["near_fluid"]):
-        if _true_content(int(fluid), base + int(clock) - since, scale.unit) >= scale.full:
-            base, since = scale.full, int(clock)
-    return (base + int(block["clock"]) - since) % scale.unit
+def _residue_after(residue: int, edges: Sequence[int], ends: Sequence[int | None], clock: int, scale: Scale) -> int:
+    end = ends[bisect_right(edges, residue) - 1]
+    return (residue + clock) % scale.unit if end is None else end
 
 
 def _block_entries(rows: DataFrame, keys: Sequence[str], scale: Scale) -> DataFrame:
@@ -261,10 +295,10 @@ def _block_entries(rows: DataFrame, keys: Sequence[str], scale: Scale) -> DataFr
             {
                 **head(block),
                 "_fluid": [block["_fluid"].iloc[0]],
-                "reset": [None if step["reset"] is None else str(step["reset"])],
+                "after": [None if step["after"] is None else str(step["after"])],
                 "clock": [str(step["clock"])],
-                "near_clock": [[str(value) for value in step["near_clock"]]],
-                "near_fluid": [[str(value) for value in step["near_fluid"]]],
+                "edges": [[str(value) for value in step["edges"]]],
+                "ends": [[None if value is None else str(value) for value in step["ends"]]],
             }
         )
 
@@ -275,7 +309,11 @@ def _block_entries(rows: DataFrame, keys: Sequence[str], scale: Scale) -> DataFr
             for row in frame.to_dict("records"):
                 residue = scale.full % scale.unit if row["_block"] == 0 else residue
                 parts.append(str(_true_content(int(row["_fluid"]), residue, scale.unit)))
-                residue = _residue_after(residue, row, scale)
+                if row["after"] is not None:
+                    residue = int(row["after"])
+                else:
+                    ends = [None if value is None else int(value) for value in row["ends"]]
+                    residue = _residue_after(residue, [int(value) for value in row["edges"]], ends, int(row["clock"]), scale)
             yield frame[[*keys, "_block"]].assign(_parts=parts)
 
     def chained(frame: DataFrame, step, schema: T.StructType) -> DataFrame:
@@ -286,11 +324,11 @@ def _block_entries(rows: DataFrame, keys: Sequence[str], scale: Scale) -> DataFr
         fluid_steps, T.StructType([*place, *text("shift", "floor", "ceiling")])
     )
     fluid = chained(steps, fluid_chain, T.StructType([*place, *text("_fluid")]))
-    lists = [T.StructField(name, T.ArrayType(T.StringType())) for name in ("near_clock", "near_fluid")]
+    lists = [T.StructField(name, T.ArrayType(T.StringType())) for name in ("edges", "ends")]
     residues = (
         rows.join(fluid, [*keys, "_block"])
         .groupBy(*keys, "_block")
-        .applyInPandas(residue_steps, T.StructType([*place, *text("_fluid", "reset", "clock"), *lists]))
+        .applyInPandas(residue_steps, T.StructType([*place, *text("_fluid", "after", "clock"), *lists]))
     )
     return chained(residues, residue_chain, T.StructType([*place, *text("_parts")]))
 

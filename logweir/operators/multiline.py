@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logweir.functions.patterns import java_pattern
 from logweir.operators.cut import greedy_cut
 from logweir.operators.ordered import running
+from logweir.session import staged
 
 
 def boundary_groups(
@@ -42,7 +43,8 @@ def merge_lines(
     that holds a whole file over many tasks.  Pass ``block`` for files that do
     not fit a task.
     """
-    group = _line_groups(lines, start_pattern, max_size, block)
+    # Read several times below: written once, so that the groups are found once.
+    group = staged(_line_groups(lines, start_pattern, max_size, block), "line-groups")
     # Rows that a limit or a start after empty lines may cut out of their group.
     tight_rows = (
         (F.col("_pos") >= max_lines) | (F.col("_bytes") > max_size + 1) | (F.col("_edge") & (F.col("_pos") > 0))

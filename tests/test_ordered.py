@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logweir.operators import lines as L
 from logweir.operators.cut import greedy_cut
-from logweir.operators.flow import Bucket, Scale, admit_times, control, drop_report, mark_admitted
+from logweir.operators.flow import _residue_after, _true_block, Bucket, Scale, admit_times, control, drop_report, mark_admitted
 from logweir.operators.multiline import boundary_groups, merge_lines
 from logweir.operators.ordered import running
 from logweir.operators.outbox import schedule
@@ -212,6 +212,28 @@ def test_drop_mode_equals_the_step_model(spark, kind, rate, burst):
         assert {(r.key, r.seq): r.admitted for r in found} == expected
 
 
+@pytest.mark.parametrize("burst", [1, 2, 5])
+def test_block_steps_equal_the_bucket(burst):
+    """From every content a block leaves the residue that its step says, in a list that stays short."""
+    rng = random.Random(burst)
+    scale = Scale(50_000, burst)  # twenty parts per token, one per microsecond
+    longest = 0
+    for _ in range(300):
+        waits = [rng.choice([1, 3, 19, 20, 21, 40]) for _ in range(rng.randint(1, 400))]
+        fluid = rng.randrange(0, scale.full - scale.unit + 1, scale.gain)
+        block = _true_block(waits, fluid, scale)
+        longest = max(longest, len(block["edges"]))
+        for residue in range(0, scale.unit, scale.gain):
+            bucket = Bucket(scale, fluid + (residue - fluid) % scale.unit)
+            for wait in waits:
+                bucket.take(wait)
+            after = block["after"]
+            if after is None:
+                after = _residue_after(residue, block["edges"], block["ends"], block["clock"], scale)
+            assert bucket.parts % scale.unit == after
+    assert longest <= 2 * scale.unit // scale.gain
+
+
 @pytest.mark.parametrize("rate, burst", [(10, 1), (10, 4), (9.7, 5), (5000, 2)])
 def test_block_mode_equals_the_step_model(spark, rate, burst):
     rows, frame = arrivals(spark, 7, GAPS["mixed"])
