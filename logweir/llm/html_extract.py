@@ -93,6 +93,8 @@ def _is_notice(name: str, attributes: dict[str, str], in_article: bool) -> bool:
     if name in ("html", "body", "article", "main"):
         return False
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    if not in_article and any(re.fullmatch(r"(?:site|page|main)?[-_]?(?:header|head)", name, re.IGNORECASE) for name in names):
+        return True
     return any(NOTICE.match(part) for name in names for part in [name, *re.split(r"[-_]", name)])
 
 
@@ -120,6 +122,7 @@ def tokens(page: str) -> list[Token]:
         if not name:
             continue
         if page.startswith("</", match.start()):
+            was = (dropped > 0, articles > 0)
             for depth in range(len(opened) - 1, -1, -1):
                 if opened[depth][0] == name:
                     for _, bad, article in opened[depth:]:
@@ -128,7 +131,8 @@ def tokens(page: str) -> list[Token]:
                     del opened[depth:]
                     break
             key = "/" + name
-            out.append(Token(key, "", key, dropped > 0, articles > 0))
+            # An end tag belongs to the element that it ends.
+            out.append(Token(key, "", key, *was))
             continue
         attributes = _attributes(match[2]) if match[2] else {}
         if name in ENDS_PARAGRAPH and opened and opened[-1][0] == "p":
@@ -211,7 +215,9 @@ def extract_text(page: str, weights: dict[str, float], settings: Settings = Sett
     parsed = tokens(page)
     scores = []
     for token in parsed:
-        if token.tag:
+        if token.dropped and token.inside:
+            scores.append(0.0)  # boilerplate within a marked article does not end it
+        elif token.tag:
             scores.append(weights.get(_key(token), settings.tag))
         else:
             count = len(token.text.split())
