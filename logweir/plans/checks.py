@@ -401,7 +401,8 @@ select path, max(us) as seen_us from (
   union all select path, {q.NOW_MICROS - 86_400_000_000} from records where path like '%pod3\\_%' escape '\\')
 group by path having {q.NOW_MICROS - 86_400_000_000} - max(us) <= 36000000000""",
     "rule_options": f"""with {PROCESSES}
-select pid, rule, 'end' as start_at, cast(5000 as bigint) as flush_after_ms from matched""",
+select pid, rule, case rule when 'building' then 'beginning' else 'end' end as start_at,
+  cast(case rule when 'nations' then 250 else 5000 end as bigint) as flush_after_ms from matched""",
     "oversize_records": f"with {SIZED} select line_no, cast(size as bigint) as size, size <= 760 as fits from sized",
     "export_batches": f"""with recursive {BATCHES}
 select pod, line_no, pos, cast(size as bigint) as size, batch from numbered join steps using (pod, pos)""",

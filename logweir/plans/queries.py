@@ -11,6 +11,7 @@ from logweir.operators.cri import parse_cri, with_cri_attributes
 from logweir.plans import views
 from logweir.rules import (
     AlertPolicy,
+    Multiline,
     ExportOptions,
     Extractor,
     FileRule,
@@ -39,11 +40,11 @@ POD_RULE = FileRule(
 PROCESS_RULES = (
     ProcessRule(
         name="building", comm_regex="^building$", include_regex=r"\.(log|tmp)$", exclude_regex=r"\.tmp$",
-        max_files=3, attributes={"team": "b"},
+        max_files=3, attributes={"team": "b"}, start_at="beginning",
     ),
     ProcessRule(
         name="nations", comm_regex="^(machinery|house)", cmdline_regex=r"--nation=1\d$", include_regex=r"^/data/[of]/",
-        attributes={"team": "n"},
+        attributes={"team": "n"}, multiline=Multiline(start_pattern=r"^\d", flush_after="250ms"),
     ),
     ProcessRule(name="seven", cmdline_regex=r"7\.jar", include_regex=r"\.log$", max_files=2),
 )
