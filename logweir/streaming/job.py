@@ -11,6 +11,7 @@ from logweir.operators.cri import parse_cri
 from logweir.rules import FileRule, RuleSet, duration_ms
 from logweir.sources.tail_source import tail_lines
 from logweir.streaming.limits import limited_sink
+from logweir.streaming.redelivery import Outbox
 from logweir.streaming.sinks import PolicyTable, alert_sink, export_sink, fan_out
 from logweir.streaming.stateful import merge_stream
 
@@ -87,7 +88,8 @@ def start(
     The checkpoint carries offsets and open records over a restart, the folder
     ``buckets`` the flow control.  One bucket holds for all files of the rule,
     or one per value of ``limit_key``.  Refused records are counted in
-    ``dropped``; records that had to wait carry ``admit_ts``.
+    ``dropped``; records that had to wait carry ``admit_ts``.  A batch whose
+    export fails is kept in ``outbox`` and sent again when its wait is over.
     """
     rules.validate(spark)
     records = rule_records(spark, rules, rule, progress=f"{folder}/progress.json").withColumn("rule", F.lit(rule.name))
@@ -95,7 +97,8 @@ def start(
     if rules.alerts.enabled or policy is not None:
         sinks["alerts"] = alert_sink(f"{folder}/alerts", policy or rules.alerts)
     if rules.export.enabled:
-        sinks["export"] = export_sink(f"{folder}/export", rules.export, ["file_key"], ["start_offset"])
+        export = export_sink(f"{folder}/export", rules.export, ["file_key"], ["start_offset"])
+        sinks["export"] = Outbox(f"{folder}/outbox", rules.export.retry).guard(export)
     sink = fan_out(sinks, f"{folder}/outcomes")
     if rules.flow_control.enabled:
         sink = limited_sink(sink, rules.flow_control, folder, F.col(limit_key) if limit_key else F.lit("all"))

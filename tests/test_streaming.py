@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from logweir.operators.lines import complete_lines, with_offsets
 from logweir.operators.multiline import merge_lines
 from logweir.rules import (
-    AlertPolicy, ExportOptions, Extractor, FileRule, FlowControl, Limits, Multiline, RuleSet, TraceId,
+    AlertPolicy, ExportOptions, Extractor, FileRule, FlowControl, Limits, Multiline, Retry, RuleSet, TraceId,
 )
 from logweir.sources.tail_source import TailReader, tail_lines
 from logweir.sources.text_lines import scan_lines
 from logweir.streaming import job, limits, sinks
+from logweir.streaming.redelivery import Outbox
 from logweir.streaming.stateful import merge_stream, open_records
 
 
@@ -270,6 +271,27 @@ def test_sink_error_without_words(spark, tmp_path):
     assert calls == [3] and rows == {"bad": ("failed", "RuntimeError"), "good": ("ok", None)}
 
 
+def test_failed_export_is_sent_again(spark, tmp_path):
+    sent, down = [], [True]
+
+    def export(frame, batch_id):
+        if down[0]:
+            raise RuntimeError("down")
+        sent.append((batch_id, sorted(row.id for row in frame.collect())))
+
+    box = Outbox(f"{tmp_path}/box", Retry(initial_interval="10s", max_interval="30s", max_elapsed_time="5m"))
+    with pytest.raises(RuntimeError):
+        box.guard(export)(spark.range(3), 7)
+    now = dt.datetime.now(dt.timezone.utc)
+    later = [now + dt.timedelta(seconds=seconds) for seconds in (1, 15, 20, 60)]
+    assert box.redeliver(spark, export, later[0]) == []
+    assert box.redeliver(spark, export, later[1]) == [(7, False)]
+    down[0] = False
+    assert box.redeliver(spark, export, later[2]) == []
+    assert box.redeliver(spark, export, later[3]) == [(7, True)] and sent == [(7, [0, 1, 2])]
+    assert box.redeliver(spark, export, later[3] + dt.timedelta(hours=1)) == []
+
+
 def test_policy_table_keeps_the_last_valid_policy(spark, tmp_path):
     policy = sinks.PolicyTable(f"{tmp_path}/policy", AlertPolicy(enabled=True, title="first"))
     assert policy.refresh(spark).title == "first" and policy.rejected
