@@ -222,7 +222,8 @@ def mix(documents: DataFrame, settings: Settings = Settings()) -> Mix:
     )
     begin = F.col("block") * block
     parts = (
-        draws.join(pieces, ["source_at", "block"])
+        # Spark takes the draws for as small as the shards they come from.
+        draws.hint("merge").join(pieces, ["source_at", "block"])
         .withColumn("from_word", F.greatest(begin - F.col("start"), F.lit(0).cast("long")))
         .withColumn("to_word", F.least(begin + F.col("length") - F.col("start"), F.col("size")))
         .where("to_word > from_word")
