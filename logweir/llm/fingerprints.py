@@ -210,7 +210,8 @@ def differences(
         attempt += 1
         parts = []
         for name, (one, two) in pairs.items():
-            again = together.join(failed.where(F.col("pair") == name).select(*keep), list(keep), "left_semi")
+            # The stored table of failed pairs is far smaller than its rows, so its size says little.
+            again = together.join(failed.where(F.col("pair") == name).select(*keep).hint("merge"), list(keep), "left_semi")
             size = F.ceil((F.size(one) + F.size(two)) * settings.spare * 2 ** (attempt - 1)) + 2 * settings.cells
             parts.append(subtract(_sketch(again, (one, two), size, attempt, keep), one, two, keep, name))
         cells = reduce(DataFrame.unionByName, parts)
