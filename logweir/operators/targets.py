@@ -78,7 +78,13 @@ def limit_files(opened: DataFrame, rules: Sequence[ProcessRule], *, host: Sequen
 def process_targets(
     processes: DataFrame, open_files: DataFrame, rules: Sequence[ProcessRule], *, host: Sequence[str] = ("host",)
 ) -> DataFrame:
-    """Targets of all processes: matching rules, their open files, path filters."""
+    """Targets of all processes: matching rules, their open files, path filters.
+
+    ``path`` of an open file is the one the process sees; rules look at it and
+    records report it.  Where that file is read under another name, such as
+    one below the root of the process, ``read_path`` has it.  The result has
+    the path to read as ``path`` and the other as ``reported_path``.
+    """
     matched = match_processes(processes, rules)
     joined = matched.join(open_files, [*host, "pid"])
     chosen = limit_files(select_paths(joined, rules), rules, host=host)
@@ -87,9 +93,11 @@ def process_targets(
         "process.name": F.col("comm"),
         "process.command_line": F.col("cmdline"),
     }
-    return enrich.with_resource(
+    found = enrich.with_resource(
         chosen.withColumn("source_type", F.lit("process")), rules, "process", extra=attributes
     )
+    read = F.coalesce(F.nullif("read_path", F.lit("")), F.col("path")) if "read_path" in found.columns else F.col("path")
+    return found.withColumns({"reported_path": F.col("path"), "path": read}).drop("read_path")
 
 
 def file_targets(files: DataFrame, rule, source_type: str, rule_idx: int) -> DataFrame:
@@ -111,7 +119,7 @@ def file_targets(files: DataFrame, rule, source_type: str, rule_idx: int) -> Dat
     named = found.withColumns(
         {"source_type": F.lit(source_type), "rule": F.lit(rule.name), "rule_idx": F.lit(rule_idx)}
     )
-    return enrich.with_resource(named, [rule], source_type)
+    return enrich.with_resource(named, [rule], source_type).withColumn("reported_path", F.col("path"))
 
 
 def first_target_per_path(
@@ -136,7 +144,7 @@ def discover(
     host: Sequence[str] = ("host",),
 ) -> DataFrame:
     """All targets of a fleet: three families, first target per path."""
-    columns = [*host, "path", "source_type", "rule", "process_idx", "rule_idx", "include_idx", "resource", "resource_key"]
+    columns = [*host, "path", "reported_path", "source_type", "rule", "process_idx", "rule_idx", "include_idx", "resource", "resource_key"]
     families = []
     if rule_set.processes:
         found = process_targets(processes, open_files, rule_set.processes, host=host)

@@ -389,6 +389,10 @@ from records where level <> 'TRACE' group by all""",
     "opened_paths": f"with {PROCESSES} select pid, rule, fd_order, path from chosen",
     "process_targets": f"""with {PROCESSES}
 select pid, rule, fd_order, path, 'log.file.path=' || path || ';log.source.rule=' || rule || ';log.source.type=process;process.command_line='
+  || cmdline || ';process.name=' || comm || ';process.pid=' || pid
+  || case rule when 'building' then ';team=b' when 'nations' then ';team=n' else '' end as resource from targets""",
+    "process_paths": f"""with {PROCESSES}
+select pid, rule, fd_order, case when fd_order % 3 = 0 then '/proc/' || pid || '/root' || path else path end as path, path as reported_path, 'log.file.path=' || path || ';log.source.rule=' || rule || ';log.source.type=process;process.command_line='
   || cmdline || ';process.name=' || comm || ';process.pid=' || pid
   || case rule when 'building' then ';team=b' when 'nations' then ';team=n' else '' end as resource from targets""",
     "first_targets": FIRST,

@@ -301,6 +301,15 @@ def process_targets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("pid", "rule", "fd_order", "path", flat(F.col("resource")).alias("resource"))
 
 
+def process_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of isolated processes, read below the root of the process and reported as it sees them."""
+    opened = views.open_files(spark, folder)
+    below = F.concat(F.lit("/proc/"), F.col("pid").cast("string"), F.lit("/root"), paths.strip_deleted(F.col("path")))
+    opened = opened.withColumn("read_path", F.when(F.col("fd_order") % 3 == 0, below))
+    found = targets.process_targets(views.processes(spark, folder), opened, PROCESS_RULES)
+    return found.select("pid", "rule", "fd_order", "path", "reported_path", flat(F.col("resource")).alias("resource"))
+
+
 def _listing(spark: SparkSession, folder: str) -> DataFrame:
     opened = views.open_files(spark, folder).where(F.startswith("path", F.lit("/")))
     return opened.select("host", paths.strip_deleted(F.col("path")).alias("path")).distinct()
@@ -544,7 +553,7 @@ QUERIES = {
         committed_offsets, merged_positions, pruned_positions, line_groups, merged_documents, merged_documents_limited,
         merged_conversations, cri_fields, severities, document_severities, extracted_attributes, trace_ids, event_times,
         container_names, resources, record_sizes, document_sizes, log_records, kept_records, severity_by_resource,
-        rule_matches, opened_paths, process_targets, first_targets, new_targets, excluded_paths, seen_paths,
+        rule_matches, opened_paths, process_targets, process_paths, first_targets, new_targets, excluded_paths, seen_paths,
         rule_options, oversize_records, export_batches, batch_resources, exported_requests, delivery_schedule,
         alert_candidates, error_types, alert_messages, alert_messages_bounded, document_alerts, written_alerts,
         admitted_late, admitted_late_fleet, admitted, admitted_fleet, drop_report, flow_switch,
