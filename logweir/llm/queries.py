@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from logweir.llm import decontaminate, fingerprints, html_extract, jaccard, mixture, quality, repeats, secrets, toxicity, warc
+from logweir.llm.checks import CHECKS as CHECKS
 from logweir.llm.common import read
 
 
@@ -64,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repeats": op10_repeats,
 }
 
-CHECKS: dict[str, str] = {}
+
