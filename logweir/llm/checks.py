@@ -47,8 +47,13 @@ from documents left join counted using (doc_id)
 
 REPEATS = """
 with read as (select doc_id, hex(coalesce(text, '')) as data, octet_length(encode(coalesce(text, ''))) as n from documents),
-bytes as (select doc_id, n, unnest(generate_series(0, n - 1)) as pos, data from read where n > 0),
-strings as (select doc_id, n, pos, substr(data, 2 * pos + 1, 2) as byte, case when pos + 50 <= n then hash(substr(data, 2 * pos + 1, 100)) end as string from bytes),
+parts as (select doc_id, n, data, unnest(generate_series(0, (n - 1) // 512)) * 512 as low from read where n > 0),
+pieces as (select doc_id, n, low, substr(data, 2 * low + 1, 1122) as piece from parts),
+bytes as (select doc_id, n, low, piece, unnest(generate_series(0, least(511, n - low - 1))) as j from pieces),
+strings as (
+  select doc_id, n, low + j as pos, substr(piece, 2 * j + 1, 2) as byte,
+    case when low + j + 50 <= n then hash(substr(piece, 2 * j + 1, 100)) end as string
+  from bytes),
 firsts as (select *, string is not null and doc_id > min(doc_id) over (partition by string) as again from strings),
 marked as (select *, bool_or(again) over (partition by doc_id order by pos rows between 49 preceding and current row) as gone from firsts),
 edged as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by pos), false) as begins from marked),
