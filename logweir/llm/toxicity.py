@@ -140,12 +140,12 @@ def _features(counts: np.ndarray, ratios: np.ndarray) -> np.ndarray:
     )
 
 
-def _logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(features: np.ndarray, labels: np.ndarray, importance: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     weights = np.zeros(features.shape[1])
     for _ in range(50):
         chance = 1 / (1 + np.exp(-np.clip(features @ weights, -30, 30)))
-        gradient = features.T @ (labels - chance) - ridge * weights
-        curve = (features * (chance * (1 - chance))[:, None]).T @ features + ridge * np.eye(len(weights))
+        gradient = features.T @ (importance * (labels - chance)) - ridge * weights
+        curve = (features * (importance * chance * (1 - chance))[:, None]).T @ features + ridge * np.eye(len(weights))
         move = np.linalg.solve(curve, gradient)
         weights += move
         if np.abs(move).max() < 1e-6:
@@ -157,7 +157,9 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
     """Train on a bounded sample of labelled rows; rows of the held-out fold never take part.
 
     Null labels are skipped, a document with several labels counts as toxic if
-    one says so.  None when either class has no rows to learn from.
+    one says so.  None when either class has no rows to learn from.  In the
+    calibration each class weighs as much as among all rows of the fold, however
+    many of them the sample holds, so a score means the same at every size.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
@@ -171,6 +173,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
         for value in (1, 0)
     ]
     sample = picked[0].unionByName(picked[1])
+    totals = {row["_toxic"]: row["count"] for row in known.groupBy("_toxic").count().collect()}
     rows = (
         documents.select("doc_id", whole("text").alias("_text"))
         .join(F.broadcast(sample), "doc_id")
@@ -210,7 +213,10 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
     truth = np.array([row._toxic for row in found], float)
     shares = [counts[truth == value].sum(axis=0) + 1.0 for value in (0, 1)]
     ratios = np.log(shares[1] / shares[1].sum()) - np.log(shares[0] / shares[0].sum())
-    weights = _logistic(_features(counts, ratios), truth)
+    # One over the chance that a row of the class is in the sample; 1 for all where no bound is reached.
+    stands_for = [max(1.0, totals[value] / (2 * settings.per_class)) for value in (0, 1)]
+    importance = np.where(truth == 1, stands_for[1], stands_for[0])
+    weights = _logistic(_features(counts, ratios), truth, importance / importance.mean())
     return Model(general or b" " * 8, both, tuple(ratios), tuple(weights), settings)
 
 

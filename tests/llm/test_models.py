@@ -41,6 +41,27 @@ def test_toxicity_learns_from_the_other_fold_alone(spark):
     assert one == two
 
 
+def test_toxicity_names_as_many_clean_documents_at_every_size(spark):
+    """One mix in two sizes: 4 % toxic, and 6 % of the clean ones read just like them, so none should be named."""
+    random = np.random.default_rng(3)
+    vocabulary = ["".join(random.choice(list("abcdefghijklmnop"), 6)) for _ in range(400)]
+    named = []
+    # In the small table no bound is reached; in the large one the sample has a quarter of the ordinary rows.
+    for size in (1500, 6000):
+        rows = []
+        for at in range(size):
+            toxic, alike = at % 25 == 0, random.random() < 0.06
+            words = list(random.choice(vocabulary, 40))
+            if toxic or alike:
+                words[20:20] = ["zzqxw you vyrrkz wuxq"] * 3
+            rows.append((at, " ".join(words), int(toxic)))
+        table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        model = toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"), toxicity.Settings(per_class=600))
+        scores = toxicity.score(table, model).where("toxic = 0").toPandas()["toxicity"]
+        named.append((scores >= 0.5).mean())
+    assert max(named) < 0.02 and abs(named[0] - named[1]) < 0.02, named
+
+
 def test_quality_against_labels_it_never_saw(spark):
     documents, labels = read(spark, FOLDER, "documents"), read(spark, FOLDER, "labels")
     rows = quality.classify(documents).join(labels, "doc_id").toPandas()
