@@ -11,6 +11,7 @@ are calibrated on labelled documents that trained no dictionary.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,9 @@ class Settings:
 
     ``per_class`` documents of each class train the dictionaries and as many
     calibrate; of a training text the dictionaries see one slice of ``slice_chars``
-    characters.  Scoring always sees whole texts.
+    characters.  The ordinary dictionary is trained on ``piece_bytes`` of every
+    ``stride_bytes`` of a slice, on at most ``pieces`` of them, chosen by a hash.
+    Scoring always sees whole texts.
     """
 
     window: int = 40
@@ -37,6 +40,9 @@ class Settings:
     level: int = 10
     per_class: int = 2500
     slice_chars: int = 20_000
+    piece_bytes: int = 64
+    stride_bytes: int = 512
+    pieces: int = 60_000
     gram: int = 5
     ratio: float = 10.0
     least_documents: int = 4
@@ -94,6 +100,21 @@ def _contrast(toxic: list[bytes], ordinary: list[bytes], settings: Settings) ->
     return fragments
 
 
+def _pieces(texts: list[bytes], settings: Settings) -> list[bytes]:
+    """Short pieces at even distances; of too many those with the smallest hashes of text and place."""
+    size, found = settings.piece_bytes, []
+    for text in texts:
+        whole_text = hashlib.blake2b(text, digest_size=8)
+        for at in range(len(text) % size if len(text) > size else 0, len(text), settings.stride_bytes):
+            mark = whole_text.copy()
+            mark.update(b"at%d" % at)
+            found.append((mark.digest(), text[at : at + size]))
+    if len(found) > settings.pieces:
+        bound = sorted(mark for mark, _ in found)[settings.pieces - 1]
+        found = [row for row in found if row[0] <= bound][: settings.pieces]
+    return [piece for _, piece in found]
+
+
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     """The content of a trained dictionary; too few samples are joined as they are."""
     samples = [sample.ljust(8) for sample in samples if len(sample) > 4]
@@ -189,8 +210,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
     texts = {value: [row._text.lower().encode() for row in slices if row._toxic == value] for value in (0, 1)}
     if not texts[0] or not texts[1]:
         return None
-    pieces = [text[at : at + 64] for text in texts[0] for at in range(len(text) % 64, len(text), 512)]
-    general = _dictionary(pieces[:60_000], settings.ordinary_bytes)
+    general = _dictionary(_pieces(texts[0], settings), settings.ordinary_bytes)
     special = _dictionary(_contrast(texts[1], texts[0], settings), settings.toxic_bytes)
     both = special + general
 

@@ -62,6 +62,15 @@ def test_toxicity_names_as_many_clean_documents_at_every_size(spark):
     assert max(named) < 0.02 and abs(named[0] - named[1]) < 0.02, named
 
 
+def test_ordinary_pieces_come_from_all_texts_and_from_short_ones():
+    texts = [b"%04d" % at + b"x" * 600 for at in range(400)]
+    settings = toxicity.Settings(pieces=200, stride_bytes=100)
+    chosen = toxicity._pieces([text[:40] for text in texts], settings)
+    assert len(chosen) == 200 and sum(piece < b"02" for piece in chosen) in range(60, 140)
+    assert len(toxicity._pieces(texts, settings)) == 200
+    assert toxicity._pieces(texts[::-1][:3] + [b"short"], toxicity.Settings())[-1] == b"short"
+
+
 def test_quality_against_labels_it_never_saw(spark):
     documents, labels = read(spark, FOLDER, "documents"), read(spark, FOLDER, "labels")
     rows = quality.classify(documents).join(labels, "doc_id").toPandas()
