@@ -95,6 +95,17 @@ class _Words(dict):
         return self.facts[:facts].take(at, axis=1)
 
 
+def _repeats(words: np.ndarray) -> int:
+    """How many runs of four words occurred before in the text."""
+    count = len(words) - 3
+    if count < 2:
+        return 0
+    joined = np.zeros(count, np.uint64)
+    for place in range(4):
+        joined = joined * np.uint64(0x9E3779B97F4A7C15) + words[place : count + place].astype(np.uint64)
+    return count - len(np.unique(joined))
+
+
 def _measures(rows: np.ndarray) -> list[float]:
     """The value each heuristic looks at, in the order of ``HEURISTICS``."""
     words = rows[0]
@@ -102,13 +113,7 @@ def _measures(rows: np.ndarray) -> list[float]:
     marks = max(rows[2].sum(), 1)
     letters = max(rows[3].sum(), 1)
     same = (words[1:] == words[:-1]).mean() if count > 1 else 0.0
-    if count >= 8:
-        joined = np.zeros(count - 3, np.uint64)
-        for place in range(4):
-            joined = joined * np.uint64(0x9E3779B97F4A7C15) + words[place : count - 3 + place].astype(np.uint64)
-        repeated = 1 - len(np.unique(joined)) / len(joined)
-    else:
-        repeated = 0.0
+    repeated = _repeats(words) / (count - 3) if count >= 8 else 0.0
     return [
         rows[5].sum() / marks,
         rows[4].sum() / letters,
@@ -133,7 +138,7 @@ def _votes(rows: np.ndarray) -> str:
 
 
 def _hashed(rows: np.ndarray, buckets: int) -> np.ndarray:
-    """Log-scaled shares of hashed shapes, pairs of shapes, and word echoes."""
+    """Roots of the shares of hashed shapes, pairs of shapes, word echoes, and repeated runs of four words."""
     out = np.zeros(buckets)
     word, shape = rows[0], rows[1]
     if len(word):
@@ -143,8 +148,7 @@ def _hashed(rows: np.ndarray, buckets: int) -> np.ndarray:
         out += np.bincount(pairs, minlength=buckets)
         for gap, place in zip((1, 2, 3), echo, strict=True):
             out[place] += 4 * (word[gap:] == word[:-gap]).sum()
-        known = np.unique(word).size
-        out[11 % buckets] += 2 * (len(word) - known) if len(word) < 400 else 0
+        out[11 % buckets] += 4 * _repeats(word)
         out = np.sqrt(out / len(word))
     return out
 

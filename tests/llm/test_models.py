@@ -79,6 +79,21 @@ def test_quality_against_labels_it_never_saw(spark):
     assert bad["accepted"].mean() < 0.05
 
 
+def scorer_with(weights):
+    return quality.Scorer(tuple(weights), 0.0, None, quality.Settings())
+
+
+def test_quality_looks_for_repeats_at_every_length(spark):
+    passage = [f"word{chr(97 + at // 26)}{chr(97 + at % 26)}" for at in range(100)]
+    texts = [(passage * 12)[:words] for words in (100, 399, 400, 1200)]
+    rows = spark.createDataFrame([(" ".join(text),) for text in texts], "text string").coalesce(1)
+    weights = np.zeros(2048)
+    weights[11] = -1.0
+    once, below, above, long = [row.quality for row in quality.score(rows, scorer_with(weights)).collect()]
+    assert once == pytest.approx(0.5, abs=0.01) and below < 0.2
+    assert above == pytest.approx(below, abs=0.01) and long < below
+
+
 def test_label_model_finds_the_better_labeller():
     random = np.random.default_rng(2)
     truth = random.random(4000) < 0.8
