@@ -53,6 +53,10 @@ FUNCTION_WORDS = frozenset(
 )
 
 
+#: Longest run of characters without blanks that is one token for the scorer.
+_PIECE = 40
+
+
 class _Words(dict):
     """Word to a column of per-word facts; filled on first sight, emptied when it grows too large."""
 
@@ -64,7 +68,7 @@ class _Words(dict):
         letters = sum(map(str.isalpha, word))
         symbols = sum(not mark.isalnum() and mark not in ".,;:!?'\"()-" for mark in word)
         shape, last = [], ""
-        for mark in word[:40]:
+        for mark in word[:_PIECE]:
             kind = "A" if mark.isupper() else "a" if mark.isalpha() else "9" if mark.isdigit() else mark
             if kind != last:
                 shape.append(kind)
@@ -94,6 +98,16 @@ class _Words(dict):
         at = np.array(list(map(self.__getitem__, text.split())), np.int64)
         return self.facts[:facts].take(at, axis=1)
 
+    def tokens(self, text: str) -> np.ndarray:
+        """Hash and shape of each token of a text: its words, long ones in pieces, so that no character is left out."""
+        words = text.split()
+        if max(map(len, words), default=0) > _PIECE:
+            words = [word[at : at + _PIECE] for word in words for at in range(0, len(word), _PIECE)]
+        if len(self) > 300_000:
+            self.clear()
+        at = np.array(list(map(self.__getitem__, words)), np.int64)
+        return self.facts[:2].take(at, axis=1)
+
 
 def _repeats(words: np.ndarray) -> int:
     """How many runs of four words occurred before in the text."""
@@ -227,7 +241,7 @@ def fit(documents: DataFrame, settings: Settings = Settings()) -> Scorer | None:
         words = _Words(settings.buckets)
         for batch in batches:
             rows = [words.look_up(text) for text in batch["_text"]]
-            vectors = [_hashed(row, settings.buckets) for row in rows]
+            vectors = [_hashed(words.tokens(text), settings.buckets) for text in batch["_text"]]
             kept = [np.flatnonzero(vector) for vector in vectors]
             yield pd.DataFrame(
                 {
@@ -284,7 +298,7 @@ def score(documents: DataFrame, scorer: Scorer | None, *, column: str = "quality
         for batch in batches:
             out = []
             for text in batch:
-                rows = words.look_up(text, 2)
+                rows = words.tokens(text)
                 value = _hashed(rows, scorer.settings.buckets) @ weights + scorer.bias
                 out.append(1 / (1 + np.exp(-np.clip(value, -30, 30))) if rows.shape[1] else 0.0)
             yield pd.Series(out, dtype=float)

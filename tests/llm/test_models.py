@@ -94,6 +94,15 @@ def test_quality_looks_for_repeats_at_every_length(spark):
     assert above == pytest.approx(below, abs=0.01) and long < below
 
 
+def test_quality_reads_long_words_to_their_end(spark):
+    head = "漢字かな交じり文" * 5
+    texts = [head + "漢字" * 60, head + "#7$A" * 30, head + "漢字" * 59 + "#7"]
+    rows = spark.createDataFrame([(text,) for text in texts], "text string").coalesce(1)
+    weights = np.random.default_rng(1).normal(size=2048)
+    found = [row.quality for row in quality.score(rows, scorer_with(weights)).collect()]
+    assert len(set(found)) == 3
+
+
 def test_label_model_finds_the_better_labeller():
     random = np.random.default_rng(2)
     truth = random.random(4000) < 0.8
