@@ -65,10 +65,46 @@ select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spa
 from read left join kept using (doc_id)
 """
 
+AUDIT = r"""
+with words as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from documents),
+facts as (
+  select doc_id, part, case when len(w) < 200 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+    || case when 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) then 'C' else '' end
+    || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end
+    || case when doc_id > min(doc_id) over (partition by text) then 'E' else '' end as fails
+  from words),
+docs as (
+  select part, fails, case when quality = 1 then 1 else 0 end as good, case when toxic = 1 then 1 else 0 end as toxic
+  from facts left join (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by 1) using (doc_id)),
+cells as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from docs group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as l),
+orders as (
+  select a.l || b.l || c.l || d.l || e.l as filter_order from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps as (select filter_order, s as step, filter_order[s] as letter from orders, (select unnest([1, 2, 3, 4, 5]) as s)),
+gone as (
+  select part, filter_order, fails, n, good, toxic,
+    coalesce((select min(s) from (select unnest([1, 2, 3, 4, 5]) as s) where contains(fails, filter_order[s])), 6) as removed_at
+  from cells, orders),
+found as (
+  select part, filter_order, step, any_value(letter) as letter, sum(case when removed_at > step then n else 0 end) as kept,
+    sum(case when removed_at = step then n else 0 end) as removed, sum(case when removed_at < step and contains(fails, letter) then n else 0 end) as redundant,
+    sum(case when fails = letter then n else 0 end) as unique_fails, sum(case when removed_at = step then good else 0 end) as good_lost,
+    sum(case when removed_at = step then toxic else 0 end) as toxic_lost
+  from gone join steps using (filter_order) group by 1, 2, 3)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+  cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+  cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, letter) as bigint) as shapley
+from found
+"""
+
 CHECKS = {
     "op3_jaccard": JACCARD,
     "op4_html": HTML,
     "op8_warc": WARC,
     "op9_decontamination": LEAKS,
     "op10_repeats": REPEATS,
+    "op11_filter_audit": AUDIT,
 }

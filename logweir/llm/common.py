@@ -15,6 +15,11 @@ def whole(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def text_id(column: str) -> Column:
+    """A long id as text: Python workers get long columns with nulls as doubles, which round large ids."""
+    return F.col(column).cast("long").cast("string")
+
+
 def smallest_by_hash(df: DataFrame, key: str, most: int, seed: str) -> DataFrame:
     """At most ``most`` rows, chosen by a hash of the key: the same rows on every run.
 

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweir.llm import decontaminate, fingerprints, html_extract, jaccard, mixture, quality, repeats, secrets, toxicity, warc
+from logweir.llm import (
+    alignment, decontaminate, filter_audit, fingerprints, html_extract, jaccard, mixture, packing, quality, repeats,
+    secrets, toxicity, warc,
+)
 from logweir.llm.checks import CHECKS as CHECKS
 from logweir.llm.common import read
 
@@ -52,6 +55,18 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.report(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.report(read(spark, folder, "documents"))
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.report(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
@@ -63,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_repeats": op10_repeats,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_packing": op12_packing,
+    "op13_alignment": op13_alignment,
 }
 
 
