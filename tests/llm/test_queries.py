@@ -20,11 +20,14 @@ COLUMNS = {
     "op7_secrets": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op8_warc": "page_id payload_bytes payload_digest record_type refers_to",
     "op10_repeats": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op11_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op12_packing": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op13_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
 }
 
 
 def test_one_query_per_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(CHECKS) <= set(entry.oracle_sql())
 
 
