@@ -483,47 +483,37 @@ USER_RATE, USER_BURST = 0.00002, 3
 FLEET_RATE, FLEET_BURST = 0.003, 20
 
 
-def _hour() -> Column:
-    return F.floor(F.unix_micros("ts") / F.lit(3_600_000_000))
-
-
-def _day() -> Column:
-    return F.floor(F.unix_micros("ts") / F.lit(86_400_000_000))
-
-
 def _fleet(spark: SparkSession, folder: str) -> DataFrame:
     return views.arrivals(spark, folder).withColumn("key", F.lit("fleet"))
 
 
 def admitted_late(spark: SparkSession, folder: str) -> DataFrame:
     """Block mode per user: when each record gets its token."""
-    found = flow.admit_times(views.arrivals(spark, folder), ["key"], rate=USER_RATE, burst=USER_BURST, block=_day())
+    found = flow.admit_times(views.arrivals(spark, folder), ["key"], rate=USER_RATE, burst=USER_BURST)
     return found.select("key", "seq", F.unix_micros("admit_ts").alias("admit_us"))
 
 
 def admitted_late_fleet(spark: SparkSession, folder: str) -> DataFrame:
     """Block mode over all records as one source."""
-    found = flow.admit_times(_fleet(spark, folder), ["key"], rate=FLEET_RATE, burst=FLEET_BURST, block=_hour())
+    found = flow.admit_times(_fleet(spark, folder), ["key"], rate=FLEET_RATE, burst=FLEET_BURST)
     return found.select("seq", F.unix_micros("admit_ts").alias("admit_us"))
 
 
 def admitted(spark: SparkSession, folder: str) -> DataFrame:
     """Drop mode per user."""
-    found = flow.mark_admitted(views.arrivals(spark, folder), ["key"], rate=USER_RATE, burst=USER_BURST, block=_day())
+    found = flow.mark_admitted(views.arrivals(spark, folder), ["key"], rate=USER_RATE, burst=USER_BURST)
     return found.select("key", "seq", "admitted")
 
 
 def admitted_fleet(spark: SparkSession, folder: str) -> DataFrame:
     """Drop mode over all records as one busy source."""
-    found = flow.mark_admitted(
-        _fleet(spark, folder), ["key"], rate=FLEET_RATE, burst=FLEET_BURST, block=_hour(), block_rows=2048
-    )
+    found = flow.mark_admitted(_fleet(spark, folder), ["key"], rate=FLEET_RATE, burst=FLEET_BURST)
     return found.select("seq", "admitted")
 
 
 def drop_report(spark: SparkSession, folder: str) -> DataFrame:
     options = FlowControl(enabled=True, mode="drop", rate_per_second=USER_RATE, burst=USER_BURST)
-    _, dropped = flow.control(views.arrivals(spark, folder), ["key"], options, block=_day())
+    _, dropped = flow.control(views.arrivals(spark, folder), ["key"], options)
     report = flow.drop_report(dropped, interval="6 hours")
     return report.select(F.unix_micros("window_start").alias("start_us"), "dropped")
 
@@ -536,7 +526,7 @@ def flow_switch(spark: SparkSession, folder: str) -> DataFrame:
         "block": FlowControl(enabled=True, mode="block", rate_per_second=USER_RATE, burst=USER_BURST),
         "drop": FlowControl(enabled=True, mode="drop", rate_per_second=USER_RATE, burst=USER_BURST),
     }.items():
-        passed, _ = flow.control(views.arrivals(spark, folder), ["key"], options, block=_day())
+        passed, _ = flow.control(views.arrivals(spark, folder), ["key"], options)
         late = F.col("admit_ts") > F.col("ts")
         out.append(
             passed.groupBy(F.lit(name).alias("mode"), "key").agg(

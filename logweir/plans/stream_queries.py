@@ -15,13 +15,13 @@ from logweir.rules import ExportOptions, FlowControl, Limits
 from logweir.session import scratch_dir
 from logweir.sources.tail_source import tail_lines
 from logweir.streaming import limits, sinks
-from logweir.streaming.stateful import limit_stream, merge_stream, open_records
+from logweir.streaming.stateful import merge_stream, open_records
 
 
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table as a stream; the pattern makes the single file a listing."""
+    """A table as a stream; a pattern that only its name fits makes the single file a listing."""
     schema = views.table(spark, folder, name).schema
-    return spark.readStream.schema(schema).parquet(f"{folder}/{name}*.parquet")
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def _run(stream: DataFrame, where: str) -> None:
@@ -121,44 +121,69 @@ def tailed_documents(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- flow control
 
 
+def _arrivals(spark: SparkSession, folder: str, mode: str, name: str) -> tuple[str, sinks.Sink]:
+    """Folder of a limited run, and the sink that takes its micro-batches."""
+    where = scratch_dir(spark, name)
+    options = FlowControl(enabled=True, mode=mode, rate_per_second=batch.USER_RATE, burst=batch.USER_BURST, report_interval="6h")
+    if name.startswith("fleet"):
+        options = replace(options, rate_per_second=batch.FLEET_RATE, burst=batch.FLEET_BURST)
+
+    def keep(passed: DataFrame, batch_id: int) -> None:
+        passed.select("seq", F.unix_micros("admit_ts").alias("admit_us")).write.mode("overwrite").parquet(f"{where}/out/batch={batch_id}")
+
+    key = F.lit("all") if name.startswith("fleet") else F.col("key")
+    return where, limits.limited_sink(keep, options, where, key, place=("seq",))
+
+
+def _passed(spark: SparkSession, where: str) -> DataFrame:
+    return spark.read.parquet(f"{where}/out").drop("batch")
+
+
 def _limited(spark: SparkSession, folder: str, mode: str) -> DataFrame:
+    """One bucket per user over a stream of the events."""
+    where, sink = _arrivals(spark, folder, mode, f"user-{mode}")
     events = _stream(spark, folder, "events").select(
         F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.timestamp_micros(views.micros("ts")).alias("ts")
     )
-    options = FlowControl(enabled=True, mode=mode, rate_per_second=batch.USER_RATE, burst=batch.USER_BURST)
-    where = scratch_dir(spark, f"limited-{mode}")
-    _run(limit_stream(events, "key", options), where)
-    return spark.read.parquet(f"{where}/out")
+    writer = events.writeStream.option("checkpointLocation", f"{where}/checkpoint").foreachBatch(sink)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return views.arrivals(spark, folder).join(_passed(spark, where), "seq", "left")
+
+
+def _fleet_batches(spark: SparkSession, folder: str, mode: str) -> str:
+    """One bucket for all events, over quarters of their days as micro-batches, one of them replayed."""
+    where, sink = _arrivals(spark, folder, mode, f"fleet-{mode}")
+    events = views.arrivals(spark, folder).withColumn("day", F.to_date("ts"))
+    bounds = events.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+    if bounds["first"] is None:
+        return where
+    span = (bounds["last"] - bounds["first"]).days + 1
+    quarter = F.floor(F.datediff("day", F.lit(bounds["first"])) * 4 / span).cast("int")
+    for number in (0, 1, 1, 2, 3):
+        sink(events.where(quarter == number).drop("day"), number)
+    return where
 
 
 def limited_batches(spark: SparkSession, folder: str) -> DataFrame:
-    """One fleet-wide bucket over days of events as micro-batches, one of them replayed."""
-    where = scratch_dir(spark, "limited-batches")
-    options = FlowControl(enabled=True, mode="drop", rate_per_second=batch.FLEET_RATE, burst=batch.FLEET_BURST)
-    events = views.table(spark, folder, "events").select(
-        F.lit("fleet").alias("file_key"),
-        F.col("event_id").alias("start_offset"),
-        F.timestamp_micros(views.micros("ts")).alias("ts"),
-    )
-    days = events.select(F.to_date("ts").alias("day"))
-    bounds = days.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+    """Drop mode with one fleet-wide bucket that goes from micro-batch to micro-batch."""
+    passed = _passed(spark, _fleet_batches(spark, folder, "drop"))
+    return views.arrivals(spark, folder).join(passed, "seq", "left").select("seq", F.col("admit_us").isNotNull().alias("admitted"))
 
-    def keep(passed: DataFrame, batch_id: int) -> None:
-        passed.select("start_offset").write.mode("overwrite").parquet(f"{where}/out/batch={batch_id}")
 
-    sink = limits.limited_sink(keep, options, where, F.lit("all"))
-    span = (bounds["last"] - bounds["first"]).days + 1
-    quarter = F.floor(F.datediff(F.to_date("ts"), F.lit(bounds["first"])) * 4 / span).cast("int")
-    for number in (0, 1, 1, 2, 3):
-        sink(events.where(quarter == number), number)
-    admitted = spark.read.parquet(f"{where}/out").select("start_offset", F.lit(True).alias("admitted"))
-    return events.join(admitted, "start_offset", "left").select(
-        F.col("start_offset").alias("seq"), F.coalesce("admitted", F.lit(False)).alias("admitted")
-    )
+def limited_waits(spark: SparkSession, folder: str) -> DataFrame:
+    """Block mode with one fleet-wide bucket that goes from micro-batch to micro-batch."""
+    return _passed(spark, _fleet_batches(spark, folder, "block"))
+
+
+def reported_drops(spark: SparkSession, folder: str) -> DataFrame:
+    """Refused records per report window, windows that several micro-batches share added up."""
+    found = limits.reported_drops(spark, _fleet_batches(spark, folder, "drop"))
+    return found.select(F.unix_micros("window_start").alias("start_us"), "dropped")
 
 
 def streamed_admissions(spark: SparkSession, folder: str) -> DataFrame:
-    return _limited(spark, folder, "drop").select("key", "seq", "admitted")
+    found = _limited(spark, folder, "drop")
+    return found.select("key", "seq", F.col("admit_us").isNotNull().alias("admitted"))
 
 
 def streamed_waits(spark: SparkSession, folder: str) -> DataFrame:
@@ -234,6 +259,6 @@ QUERIES = {
     function.__name__: function
     for function in (
         streamed_documents, streamed_documents_limited, tailed_documents, streamed_admissions, streamed_waits,
-        limited_batches, fanned_out, refreshed_policy,
+        limited_batches, limited_waits, reported_drops, fanned_out, refreshed_policy,
     )
 }

@@ -1,104 +1,68 @@
-"""Flow control of micro-batches, after the stateful merge of a stream.
+"""Flow control of micro-batches: the batch operator, started from stored buckets.
 
 Spark follows one stateful step per stream, and merging lines is that step.
-So the buckets live in a small table: each micro-batch reads the one of the
-batch before, follows its arrivals, and writes its own, which makes a replayed
-batch decide as it did before.
+So the buckets live in a small table: each micro-batch reads what the ones
+before left, decides its arrivals with ``flow.follow``, and adds the buckets it
+moved, which makes a replayed batch decide as it did before.  A bucket that
+holds for the whole fleet is spread over ranges like any other.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.operators.flow import Scale, drop_report
+from logweir.operators.flow import drop_report, follow
 from logweir.rules import FlowControl, duration_ms
+from logweir.session import staged
 from logweir.streaming.sinks import Sink
-from logweir.streaming.stateful import bucket_pass
+from logweir.streaming.state_table import ADDED, StateTable, newest_per
 
 _PLACE = ("file_key", "start_offset")
-_DECIDED = "file_key string, start_offset long, admitted boolean, admit_us long, key string, parts string, last long"
 
 
-@dataclass(frozen=True)
-class Buckets:
-    """The buckets after each micro-batch, one folder per batch."""
+def buckets(folder: str) -> StateTable:
+    """The buckets after each micro-batch, the newest per key."""
+    return StateTable(f"{folder}/buckets", "key string, parts string, last long", newest_per("key"))
 
-    folder: str
 
-    def before(self, spark, batch_id: int) -> DataFrame:
-        """The buckets of the newest batch before this one."""
-        schema = "key string, parts string, last long"
-        try:
-            known = spark.read.schema(f"{schema}, batch long").parquet(self.folder).where(F.col("batch") < batch_id)
-            newest = known.agg(F.max("batch")).first()[0]
-        except AnalysisException:
-            newest = None
-        if newest is None:
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(f"{self.folder}/batch={newest}")
+def dropped_counts(folder: str) -> StateTable:
+    """Refused records per report window and micro-batch; they add up."""
 
-    def put(self, buckets: DataFrame, batch_id: int) -> None:
-        buckets.write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("window_start", "window_end").agg(F.sum("dropped").alias("dropped"), F.max(ADDED).alias(ADDED))
 
+    return StateTable(f"{folder}/dropped", "window_start timestamp, window_end timestamp, dropped long", merge)
 
-def decide(batch: DataFrame, before: DataFrame, options: FlowControl, key: Column) -> DataFrame:
-    """Decisions per record, and one row without a place per bucket.
 
-    Only places and times go through the step.  All records of one key in a
-    micro-batch meet in one task, in time order; what a round may read bounds
-    them, also for the one bucket of a fleet.
-    """
-    scale, waits = Scale(options.rate_per_second, options.burst), options.mode == "block"
-    rows = batch.select(key.cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"), *_PLACE)
-
-    def follow(arrivals: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        parts, last = scale.full, None
-        if len(held):
-            parts, last = int(held["parts"].iloc[0]), held["last"].iloc[0]
-            last = None if pd.isna(last) else int(last)
-        arrivals = arrivals.sort_values(["_us", *_PLACE])
-        admitted, at, parts, last = bucket_pass(scale, waits, arrivals["_us"].tolist(), parts, last)
-        name = (arrivals if len(arrivals) else held)["key"].iloc[0]
-        decided = arrivals[list(_PLACE)].assign(admitted=admitted, admit_us=at, key=name, parts=None, last=None)
-        bucket = pd.DataFrame([(None, None, None, None, name, str(parts), last)], columns=decided.columns)
-        out = pd.concat([decided.astype(object), bucket.astype(object)])
-        return out.astype({"start_offset": "Int64", "admitted": "boolean", "admit_us": "Int64", "last": "Int64"})
-
-    return rows.groupBy("key").cogroup(before.groupBy("key")).applyInPandas(follow, _DECIDED)
-
-
-def limited_sink(sink: Sink, options: FlowControl, folder: str, key: Column) -> Sink:
+def reported_drops(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per report window: refused records of all micro-batches together."""
+    return dropped_counts(folder).before(spark).drop(ADDED)
+
+
+def limited_sink(sink: Sink, options: FlowControl, folder: str, key: Column, *, place: tuple[str, ...] = _PLACE) -> Sink:
     """Pass on what the buckets admit; waits and counts of refused records become tables.
 
     In block mode every record goes on with ``admit_ts``, the moment it may
     leave; in drop mode refused records are counted per ``report_interval``.
+    ``place`` tells the records of a batch apart.
     """
-    buckets = Buckets(f"{folder}/buckets")
+    held, counts = buckets(folder), dropped_counts(folder)
 
     def send(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        decisions = decide(batch, buckets.before(batch.sparkSession, batch_id), options, key).persist()
-        try:
-            place = decisions.where("file_key is not null").select(
-                *_PLACE, "admitted", F.timestamp_micros("admit_us").alias("admit_ts")
-            )
-            decided = batch.join(place, list(_PLACE))
-            if options.mode == "drop":
-                report = drop_report(decided.where("not admitted"), interval=f"{_seconds(options)} seconds")
-                report.write.mode("overwrite").parquet(f"{folder}/dropped/batch={batch_id}")
-            sink(decided.where("admitted").drop("admitted"), batch_id)
-            buckets.put(decisions.where("file_key is null").select("key", "parts", "last"), batch_id)
-        finally:
-            decisions.unpersist()
-            batch.unpersist()
+        spark = batch.sparkSession
+        # Written, not cached: a lost executor must not make its rows anew in another order.
+        batch = staged(batch.withColumn("_key", key.cast("string")), "limited")
+        narrow = batch.select(F.col("_key").alias("key"), F.col("ts").cast("timestamp").alias("ts"), *place)
+        found = follow(
+            narrow, ["key"], options, order=("ts", *place), entry=held.before(spark, batch_id), with_buckets=True
+        )
+        decided = found.records.select(*place, "admitted", F.timestamp_micros("admit_us").alias("admit_ts"))
+        rows = batch.drop("_key").join(decided, list(place))
+        if options.mode == "drop":
+            refused = found.records.where("not admitted")
+            counts.put(drop_report(refused, interval=f"{duration_ms(options.report_interval) / 1000} seconds"), batch_id)
+        sink(rows.where("admitted").drop("admitted"), batch_id)
+        held.put(found.buckets, batch_id)
 
     return send
-
-
-def _seconds(options: FlowControl) -> float:
-    return duration_ms(options.report_interval) / 1000

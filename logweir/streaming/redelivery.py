@@ -3,66 +3,106 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweir.operators import outbox
-from logweir.rules import Retry
+from logweir.rules import Retry, duration_ms
 from logweir.streaming.sinks import Sink
+from logweir.streaming.state_table import ADDED, StateTable
 
 _ATTEMPTS = "batch_id long, attempt int, at timestamp, status int, retry_after_ms long"
 
 
+def _now() -> dt.datetime:
+    return dt.datetime.now(dt.timezone.utc)
+
+
 @dataclass(frozen=True)
 class Outbox:
-    """``kept`` has the records of failed batches, ``attempts`` a row per attempt, in one shared folder."""
+    """``kept`` has the records of failed batches, ``attempts`` a row per attempt, in one shared folder.
+
+    A merge of the attempts forgets batches that have come to an end and, of
+    the others, attempts that no longer bear on the next wait.  Records of a
+    batch that went out are removed; those of one given up stay for a look.
+    """
 
     folder: str
     retry: Retry = Retry()
+    clock: Callable[[], dt.datetime] = _now
 
-    def attempts(self, spark: SparkSession) -> DataFrame:
-        try:
-            return spark.read.schema(_ATTEMPTS).option("recursiveFileLookup", "true").parquet(f"{self.folder}/attempts")
-        except AnalysisException:
-            return spark.createDataFrame([], _ATTEMPTS)
+    @property
+    def _table(self) -> StateTable:
+        return StateTable(f"{self.folder}/attempts", _ATTEMPTS, self._open)
+
+    def _open(self, rows: DataFrame) -> DataFrame:
+        waiting = outbox.schedule(rows, self.retry).where("next_at is not null").select("batch_id")
+        initial, longest = (int(duration_ms(text)) or least for text, least in ((self.retry.initial_interval, 1_000), (self.retry.max_interval, 30_000)))
+        needed = max(1, math.ceil(math.log2(max(longest / initial, 1))) + 1) + 1
+        late = F.row_number().over(Window.partitionBy("batch_id").orderBy(F.desc("attempt")))
+        kept = rows.join(waiting, "batch_id", "left_semi").withColumn("_late", late)
+        return kept.where((F.col("attempt") == 1) | (F.col("_late") <= needed)).drop("_late")
+
+    def attempts(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        """Attempts of the batches that wait, newest state first merged."""
+        return self._table.before(spark, before).drop(ADDED)
 
     def guard(self, sink: Sink) -> Sink:
         """Send what is due, then the batch; a batch that fails is kept and its error goes on."""
 
         def send(batch: DataFrame, batch_id: int) -> None:
-            self.redeliver(batch.sparkSession, sink)
+            spark = batch.sparkSession
+            notes = self._redeliver(spark, sink, batch_id)
             try:
                 sink(batch, batch_id)
             except Exception:
                 batch.write.mode("overwrite").parquet(f"{self.folder}/kept/batch={batch_id}")
-                self._note(batch.sparkSession, batch_id, 1, None)
+                notes.append((batch_id, 1, self.clock(), None, 0))
                 raise
+            finally:
+                if notes:
+                    self._table.put(spark.createDataFrame(notes, _ATTEMPTS).coalesce(1), batch_id)
 
         return send
 
-    def redeliver(self, spark: SparkSession, sink: Sink, now: dt.datetime | None = None) -> list[tuple[int, bool]]:
-        """Send each kept batch whose wait is over; returns the batches tried and whether they went out.
+    def redeliver(self, spark: SparkSession, sink: Sink, batch_id: int) -> list[tuple[int, bool]]:
+        """Send the kept batches whose wait is over, as micro-batch ``batch_id``; which went out."""
+        notes = self._redeliver(spark, sink, batch_id)
+        if notes:
+            self._table.put(spark.createDataFrame(notes, _ATTEMPTS).coalesce(1), batch_id)
+        return [(note[0], note[3] == 200) for note in notes]
 
-        The schedule has one small row per failed batch.  A batch without a
-        wait is done or given up and stays in ``kept`` for a look.
+    def _redeliver(self, spark: SparkSession, sink: Sink, batch_id: int) -> list[tuple]:
+        """All that is due goes out in one call; only when that fails is each batch tried alone.
+
+        The schedule has one small row per waiting batch.
         """
-        moment = F.current_timestamp() if now is None else F.lit(now)
-        due = outbox.schedule(self.attempts(spark), self.retry).where(F.col("next_at") <= moment)
-        tried = []
-        for row in due.select("batch_id", "attempts").orderBy("batch_id").collect():
-            try:
-                sink(spark.read.parquet(f"{self.folder}/kept/batch={row.batch_id}"), row.batch_id)
-                status = 200
-            except Exception:  # noqa: BLE001 - any failure is another attempt
-                status = None
-            self._note(spark, row.batch_id, row.attempts + 1, status, now)
-            tried.append((row.batch_id, status == 200))
-        return tried
-
-    def _note(self, spark: SparkSession, batch_id: int, attempt: int, status: int | None, now: dt.datetime | None = None) -> None:
-        at = now or dt.datetime.now(dt.timezone.utc)
-        rows = spark.createDataFrame([(batch_id, attempt, at, status, 0)], _ATTEMPTS)
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/attempts/{batch_id}-{attempt}")
+        now = self.clock()
+        due = outbox.schedule(self.attempts(spark, batch_id), self.retry).where(F.col("next_at") <= F.lit(now))
+        waiting = {row.batch_id: row.attempts + 1 for row in due.select("batch_id", "attempts").collect()}
+        if not waiting:
+            return []
+        sent = self._sent(spark, sink, sorted(waiting), batch_id)
+        if not sent and len(waiting) > 1:
+            sent = [number for number in sorted(waiting) if self._sent(spark, sink, [number], batch_id)]
+        self._remove(spark, sent)
+        return [(number, attempt, now, 200 if number in sent else None, 0) for number, attempt in sorted(waiting.items())]
+
+    def _sent(self, spark: SparkSession, sink: Sink, numbers: list[int], batch_id: int) -> list[int]:
+        """These kept batches in one call under a name of their own; a replay has the same name."""
+        records = spark.read.parquet(*[f"{self.folder}/kept/batch={number}" for number in numbers])
+        try:
+            sink(records, f"{batch_id}-again-{numbers[0]}")
+        except Exception:  # noqa: BLE001 - any failure is another attempt
+            return []
+        return numbers
+
+    def _remove(self, spark: SparkSession, numbers: list[int]) -> None:
+        jvm = spark._jvm.org.apache.hadoop.fs
+        for number in numbers:
+            path = jvm.Path(f"{self.folder}/kept/batch={number}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

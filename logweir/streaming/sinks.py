@@ -5,12 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from logweir.operators import alerts, enrich, otlp
 from logweir.rules import AlertPolicy, ExportOptions
+from logweir.streaming.state_table import ADDED, StateTable
 
-Sink = Callable[[DataFrame, int], None]
+#: Takes the rows of a micro-batch and the name its output goes under: the number of the batch, or a text for a redelivery.
+Sink = Callable[[DataFrame, int | str], None]
+
+_OUTCOME = "batch_id long, sink string, outcome string, error string"
+
+
+def _outcomes(folder: str) -> StateTable:
+    return StateTable(folder, _OUTCOME)
 
 
 class PolicyTable:
@@ -76,8 +83,7 @@ def fan_out(sinks: dict[str, Sink], outcomes: str) -> Sink:
                 except Exception as error:  # noqa: BLE001 - best effort by design
                     said = str(error).splitlines() or [type(error).__name__]
                     rows.append((batch_id, name, "failed", said[0]))
-            table = spark.createDataFrame(rows, "batch_id long, sink string, outcome string, error string")
-            table.coalesce(1).write.mode("overwrite").parquet(f"{outcomes}/batch={batch_id}")
+            _outcomes(outcomes).put(spark.createDataFrame(rows, _OUTCOME).coalesce(1), batch_id)
         finally:
             batch.unpersist()
 
@@ -85,6 +91,5 @@ def fan_out(sinks: dict[str, Sink], outcomes: str) -> Sink:
 
 
 def read_outcomes(spark: SparkSession, outcomes: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "true").parquet(outcomes).select(
-        "batch_id", "sink", "outcome", F.col("error")
-    )
+    """``batch_id, sink, outcome, error`` of every micro-batch."""
+    return _outcomes(outcomes).before(spark).drop(ADDED)

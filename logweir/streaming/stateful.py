@@ -1,7 +1,6 @@
-"""Keyed stream state: open multi-line records and token buckets.
+"""Keyed stream state: open multi-line records.
 
-State is small per key: one open record, bounded by the multi-line limits, or
-two numbers.  Rows of a key are put in order inside a micro-batch, whose size
+State is small per key: one open record, bounded by the multi-line limits.  Rows of a key are put in order inside a micro-batch, whose size
 per file the tail source limits.
 """
 
@@ -17,8 +16,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logweir.functions.patterns import java_pattern
 from logweir.operators.cut import Segment
-from logweir.operators.flow import Scale
-from logweir.rules import FlowControl
 
 _RECORD = [
     T.StructField("first_line", T.LongType()),
@@ -115,56 +112,3 @@ def open_records(spark: SparkSession, checkpoint: str, first: Sequence[str] = ()
     return state.select("key.*", f"{value}.*").where("body <> ''").select(
         "file_key", *[field.name for field in _RECORD], *first
     )
-
-
-def bucket_pass(
-    scale: Scale, waits: bool, times: Sequence[int], parts: int, last: int | None
-) -> tuple[list[bool], list[int], int, int | None]:
-    """Follow one bucket over arrivals in order: who passes, when, and the bucket after them."""
-    admitted, at = [], []
-    for now in times:
-        now = now if last is None else max(now, last)
-        parts = min(scale.full, parts + (0 if last is None else now - last) * scale.gain)
-        passes = waits or parts >= scale.unit
-        if passes:
-            parts -= scale.unit
-        admitted.append(passes)
-        # With less than nothing in the bucket the record waits for it to fill.
-        at.append(now + max(0, -(parts // scale.gain)) if waits else now)
-        last = now
-    return admitted, at, parts, last
-
-
-def limit_stream(
-    records: DataFrame, key: str, options: FlowControl, *, ts: str = "ts", order: Sequence[str] = ("ts", "seq")
-) -> DataFrame:
-    """Streaming flow control: adds ``admitted`` and ``admit_us``.
-
-    Off passes everything; block admits all, later; drop refuses records that
-    find no whole token.  A record older than the last one counts as equal.
-    """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    if not options.enabled:
-        return records.withColumns({"admitted": F.lit(True), "admit_us": micros})
-    scale, waits = Scale(options.rate_per_second, options.burst), options.mode == "block"
-    source = records.withColumn("_us", micros)
-    output = T.StructType(
-        [*records.schema.fields, T.StructField("admitted", T.BooleanType()), T.StructField("admit_us", T.LongType())]
-    )
-    # Parts may need more than 64 bits, so they are kept as text.
-    state_schema = "parts string, last long"
-    names = records.columns
-
-    def step(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(frames)).sort_values(["_us", *[name for name in order if name != ts]])
-        parts, last = scale.full, None
-        if state.exists:
-            held, last = state.get
-            parts = int(held)
-        admitted, at, parts, last = bucket_pass(scale, waits, frame["_us"].tolist(), parts, last)
-        state.update((str(parts), last))
-        yield frame[names].assign(admitted=admitted, admit_us=at)
-
-    return source.groupBy(key).applyInPandasWithState(
-        step, output, state_schema, "append", GroupStateTimeout.NoTimeout
-    )

@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from logweir.operators import lines as L
 from logweir.operators.cut import greedy_cut
-from logweir.operators.flow import _residue_after, _true_block, Bucket, Scale, admit_times, control, drop_report, mark_admitted
+from logweir.operators.bucket import Bucket, Held, Residues, Scale, fluid_after, fluid_block, refuse, residue_after, steps_of, wait
+from logweir.operators.flow import admit_times, control, drop_report, follow, mark_admitted
 from logweir.operators.multiline import boundary_groups, merge_lines
 from logweir.operators.ordered import running
 from logweir.operators.outbox import schedule
@@ -195,21 +197,109 @@ GAPS = {
 }
 
 
-@pytest.mark.parametrize(
-    "kind, rate, burst",
-    [("busy", 10, 1), ("busy", 9.7, 5), ("near", 10, 3), ("near", 9.7, 1), ("mixed", 10, 3), ("mixed", 0.001, 1)],
-)
-def test_drop_mode_equals_the_step_model(spark, kind, rate, burst):
-    rows, frame = arrivals(spark, burst, GAPS[kind])
-    expected, buckets, last = {}, {}, {}
+def step_by_step(rows, rate, burst, waits, held=None):
+    """Who passes and when, one record after the other, and the buckets after them."""
+    scale = Scale(rate, burst)
+    parts = {key: value[0] for key, value in (held or {}).items()}
+    last = {key: value[1] for key, value in (held or {}).items()}
+    out = {}
     for key, seq, at in rows:
-        bucket = buckets.setdefault(key, Bucket(Scale(rate, burst)))
-        expected[key, seq] = bucket.take(at - last.get(key, at))
-        last[key] = at
-    settings = [(None, 65536), (F.floor(F.col("at") / 1_000_000), 16)]
-    for block, block_rows in settings:
-        found = mark_admitted(frame, ["key"], rate=rate, burst=burst, block=block, block_rows=block_rows).collect()
-        assert {(r.key, r.seq): r.admitted for r in found} == expected
+        now = max(at, last.get(key, at))
+        have = min(scale.full, parts.get(key, scale.full) + (now - last.get(key, now)) * scale.gain)
+        passes = waits or have >= scale.unit
+        have -= scale.unit if passes else 0
+        out[key, seq] = (passes, now + max(0, -(have // scale.gain)) if waits else now)
+        parts[key], last[key] = have, now
+    return out, {key: (parts[key], last[key]) for key in parts}
+
+
+KINDS = [("busy", 10, 1), ("busy", 9.7, 5), ("near", 10, 3), ("near", 9.7, 1), ("mixed", 10, 3), ("mixed", 0.001, 1), ("mixed", 5000, 2)]
+
+
+@pytest.mark.parametrize("kind, rate, burst", KINDS)
+@pytest.mark.parametrize("mode", ["drop", "block"])
+def test_flow_equals_the_step_model(spark, kind, rate, burst, mode):
+    rows, frame = arrivals(spark, burst, GAPS[kind])
+    expected, _ = step_by_step(rows, rate, burst, mode == "block")
+    # Ranges longer and shorter than a key, and a single one.
+    for parts in (1, 3, 40):
+        options = FlowControl(enabled=True, mode=mode, rate_per_second=rate, burst=burst)
+        found = follow(frame, ["key"], options, parts=parts).records.collect()
+        assert {(r.key, r.seq): (r.admitted, r.admit_us) for r in found} == expected
+
+
+def test_one_key_and_one_hour(spark):
+    """A bucket of one token and a single key: nothing but ranges can split the work."""
+    rng = random.Random(9)
+    rows, at = [], 1_700_000_000_000_000
+    for seq in range(6000):
+        at += rng.choice([0, 1, 500_000, 700_000])
+        rows.append(("all", seq, at))
+    frame = spark.createDataFrame(rows, "key string, seq long, at long").withColumn("ts", F.timestamp_micros("at"))
+    for mode in ("drop", "block"):
+        expected, buckets = step_by_step(rows, 3, 1, mode == "block")
+        options = FlowControl(enabled=True, mode=mode, rate_per_second=3, burst=1)
+        found = follow(frame, ["key"], options, parts=16, with_buckets=True)
+        assert {(r.key, r.seq): (r.admitted, r.admit_us) for r in found.records.collect()} == expected
+        assert {r.key: (int(r.parts), r.last) for r in found.buckets.collect()} == buckets
+
+
+@pytest.mark.parametrize("mode", ["drop", "block"])
+def test_flow_goes_on_from_stored_buckets(spark, mode):
+    """Batches one after the other decide like one sequence; late records count as equally old."""
+    rng = random.Random(4)
+    options = FlowControl(enabled=True, mode=mode, rate_per_second=10, burst=3)
+    held, entry = {}, None
+    for batch in range(3):
+        rows = []
+        for key in range(5 if batch else 3):
+            at = 1_700_000_000_000_000 + batch * 3_000_000 - rng.choice([0, 2_000_000])
+            for seq in range(rng.choice([1, 60, 200])):
+                at += rng.choice(GAPS["mixed"])
+                rows.append((key, batch * 1000 + seq, at))
+        expected, held_now = step_by_step(rows, 10, 3, mode == "block", held)
+        frame = spark.createDataFrame(rows, "key int, seq long, at long").withColumn("ts", F.timestamp_micros("at"))
+        found = follow(frame, ["key"], options, entry=entry, parts=7, with_buckets=True)
+        assert {(r.key, r.seq): (r.admitted, r.admit_us) for r in found.records.collect()} == expected
+        got = {r.key: (int(r.parts), r.last) for r in found.buckets.collect()}
+        assert got == {key: value for key, value in held_now.items() if key in got}
+        held = held_now
+        entry = spark.createDataFrame([(key, str(parts), last) for key, (parts, last) in held.items()], "key int, parts string, last long")
+
+
+def test_wide_arrivals_are_decided_by_their_place(spark):
+    rows, frame = arrivals(spark, 2, GAPS["mixed"], count=50)
+    wide = frame.withColumns({"body": F.lit("x"), "key": F.when(F.col("key") > 0, F.col("key"))})
+    found = mark_admitted(wide, ["key"], rate=10, burst=2)
+    assert found.columns == [*wide.columns, "admitted"] and found.count() == len(rows)
+    late = admit_times(wide, ["key"], rate=10, burst=2)
+    assert late.where("admit_ts is null").count() == 0 and late.count() == len(rows)
+
+
+def test_flow_of_nothing(spark):
+    frame = spark.createDataFrame([], "key int, seq long, ts timestamp")
+    options = FlowControl(enabled=True, mode="drop", rate_per_second=1, burst=1)
+    found = follow(frame, ["key"], options, with_buckets=True)
+    assert found.records.collect() == [] and found.buckets.collect() == []
+
+
+@pytest.mark.parametrize("rate, burst", [(10, 1), (9.7, 5), (0.00002, 3), (50_000, 4), (123_456.789, 1000)])
+def test_blocks_of_arrivals_equal_the_bucket(rate, burst):
+    """Whole arrays against one record at a time, also where numbers outgrow 64 bits."""
+    rng = random.Random(burst)
+    scale = Scale(rate, burst)
+    token = max(1, scale.unit // scale.gain)
+    for _ in range(40):
+        at, times = 1_700_000_000_000_000, []
+        for _ in range(rng.choice([1, 47, 48, 200, 1000])):
+            at += rng.choice([0, 1, token, token + 1, token // 2, 3 * token])
+            times.append(at)
+        for waits, step in ((False, refuse), (True, wait)):
+            start = rng.choice([None, (rng.randrange(scale.full), times[0] - rng.choice([0, token]))])
+            expected, after = step_by_step([(0, n, t) for n, t in enumerate(times)], rate, burst, waits, {0: start} if start else None)
+            got, held = step(np.array(times), Held(*start) if start else None, scale)
+            assert got.tolist() == [value[waits] for value in expected.values()]
+            assert (held.parts, held.last) == after[0]
 
 
 @pytest.mark.parametrize("burst", [1, 2, 5])
@@ -221,34 +311,24 @@ def test_block_steps_equal_the_bucket(burst):
     for _ in range(300):
         waits = [rng.choice([1, 3, 19, 20, 21, 40]) for _ in range(rng.randint(1, 400))]
         fluid = rng.randrange(0, scale.full - scale.unit + 1, scale.gain)
-        block = _true_block(waits, fluid, scale)
+        times = np.cumsum(waits)
+        run = Residues(fluid, scale)
+        for low in range(0, len(waits), 150):
+            run.add(steps_of(times[low : low + 150], int(times[low - 1]) if low else 0, scale))
+        block = run.step()
+        assert run.fluid == fluid_after(fluid, fluid_block(steps_of(times, 0, scale), scale))
         longest = max(longest, len(block["edges"]))
         for residue in range(0, scale.unit, scale.gain):
             bucket = Bucket(scale, fluid + (residue - fluid) % scale.unit)
-            for wait in waits:
-                bucket.take(wait)
+            for wait_us in waits:
+                bucket.take(wait_us)
             after = block["after"]
             if after is None:
-                after = _residue_after(residue, block["edges"], block["ends"], block["clock"], scale)
+                after = residue_after(residue, block["edges"], block["ends"], block["clock"], scale)
             assert bucket.parts % scale.unit == after
     assert longest <= 2 * scale.unit // scale.gain
 
 
-@pytest.mark.parametrize("rate, burst", [(10, 1), (10, 4), (9.7, 5), (5000, 2)])
-def test_block_mode_equals_the_step_model(spark, rate, burst):
-    rows, frame = arrivals(spark, 7, GAPS["mixed"])
-    scale = Scale(rate, burst)
-    expected, parts, last = {}, {}, {}
-    for key, seq, at in rows:
-        have = min(scale.full, parts.get(key, scale.full) + (at - last.get(key, at)) * scale.gain) - scale.unit
-        parts[key], last[key] = have, at
-        expected[key, seq] = at if have >= 0 else at + -(have // scale.gain)
-    for block in (None, F.floor(F.col("at") / 1_000_000)):
-        found = admit_times(frame, ["key"], rate=rate, burst=burst, block=block)
-        got = {(r.key, r.seq): r.u for r in found.withColumn("u", F.unix_micros("admit_ts")).collect()}
-        assert got == expected
-
-
 def test_switch_and_report(spark):
     _, frame = arrivals(spark, 3, GAPS["busy"], count=10, keys=1)
     passed, dropped = control(frame, ["key"], FlowControl(enabled=False))

@@ -8,6 +8,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from logweir.operators import outbox
 from logweir.operators.lines import complete_lines, with_offsets
 from logweir.operators.multiline import merge_lines
 from logweir.rules import (
@@ -17,6 +18,7 @@ from logweir.sources.tail_source import TailReader, tail_lines
 from logweir.sources.text_lines import scan_lines
 from logweir.streaming import job, limits, sinks
 from logweir.streaming.redelivery import Outbox
+from logweir.streaming.state_table import StateTable, newest_per
 from logweir.streaming.stateful import merge_stream, open_records
 
 
@@ -242,23 +244,59 @@ def test_job_merges_and_limits(spark, tmp_path, mode, kept):
     # One bucket holds for both files and over restarts; the last record of each file may still be open.
     assert kept <= found <= (8 if mode != "drop" else 4)
     if mode == "drop":
-        dropped = spark.read.option("recursiveFileLookup", "true").parquet(f"{where}/dropped")
+        dropped = limits.reported_drops(spark, where)
         assert dropped.agg({"dropped": "sum"}).first()[0] >= 2
 
 
-def test_decisions_go_on_where_the_batch_before_stopped(spark):
+@pytest.mark.parametrize("mode", ["drop", "block"])
+def test_decisions_go_on_where_the_batch_before_stopped(spark, tmp_path, mode):
     schema = "file_key string, start_offset long, ts timestamp"
     start = dt.datetime(2031, 1, 1, tzinfo=dt.timezone.utc)
     rows = [("f", n, start + dt.timedelta(milliseconds=400 * n)) for n in range(30)]
-    options = FlowControl(enabled=True, mode="drop", rate_per_second=1.0, burst=3)
-    whole = limits.decide(spark.createDataFrame(rows, schema), limits.Buckets("/nowhere/b").before(spark, 0), options, F.lit("all"))
-    expected = {row.start_offset: row.admitted for row in whole.where("file_key is not null").collect()}
-    held, got = limits.Buckets("/nowhere/b").before(spark, 0), {}
-    for low in range(0, 30, 7):
-        found = limits.decide(spark.createDataFrame(rows[low : low + 7], schema), held, options, F.lit("all")).collect()
-        got |= {row.start_offset: row.admitted for row in found if row.file_key}
-        held = spark.createDataFrame([(r.key, r.parts, r.last) for r in found if not r.file_key], "key string, parts string, last long")
-    assert got == expected and 3 < sum(expected.values()) < 30
+    options = FlowControl(enabled=True, mode=mode, rate_per_second=1.0, burst=3, report_interval="2s")
+    runs = {}
+    for name, size in (("whole", 30), ("cut", 7)):
+        got = {}
+
+        def take(frame, batch_id, got=got):
+            got |= {(batch_id, row.start_offset): row.admit_ts for row in frame.collect()}
+
+        sink = limits.limited_sink(take, options, f"{tmp_path}/{name}", F.lit("all"))
+        for number, low in enumerate(range(0, 30, size)):
+            # Each micro-batch comes twice: a replay decides as the first time.
+            for _ in range(2):
+                sink(spark.createDataFrame(rows[low : low + size], schema), number)
+        runs[name] = {offset: moment for (_, offset), moment in got.items()}
+        drops = {row.window_start: row.dropped for row in limits.reported_drops(spark, f"{tmp_path}/{name}").collect()}
+        runs[name, "drops"] = drops
+        assert sum(drops.values()) == (30 - len(runs[name]) if mode == "drop" else 0)
+    assert runs["whole"] == runs["cut"] and runs["whole", "drops"] == runs["cut", "drops"]
+    assert len(runs["whole"]) == 30 if mode == "block" else 3 < len(runs["whole"]) < 30
+
+
+def folders(path):
+    return sorted(name for name in os.listdir(path) if not name.startswith("."))
+
+
+def test_state_table_stays_small(spark, tmp_path):
+    table = StateTable(f"{tmp_path}/t", "key string, value long", newest_per("key"), every=4)
+    for number in range(23):
+        before = {row.key: row.value for row in table.before(spark, number).collect()}
+        assert before == {f"k{n % 3}": n for n in range(max(0, number - 3), number)}
+        table.put(spark.createDataFrame([(f"k{number % 3}", number)], "key string, value long"), number)
+        assert len(folders(tmp_path / "t")) <= 6
+    # A replay of the last batch reads and writes what it did.
+    assert {row.value for row in table.before(spark, 22).collect()} == {19, 20, 21}
+    table.put(spark.createDataFrame([("k1", 22)], "key string, value long"), 22)
+    assert sorted(row.value for row in table.before(spark).collect()) == [20, 21, 22]
+
+
+def test_unfinished_snapshot_is_not_read(spark, tmp_path):
+    table = StateTable(f"{tmp_path}/t", "key string, value long", every=2)
+    for number in range(3):
+        table.put(spark.createDataFrame([("k", number)], "key string, value long"), number)
+    os.makedirs(tmp_path / "t" / "snapshot-2")
+    assert sorted(row.value for row in table.before(spark).collect()) == [0, 1, 2]
 
 
 def test_sink_error_without_words(spark, tmp_path):
@@ -279,17 +317,60 @@ def test_failed_export_is_sent_again(spark, tmp_path):
             raise RuntimeError("down")
         sent.append((batch_id, sorted(row.id for row in frame.collect())))
 
-    box = Outbox(f"{tmp_path}/box", Retry(initial_interval="10s", max_interval="30s", max_elapsed_time="5m"))
+    now = [dt.datetime.now(dt.timezone.utc)]
+    box = Outbox(f"{tmp_path}/box", Retry(initial_interval="10s", max_interval="30s", max_elapsed_time="5m"), clock=lambda: now[0])
+    for number, rows in ((7, 3), (8, 2)):
+        with pytest.raises(RuntimeError):
+            box.guard(export)(spark.range(rows), number)
+    start = now[0]
+    for number, seconds, expected in ((9, 1, []), (10, 15, [(7, False), (8, False)]), (11, 20, [])):
+        now[0] = start + dt.timedelta(seconds=seconds)
+        down[0] = number < 11
+        assert box.redeliver(spark, export, number) == expected
+    now[0] = start + dt.timedelta(seconds=60)
+    assert box.redeliver(spark, export, 12) == [(7, True), (8, True)] and sent == [("12-again-7", [0, 0, 1, 1, 2])]
+    now[0] = start + dt.timedelta(hours=1)
+    assert box.redeliver(spark, export, 13) == []
+    # What went out is no longer kept.
+    assert folders(tmp_path / "box" / "kept") == []
+
+
+def test_one_bad_batch_holds_no_other_back(spark, tmp_path):
+    sent, now = [], [dt.datetime(2031, 1, 1, tzinfo=dt.timezone.utc)]
+
+    def export(frame, batch_id):
+        ids = sorted(row.id for row in frame.collect())
+        if now[0].hour == 0 or 5 in ids:
+            raise RuntimeError("down")
+        sent.append((batch_id, ids))
+
+    box = Outbox(f"{tmp_path}/box", Retry(max_elapsed_time="0s"), clock=lambda: now[0])
+    for number, rows in ((1, 3), (2, 6), (3, 2)):
+        with pytest.raises(RuntimeError):
+            box.guard(export)(spark.range(rows), number)
+    now[0] += dt.timedelta(hours=1)
+    assert box.redeliver(spark, export, 4) == [(1, True), (2, False), (3, True)]
+    assert sent == [("4-again-1", [0, 1, 2]), ("4-again-3", [0, 1])]
+    assert folders(tmp_path / "box" / "kept") == ["batch=2"]
+
+
+def test_attempts_stay_few(spark, tmp_path):
+    """A batch that is tried for ever has a bounded number of attempts on disk, and its wait does not change."""
+    now = [dt.datetime(2031, 1, 1, tzinfo=dt.timezone.utc)]
+
+    def export(frame, batch_id):
+        raise RuntimeError("down")
+
+    retry = Retry(initial_interval="1s", max_interval="8s", max_elapsed_time="0s")
+    box = Outbox(f"{tmp_path}/box", retry, clock=lambda: now[0])
     with pytest.raises(RuntimeError):
-        box.guard(export)(spark.range(3), 7)
-    now = dt.datetime.now(dt.timezone.utc)
-    later = [now + dt.timedelta(seconds=seconds) for seconds in (1, 15, 20, 60)]
-    assert box.redeliver(spark, export, later[0]) == []
-    assert box.redeliver(spark, export, later[1]) == [(7, False)]
-    down[0] = False
-    assert box.redeliver(spark, export, later[2]) == []
-    assert box.redeliver(spark, export, later[3]) == [(7, True)] and sent == [(7, [0, 1, 2])]
-    assert box.redeliver(spark, export, later[3] + dt.timedelta(hours=1)) == []
+        box.guard(export)(spark.range(1), 0)
+    for number in range(1, 45):
+        now[0] += dt.timedelta(seconds=9)
+        assert box.redeliver(spark, export, number) == [(0, False)]
+    rows = box.attempts(spark).collect()
+    assert max(row.attempt for row in rows) == 45 and min(row.attempt for row in rows) == 1 and len(rows) <= 7
+    assert outbox.schedule(box.attempts(spark), retry).first().wait_ms == 8_000
 
 
 def test_policy_table_keeps_the_last_valid_policy(spark, tmp_path):
