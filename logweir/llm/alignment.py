@@ -39,10 +39,7 @@ class Settings:
 
 @dataclass(frozen=True)
 class Aligned:
-    """Tokens of both sides of some texts, their groups, and links as places of tokens.
-
-    ``group`` numbers the groups of all texts; sides are 0 and 1.
-    """
+    """The group of every token of both sides, and links as places of tokens."""
 
     group: tuple[np.ndarray, np.ndarray]
     links: tuple[np.ndarray, np.ndarray]
@@ -73,78 +70,97 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray) -> Aligned:
     return Aligned(groups, (first, second))
 
 
-def _spelled(ids: tuple[np.ndarray, np.ndarray], group: tuple[np.ndarray, np.ndarray]) -> str:
-    """The groups as ``a1,a2|b1;a3|b2,b3``: decimal ids of both sides in order."""
-    sides = []
-    for numbers, which in zip(ids, group, strict=True):
-        texts = list(map(str, numbers.tolist()))
-        cuts = np.flatnonzero(np.diff(which)) + 1
-        edges = [0, *cuts.tolist(), len(texts)]
-        sides.append([",".join(texts[low:high]) for low, high in zip(edges, edges[1:])])
-    return ";".join(map("|".join, zip(*sides, strict=True)))
-
-
-def _block(rows: list[tuple], number: int) -> dict[str, object]:
-    """One row for the aligned texts of a block: ``(doc_id, ids a, ids b, ends a, ends b)`` each."""
-    docs, codes, owners = [], [], []
-    for at, (doc_id, ids_a, ids_b, ends_a, ends_b) in enumerate(rows):
-        if ids_a is None:
-            docs.append((doc_id, 0, 0, 0, 0, ""))
-            continue
-        found = align(ends_a, ends_b)
-        first, second = found.links
-        codes.append((ids_a[first].astype(np.int64) << _SHIFT) | ids_b[second])
-        owners.append(np.full(len(first), at, np.int64))
-        spelled = _spelled((ids_a, ids_b), found.group)
-        docs.append(
-            (doc_id, len(ids_a), len(ids_b), int(found.group[0][-1]) + 1, len(first), hashlib.sha256(spelled.encode()).hexdigest())
+class _Speller:
+    """Groups as ``a1,a2|b1;a3|b2,b3``: decimal ids of both sides in order."""
+
+    #: What follows an id: one of its side, the other side, the next group, the end of the text.
+    AFTER = (b",", b"|", b";", b"")
+
+    def __init__(self, ids: int):
+        self.ids = ids
+        self.parts = [b"%d%s" % (number, after) for after in self.AFTER for number in range(ids)]
+
+    def spelled(self, ids: tuple[np.ndarray, np.ndarray], group: tuple[np.ndarray, np.ndarray], sizes: np.ndarray) -> list[bytes]:
+        """The groups of each text; ``sizes`` has its tokens of both sides together."""
+        place = (
+            np.arange(len(ids[0])) + np.searchsorted(group[1], group[0], side="left"),
+            np.arange(len(ids[1])) + np.searchsorted(group[0], group[1], side="right"),
         )
-    every = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    pairs, place = np.unique(every, return_inverse=True)
+        total = len(ids[0]) + len(ids[1])
+        number, of, side = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, np.int64)
+        for which in (0, 1):
+            number[place[which]], of[place[which]], side[place[which]] = ids[which], group[which], which
+        after = np.full(total, 3)
+        after[:-1] = np.where(of[1:] != of[:-1], 2, side[1:] != side[:-1])
+        edges = np.concatenate(([0], np.cumsum(sizes)))
+        after[edges[1:][sizes > 0] - 1] = 3
+        parts = list(map(self.parts.__getitem__, (after * self.ids + number).tolist()))
+        return [b"".join(parts[low:high]) for low, high in zip(edges.tolist(), edges[1:].tolist())]
+
+
+def _block(rows: list[tuple], number: int, lengths: tuple[np.ndarray, np.ndarray], speller: _Speller) -> dict[str, object]:
+    """One row for the texts of a block: ``(doc_id, ids a, ids b)`` each, no ids where the sides differ.
+
+    Tokens of both sides end where a text ends, so the texts are aligned as
+    one and no group holds tokens of two.
+    """
+    sizes = tuple(np.array([len(row[side]) for row in rows], np.int64) for side in (1, 2))
+    ids = tuple(np.array([token for row in rows for token in row[side]], np.int64) for side in (1, 2))
+    found = align(*(np.cumsum(length[part]) for length, part in zip(lengths, ids, strict=True)))
+    first, second = found.links
+    owner = np.repeat(np.arange(len(rows)), sizes[0])
+    groups = np.bincount(owner[np.flatnonzero(np.diff(found.group[0], prepend=-1))], minlength=len(rows))
+    owner = owner[first]
+    links = np.bincount(owner, minlength=len(rows))
+    place, pairs = pd.factorize((ids[0][first] << _SHIFT) | ids[1][second])
     # Links of one document and pair become one entry with a count.
     entries, times = np.unique(owner * max(len(pairs), 1) + place, return_counts=True)
     owner, place = np.divmod(entries, max(len(pairs), 1))
+    spelled = speller.spelled(ids, found.group, sizes[0] + sizes[1])
+    hashed = [hashlib.sha256(text).hexdigest() if text else "" for text in spelled]
+    numbers = [values.tolist() for values in (*sizes, groups, links)]
     return {
         "block": number,
-        "docs": docs,
+        "docs": list(zip((row[0] for row in rows), *numbers, hashed, strict=True)),
         "pairs": pairs,
-        "holds": np.bincount(place, minlength=len(pairs)).astype(np.int64),
-        "owner": owner.astype("<i4").tobytes(),
+        "holds": np.bincount(place, minlength=len(pairs)),
+        "entries": np.bincount(owner, minlength=len(rows)).astype("<i4").tobytes(),
         "place": place.astype("<i4").tobytes(),
         "times": times.astype("<i4").tobytes(),
     }
 
 
 _DOCS = "array<struct<doc_id: long, n_a: long, n_b: long, n_groups: long, n_links: long, groups_sha256: string>>"
-_BLOCK = f"block long, docs {_DOCS}, pairs array<long>, holds array<long>, owner binary, place binary, times binary"
+_BLOCK = f"block long, docs {_DOCS}, pairs array<long>, holds array<long>, entries binary, place binary, times binary"
 
 
 def blocks(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Aligned documents in blocks; written once, because both passes over the counts read them."""
 
-    def encoded(tokens_a: ByteTokens, tokens_b: PieceTokens, text: str) -> tuple:
-        """Ids and ends of both sides, or nothing where they do not spell the same bytes."""
-        data = (" " + text).encode()
-        ids = (tokens_a.ordinary(" " + text), tokens_b.ordinary(text)) if text else ([], [])
-        spelled = [list(map(side.bytes.__getitem__, found)) for side, found in zip((tokens_a, tokens_b), ids, strict=True)]
-        if not text or any(b"".join(parts) != data for parts in spelled):
-            return (None,) * 4
-        ends = [np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) for parts in spelled]
-        return (*(np.array(found, np.int32) for found in ids), *ends)
+    def encoded(tokens_a: ByteTokens, tokens_b: PieceTokens, text: str) -> tuple[list[int], list[int]]:
+        """Ids of both sides, or none where they do not spell the same bytes."""
+        if not text:
+            return [], []
+        data, ids_a, ids_b = (" " + text).encode(), tokens_a.ordinary(" " + text), tokens_b.ordinary(text)
+        for side, ids in ((tokens_b, ids_b), (tokens_a, ids_a)):
+            if b"".join(map(side.bytes.__getitem__, ids)) != data:
+                return [], []
+        return ids_a, ids_b
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens_a, tokens_b = ByteTokens(settings.first), PieceTokens(settings.second)
+        lengths = tuple(np.array([len(side.bytes[at]) for at in range(len(side.bytes))]) for side in (tokens_a, tokens_b))
+        speller = _Speller(max(map(len, lengths)))
         number, rows, held = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for doc_id, text in zip(batch["_id"], batch["_text"], strict=True):
                 rows.append((None if doc_id is None else int(doc_id), *encoded(tokens_a, tokens_b, text)))
                 held += len(text)
                 if held >= settings.block:
-                    yield pd.DataFrame([_block(rows, number)])
+                    yield pd.DataFrame([_block(rows, number, lengths, speller)])
                     number, rows, held = number + 1, [], 0
         if rows:
-            yield pd.DataFrame([_block(rows, number)])
+            yield pd.DataFrame([_block(rows, number, lengths, speller)])
 
     read = documents.select(text_id("doc_id").alias("_id"), whole("text").alias("_text"))
     return staged(read.mapInPandas(aligned, _BLOCK), "aligned")
@@ -181,19 +197,20 @@ def report(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
     # A block's answers are as many as its pairs, which its size bounds.
     joined = aligned.join(answers, "block", "left").select(
-        "docs", "owner", "place", "times",
+        "docs", "entries", "place", "times",
         F.coalesce("_known.documents", F.array().cast("array<long>")).alias("counts"),
         F.coalesce("_known.highest", F.array().cast("array<boolean>")).alias("best"),
     )
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for docs, owner, place, times, counts, best in batch.itertuples(index=False, name=None):
+            for docs, entries, place, times, counts, best in batch.itertuples(index=False, name=None):
                 out = pd.DataFrame(
                     [tuple(doc.values()) for doc in docs],
                     columns=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"],
                 ).astype({"doc_id": "Int64"})
-                owner, place, times = (np.frombuffer(data, "<i4").astype(np.int64) for data in (owner, place, times))
+                entries, place, times = (np.frombuffer(data, "<i4").astype(np.int64) for data in (entries, place, times))
+                owner = np.repeat(np.arange(len(docs)), entries)
                 for name, value in (("n_best", best), ("count_sum", counts)):
                     total = np.zeros(len(docs), np.int64)
                     np.add.at(total, owner, np.asarray(value, np.int64)[place] * times)

@@ -37,7 +37,7 @@ class ByteTokens:
         self.fast = tiktoken.Encoding(name, pat_str=vocabularies.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.special = tuple(special)
         #: Bytes of each id.
-        self.bytes = {rank: token for token, rank in ranks.items()}
+        self.bytes = [token for token, _ in sorted(ranks.items(), key=lambda item: item[1])]
 
     def with_specials(self, text: str) -> list[int]:
         """Ids of a text; the strings of special tokens are those tokens."""
@@ -60,13 +60,10 @@ class PieceTokens:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=vocabularies.path(f"{name}.model"))
-        self.bytes = {}
+        self.bytes = []
         for number in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(number)
-            if self.model.is_byte(number):
-                self.bytes[number] = bytes([int(piece[3:5], 16)])
-            else:
-                self.bytes[number] = piece.replace("▁", " ").encode()
+            self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(number) else piece.replace("▁", " ").encode())
 
     def ordinary(self, text: str) -> list[int]:
         return self.model.encode(text)
