@@ -9,9 +9,12 @@ word shapes, which then scores every whole text.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -57,56 +60,105 @@ FUNCTION_WORDS = frozenset(
 _PIECE = 40
 
 
+#: Marks that are no symbols.
+_PLAIN = ".,;:!?'\"()-"
+
+
+@cache
+def _classes() -> np.ndarray:
+    """For every code point: 1 blank, 2 letter, 4 capital, 8 symbol, added up."""
+    marks = map(chr, range(sys.maxunicode + 1))
+    return np.fromiter(
+        (
+            mark.isspace() + 2 * mark.isalpha() + 4 * mark.isupper() + 8 * (not (mark.isalnum() or mark.isspace() or mark in _PLAIN))
+            for mark in marks
+        ),
+        np.uint8,
+        sys.maxunicode + 1,
+    )
+
+
+def _marks(text: str) -> tuple[int, int, int, int]:
+    """How many characters of a text are not blank, letters, capitals and symbols."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    counts = np.bincount(_classes()[points], minlength=16)
+    return tuple(int(sum(counts[at] for at in range(16) if bool(at & bit) == (bit > 1))) for bit in (1, 2, 4, 8))
+
+
 class _Words(dict):
-    """Word to a column of per-word facts; filled on first sight, emptied when it grows too large."""
+    """Words to numbers with a fact each; made on first sight, all forgotten when there are too many."""
 
-    def __init__(self, buckets: int):
+    def __init__(self):
         super().__init__()
-        self.buckets, self.facts = buckets, np.zeros((10, 1024), np.int64)
+        self.facts: list[int] = []
+
+    def fact(self, word: str) -> int:
+        raise NotImplementedError
 
     def __missing__(self, word: str) -> int:
-        letters = sum(map(str.isalpha, word))
-        symbols = sum(not mark.isalnum() and mark not in ".,;:!?'\"()-" for mark in word)
-        shape, last = [], ""
-        for mark in word[:_PIECE]:
-            kind = "A" if mark.isupper() else "a" if mark.isalpha() else "9" if mark.isdigit() else mark
-            if kind != last:
-                shape.append(kind)
-            last = kind
-        at = len(self)
-        if at == self.facts.shape[1]:
-            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)], axis=1)
-        self.facts[:, at] = (
-                zlib.crc32(word.encode("utf-8", "replace")),
-                zlib.crc32("".join(shape).encode("utf-8", "replace")),
-                len(word),
-                letters,
-                sum(map(str.isupper, word)),
-                symbols,
-                word.count("!") + word.count("?"),
-                word[-1:] in ".!?",
-                word.strip(".,;:!?").lower() in FUNCTION_WORDS,
-                letters == 0 and symbols > 0,
-            )
+        at = len(self.facts)
+        self.facts.append(self.fact(word))
         self[word] = at
         return at
 
-    def look_up(self, text: str, facts: int = 10) -> np.ndarray:
-        """The first so many facts of each word of a text, a row per fact."""
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number and fact of each word."""
         if len(self) > 300_000:
             self.clear()
-        at = np.array(list(map(self.__getitem__, text.split())), np.int64)
-        return self.facts[:facts].take(at, axis=1)
+            self.facts.clear()
+        numbers = list(map(self.__getitem__, words))
+        return np.array(numbers, np.int64), np.array(list(map(self.facts.__getitem__, numbers)), np.int64)
+
+
+class _Votes(_Words):
+    """Facts of a word that votes need: 1 ends a sentence, 2 is a function word, 4 is symbols without a letter."""
 
-    def tokens(self, text: str) -> np.ndarray:
-        """Hash and shape of each token of a text: its words, long ones in pieces, so that no character is left out."""
+    def fact(self, word: str) -> int:
+        core = word.strip(".,;:!?")
+        fact = (word[-1] in ".!?") + 2 * (core.lower() in FUNCTION_WORDS)
+        if core and not core.isalnum() and not any(map(str.isalpha, core)):
+            fact += 4 * any(not mark.isalnum() and mark not in _PLAIN for mark in core)
+        return fact
+
+
+class _Kinds(dict):
+    """Code point to its kind: a capital, a letter, a digit, or itself."""
+
+    def __missing__(self, point: int) -> str:
+        mark = chr(point)
+        self[point] = kind = "A" if mark.isupper() else "a" if mark.isalpha() else "9" if mark.isdigit() else mark
+        return kind
+
+
+_KINDS, _RUNS = _Kinds(), re.compile(r"(.)\1+", re.DOTALL)
+
+
+class _Shapes(_Words):
+    """The bucket of a word's shape: its kinds of characters, equal neighbours as one."""
+
+    def __init__(self, buckets: int):
+        super().__init__()
+        self.buckets = buckets
+        self.known: dict[str, int] = {}
+
+    def fact(self, word: str) -> int:
+        if word.isascii() and word.isalpha() and word.islower():
+            shape = "a"
+        else:
+            shape = _RUNS.sub(r"\1", word.translate(_KINDS))
+        found = self.known.get(shape)
+        if found is None:
+            found = zlib.crc32(shape.encode("utf-8", "replace")) % self.buckets
+            if len(self.known) < 300_000:
+                self.known[shape] = found
+        return found
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Number and shape of each token of a text: its words, long ones in pieces, so that no character is left out."""
         words = text.split()
         if max(map(len, words), default=0) > _PIECE:
             words = [word[at : at + _PIECE] for word in words for at in range(0, len(word), _PIECE)]
-        if len(self) > 300_000:
-            self.clear()
-        at = np.array(list(map(self.__getitem__, words)), np.int64)
-        return self.facts[:2].take(at, axis=1)
+        return self.look_up(words)
 
 
 def _repeats(words: np.ndarray) -> int:
@@ -120,45 +172,44 @@ def _repeats(words: np.ndarray) -> int:
     return count - len(np.unique(joined))
 
 
-def _measures(rows: np.ndarray) -> list[float]:
+def _measures(text: str, words: np.ndarray, facts: np.ndarray) -> list[float]:
     """The value each heuristic looks at, in the order of ``HEURISTICS``."""
-    words = rows[0]
     count = len(words)
-    marks = max(rows[2].sum(), 1)
-    letters = max(rows[3].sum(), 1)
+    marks, letters, capitals, symbols = _marks(text)
     same = (words[1:] == words[:-1]).mean() if count > 1 else 0.0
     repeated = _repeats(words) / (count - 3) if count >= 8 else 0.0
+    ends, functions, separators = ((facts & bit > 0).mean() for bit in (1, 2, 4))
     return [
-        rows[5].sum() / marks,
-        rows[4].sum() / letters,
+        symbols / max(marks, 1),
+        capitals / max(letters, 1),
         same,
         repeated,
-        rows[6].sum() / count,
-        rows[9].mean(),
-        1 - rows[8].mean() if count >= 10 else 0.93,
-        1 - rows[7].mean() if count >= 30 else 0.98,
+        (text.count("!") + text.count("?")) / count,
+        separators,
+        1 - functions if count >= 10 else 0.93,
+        1 - ends if count >= 30 else 0.98,
     ]
 
 
-def _votes(rows: np.ndarray) -> str:
+def _votes(text: str, known: _Votes) -> str:
     """One character per heuristic: b, g, or - where it does not say."""
-    if not rows.shape[1]:
+    words = text.split()
+    if not words:
         return "b" * len(HEURISTICS)
-    values = _measures(rows)
+    values = _measures(text, *known.look_up(words))
     return "".join(
         "b" if value >= bad else "g" if value <= good else "-"
         for value, (_, bad, good) in zip(values, HEURISTICS, strict=True)
     )
 
 
-def _hashed(rows: np.ndarray, buckets: int) -> np.ndarray:
+def _hashed(word: np.ndarray, shape: np.ndarray, buckets: int) -> np.ndarray:
     """Roots of the shares of hashed shapes, pairs of shapes, word echoes, and repeated runs of four words."""
     out = np.zeros(buckets)
-    word, shape = rows[0], rows[1]
     if len(word):
         pairs = (shape[:-1] * 31 + shape[1:] + 7) % buckets
         echo = [(1009 * gap) % buckets for gap in (1, 2, 3)]
-        out += np.bincount(shape % buckets, minlength=buckets)
+        out += np.bincount(shape, minlength=buckets)
         out += np.bincount(pairs, minlength=buckets)
         for gap, place in zip((1, 2, 3), echo, strict=True):
             out[place] += 4 * (word[gap:] == word[:-gap]).sum()
@@ -218,9 +269,9 @@ class Scorer:
 
 def vote(text: Column, settings: Settings) -> Column:
     def votes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = _Words(settings.buckets)
+        words = _Votes()
         for batch in batches:
-            yield pd.Series([_votes(words.look_up(value)) for value in batch], dtype=object)
+            yield pd.Series([_votes(value, words) for value in batch], dtype=object)
 
     votes.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(votes, "string")(text)
@@ -238,15 +289,14 @@ def fit(documents: DataFrame, settings: Settings = Settings()) -> Scorer | None:
     sample = documents.select("doc_id", whole("text").alias("_text")).join(F.broadcast(chosen.distinct()), "doc_id")
 
     def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _Words(settings.buckets)
+        words, shapes = _Votes(), _Shapes(settings.buckets)
         for batch in batches:
-            rows = [words.look_up(text) for text in batch["_text"]]
-            vectors = [_hashed(words.tokens(text), settings.buckets) for text in batch["_text"]]
+            vectors = [_hashed(*shapes.tokens(text), settings.buckets) for text in batch["_text"]]
             kept = [np.flatnonzero(vector) for vector in vectors]
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],
-                    "votes": [_votes(row) for row in rows],
+                    "votes": [_votes(text, words) for text in batch["_text"]],
                     "places": [at.tolist() for at in kept],
                     "values": [vector[at].astype("float32").tolist() for vector, at in zip(vectors, kept, strict=True)],
                 }
@@ -293,14 +343,14 @@ def score(documents: DataFrame, scorer: Scorer | None, *, column: str = "quality
         return documents.withColumn(column, F.lit(None).cast("double"))
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = _Words(scorer.settings.buckets)
+        shapes = _Shapes(scorer.settings.buckets)
         weights = np.array(scorer.weights)
         for batch in batches:
             out = []
             for text in batch:
-                rows = words.tokens(text)
-                value = _hashed(rows, scorer.settings.buckets) @ weights + scorer.bias
-                out.append(1 / (1 + np.exp(-np.clip(value, -30, 30))) if rows.shape[1] else 0.0)
+                word, shape = shapes.tokens(text)
+                value = _hashed(word, shape, scorer.settings.buckets) @ weights + scorer.bias
+                out.append(1 / (1 + np.exp(-np.clip(value, -30, 30))) if len(word) else 0.0)
             yield pd.Series(out, dtype=float)
 
     scored.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
