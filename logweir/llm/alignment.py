@@ -30,11 +30,12 @@ _SHIFT = 24
 
 @dataclass(frozen=True)
 class Settings:
-    """``block`` bytes of text are aligned at a time; a longer text is a block by itself."""
+    """``slice`` characters of text are aligned at a time, ``block`` share a list of pairs; a longer text is both by itself."""
 
     first: str = "byte_bpe_50k"
     second: str = "piece_bpe_32k"
     block: int = 4 << 20
+    slice: int = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -98,36 +99,49 @@ class _Speller:
         return [b"".join(parts[low:high]) for low, high in zip(edges.tolist(), edges[1:].tolist())]
 
 
-def _block(rows: list[tuple], number: int, lengths: tuple[np.ndarray, np.ndarray], speller: _Speller) -> dict[str, object]:
-    """One row for the texts of a block: ``(doc_id, ids a, ids b)`` each, no ids where the sides differ.
-
-    Tokens of both sides end where a text ends, so the texts are aligned as
-    one and no group holds tokens of two.
-    """
-    sizes = tuple(np.array([len(row[side]) for row in rows], np.int64) for side in (1, 2))
-    ids = tuple(np.array([token for row in rows for token in row[side]], np.int64) for side in (1, 2))
-    found = align(*(np.cumsum(length[part]) for length, part in zip(lengths, ids, strict=True)))
-    first, second = found.links
-    owner = np.repeat(np.arange(len(rows)), sizes[0])
-    groups = np.bincount(owner[np.flatnonzero(np.diff(found.group[0], prepend=-1))], minlength=len(rows))
-    owner = owner[first]
-    links = np.bincount(owner, minlength=len(rows))
-    place, pairs = pd.factorize((ids[0][first] << _SHIFT) | ids[1][second])
-    # Links of one document and pair become one entry with a count.
-    entries, times = np.unique(owner * max(len(pairs), 1) + place, return_counts=True)
-    owner, place = np.divmod(entries, max(len(pairs), 1))
-    spelled = speller.spelled(ids, found.group, sizes[0] + sizes[1])
-    hashed = [hashlib.sha256(text).hexdigest() if text else "" for text in spelled]
-    numbers = [values.tolist() for values in (*sizes, groups, links)]
-    return {
-        "block": number,
-        "docs": list(zip((row[0] for row in rows), *numbers, hashed, strict=True)),
-        "pairs": pairs,
-        "holds": np.bincount(place, minlength=len(pairs)),
-        "entries": np.bincount(owner, minlength=len(rows)).astype("<i4").tobytes(),
-        "place": place.astype("<i4").tobytes(),
-        "times": times.astype("<i4").tobytes(),
-    }
+class _Block:
+    """Aligned texts of a block, taken up in slices so that few tokens are held at once."""
+
+    def __init__(self, lengths: tuple[np.ndarray, np.ndarray], speller: _Speller):
+        self.lengths, self.speller = lengths, speller
+        self.docs: list[tuple] = []
+        self.codes: list[np.ndarray] = []
+        self.owners: list[np.ndarray] = []
+
+    def add(self, rows: list[tuple]) -> None:
+        """Texts as ``(doc_id, ids a, ids b)``; no ids where the sides differ.
+
+        Tokens of both sides end where a text ends, so the texts are aligned
+        as one and no group holds tokens of two.
+        """
+        sizes = tuple(np.array([len(row[side]) for row in rows], np.int64) for side in (1, 2))
+        ids = tuple(np.concatenate([np.array(row[side], np.int32) for row in rows]) for side in (1, 2))
+        found = align(*(np.cumsum(length[part]) for length, part in zip(self.lengths, ids, strict=True)))
+        first, second = found.links
+        owner = np.repeat(np.arange(len(rows)), sizes[0])
+        groups = np.bincount(owner[np.flatnonzero(np.diff(found.group[0], prepend=-1))], minlength=len(rows))
+        owner = owner[first]
+        links = np.bincount(owner, minlength=len(rows))
+        spelled = self.speller.spelled(ids, found.group, sizes[0] + sizes[1])
+        hashed = [hashlib.sha256(text).hexdigest() if text else "" for text in spelled]
+        self.codes.append((ids[0][first].astype(np.int64) << _SHIFT) | ids[1][second])
+        self.owners.append((owner + len(self.docs)).astype(np.int32))
+        self.docs.extend(zip((row[0] for row in rows), *(values.tolist() for values in (*sizes, groups, links)), hashed, strict=True))
+
+    def row(self, number: int) -> dict[str, object]:
+        place, pairs = pd.factorize(np.concatenate(self.codes))
+        # Links of one document and pair become one entry with a count.
+        entries, times = np.unique(np.concatenate(self.owners) * np.int64(max(len(pairs), 1)) + place, return_counts=True)
+        owner, place = np.divmod(entries, max(len(pairs), 1))
+        return {
+            "block": number,
+            "docs": self.docs,
+            "pairs": pairs,
+            "holds": np.bincount(place, minlength=len(pairs)),
+            "entries": np.bincount(owner, minlength=len(self.docs)).astype("<i4").tobytes(),
+            "place": place.astype("<i4").tobytes(),
+            "times": times.astype("<i4").tobytes(),
+        }
 
 
 _DOCS = "array<struct<doc_id: long, n_a: long, n_b: long, n_groups: long, n_links: long, groups_sha256: string>>"
@@ -149,18 +163,23 @@ def blocks(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens_a, tokens_b = ByteTokens(settings.first), PieceTokens(settings.second)
-        lengths = tuple(np.array([len(side.bytes[at]) for at in range(len(side.bytes))]) for side in (tokens_a, tokens_b))
+        lengths = tuple(np.array([len(token) for token in side.bytes]) for side in (tokens_a, tokens_b))
         speller = _Speller(max(map(len, lengths)))
-        number, rows, held = TaskContext.get().partitionId() << 32, [], 0
+        number, block, rows, held, sliced = TaskContext.get().partitionId() << 32, _Block(lengths, speller), [], 0, 0
         for batch in batches:
             for doc_id, text in zip(batch["_id"], batch["_text"], strict=True):
                 rows.append((None if doc_id is None else int(doc_id), *encoded(tokens_a, tokens_b, text)))
-                held += len(text)
+                held, sliced = held + len(text), sliced + len(text)
+                if sliced >= settings.slice or held >= settings.block:
+                    block.add(rows)
+                    rows, sliced = [], 0
                 if held >= settings.block:
-                    yield pd.DataFrame([_block(rows, number, lengths, speller)])
-                    number, rows, held = number + 1, [], 0
+                    yield pd.DataFrame([block.row(number)])
+                    number, block, held = number + 1, _Block(lengths, speller), 0
         if rows:
-            yield pd.DataFrame([_block(rows, number, lengths, speller)])
+            block.add(rows)
+        if block.docs:
+            yield pd.DataFrame([block.row(number)])
 
     read = documents.select(text_id("doc_id").alias("_id"), whole("text").alias("_text"))
     return staged(read.mapInPandas(aligned, _BLOCK), "aligned")
