@@ -2,16 +2,19 @@
 
 A new segment starts at the first row that would exceed the byte limit or that
 finds the count used up.  Where a cut falls depends on all cuts before it, yet
-a block of rows depends on its past only through a small state: how far into
-the block the open segment still reaches, or how many empty rows it has so far.
-So a long sequence is handled in three steps:
+every row knows where the segment that starts with it would end.  Following
+these pointers, twice as far each time, marks all cuts of many sequences at
+once.  A block of a long sequence depends on its past only through a small
+state: how far into the block the open segment still reaches, or how many
+empty rows it has so far.  So a long sequence is handled in three steps:
 
 1. each block works out, for every state it may be entered with, the state it
    is left with (only for sequences longer than one block),
 2. the states are followed block by block: one small row per block,
-3. each block, now with its true state, marks its rows.
+3. each block, now with its true state, marks its cuts.
 
-Sequences of one block, nearly all of them, go straight to step 3.
+Sequences of one block, nearly all of them, go straight to step 3.  Only keys,
+places, sizes and flags pass through Python.
 """
 
 from __future__ import annotations
@@ -25,8 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_STATE = "entry int, open long"
-
 
 class Segment:
     """The open segment: rows, bytes and whether it has any text yet.
@@ -76,48 +77,86 @@ def _block_exits(rows: pd.DataFrame, length: int, max_rows: int, max_bytes: int)
     boundary = rows["boundary"].to_numpy(dtype=bool)
     size = rows["size"].to_numpy(dtype=np.int64)
     first_text, next_cut = _next_cuts(size, empty, boundary, max_rows, max_bytes)
-    known: dict[int, tuple[int, int]] = {}
-
-    def leave(start: int, reach: int, text_at: int) -> int | None:
-        if text_at >= length:
-            return max_rows + min(length - start, max_rows) - 1
-        if reach >= length:
-            return reach - length
-        return None
-
-    def follow(cut: int) -> tuple[int, int]:
-        path = []
-        while cut not in known:
-            path.append(cut)
-            state = leave(cut, int(next_cut[cut]), int(first_text[cut]))
-            if state is not None:
-                known[cut] = (state, cut)
-                break
-            cut = int(next_cut[cut])
-        for seen in reversed(path):
-            known.setdefault(seen, known[cut])
-        return known[cut]
-
-    exits, cuts = [], []
-    for reach in range(max_rows):
-        state, cut = follow(reach) if reach < length else (reach - length, -1)
-        exits.append(state)
-        cuts.append(cut)
-    head = int(first_text[0])
-    for k in range(1, max_rows + 1):
-        if head >= length:
-            exits.append(max_rows + min(k + length, max_rows) - 1)
-            cuts.append(-1)
+    start = np.arange(length)
+    text_at, reach = first_text[:length], next_cut[:length]
+    leaves = (text_at >= length) | (reach >= length)
+    # The last cut in the block from each row on: pointers followed twice as far each time.
+    last = np.where(leaves, start, np.minimum(reach, length - 1))
+    while not leaves[last].all():
+        last = last[last]
+    state = np.where(text_at >= length, max_rows + np.minimum(length - start, max_rows) - 1, reach - length)
+
+    def left(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State and last cut where the first cut is at these rows; those beyond the block cut nothing in it."""
+        inside = cuts < length
+        at = last[np.where(inside, cuts, 0)]
+        return np.where(inside, state[at], cuts - length), np.where(inside, at, -1)
+
+    exits, cuts = left(np.arange(max_rows))
+    head, k = int(first_text[0]), np.arange(1, max_rows + 1)
+    if head >= length:
+        more = (max_rows + np.minimum(k + length, max_rows) - 1, np.full(max_rows, -1))
+    else:
+        more = left(_first_cuts(size, boundary, head, k, max_rows, max_bytes))
+    return [np.concatenate(pair).tolist() for pair in ((exits, more[0]), (cuts, more[1]))]
+
+
+def _first_cuts(size, boundary, head, k, max_rows, max_bytes):
+    """Where a segment ends that has ``k`` empty rows before these and its first text at ``head``."""
+    total = np.cumsum(size[head : head + max_rows + 1])
+    by_bytes = head + int(np.searchsorted(total, max_bytes, side="right"))
+    later = np.flatnonzero(boundary[head + 1 : head + 1 + max_rows])
+    by_mark = head + 1 + int(later[0]) if len(later) else len(size)
+    return np.maximum(head + 1, np.minimum(max_rows - k, min(by_bytes, by_mark)))
+
+
+def _reached(begins: np.ndarray, next_cut: np.ndarray) -> np.ndarray:
+    """Marks of all rows that the pointers lead to from some rows on, these included."""
+    count = len(next_cut)
+    jump = np.append(np.minimum(next_cut, count), count)
+    marked = np.zeros(count + 1, bool)
+    marked[begins] = marked[count] = True
+    while True:
+        found = jump[np.flatnonzero(marked)]
+        if marked[found].all():
+            return marked[:count]
+        marked[found] = True
+        jump = jump[jump]
+
+
+def _segments(units: pa.Table, pos: str, block_rows: int, max_rows: int, max_bytes: int) -> np.ndarray:
+    """First row of the segment of every row, for whole blocks one after the other."""
+    at = units[pos].to_numpy()
+    size = units["_size"].to_numpy()
+    empty = units["_empty"].to_numpy()
+    boundary = units["_boundary"].to_numpy().copy()
+    first = np.flatnonzero(at % block_rows == 0)
+    edges = np.append(first, len(at))
+    ends = np.repeat(edges[1:], np.diff(edges))
+    first_text, next_cut = _next_cuts(size, empty, boundary, max_rows, max_bytes)
+    # Blocks do not know of each other: where one ends, no pointer goes on.
+    next_cut = np.where((first_text >= ends) | (next_cut >= ends), len(at), next_cut)
+    entry, opened = units["entry"], units["open"]
+    begins, starts = first.copy(), np.full(len(at), -1, np.int64)
+    for nth in np.flatnonzero(entry.is_valid().to_numpy(zero_copy_only=False)[first]).tolist():
+        low, high, state = int(first[nth]), int(ends[first[nth]]), entry[int(first[nth])].as_py()
+        if state == 0:
             continue
-        total = np.cumsum(size[head:head + max_rows + 1])
-        by_bytes = head + int(np.searchsorted(total, max_bytes, side="right"))
-        later = np.flatnonzero(boundary[head + 1:head + 1 + max_rows])
-        by_mark = head + 1 + int(later[0]) if len(later) else len(size)
-        reach = max(head + 1, min(max_rows - k, by_bytes, by_mark))
-        state, cut = follow(reach) if reach < length else (reach - length, -1)
-        exits.append(state)
-        cuts.append(cut)
-    return exits, cuts
+        if state < max_rows:
+            begins[nth] = low + state
+        elif first_text[low] >= high:
+            begins[nth] = high
+        else:
+            part = slice(low, high)
+            k = np.array([state - max_rows + 1])
+            cut = _first_cuts(size[part], boundary[part], int(first_text[low]) - low, k, max_rows, max_bytes)
+            begins[nth] = low + int(cut[0])
+        begins[nth] = min(int(begins[nth]), high)
+        starts[low : begins[nth]] = opened[low].as_py()
+    # An open segment that fills its block cuts nothing there.
+    marked = _reached(begins[begins < edges[1:]], next_cut)
+    rows = np.maximum.accumulate(np.where(marked, np.arange(len(at)), -1))
+    return np.where(starts >= 0, starts, at[np.maximum(rows, 0)])
 
 
 def greedy_cut(
@@ -132,21 +171,24 @@ def greedy_cut(
     boundary: Column | None = None,
     out: str = "segment",
     block_rows: int = 65536,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``out``: the position of the first row of the row's segment.
+    """``keys``, ``pos``, ``carry`` and ``out``: the position of the first row of each row's segment.
 
     ``pos`` numbers the rows of a key from 0 without gaps.  A segment takes
     rows while it has less than ``max_rows`` and its sizes stay within
-    ``max_bytes``; a row too large for any segment is one alone.
+    ``max_bytes``; a row too large for any segment is one alone.  Only narrow
+    columns should go along; join the others on keys and place.
     """
     block_rows = max(block_rows, max_rows)
-    marked = rows.withColumns(
-        {
-            "_block": F.floor(F.col(pos) / block_rows).cast("long"),
-            "_size": size.cast("long"),
-            "_empty": F.coalesce(empty, F.lit(False)) if empty is not None else F.lit(False),
-            "_boundary": F.coalesce(boundary, F.lit(False)) if boundary is not None else F.lit(False),
-        }
+    marked = rows.select(
+        *keys,
+        pos,
+        *carry,
+        F.floor(F.col(pos) / block_rows).cast("long").alias("_block"),
+        size.cast("long").alias("_size"),
+        (F.coalesce(empty, F.lit(False)) if empty is not None else F.lit(False)).alias("_empty"),
+        (F.coalesce(boundary, F.lit(False)) if boundary is not None else F.lit(False)).alias("_boundary"),
     )
     long_keys = marked.where(F.col(pos) >= block_rows).select(*keys).distinct()
     narrow = marked.select(
@@ -164,34 +206,29 @@ def greedy_cut(
         .repartition(*keys, "_block")
         .sortWithinPartitions(*keys, "_block", pos)
     )
-    schema = T.StructType([*placed.schema.fields, T.StructField(out, T.LongType())])
+    schema = T.StructType([*[placed.schema[name] for name in (*keys, pos, *carry)], T.StructField(out, T.LongType())])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, reach = Segment(), -1
-        for batch in batches:
-            names = (pos, "_size", "_empty", "_boundary", "entry", "open")
-            starts = []
-            for at, used, bare, edge, entry, opened in zip(*(batch.column(name).to_pylist() for name in names)):
-                if at % block_rows == 0:
-                    reach = -1
-                    if entry is None or entry == 0:
-                        segment = Segment(at)
-                    elif entry < max_rows:
-                        segment, reach = Segment(opened), at + entry
-                    else:
-                        segment = Segment(opened, rows=entry - max_rows + 1)
-                if at == reach:
-                    segment, reach = Segment(at), -1
-                elif reach < 0 and segment.closes(used, edge, max_rows, max_bytes):
-                    segment = Segment(at)
-                if reach < 0:
-                    segment.add(used, bare)
-                starts.append(segment.start)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(starts, pa.int64())], names=[*batch.schema.names, out]
-            )
+        held: list[pa.RecordBatch] = []
+
+        def done(whole: pa.Table) -> Iterator[pa.RecordBatch]:
+            found = _segments(whole, pos, block_rows, max_rows, max_bytes)
+            yield from whole.select([*keys, pos, *carry]).append_column(out, pa.array(found, pa.int64())).to_batches()
 
-    return placed.mapInArrow(mark, schema).drop("_block", "_size", "_empty", "_boundary", "entry", "open")
+        for batch in batches:
+            # Blocks are cut at once when the next one begins, so at most one waits.
+            begins = np.flatnonzero(batch.column(pos).to_numpy() % block_rows == 0)
+            last = int(begins[-1]) if len(begins) else -1
+            if last < 0 or (last == 0 and not held):
+                held.append(batch)
+                continue
+            whole = [*held, batch.slice(0, last)] if last else held
+            yield from done(pa.Table.from_batches(whole))
+            held = [batch.slice(last)]
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    return placed.mapInArrow(mark, schema)
 
 
 def _entries(

@@ -52,8 +52,9 @@ def merge_lines(
     keys = ["file_key", "_group"]
     tight = group.where(tight_rows).select(*keys).distinct()
     loose = group.join(tight, keys, "left_anti").withColumn("_segment", F.lit(0).cast("long"))
-    cut = greedy_cut(
-        group.join(tight, keys, "left_semi"),
+    tight_lines = group.join(tight, keys, "left_semi")
+    cuts = greedy_cut(
+        tight_lines,
         keys,
         pos="_pos",
         size=F.octet_length("line") + 1,
@@ -64,6 +65,7 @@ def merge_lines(
         out="_segment",
         block_rows=block_rows,
     )
+    cut = tight_lines.join(cuts, [*keys, "_pos"])
     # What a segment starts with before its first text is never part of a body,
     # and no limit cuts it: such rows go before any list is made.
     loose = loose.where(_has_text_since(F.col("_group")))

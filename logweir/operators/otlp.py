@@ -59,25 +59,29 @@ def pack_batches(
     block: Column | None = None,
     block_rows: int = 65536,
 ) -> DataFrame:
-    """Add ``batch``: greedy batches of at most ``batch_size`` records and
-    ``max_batch_bytes`` estimated bytes per key, in the given order.
+    """Add ``pos`` and ``batch``: greedy batches of at most ``batch_size`` records
+    and ``max_batch_bytes`` estimated bytes per key, in the given order.
 
     Which records share a batch has no meaning further on, so choose keys that
-    spread well, such as source and hour.  The batch is the place of its first
-    record, the same on every run, so a lost task can be repeated safely.
+    spread well, such as source and hour; ``order`` must tell the records of a
+    key apart.  The batch is the place of its first record, the same on every
+    run, so a lost task can be repeated safely.  Places are found for keys,
+    order and sizes alone; the records move once, to meet theirs.
     """
     sized = records if "size" in records.columns else with_record_size(records)
-    placed = running(sized, keys, order, sums={"_pos": F.lit(1).cast("long")}, block=block, exclusive=True)
-    return greedy_cut(
-        placed,
-        keys,
-        pos="_pos",
-        size=F.col("size"),
-        max_rows=options.batch_size,
-        max_bytes=options.max_batch_bytes,
-        out="batch",
-        block_rows=block_rows,
-    ).withColumnRenamed("_pos", "pos")
+    place = list(dict.fromkeys([*keys, *order]))
+    narrow = running(
+        sized.select(*place, "size"), keys, order, sums={"_pos": F.lit(1).cast("long")}, block=block, exclusive=True
+    )
+    cuts = greedy_cut(
+        narrow, keys, pos="_pos", size=F.col("size"), max_rows=options.batch_size, max_bytes=options.max_batch_bytes,
+        out="batch", block_rows=block_rows, carry=[name for name in order if name not in keys],
+    )
+    named = cuts.select(
+        *[F.col(name).alias(f"_o{at}") for at, name in enumerate(place)], F.col("_pos").alias("pos"), "batch"
+    )
+    same = [F.col(name).eqNullSafe(F.col(f"_o{at}")) for at, name in enumerate(place)]
+    return sized.join(named, same).drop(*[f"_o{at}" for at in range(len(place))])
 
 
 def resource_logs(batched: DataFrame, keys: Sequence[str], *, scope: str = SCOPE) -> DataFrame:
