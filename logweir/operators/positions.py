@@ -19,19 +19,23 @@ def start_offset(offset: Column, size: Column, start_at: Column) -> Column:
     )
 
 
-def resume_lines(lines: DataFrame, positions: DataFrame, *, start_at: str | Column = "end") -> DataFrame:
+def resume_lines(
+    lines: DataFrame, positions: DataFrame, *, start_at: str | Column = "end", max_bytes: int | None = None
+) -> DataFrame:
     """Lines at or after the resume offset of their file.
 
-    Needs ``file_key, file_size, start_offset``.  The join carries one row per
+    Needs ``file_key, file_size, start_offset``.  With ``max_bytes`` a round
+    ends there, the line that crosses it included: offsets say how much was
+    read before a line, so nothing is summed up.  The join carries one row per
     file on the right; Spark broadcasts it only when its size allows.
     """
     mode = F.lit(start_at) if isinstance(start_at, str) else start_at
     known = positions.select("file_key", F.col("offset").alias("_offset"))
-    return (
-        lines.join(known, "file_key", "left")
-        .where(F.col("start_offset") >= start_offset(F.col("_offset"), F.col("file_size"), mode))
-        .drop("_offset")
-    )
+    start = start_offset(F.col("_offset"), F.col("file_size"), mode)
+    reads = F.col("start_offset") >= start
+    if max_bytes is not None:
+        reads = reads & (F.col("start_offset") - start < max_bytes)
+    return lines.join(known, "file_key", "left").where(reads).drop("_offset")
 
 
 def committed(lines: DataFrame, *, now: Column) -> DataFrame:

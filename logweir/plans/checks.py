@@ -322,6 +322,18 @@ placed as (
   select *, row_number() over w - 1 as line_no, cast(sum(strlen(line) + 1) over w as bigint) as end_offset
   from rows window w as (partition by part order by doc_id, n))
 select part, line_no, end_offset - strlen(line) - 1 as start_offset, end_offset, line from placed""",
+    "resumed_scan": """
+with pieces as (select doc_id // 50 as part, doc_id, string_split(text, chr(10)) as l from documents),
+rows as (select part, doc_id, generate_subscripts(l, 1) as n, unnest(l) as line from pieces),
+placed as (
+  select *, row_number() over w - 1 as line_no, cast(sum(strlen(line) + 1) over w as bigint) as end_offset
+  from rows window w as (partition by part order by doc_id, n)),
+sizes as (select part, max(end_offset) as size from placed group by 1),
+starts as (
+  select part, case when part % 5 = 4 then case when part % 2 = 0 then size else 0 end when part % 5 = 3 then 0 else size // 2 end as start
+  from sizes)
+select part, line_no, end_offset - strlen(line) - 1 as start_offset, end_offset from placed join starts using (part)
+where end_offset - strlen(line) - 1 >= start and end_offset - strlen(line) - 1 < start + 20000""",
     "incomplete_tail": f"with {OFFSETS} select file_key, line_no, start_offset, end_offset from doc_offsets where end_offset <= file_size",
     "incomplete_tail_quick": f"with {OFFSETS} select file_key, line_no, line from doc_offsets where end_offset <= file_size",
     "clean_lines": f"""with {DOCS}

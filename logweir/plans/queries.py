@@ -94,8 +94,8 @@ def scan_text_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy(source.alias("source"), "line").agg(F.count(F.lit(1)).alias("n"))
 
 
-def scan_offsets(spark: SparkSession, folder: str) -> DataFrame:
-    """Byte ranges of lines in files of fifty documents each."""
+def _scanned(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of files of fifty documents each, with their byte ranges."""
     where = scratch_dir(spark, "offsets")
     (
         views.table(spark, folder, "documents")
@@ -103,13 +103,32 @@ def scan_offsets(spark: SparkSession, folder: str) -> DataFrame:
         .repartition("part").sortWithinPartitions("part", "doc_id")
         .select("part", "text").write.partitionBy("part").text(where)
     )
-    placed = lines.with_offsets(scan_lines(spark, [f"{where}/part=*/*.txt"]), block=F.col("block_start"))
-    part = F.regexp_extract("path", r"part=(\d+)/", 1).cast("long")
-    return lines.complete_lines(placed).select(part.alias("part"), "line_no", "start_offset", "end_offset", "line")
+    placed = lines.with_scan_offsets(scan_lines(spark, [f"{where}/part=*/*.txt"]))
+    return placed.withColumn("part", F.regexp_extract("path", r"part=(\d+)/", 1).cast("long"))
+
+
+def scan_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.complete_lines(_scanned(spark, folder)).select("part", "line_no", "start_offset", "end_offset", "line")
+
+
+def resumed_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """A round over scanned files: from stored offsets, some beyond the end of their file, and no more than a cap."""
+    found = _scanned(spark, folder)
+    files = found.select("file_key", "file_size", "part").distinct()
+    stored = files.where("part % 5 <> 4").select(
+        "file_key", F.when(F.col("part") % 5 == 3, F.col("file_size") + 10).otherwise(F.floor(F.col("file_size") / 2)).alias("offset")
+    )
+    mode = F.when(F.col("part") % 2 == 0, "end").otherwise("beginning")
+    return positions.resume_lines(found, stored, start_at=mode, max_bytes=20_000).select("part", "line_no", "start_offset", "end_offset")
+
+
+def _part() -> Column:
+    """Long documents are handled some thousand lines at a time."""
+    return F.floor(F.col("line_no") / 4096)
 
 
 def _doc_offsets(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.with_offsets(views.doc_lines(spark, folder), order=["line_no"])
+    return lines.with_offsets(views.doc_lines(spark, folder), order=["line_no"], block=_part())
 
 
 def incomplete_tail(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,7 +151,7 @@ def clean_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def round_cap(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.cap_round(views.doc_lines(spark, folder), max_bytes=2048).select("file_key", "line_no", "line")
+    return lines.cap_round(views.doc_lines(spark, folder), max_bytes=2048, block=_part()).select("file_key", "line_no", "line")
 
 
 def resumed_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -174,22 +193,21 @@ def pruned_positions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def line_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return multiline.boundary_groups(views.doc_lines(spark, folder), "^[A-M]").select("file_key", "line_no", "group")
+    return multiline.boundary_groups(views.doc_lines(spark, folder), "^[A-M]", block=_part()).select("file_key", "line_no", "group")
 
 
 def merged_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return multiline.merge_lines(views.doc_lines(spark, folder), "^[A-M]")
+    return multiline.merge_lines(views.doc_lines(spark, folder), "^[A-M]", block=_part())
 
 
 def merged_documents_limited(spark: SparkSession, folder: str) -> DataFrame:
     """The same with limits that cut most groups."""
-    return multiline.merge_lines(views.doc_lines(spark, folder), "^[A-M]", max_size=700, max_lines=3)
+    return multiline.merge_lines(views.doc_lines(spark, folder), "^[A-M]", max_size=700, max_lines=3, block=_part())
 
 
 def merged_conversations(spark: SparkSession, folder: str) -> DataFrame:
     """Turns of a conversation; a long one is handled some thousand lines at a time."""
-    part = F.floor(F.col("line_no") / 4096)
-    return multiline.merge_lines(views.conv_lines(spark, folder), "^user> ", block=part)
+    return multiline.merge_lines(views.conv_lines(spark, folder), "^user> ", block=_part())
 
 
 # ---------------------------------------------------------------- rows
@@ -539,7 +557,7 @@ def flow_switch(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     function.__name__: function
     for function in (
-        scan_text_files, scan_offsets, incomplete_tail, incomplete_tail_quick, clean_lines, round_cap, resumed_lines,
+        scan_text_files, scan_offsets, resumed_scan, incomplete_tail, incomplete_tail_quick, clean_lines, round_cap, resumed_lines,
         committed_offsets, merged_positions, pruned_positions, line_groups, merged_documents, merged_documents_limited,
         merged_conversations, cri_fields, severities, document_severities, extracted_attributes, trace_ids, event_times,
         container_names, resources, record_sizes, document_sizes, log_records, kept_records, severity_by_resource,

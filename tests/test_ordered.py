@@ -1,5 +1,6 @@
 """Order-dependent operators against step-by-step models on random input."""
 
+import os
 import random
 
 import numpy as np
@@ -14,6 +15,7 @@ from logweir.operators.multiline import boundary_groups, merge_lines
 from logweir.operators.ordered import running
 from logweir.operators.outbox import schedule
 from logweir.rules import FlowControl, Retry
+from logweir.sources.text_lines import scan_lines
 
 
 def test_running_totals_do_not_depend_on_blocks(spark):
@@ -175,6 +177,36 @@ def test_offsets_tails_and_round_cap(spark):
     assert capped == [("a", 0), ("a", 1), ("b", 0), ("b", 1), ("d", 0)]
 
 
+def test_scan_offsets_move_no_text(spark, tmp_path):
+    """Splits of several files in few tasks: the places of whole files, and no exchange of lines."""
+    rng = random.Random(3)
+    texts = {f"f{n}.log": "".join("x" * rng.randint(0, 30) + rng.choice(["", "é\r"]) + "\n" for _ in range(rng.choice([0, 1, 700]))) + rng.choice(["", "open"]) for n in range(7)}
+    for name, value in texts.items():
+        (tmp_path / name).write_bytes(value.encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        scanned = scan_lines(spark, [f"{tmp_path}/*.log"])
+        found = L.with_scan_offsets(scanned)
+        got = sorted((os.path.basename(r.path), r.line_no, r.start_offset, r.end_offset, r.line) for r in found.collect())
+        plain = L.with_offsets(scanned, block=F.col("block_start"))
+        assert got == sorted((os.path.basename(r.path), r.line_no, r.start_offset, r.end_offset, r.line) for r in plain.collect())
+        assert scanned.select("file_key", "block_start").distinct().count() > 10
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line and "line#" in line]
+        assert "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    expected = []
+    for name, value in texts.items():
+        at = 0
+        pieces = value.encode().split(b"\n")
+        for number, piece in enumerate(pieces[:-1] if not pieces[-1] else pieces):
+            expected.append((name, number, at, at + len(piece) + 1, piece.decode()))
+            at += len(piece) + 1
+    assert got == sorted(expected)
+
+
 # ------------------------------------------------------------- flow control
 
 
