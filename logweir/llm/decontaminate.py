@@ -1,20 +1,22 @@
 """Benchmark decontamination by template windows.
 
 Numbers, names and units become typed placeholders, so that a question asked
-again with other values has the same template.  Windows of template words are
-joined by hash; windows on one diagonal of a document and an item form a run,
-and a run counts only as far as every slot value of the item maps to one value
-of the document and back.
+again with other values has the same template.  A run of names is one
+placeholder, and so is a number with its unit, however many words a value has.
+Windows of template tokens are joined by hash; windows on one diagonal of a
+document and an item form a run, and a run counts only as far as every slot
+value of the item maps to one value of the document and back.  A window with
+few plain words has no template to speak of: it is hashed as it is written.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +26,12 @@ from logweir.session import staged
 
 @dataclass(frozen=True)
 class Settings:
-    """``window`` words are hashed; a run of ``least`` words, or of a whole shorter item, is a leak.
+    """``window`` tokens are hashed; a run of ``least`` words, or of a whole shorter item, is a leak.
 
-    Items of fewer than ``shortest`` words and windows of fewer than
-    ``literals`` plain words say too little and match nothing.  Up to
-    ``filter_windows`` benchmark windows (16 bytes each) go to every task as a
-    filter; a larger benchmark is joined without one.
+    Items of fewer than ``shortest`` words say too little and match nothing.
+    Windows of fewer than ``literals`` plain words match only as written.  Up
+    to ``filter_windows`` benchmark windows (16 bytes each) go to every task
+    as a filter; a larger benchmark is joined without one.
     """
 
     window: int = 8
@@ -58,7 +60,8 @@ class _Template(dict):
 
     def _empty(self) -> None:
         self.clear()
-        self.hashes, self.kinds, self.forms = np.zeros(1024, np.uint64), np.zeros(1024, np.uint8), []
+        self.hashes, self.written = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        self.kinds, self.forms = np.zeros(1024, np.uint8), []
 
     def __missing__(self, word: str) -> int:
         start, end = 0, len(word)
@@ -80,25 +83,58 @@ class _Template(dict):
         form = form.lower()
         at = len(self)
         if at == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            self.kinds = np.concatenate([self.kinds, np.zeros_like(self.kinds)])
-        data = form.encode("utf-8", "replace") if kind == _PLAIN else f"<{kind}>".encode()
-        self.hashes[at] = (zlib.crc32(data) << 32) | zlib.crc32(data, 0x5BD1E995)
+            self.hashes, self.written, self.kinds = (
+                np.concatenate([table, np.zeros_like(table)]) for table in (self.hashes, self.written, self.kinds)
+            )
+        self.written[at] = xxhash.xxh3_64_intdigest(form.encode("utf-8", "replace"))
+        self.hashes[at] = self.written[at] if kind == _PLAIN else xxhash.xxh3_64_intdigest(f"<{kind}>")
         self.kinds[at] = kind
         self.forms.append(form)
         self[word] = at
         return at
 
-    def read(self, text: str) -> np.ndarray:
-        """Places of the words of a text; marks without letters and digits are left out."""
+    def read(self, text: str) -> "_Read":
+        """The tokens of a text; marks without letters and digits are left out."""
         if len(self) > 500_000:
             self._empty()
         at = np.array(list(map(self.__getitem__, text.split())), np.int64)
-        return at[self.kinds[at] != _NONE]
+        at = at[self.kinds[at] != _NONE]
+        kinds = self.kinds[at]
+        goes_on = np.zeros(len(at), bool)
+        goes_on[1:] = ((kinds[1:] == _NAME) & (kinds[:-1] == _NAME)) | ((kinds[1:] == _UNIT) & (kinds[:-1] == _NUMBER))
+        return _Read(self, at, np.flatnonzero(~goes_on))
+
+
+@dataclass(frozen=True)
+class _Read:
+    """Words of a text as places in the tables, and the word that each token starts with."""
+
+    template: _Template
+    words: np.ndarray
+    starts: np.ndarray
+
+    def hashes(self) -> np.ndarray:
+        return self.template.hashes[self.words[self.starts]]
 
-    def slots(self, places: np.ndarray) -> list[str | None]:
-        """Per word the kind and value of a slot, nothing for a plain word."""
-        return [f"{self.kinds[at]}{self.forms[at]}" if self.kinds[at] != _PLAIN else None for at in places]
+    def written(self) -> np.ndarray:
+        """Hashes of the tokens as written."""
+        return np.add.reduceat(self.template.written[self.words] * np.uint64(0xD6E8FEB86659FD93), self.starts)
+
+    def plain(self) -> np.ndarray:
+        return self.template.kinds[self.words[self.starts]] == _PLAIN
+
+    def end(self, token: int) -> int:
+        """The word after a token."""
+        return int(self.starts[token + 1]) if token + 1 < len(self.starts) else len(self.words)
+
+    def slots(self, first: int, last: int) -> list[str | None]:
+        """Per token the kind and value of a slot, nothing for a plain word."""
+        out = []
+        for token in range(first, last):
+            places = self.words[int(self.starts[token]) : self.end(token)]
+            kind = self.template.kinds[places[0]]
+            out.append(None if kind == _PLAIN else f"{kind}{''.join(self.template.forms[at] for at in places)}")
+        return out
 
 
 def _window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -112,43 +148,51 @@ def _window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _windows(template: _Template, text: str, sizes: list[int], settings: Settings, wanted: np.ndarray | None) -> list[tuple]:
-    places = template.read(text)
-    hashes, plain = template.hashes[places], np.concatenate([[0], np.cumsum(template.kinds[places] == _PLAIN)])
-    out = []
+def _windows(read: _Read, sizes: list[int], settings: Settings, wanted: np.ndarray | None) -> list[tuple]:
+    """Hash, place, size, first word, word after, slots of each window, or of those with a wanted hash."""
+    hashes, plain = read.hashes(), np.concatenate([[0], np.cumsum(read.plain())])
+    out, written = [], None
     for size in sizes:
         found = _window_hashes(hashes, size)
         if not len(found):
             continue
-        keep = plain[size:] - plain[:-size] >= min(settings.literals, size)
+        bare = np.flatnonzero(plain[size:] - plain[:-size] < min(settings.literals, size))
+        if len(bare):
+            written = read.written() if written is None else written
+            found[bare] = ~_window_hashes(written, size)[bare]
+        keep = np.arange(len(found))
         if wanted is not None:
             at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
-            keep &= wanted[at] == found
+            keep = np.flatnonzero(wanted[at] == found)
         out += [
-            (int(found[at].astype(np.int64)), int(at), size, template.slots(places[at : at + size]))
-            for at in np.flatnonzero(keep)
+            (
+                int(found[at].astype(np.int64)), at, size, int(read.starts[at]), read.end(at + size - 1),
+                read.slots(at, at + size),
+            )
+            for at in keep.tolist()
         ]
     return out
 
 
 def benchmark_windows(benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Template windows of all items: item, its length in words, hash, place, slots."""
+    """Template windows of all items: item, its length in words and tokens, hash, place, slots."""
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         template = _Template()
         for batch in batches:
             rows = []
             for item, text in zip(batch["item_id"], batch["text"], strict=True):
-                length = len(template.read(text))
+                read = template.read(text)
+                length, tokens = len(read.words), len(read.starts)
                 if length >= settings.shortest:
-                    size = min(settings.window, length)
-                    rows += [(item, length, *row) for row in _windows(template, text, [size], settings, None)]
+                    found = _windows(read, [min(settings.window, tokens)], settings, None)
+                    rows += [(item, length, tokens, row[0], row[1], row[2], row[5]) for row in found]
             if rows:
-                yield pd.DataFrame(rows, columns=["item_id", "length", "hash", "item_place", "size", "item_slots"])
+                yield pd.DataFrame(rows, columns=["item_id", "length", "tokens", "hash", "item_place", "size", "item_slots"])
 
     texts = benchmark.where("item_id is not null").select("item_id", whole("text").alias("text")).distinct()
     return texts.mapInPandas(
-        windows, "item_id long, length int, hash long, item_place int, size int, item_slots array<string>"
+        windows, "item_id long, length int, tokens int, hash long, item_place int, size int, item_slots array<string>"
     )
 
 
@@ -173,7 +217,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, settings: Settings = Setti
             rows = []
             if sizes and (wanted is None or len(wanted)):
                 for at, text in enumerate(batch["text"]):
-                    rows += [(at, *row) for row in _windows(template, text, sizes, settings, wanted)]
+                    rows += [(at, *row) for row in _windows(template.read(text), sizes, settings, wanted)]
             if not rows:
                 continue
             picked = [row[0] for row in rows]
@@ -184,7 +228,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame, settings: Settings = Setti
                     "hash": [row[1] for row in rows],
                     "place": [row[2] for row in rows],
                     "size": [row[3] for row in rows],
-                    "slots": [row[4] for row in rows],
+                    "word": [row[4] for row in rows],
+                    "after": [row[5] for row in rows],
+                    "slots": [row[6] for row in rows],
                 }
             )
 
@@ -192,7 +238,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame, settings: Settings = Setti
     texts = documents.select(F.col("doc_id").cast("string").alias("doc_id"), whole("text").alias("text")).withColumn(
         "text_hash", F.xxhash64("text")
     )
-    hits = texts.mapInPandas(windows, "doc_id string, text_hash long, hash long, place int, size int, slots array<string>")
+    hits = texts.mapInPandas(
+        windows, "doc_id string, text_hash long, hash long, place int, size int, word int, after int, slots array<string>"
+    )
     matched = hits.join(items, ["hash", "size"]).where(
         F.forall(
             F.arrays_zip("slots", "item_slots"),
@@ -201,20 +249,21 @@ def leaks(documents: DataFrame, benchmark: DataFrame, settings: Settings = Setti
     )
     runs = matched.groupBy("doc_id", "text_hash", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).agg(
         F.first("length").alias("length"),
+        F.first("tokens").alias("tokens"),
         # At most one window per word of the item.
-        F.sort_array(F.collect_set(F.struct("place", "size", "slots", "item_slots"))).alias("windows"),
+        F.sort_array(F.collect_set(F.struct("place", "size", "word", "after", "slots", "item_slots"))).alias("windows"),
     )
 
     def longest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for lists in batches:
-            yield pd.DataFrame([_longest_run(list(windows)) for windows in lists], columns=["start", "words"])
+            yield pd.DataFrame([_longest_run(list(windows)) for windows in lists], columns=["start", "words", "tokens"])
 
     longest.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    run = F.pandas_udf(longest, "start int, words int")(F.col("windows"))
+    run = F.pandas_udf(longest, "start int, words int, tokens int")(F.col("windows"))
     id_type = documents.schema["doc_id"].dataType
     return (
         runs.withColumn("run", run)
-        .where(F.col("run.words") >= F.least(F.lit(settings.least), F.col("length")))
+        .where((F.col("run.words") >= F.least(F.lit(settings.least), F.col("length"))) | (F.col("run.tokens") >= F.col("tokens")))
         .select(
             F.struct(F.col("doc_id").cast(id_type).alias("doc_id"), "text_hash").alias("key"),
             "item_id",
@@ -224,9 +273,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame, settings: Settings = Setti
     )
 
 
-def _longest_run(windows: list) -> tuple[int, int]:
-    """Start and length of the longest stretch of words whose slots map one to one."""
-    best, start, end = (0, 0), None, 0
+def _longest_run(windows: list) -> tuple[int, int, int]:
+    """First word, words and tokens of the longest stretch whose slots map one to one."""
+    best, begin, end = (0, 0, 0), None, 0
     there: dict[str, str] = {}
     back: dict[str, str] = {}
     for window in windows:
@@ -234,16 +283,16 @@ def _longest_run(windows: list) -> tuple[int, int]:
         fits = all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs)
         own_there, own_back = dict(pairs), {b: a for a, b in pairs}
         own = len(set(pairs)) == len(own_there) == len(own_back)
-        if start is None or window["place"] > end or not fits or not own:
+        if begin is None or window["place"] > end or not fits or not own:
             if not own:
-                start = None
+                begin = None
                 continue
-            start, there, back = window["place"], {}, {}
+            begin, there, back = window, {}, {}
         there.update(own_there)
         back.update(own_back)
         end = window["place"] + window["size"]
-        best = max(best, (end - start, -start))
-    return -best[1], best[0]
+        best = max(best, (end - begin["place"], window["after"] - begin["word"], -begin["word"]))
+    return -best[2], best[1], best[0]
 
 
 def report(documents: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:

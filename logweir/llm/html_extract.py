@@ -50,6 +50,11 @@ NOTICE = re.compile(
     r"newsletters?|subscribe|subscription|signup|login|share|sharing|social|related|recommended|widgets?|toolbar|masthead|topbar|copyright|legal|disclaimer|pagination|pager|skip)$",
     re.IGNORECASE,
 )
+#: Parts of names that say what shape an element has, not what it holds.
+SHAPES = frozenset(
+    "area bar block body box button buttons col column container content global group head header icon icons inner item items "
+    "link links list main message module outer page panel popup row section site slot text title top unit wrap wrapper zone".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
@@ -82,7 +87,7 @@ def _attributes(written: str) -> dict[str, str]:
 
 
 def _is_notice(name: str, attributes: dict[str, str], in_article: bool) -> bool:
-    if name in ASIDE or (name == "header" and not in_article):
+    if (name in ASIDE and not (name == "label" and in_article)) or (name == "header" and not in_article):
         return True
     if not attributes:
         return False
@@ -95,9 +100,18 @@ def _is_notice(name: str, attributes: dict[str, str], in_article: bool) -> bool:
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
     if not in_article and any(re.fullmatch(r"(?:site|page|main)?[-_]?(?:header|head)", name, re.IGNORECASE) for name in names):
         return True
+    if in_article:
+        return any(map(_names_a_notice, names))
     return any(NOTICE.match(part) for name in names for part in [name, *re.split(r"[-_]", name)])
 
 
+def _names_a_notice(name: str) -> bool:
+    """Whether a whole name says boilerplate: one part of it does, and the others say nothing else."""
+    parts = [part for part in re.split(r"[-_\d]+", name) if part]
+    found = [bool(NOTICE.match(part)) for part in parts]
+    return any(found) and all(bad or part.lower() in SHAPES for part, bad in zip(parts, found, strict=True))
+
+
 def tokens(page: str) -> list[Token]:
     """The page in order; comments and declarations are left out, raw elements are skipped whole."""
     out: list[Token] = []

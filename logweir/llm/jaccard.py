@@ -12,12 +12,12 @@ shingle sets, each pair in the first tree that has it.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,8 +50,7 @@ class _Hashes(dict):
     """Word to its 64-bit hash; emptied when it grows too large."""
 
     def __missing__(self, word: str) -> int:
-        data = word.encode("utf-8", "replace")
-        self[word] = value = (zlib.crc32(data) << 32) | zlib.crc32(data, 0x9E3779B9)
+        self[word] = value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
         return value
 
 

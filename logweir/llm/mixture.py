@@ -11,6 +11,7 @@ disjoint ranges of each source's permuted blocks, shuffled locally.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,14 +29,12 @@ from logweir.session import staged
 class Settings:
     """``weights`` repeat over the sources by code point; no source is taken more than ``most`` times.
 
-    Blocks have ``block`` words; beyond ``blocks`` of them in all they grow, so
-    that a shard's draws stay within what the generator counts exactly.
+    Blocks have ``block`` words at every size.
     """
 
     weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     most: int = 3
     block: int = 512
-    blocks: int = 100_000_000
     shard_words: int = 1 << 20
     seed: int = 20
 
@@ -108,6 +107,43 @@ def _permute(places: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _log_factorials(x: int, y: int) -> float:
+    """``log(x! / y!)``, precise for large neighbours too."""
+    if min(x, y) < 1000:
+        return math.lgamma(x + 1) - math.lgamma(y + 1)
+    step = x - y
+    return (y + 0.5) * math.log1p(step / y) + step * (math.log(x) - 1) + (1 / x - 1 / y) / 12
+
+
+def hypergeometric(random: np.random.Generator, good: int, bad: int, wanted: int) -> int:
+    """How many of ``wanted`` draws without replacement are good, for populations of any size.
+
+    The generator counts up to a thousand million; beyond, candidates from a
+    ratio of uniforms around the mean are accepted by their exact chance.
+    """
+    if good + bad < 1_000_000_000:
+        return int(random.hypergeometric(good, bad, wanted))
+    low, high = max(0, wanted - bad), min(wanted, good)
+    if low == high:
+        return low
+    total = good + bad
+    spread = math.sqrt(wanted * (good / total) * (bad / total) * ((total - wanted) / (total - 1)) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    top = (wanted + 1) * (good + 1) // (total + 2)
+    # From the mode, so that numbers beyond the precision of a double stay whole.
+    middle = wanted * good / total - top + 0.5
+    while True:
+        u, v = 1.0 - random.random(), random.random()
+        found = top + math.floor(middle + width * (v - 0.5) / u)
+        if low <= found <= high:
+            chance = -(
+                _log_factorials(found, top) + _log_factorials(good - found, good - top)
+                + _log_factorials(wanted - found, wanted - top) + _log_factorials(bad - wanted + found, bad - wanted + top)
+            )
+            if 2 * math.log(u) <= chance:
+                return found
+
+
 def _quotas(shard: int, shards: int, draws: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """First draw and number of draws of each source for one shard, along its path of the tree."""
     total = int(draws.sum())
@@ -119,7 +155,7 @@ def _quotas(shard: int, shards: int, draws: np.ndarray, seed: int) -> tuple[np.n
         left, rest = np.zeros(len(draws), np.int64), int(own.sum())
         for at, count in enumerate(own):
             rest -= int(count)
-            left[at] = random.hypergeometric(int(count), rest, wanted) if wanted and count else 0
+            left[at] = hypergeometric(random, int(count), rest, wanted) if wanted and count else 0
             wanted -= int(left[at])
         if shard < middle:
             own, high = left, middle
@@ -184,8 +220,8 @@ def mix(documents: DataFrame, settings: Settings = Settings()) -> Mix:
     sums = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
     sums.sort(key=lambda row: (row["source"] is None, row["source"] or ""))
     wanted = targets([row["size"] for row in sums], settings)
-    total, rows = sum(row["size"] for row in sums), sum(row["rows"] for row in sums)
-    block = max(settings.block, -(-total // settings.blocks))
+    rows = sum(row["rows"] for row in sums)
+    block = settings.block
     sources = [Source.plan(row["size"], target, block) for row, target in zip(sums, wanted, strict=True)]
     table = spark.createDataFrame(
         [(row["source"], at, row["size"], target) for at, (row, target) in enumerate(zip(sums, wanted, strict=True))],
