@@ -33,10 +33,26 @@ def glob_regex(glob: str) -> str:
     return "^" + "".join(out) + r"\z"
 
 
+def literal_ends(glob: str) -> tuple[str, str]:
+    """Text that every match of a glob starts with, and text it ends with."""
+    tokens = re.findall(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.", glob, re.S)
+    plain = [None if token in "*?" or (token.startswith("[") and len(token) > 1) else token[-1] for token in tokens]
+    wild = [at for at, mark in enumerate(plain) if mark is None]
+    if not wild:
+        return "".join(plain), ""
+    return "".join(plain[: wild[0]]), "".join(plain[wild[-1] + 1 :])
+
+
+def matches(path: Column, glob: str) -> Column:
+    """Whether a path matches; its literal ends are looked at first, which settles most paths."""
+    start, end = literal_ends(glob)
+    return F.startswith(path, F.lit(start)) & F.endswith(path, F.lit(end)) & F.rlike(path, F.lit(glob_regex(glob)))
+
+
 def matches_any(path: Column, globs: list[str] | tuple[str, ...]) -> Column:
     out = F.lit(False)
     for glob in globs:
-        out = out | F.rlike(path, F.lit(glob_regex(glob)))
+        out = out | matches(path, glob)
     return out
 
 

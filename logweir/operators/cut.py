@@ -29,29 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-class Segment:
-    """The open segment: rows, bytes and whether it has any text yet.
-
-    Rows flagged ``empty`` do not open the text of a segment: they count as
-    rows only.  While a segment has no text nothing can close it.
-    """
-
-    __slots__ = ("start", "rows", "used", "text")
-
-    def __init__(self, start: int = 0, rows: int = 0, used: int = 0, text: bool = False):
-        self.start, self.rows, self.used, self.text = start, rows, used, text
-
-    def closes(self, size: int, boundary: bool, max_rows: int, max_bytes: int) -> bool:
-        return self.text and (boundary or self.rows >= max_rows or self.used + size > max_bytes)
-
-    def add(self, size: int, empty: bool) -> None:
-        self.rows += 1
-        if self.text or not empty:
-            self.used += size
-            self.text = True
-
-
-def _next_cuts(size, empty, boundary, max_rows, max_bytes):
+def next_cuts(size, empty, boundary, max_rows, max_bytes):
     """For each row as a segment start: first row with text, first row of the next segment."""
     n = len(size)
     index = np.arange(n)
@@ -76,7 +54,7 @@ def _block_exits(rows: pd.DataFrame, length: int, max_rows: int, max_bytes: int)
     empty = rows["empty"].to_numpy(dtype=bool)
     boundary = rows["boundary"].to_numpy(dtype=bool)
     size = rows["size"].to_numpy(dtype=np.int64)
-    first_text, next_cut = _next_cuts(size, empty, boundary, max_rows, max_bytes)
+    first_text, next_cut = next_cuts(size, empty, boundary, max_rows, max_bytes)
     start = np.arange(length)
     text_at, reach = first_text[:length], next_cut[:length]
     leaves = (text_at >= length) | (reach >= length)
@@ -97,11 +75,11 @@ def _block_exits(rows: pd.DataFrame, length: int, max_rows: int, max_bytes: int)
     if head >= length:
         more = (max_rows + np.minimum(k + length, max_rows) - 1, np.full(max_rows, -1))
     else:
-        more = left(_first_cuts(size, boundary, head, k, max_rows, max_bytes))
+        more = left(first_cuts(size, boundary, head, k, max_rows, max_bytes))
     return [np.concatenate(pair).tolist() for pair in ((exits, more[0]), (cuts, more[1]))]
 
 
-def _first_cuts(size, boundary, head, k, max_rows, max_bytes):
+def first_cuts(size, boundary, head, k, max_rows, max_bytes):
     """Where a segment ends that has ``k`` empty rows before these and its first text at ``head``."""
     total = np.cumsum(size[head : head + max_rows + 1])
     by_bytes = head + int(np.searchsorted(total, max_bytes, side="right"))
@@ -110,7 +88,7 @@ def _first_cuts(size, boundary, head, k, max_rows, max_bytes):
     return np.maximum(head + 1, np.minimum(max_rows - k, min(by_bytes, by_mark)))
 
 
-def _reached(begins: np.ndarray, next_cut: np.ndarray) -> np.ndarray:
+def reached(begins: np.ndarray, next_cut: np.ndarray) -> np.ndarray:
     """Marks of all rows that the pointers lead to from some rows on, these included."""
     count = len(next_cut)
     jump = np.append(np.minimum(next_cut, count), count)
@@ -133,7 +111,7 @@ def _segments(units: pa.Table, pos: str, block_rows: int, max_rows: int, max_byt
     first = np.flatnonzero(at % block_rows == 0)
     edges = np.append(first, len(at))
     ends = np.repeat(edges[1:], np.diff(edges))
-    first_text, next_cut = _next_cuts(size, empty, boundary, max_rows, max_bytes)
+    first_text, next_cut = next_cuts(size, empty, boundary, max_rows, max_bytes)
     # Blocks do not know of each other: where one ends, no pointer goes on.
     next_cut = np.where((first_text >= ends) | (next_cut >= ends), len(at), next_cut)
     entry, opened = units["entry"], units["open"]
@@ -149,12 +127,12 @@ def _segments(units: pa.Table, pos: str, block_rows: int, max_rows: int, max_byt
         else:
             part = slice(low, high)
             k = np.array([state - max_rows + 1])
-            cut = _first_cuts(size[part], boundary[part], int(first_text[low]) - low, k, max_rows, max_bytes)
+            cut = first_cuts(size[part], boundary[part], int(first_text[low]) - low, k, max_rows, max_bytes)
             begins[nth] = low + int(cut[0])
         begins[nth] = min(int(begins[nth]), high)
         starts[low : begins[nth]] = opened[low].as_py()
     # An open segment that fills its block cuts nothing there.
-    marked = _reached(begins[begins < edges[1:]], next_cut)
+    marked = reached(begins[begins < edges[1:]], next_cut)
     rows = np.maximum.accumulate(np.where(marked, np.arange(len(at)), -1))
     return np.where(starts >= 0, starts, at[np.maximum(rows, 0)])
 

@@ -13,9 +13,15 @@ from logweir.operators.steps import settle
 from logweir.rules import FileRule, ProcessRule
 
 
-def by_rule(rules: Sequence[FileRule | ProcessRule], make, *, rule: str = "rule") -> Column:
-    """One branch per rule, so that every pattern is a literal compiled once."""
-    if len(rules) == 1:
+def by_rule(rules: Sequence[FileRule | ProcessRule], make, *, rule: str | None = "rule") -> Column:
+    """One branch per rule, so that every pattern is a literal compiled once.
+
+    Rows of no known rule get null.  Without a rule column, named by a null
+    ``rule``, all rows are of the only rule there is.
+    """
+    if rule is None:
+        if len(rules) != 1:
+            raise ValueError("several rules need a rule column")
         return make(rules[0])
     out = F.when(F.col(rule) == rules[0].name, make(rules[0]))
     for item in rules[1:]:
@@ -23,6 +29,11 @@ def by_rule(rules: Sequence[FileRule | ProcessRule], make, *, rule: str = "rule"
     return out
 
 
+def rule_column(frame: DataFrame, name: str = "rule") -> str | None:
+    """The rule column, null where a frame has none."""
+    return name if name in frame.columns else None
+
+
 def with_severity(records: DataFrame) -> DataFrame:
     return settle(records, severity_text=text.severity_text(F.col("body"))).withColumn(
         "severity_number", text.severity_number(F.col("severity_text"))
@@ -37,7 +48,7 @@ def enrich(records: DataFrame, rules: Sequence[FileRule | ProcessRule]) -> DataF
     extractors in order.  Each pattern is evaluated once, in a projection of
     its own, before the map is put together from known names.
     """
-    body = F.col("body")
+    body, rule_name = F.col("body"), rule_column(records)
     leveled = with_severity(records)
     keys = sorted({item.key for rule in rules for item in rule.extractors})
 
@@ -48,7 +59,7 @@ def enrich(records: DataFrame, rules: Sequence[FileRule | ProcessRule]) -> DataF
                 return F.lit(None).cast("string")
             return F.nullif(F.regexp_extract(body, java_pattern(patterns[0]), 1), F.lit(""))
 
-        return by_rule(rules, value)
+        return by_rule(rules, value, rule=rule_name)
 
     def traced(rule) -> Column:
         return text.trace_bytes(F.col("_trace"), rule.trace_id.completion)
@@ -57,7 +68,7 @@ def enrich(records: DataFrame, rules: Sequence[FileRule | ProcessRule]) -> DataF
         levels = [level.upper() for level in rule.drop_levels]
         return F.col("severity_text").isin(levels) if levels else F.lit(False)
 
-    trace = by_rule(rules, lambda rule: text.trace_match(body, rule.trace_id.pattern))
+    trace = by_rule(rules, lambda rule: text.trace_match(body, rule.trace_id.pattern), rule=rule_name)
     matched = leveled.withColumns({"_trace": trace, **{f"_x{index}": extracted(key) for index, key in enumerate(keys)}})
     values = {"log.level": F.nullif(F.col("severity_text"), F.lit(""))}
     if "stream" in records.columns:
@@ -68,9 +79,9 @@ def enrich(records: DataFrame, rules: Sequence[FileRule | ProcessRule]) -> DataF
     return matched.withColumns(
         {
             "attributes": text.keyed_map(values),
-            "trace_id": by_rule(rules, traced),
+            "trace_id": by_rule(rules, traced, rule=rule_name),
             # A row of no known rule is never dropped by it; see ``unmatched``.
-            "dropped": F.coalesce(by_rule(rules, dropped), F.lit(False)),
+            "dropped": F.coalesce(by_rule(rules, dropped, rule=rule_name), F.lit(False)),
         }
     ).drop("_trace", *[f"_x{index}" for index in range(len(keys))])
 
@@ -100,49 +111,53 @@ def stamp(records: DataFrame, *, now: Column | None = None) -> DataFrame:
 def resource_values(
     path: Column,
     rules: Sequence[FileRule | ProcessRule],
-    source_type: str,
+    source_type: str | Column,
     *,
     extra: Mapping[str, Column] | None = None,
-    rule: str = "rule",
+    rule: str | None = "rule",
 ) -> dict[str, Column]:
     """Resource entries of a target: rule attributes, container or process parts, fixed names.
 
     Later parts win.  All names are known from the rules, so each gets one
     value expression.  A container target has its name parts in ``_name``.
     """
-    nothing = F.lit(None).cast("string")
     names = sorted({name for item in rules for name in item.attributes})
 
     def attribute(name: str) -> Column:
-        return by_rule(
-            rules, lambda item: F.lit(item.attributes[name]) if name in item.attributes else nothing, rule=rule
-        )
+        known = [(item.name, item.attributes[name]) for item in rules if name in item.attributes]
+        if rule is None:
+            return F.lit(known[0][1])
+        # A map looks values up by rule, however many rules there are.
+        return F.try_element_at(F.create_map(*[F.lit(part) for pair in known for part in pair]), F.col(rule))
 
     values = {name: attribute(name) for name in names}
     parts = dict(extra or {})
-    if source_type == "container":
+    if not isinstance(source_type, str):
+        contained = paths.container_parts(F.col("_name"))
+        parts |= {name: F.when(source_type == "container", value) for name, value in contained.items()}
+    elif source_type == "container":
         parts |= paths.container_parts(F.col("_name"))
     for name, value in parts.items():
         values[name] = F.coalesce(value, values[name]) if name in values else value
     values["log.file.path"] = path
-    values["log.source.type"] = F.lit(source_type)
-    values["log.source.rule"] = F.lit(rules[0].name) if len(rules) == 1 else F.col(rule)
+    values["log.source.type"] = F.lit(source_type) if isinstance(source_type, str) else source_type
+    values["log.source.rule"] = F.lit(rules[0].name) if rule is None else F.col(rule)
     return values
 
 
 def with_resource(
     records: DataFrame,
     rules: Sequence[FileRule | ProcessRule],
-    source_type: str,
+    source_type: str | Column,
     *,
     path: str = "path",
     extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Add ``resource`` and its canonical ``resource_key``."""
-    values = resource_values(F.col(path), rules, source_type, extra=extra)
+    """Add ``resource`` and its canonical ``resource_key``; the source type may differ by row."""
+    values = resource_values(F.col(path), rules, source_type, extra=extra, rule=rule_column(records))
     # Values first, so that the map and the key share them.
     columns = {name: f"_r{index}" for index, name in enumerate(sorted(values))}
-    if source_type == "container":
+    if not isinstance(source_type, str) or source_type == "container":
         records = records.withColumn("_name", paths.container_name_parts(F.col(path)))
     found = records.withColumns({columns[name]: value for name, value in values.items()})
     shared = {name: F.col(column) for name, column in columns.items()}

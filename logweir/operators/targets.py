@@ -100,26 +100,33 @@ def process_targets(
     return found.withColumns({"reported_path": F.col("path"), "path": read}).drop("read_path")
 
 
-def file_targets(files: DataFrame, rule, source_type: str, rule_idx: int) -> DataFrame:
-    """Targets of one file rule from a listing with a ``path`` column.
-
-    A path matched by any exclude glob is out; ``include_idx`` is the first
-    include glob that matches.
+def file_targets(files: DataFrame, families: Sequence[tuple[str, Sequence]]) -> DataFrame:
+    """Targets of file rules from a listing with a ``path`` column, in one pass over it.
+
+    ``families`` are pairs of source type and rules, in order.  A path goes to
+    the first rule with a glob for it, and there to the first such glob
+    (``include_idx``), unless the rule excludes it; rules after that one
+    would lose it anyway.  Literal ends of the globs settle most of them
+    before any pattern is tried.
     """
-    first = F.coalesce(
-        *[
-            F.when(paths.matches_any(F.col("path"), [glob]), F.lit(index))
-            for index, glob in enumerate(rule.include)
-        ],
-        F.lit(None).cast("int"),
-    )
-    found = files.withColumn("include_idx", first).where(
-        F.col("include_idx").isNotNull() & ~paths.matches_any(F.col("path"), rule.exclude)
-    )
+    path = F.col("path")
+    ways, rules, hits = [], [], []
+    for kind, family in families:
+        for index, rule in enumerate(family):
+            rules.append(rule)
+            excluded = paths.matches_any(path, rule.exclude)
+            for nth, glob in enumerate(rule.include):
+                hits.append(F.when(paths.matches(path, glob) & ~excluded, F.lit(len(ways))))
+                ways.append((kind, rule.name, index, nth))
+
+    def of(at: int) -> Column:
+        return F.array(*[F.lit(way[at]) for way in ways])[F.col("_way")]
+
+    found = files.withColumn("_way", F.coalesce(*hits, F.lit(None).cast("int"))).where("_way is not null")
     named = found.withColumns(
-        {"source_type": F.lit(source_type), "rule": F.lit(rule.name), "rule_idx": F.lit(rule_idx)}
-    )
-    return enrich.with_resource(named, [rule], source_type).withColumn("reported_path", F.col("path"))
+        {"source_type": of(0), "rule": of(1), "rule_idx": of(2), "include_idx": of(3)}
+    ).drop("_way")
+    return enrich.with_resource(named, rules, F.col("source_type")).withColumn("reported_path", path)
 
 
 def first_target_per_path(
@@ -149,12 +156,11 @@ def discover(
     if rule_set.processes:
         found = process_targets(processes, open_files, rule_set.processes, host=host)
         families.append(found.withColumns({"process_idx": F.col("pid"), "include_idx": F.col("fd_order")}))
-    for kind, rules in (("file", rule_set.files), ("container", rule_set.containers)):
-        for index, rule in enumerate(rules):
-            families.append(
-                file_targets(files, rule, kind, index).withColumn("process_idx", F.lit(0).cast("long"))
-                .withColumn("include_idx", F.col("include_idx").cast("long"))
-            )
+    if rule_set.files or rule_set.containers:
+        found = file_targets(files, [("file", rule_set.files), ("container", rule_set.containers)])
+        families.append(
+            found.withColumns({"process_idx": F.lit(0).cast("long"), "include_idx": F.col("include_idx").cast("long")})
+        )
     if not families:
         raise ValueError("the rule set has no sources")
     out = families[0].select(*columns)

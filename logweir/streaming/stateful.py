@@ -1,21 +1,24 @@
 """Keyed stream state: open multi-line records.
 
-State is small per key: one open record, bounded by the multi-line limits.  Rows of a key are put in order inside a micro-batch, whose size
-per file the tail source limits.
+State per key is one open record, bounded by the multi-line limits: a few
+numbers, and its lines as a list that only grows, so a micro-batch writes the
+lines that are new and never the whole body.  Rows of a key are put in order
+inside a micro-batch, whose size per file the tail source limits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from logweir.functions.patterns import java_pattern
-from logweir.operators.cut import Segment
+from logweir.operators.cut import first_cuts, next_cuts, reached
 
 _RECORD = [
     T.StructField("first_line", T.LongType()),
@@ -23,92 +26,192 @@ _RECORD = [
     T.StructField("lines", T.LongType()),
     T.StructField("body", T.StringType()),
 ]
-# Room used and rows of the open segment; its text is the body so far.
-_OPEN = [T.StructField("used", T.LongType()), T.StructField("held", T.LongType())]
+#: The open segment: first and last line, room used, rows, and whether it has text yet.
+_OPEN = [
+    T.StructField("first_line", T.LongType()), T.StructField("last_line", T.LongType()), T.StructField("used", T.LongType()),
+    T.StructField("held", T.LongType()), T.StructField("has_text", T.BooleanType()),
+]
+_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def record_schema(lines: DataFrame, first: Sequence[str]) -> T.StructType:
     return T.StructType([lines.schema["file_key"], *_RECORD, *[lines.schema[name] for name in first]])
 
 
+def use_state_store(spark: SparkSession) -> None:
+    """Keyed state with lists and timers needs the state store that keeps it on disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+
+
+class MergeProcessor(StatefulProcessor):
+    """Joins the lines of a file to records; see ``merge_stream``."""
+
+    def __init__(self, schema: T.StructType, first: Sequence[str], max_size: int, max_lines: int):
+        self.schema, self.first = schema, list(first)
+        self.max_size, self.max_lines = max_size, max_lines
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        carried = [self.schema[name] for name in self.first]
+        self.open = handle.getValueState("open", T.StructType([*_OPEN, *carried]))
+        self.text = handle.getListState("text", "line string")
+
+    def close(self) -> None:
+        pass
+
+    # ------------------------------------------------------------ records
+
+    def _record(self, key: tuple, begun: int, ended: int, text: list[str], carried: Sequence) -> tuple:
+        body = "\n".join(text)
+        return (*key, begun, ended, body.count("\n") + 1, body, *carried)
+
+    def _frame(self, records: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(records, columns=self.schema.fieldNames()).astype(object)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values("at")
+        flush_after = int(frame["flush_ms"].iloc[-1])
+        if frame["alone"].iloc[0]:
+            # Files without a start pattern: every line is a record, nothing is open.
+            records = [
+                (*key, at, at, line.count("\n") + 1, line, *values)
+                for at, line, *values in self._values(frame[["at", "line", *self.first]])
+            ]
+            yield self._frame(records)
+            return
+        done = self._cut(key, frame)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + flush_after)
+        if done:
+            yield self._frame(done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.open.get() if self.open.exists() else None
+        if held is not None and held[4]:
+            record = self._record(key, held[0], held[1], [row[0] for row in self.text.get()], held[5:])
+            self._clear()
+            yield self._frame([record])
+            return
+        self._clear()
+
+    def _clear(self) -> None:
+        self.open.clear()
+        self.text.clear()
+
+    @staticmethod
+    def _values(frame: pd.DataFrame) -> Iterator[tuple]:
+        for values in frame.itertuples(index=False, name=None):
+            yield tuple(None if value is None or value is pd.NaT or value != value else value for value in values)
+
+    def _cut(self, key: tuple, frame: pd.DataFrame) -> list[tuple]:
+        """Records that end in these lines; what stays open goes to the state."""
+        at, line = frame["at"].to_numpy(), frame["line"].tolist()
+        size = frame["size"].to_numpy(np.int64) + 1
+        empty, edge = size == 1, frame["edge"].to_numpy(bool)
+        count, max_bytes = len(line), self.max_size + 1
+        first_text, cuts = next_cuts(size, empty, edge, self.max_lines, max_bytes)
+        held = self.open.get() if self.open.exists() else None
+        begin = 0
+        if held is not None and held[4]:
+            # Room and rows are used already, and any start ends the open record.
+            by_bytes = int(np.searchsorted(np.cumsum(size), max_bytes - held[2], side="right"))
+            marks = np.flatnonzero(edge)
+            begin = min(max(self.max_lines - held[3], 0), by_bytes, int(marks[0]) if len(marks) else count)
+        elif held is not None:
+            head = int(first_text[0])
+            begin = count
+            if head < count:
+                rows = np.array([min(held[3], self.max_lines)])
+                begin = int(first_cuts(size, edge, head, rows, self.max_lines, max_bytes)[0])
+        begin = min(begin, count)
+        marked = reached(np.array([begin] if begin < count else [], np.int64), cuts)
+        edges = [begin, *(np.flatnonzero(marked[begin + 1 :]) + begin + 1).tolist(), count] if begin < count else [begin]
+        carried = frame[self.first]
+
+        def opened(low: int, high: int) -> tuple:
+            """The segment of these rows: its numbers, its text and what it takes from its first line with text."""
+            text_at = int(first_text[low]) if low < high else high
+            has_text = text_at < high
+            row = text_at if has_text else high - 1
+            (values,) = self._values(carried.iloc[[row]]) if self.first else ((),)
+            used = int(size[text_at:high].sum()) if has_text else 0
+            return (int(at[row]), int(at[high - 1]), used, high - low, has_text), line[text_at:high], values
+
+        done = []
+        if begin > 0 and held is not None:
+            # The open segment goes on with the first rows.
+            if held[4]:
+                held = (held[0], int(at[begin - 1]), held[2] + int(size[:begin].sum()), held[3] + begin, True, *held[5:])
+                added = line[:begin]
+            else:
+                numbers, added, values = opened(0, begin)
+                held = (*numbers[:3], held[3] + begin, numbers[4], *values)
+            if begin == count:
+                self.open.update(held)
+                if added:
+                    self.text.appendList([(text,) for text in added])
+                return done
+        else:
+            added = []
+        if held is not None and held[4]:
+            before = [row[0] for row in self.text.get()]
+            done.append(self._record(key, held[0], held[1], [*before, *added], held[5:]))
+        for low, high in zip(edges, edges[1:]):
+            numbers, text, values = opened(low, high)
+            if high < count:
+                done.append(self._record(key, numbers[0], numbers[1], text, values))
+            else:
+                self.open.update((*numbers, *values))
+                self.text.put([(value,) for value in text]) if text else self.text.clear()
+        return done
+
+
 def merge_stream(
     lines: DataFrame,
-    start_pattern: str,
+    start_pattern: str | Column,
     *,
     order: str = "start_offset",
     max_size: int = 4 * 1024 * 1024,
     max_lines: int = 1000,
-    flush_after_ms: int = 5_000,
+    flush_after_ms: int | Column = 5_000,
     first: Sequence[str] = (),
+    alone: Column | None = None,
 ) -> DataFrame:
     """Streaming form of ``multiline.merge_lines`` with one open record per file.
 
     A record is emitted when the next one starts, at a limit, or when no line
-    came for ``flush_after_ms``.  Columns in ``first`` must be of plain types.
+    came for ``flush_after_ms``.  Start and wait may differ by file as columns;
+    files that are ``alone`` have a record per line.  Columns in ``first`` must
+    be of plain types.
     """
+    use_state_store(lines.sparkSession)
     kept = F.when(F.octet_length("line") > max_size, F.substring("line", 1, max_size)).otherwise(F.col("line"))
+    edge = F.rlike("line", F.lit(java_pattern(start_pattern))) if isinstance(start_pattern, str) else start_pattern
+    flush = F.lit(flush_after_ms) if isinstance(flush_after_ms, int) else flush_after_ms
     source = lines.withColumn("line", kept).select(
         "file_key",
         F.col(order).alias("at"),
         "line",
         F.octet_length("line").cast("long").alias("size"),
-        F.rlike("line", F.lit(java_pattern(start_pattern))).alias("edge"),
+        F.coalesce(edge, F.lit(False)).alias("edge"),
+        F.coalesce(flush.cast("long"), F.lit(5_000).cast("long")).alias("flush_ms"),
+        (F.lit(False) if alone is None else F.coalesce(alone, F.lit(False))).alias("alone"),
         *first,
     )
     output = record_schema(lines, first)
-    extra = [lines.schema[name] for name in first]
-    state_schema = T.StructType([*_RECORD, *_OPEN, *extra])
-    names = output.fieldNames()
-
-    def record(key, fields: tuple) -> tuple:
-        return (*key, *fields[:4], *fields[6:])
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            fields = state.get
-            state.remove()
-            if fields[3]:
-                yield pd.DataFrame([record(key, fields)], columns=names).astype(object)
-            return
-        frame = pd.concat(list(frames)).sort_values("at")
-        carried = [None] * len(first)
-        begun = ended = None
-        text: list[str] = []
-        segment = Segment()
-        if state.exists:
-            begun, ended, _, body, used, held, *carried = state.get
-            segment = Segment(rows=held, used=used, text=bool(body))
-            text = [body] if body else []
-        done = []
-
-        def closed() -> tuple:
-            body = "\n".join(text)
-            return (begun, ended, body.count("\n") + 1, body, segment.used, segment.rows, *carried)
-
-        for at, line, size, edge, *values in frame[["at", "line", "size", "edge", *first]].itertuples(index=False, name=None):
-            if segment.closes(size + 1, edge, max_lines, max_size + 1):
-                done.append(record(key, closed()))
-                segment, text = Segment(), []
-            if not segment.text:
-                begun, carried = int(at), [None if pd.isna(value) else value for value in values]
-            segment.add(size + 1, line == "")
-            if segment.text:
-                text.append(line)
-            ended = int(at)
-        state.update(closed())
-        state.setTimeoutDuration(flush_after_ms)
-        if done:
-            yield pd.DataFrame(done, columns=names).astype(object)
-
-    return source.groupBy("file_key").applyInPandasWithState(
-        step, output, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout
+    return source.groupBy("file_key").transformWithStateInPandas(
+        MergeProcessor(output, first, max_size, max_lines), output, "Append", "ProcessingTime"
     )
 
 
 def open_records(spark: SparkSession, checkpoint: str, first: Sequence[str] = (), *, operator: int = 0) -> DataFrame:
     """Open records in the state of a stopped stream: the final flush."""
-    state = spark.read.format("statestore").option("operatorId", operator).load(checkpoint)
-    value = "value.groupState" if "groupState" in state.schema["value"].dataType.fieldNames() else "value"
-    return state.select("key.*", f"{value}.*").where("body <> ''").select(
-        "file_key", *[field.name for field in _RECORD], *first
+    reader = spark.read.format("statestore").option("operatorId", operator)
+    held = reader.option("stateVarName", "open").load(checkpoint).select("key.*", "value.*").where("has_text")
+    text = reader.option("stateVarName", "text").option("flattenCollectionTypes", False).load(checkpoint)
+    lines = text.select("key.*", F.array_join(F.transform("list_value", lambda item: item["line"]), "\n").alias("body"))
+    return held.join(lines, "file_key").select(
+        "file_key", "first_line", "last_line",
+        (F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("lines"), "body", *first,
     )
