@@ -184,6 +184,11 @@ def payload(content: Column) -> Column:
 def messages(records: DataFrame, policy: AlertPolicy, *, now: Column | None = None) -> DataFrame:
     """Alert messages of a record frame: filters, fields, content, payload."""
     sent, _ = split_ignored(select_alerts(records, policy))
+    return rendered(sent, policy, now=now)
+
+
+def rendered(sent: DataFrame, policy: AlertPolicy, *, now: Column | None = None) -> DataFrame:
+    """Content and payload of the alerts to send."""
     return with_fields(sent, policy, now=now).withColumn(
         "content", render(policy.max_content_length)
     ).withColumn("payload", payload(F.col("content")))

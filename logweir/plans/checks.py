@@ -472,6 +472,27 @@ select epoch_us(ts) // 21600000000 * 21600000000 as start_us, count(*) as droppe
     "tailed_documents": f"select part, start_offset, end_offset, line from ({CHECKS['scan_offsets']})",
     "streamed_admissions": CHECKS["admitted"],
     "streamed_waits": CHECKS["admitted_late"],
+    "drained": """
+with pieces as (select doc_id // 50 as part, unnest(string_split(text, chr(10))) as line from documents)
+select part, count(*) as lines, cast(sum(strlen(line)) as bigint) as bytes from pieces where line <> '' group by 1""",
+    "process_records": f"""with firsts as ({FIRST}), {DOCS},
+found as (
+  select f.path, f.rule, f.source_type, c_custkey as pid, lower(c_mktsegment) as comm, 'java -jar ' || c_name || '.jar --nation=' || c_nationkey as cmdline
+  from firsts f left join customer on f.source_type = 'process' and c_custkey = f.process_idx),
+lined as (
+  select d.file_key, d.line_no, d.line, rule, 'log.file.path=' || path || ';log.source.rule=' || rule || ';log.source.type=' || source_type
+    || case when source_type = 'process' then ';process.command_line=' || cmdline || ';process.name=' || comm || ';process.pid=' || pid
+      || case rule when 'building' then ';team=b' when 'nations' then ';team=n' else '' end else '' end as resource
+  from doc_lines d join found on path = '/data/' || ['f', 'o', 'p'][file_key % 3 + 1] || '/' || (file_key % 4000) || '.log'),
+nations as (select file_key, line_no, line from lined where rule = 'nations'),
+merged as ({_merge('nations', '^[0-9]')})
+select file_key as doc_id, line_no, rule, line as body, resource from lined where rule <> 'nations'
+union all
+select m.file_key, m.first_line, 'nations', m.body, l.resource from merged m join lined l on l.file_key = m.file_key and l.line_no = m.first_line""",
+    "ignored_alerts": f"with {SENT} select line_no, level as severity_text, ignored_by from candidates where ignored_by is not null",
+    "redelivered": """
+select event_id as seq, case event_id % 8 when 2 then '5-again-2' when 4 then '5-again-2' when 3 then '6-again-3' else cast(event_id % 8 as varchar) end as sent
+from events""",
     "fanned_out": f"""with {SENT}
 select 'alerts' as sink, 'ok' as outcome, cast(null as varchar) as error, (select count(*) from sent) as written
 union all select 'broken', 'failed', 'sink is down', 0

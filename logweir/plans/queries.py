@@ -328,7 +328,7 @@ def process_paths(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("pid", "rule", "fd_order", "path", "reported_path", flat(F.col("resource")).alias("resource"))
 
 
-def _listing(spark: SparkSession, folder: str) -> DataFrame:
+def listing(spark: SparkSession, folder: str) -> DataFrame:
     opened = views.open_files(spark, folder).where(F.startswith("path", F.lit("/")))
     return opened.select("host", paths.strip_deleted(F.col("path")).alias("path")).distinct()
 
@@ -336,7 +336,7 @@ def _listing(spark: SparkSession, folder: str) -> DataFrame:
 def first_targets(spark: SparkSession, folder: str) -> DataFrame:
     found = targets.discover(
         RULES, processes=views.processes(spark, folder), open_files=views.open_files(spark, folder),
-        files=_listing(spark, folder),
+        files=listing(spark, folder),
     )
     return found.select("host", "path", "source_type", "rule", "process_idx", "include_idx")
 
@@ -348,7 +348,7 @@ def new_targets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def excluded_paths(spark: SparkSession, folder: str) -> DataFrame:
-    listing = _listing(spark, folder)
+    listing = listing(spark, folder)
     return targets.exclude_paths(listing, listing.where(paths.matches_any(F.col("path"), ["/data/[of]/1*.log"]))).select("path")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 from dataclasses import replace
 
@@ -9,12 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweir.operators import targets
 from logweir.plans import queries as batch
 from logweir.plans import views
-from logweir.rules import ExportOptions, FlowControl, Limits
-from logweir.session import scratch_dir
+from logweir.rules import ExportOptions, FileRule, FlowControl, Limits, Multiline, Retry, RuleSet
+from logweir.session import mounted_path, scratch_dir, staged
 from logweir.sources.tail_source import tail_lines
-from logweir.streaming import limits, sinks
+from logweir.streaming import job, limits, sinks
+from logweir.streaming.redelivery import Outbox
 from logweir.streaming.stateful import merge_stream, open_records
 
 
@@ -37,14 +40,6 @@ def _run(stream: DataFrame, where: str) -> None:
     query.awaitTermination()
 
 
-def _shared_path(uri: str) -> str:
-    """Path of the shared folder as the tasks mount it."""
-    path = uri.removeprefix("file://").removeprefix("file:")
-    if "://" in path:
-        raise RuntimeError("tailing needs a shared folder that is mounted as a file system")
-    return path
-
-
 # ---------------------------------------------------------------- multi-line
 
 
@@ -100,7 +95,7 @@ def _rounds(folder: str) -> int:
 
 def tailed_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Files that grow between two runs; the second resumes where the first stopped."""
-    where = _shared_path(scratch_dir(spark, "tailed"))
+    where = mounted_path(scratch_dir(spark, "tailed"))
     os.makedirs(f"{where}/in", exist_ok=True)
     parts = views.table(spark, folder, "documents").select(
         F.floor(F.col("doc_id") / 50).cast("long").alias("part"), "doc_id", "text"
@@ -109,7 +104,7 @@ def tailed_documents(spark: SparkSession, folder: str) -> DataFrame:
         _write_files(parts, f"{where}/in", half=half)
         lines = tail_lines(
             spark, include=[f"{where}/in/*.log"], start_at="beginning", max_bytes_per_file=_ROUND_BYTES,
-            progress=f"{where}/progress.json",
+            progress=f"{where}/progress",
         )
         # A round ends at the cap of a file; further rounds follow until nothing is left.
         for _ in range(_rounds(f"{where}/in")):
@@ -118,6 +113,65 @@ def tailed_documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{where}/out").select(part.alias("part"), "start_offset", "end_offset", "line")
 
 
+def drained(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that grow between two runs of the job, each run drained: what was exported per file, twice what must be once.
+
+    The record that is open at the first drain goes on in the second run.
+    """
+    where = mounted_path(scratch_dir(spark, "drained"))
+    os.makedirs(f"{where}/in", exist_ok=True)
+    rule = FileRule(
+        name="docs", include=(f"{where}/in/*.log",), start_at="beginning", multiline=Multiline(start_pattern="^[A-M]", flush_after="1h"),
+    )
+    rules = RuleSet(files=(rule,))
+    parts = views.table(spark, folder, "documents").select(
+        F.floor(F.col("doc_id") / 50).cast("long").alias("part"), "doc_id", "text"
+    )
+    for half in (True, False):
+        _write_files(parts, f"{where}/in", half=half)
+        for _ in range(_rounds(f"{where}/in")):
+            job.start(spark, rules, rule, folder=f"{where}/job", once=True).awaitTermination()
+        job.drain(spark, rules, rule, folder=f"{where}/job")
+    # Nothing is left to send.
+    job.drain(spark, rules, rule, folder=f"{where}/job")
+    record = "struct<body: struct<stringValue: string>>"
+    attribute = "array<struct<key: string, value: struct<stringValue: string>>>"
+    schema = f"resourceLogs array<struct<resource: struct<attributes: {attribute}>, scopeLogs: array<struct<logRecords: array<{record}>>>>>"
+    deep = spark.read.option("recursiveFileLookup", "true").text(f"{where}/job/export")
+    entry = deep.select(F.explode(F.from_json("value", schema)["resourceLogs"]).alias("entry"))
+    path = F.filter("entry.resource.attributes", lambda item: item["key"] == "log.file.path")[0]["value"]["stringValue"]
+    bodies = entry.select(path.alias("path"), F.explode(F.flatten("entry.scopeLogs.logRecords")).alias("r"))
+    found = bodies.select("path", F.explode(F.split("r.body.stringValue", "\n")).alias("line")).where("line <> ''")
+    return found.groupBy(F.regexp_extract("path", r"/(\d+)\.log$", 1).cast("long").alias("part")).agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("line").cast("long")).alias("bytes")
+    )
+
+
+def process_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of documents as files that processes hold open or globs match: all rules in one stream."""
+    found = staged(
+        targets.discover(
+            batch.RULES, processes=views.processes(spark, folder), open_files=views.open_files(spark, folder),
+            files=batch.listing(spark, folder),
+        ),
+        "targets",
+    )
+    letter = F.array(*map(F.lit, ("f", "o", "p")))[(F.col("doc_id") % 3).cast("int")]
+    path = F.concat(F.lit("/data/"), letter, F.lit("/"), (F.col("doc_id") % 4000).cast("string"), F.lit(".log"))
+    lines = _stream(spark, folder, "documents").select(
+        F.col("doc_id").alias("file_key"), path.alias("path"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+    ).withColumn("line_no", F.col("line_no").cast("long"))
+    where = scratch_dir(spark, "process-records")
+    merged = job.merged_targets(job.with_targets(lines, found.where("host = 'node1'")), batch.RULES, order="line_no")
+    _run(merged, where)
+    still = open_records(spark, f"{where}/checkpoint", (*job.FIRST, "rule")).withColumnRenamed("first_line", "start_offset")
+    bodies = spark.read.parquet(f"{where}/out").unionByName(still)
+    records = job.finish_targets(bodies, batch.RULES, found.where("host = 'node1'"))
+    return records.select(
+        F.col("file_key").alias("doc_id"), F.col("start_offset").alias("line_no"), "rule", "body", batch.flat(F.col("resource")).alias("resource")
+    )
+
+
 # ---------------------------------------------------------------- flow control
 
 
@@ -232,6 +286,43 @@ def fanned_out(spark: SparkSession, folder: str) -> DataFrame:
     return outcomes.join(written, "sink", "left").withColumn("written", F.coalesce("written", F.lit(0)))
 
 
+def ignored_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """Alerts that an ignored keyword holds back, as the stream's side table has them."""
+    where = scratch_dir(spark, "ignored")
+    _each_batch(spark, _records(spark, folder), sinks.alert_sink(f"{where}/alerts", batch.POLICY), where)
+    deep = spark.read.option("recursiveFileLookup", "true").parquet(f"{where}/alerts-ignored")
+    return deep.select("line_no", "severity_text", "ignored_by")
+
+
+#: Seconds between micro-batches, and those at which the output of ``redelivered`` is down.
+_EVERY, _DOWN = 15, (30, 45, 60)
+
+
+def redelivered(spark: SparkSession, folder: str) -> DataFrame:
+    """Which call sent each event: eight micro-batches, three while the output is down, sent again when their wait is over."""
+    where = scratch_dir(spark, "redelivered")
+    started = dt.datetime(2031, 1, 1, tzinfo=dt.timezone.utc)
+    passed = [0]
+
+    def export(frame: DataFrame, batch_id: int | str) -> None:
+        if passed[0] in _DOWN:
+            raise RuntimeError("down")
+        frame.select("seq").write.mode("overwrite").parquet(f"{where}/out/sent={batch_id}")
+
+    box = Outbox(
+        f"{where}/box", Retry(initial_interval="10s", max_interval="20s", max_elapsed_time="5m"),
+        clock=lambda: started + dt.timedelta(seconds=passed[0]),
+    )
+    events = views.arrivals(spark, folder)
+    for number in range(8):
+        passed[0] = number * _EVERY
+        try:
+            box.guard(export)(events.where(F.col("seq") % 8 == number), number)
+        except RuntimeError:
+            pass
+    return spark.read.parquet(f"{where}/out").select("seq", F.col("sent").cast("string").alias("sent"))
+
+
 def refreshed_policy(spark: SparkSession, folder: str) -> DataFrame:
     """Three rounds: a policy, an invalid table that is ignored, another policy."""
     where, source = scratch_dir(spark, "policy"), _records(spark, folder)
@@ -259,6 +350,7 @@ QUERIES = {
     function.__name__: function
     for function in (
         streamed_documents, streamed_documents_limited, tailed_documents, streamed_admissions, streamed_waits,
-        limited_batches, limited_waits, reported_drops, fanned_out, refreshed_policy,
+        drained, process_records, limited_batches, limited_waits, reported_drops, fanned_out, ignored_alerts, redelivered,
+        refreshed_policy,
     )
 }

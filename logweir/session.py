@@ -47,6 +47,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def mounted_path(folder: str) -> str:
+    """Path of a shared folder as all tasks mount it; tailing reads files, which no other store offers."""
+    path = folder.removeprefix("file://").removeprefix("file:")
+    if "://" in path:
+        raise ValueError(f"{folder} is not on a mounted file system, which following growing files needs")
+    return path.rstrip("/")
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder; nothing is created or removed."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"

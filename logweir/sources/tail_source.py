@@ -11,21 +11,33 @@ Options
     include, exclude    JSON lists of path globs
     skip                JSON list of [include, exclude] pairs that have these files already
     start_at            ``end`` (default) or ``beginning`` for files not seen before
+    starts              JSON list of [include, exclude, start_at]: the first that has a file decides in place of start_at,
+                        and a file that none has is not read
     max_bytes_per_file  bytes admitted per file and batch, default 4 MiB
     max_line_chars      code points kept of a line, default 1 Mi
     piece_bytes         bytes per task, default 32 MiB
     keep_seconds        how long a vanished file is remembered, default one day
-    progress            required: file on shared storage for the admitted
-                        offsets, one per checkpoint; it only paces the rounds,
-                        what was read is known from the checkpoint
+    progress            required: folder on shared storage, one per checkpoint
+    shards              0 (default): the driver lists the files, and the offset of
+                        a batch has an entry per file.  Above 0: so many tasks
+                        list, look at and read the files, each those of its
+                        inodes, and the offset is the number of a round
+
+With the driver's listing ``progress`` only paces the rounds; what was read is
+known from the checkpoint.  With shards, each task writes down once what it
+reads in a round, in a file that only its first attempt can make, so a task or
+batch that runs again reads the same bytes.  Rounds then follow each other
+whether there is something new or not.
 """
 
 from __future__ import annotations
 
 import codecs
+import fnmatch
 import glob
 import json
 import os
+import re
 import time
 from collections.abc import Iterator
 
@@ -33,6 +45,8 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from logweir.functions.paths import glob_regex
+
 SCHEMA = "file_key string, path string, start_offset long, end_offset long, line string"
 _CHUNK = 1 << 20
 
@@ -46,6 +60,11 @@ def _matched(patterns: list[str]) -> list[str]:
     return list(found)
 
 
+def _matcher(patterns: list[str]) -> re.Pattern:
+    """Paths that any of the globs matches."""
+    return re.compile("|".join(glob_regex(pattern).replace(r"\z", r"\Z") for pattern in patterns) or r"(?!)", re.DOTALL)
+
+
 class Piece(InputPartition):
     """Byte ranges of files for one task: (key, path, floor, start, end)."""
 
@@ -63,7 +82,8 @@ class TailSource(DataSource):
         return SCHEMA
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
-        return TailReader(dict(self.options))
+        sharded = int({name.lower(): value for name, value in self.options.items()}.get("shards", 0))
+        return (ShardedTailReader if sharded else TailReader)(dict(self.options))
 
 
 class TailReader(DataSourceStreamReader):
@@ -73,26 +93,38 @@ class TailReader(DataSourceStreamReader):
         self.exclude = json.loads(options.get("exclude", "[]"))
         self.skip = json.loads(options.get("skip", "[]"))
         self.start_at = options.get("start_at", "end")
+        self.starts = [
+            (_matcher(include), _matcher(exclude), start_at) for include, exclude, start_at in json.loads(options.get("starts", "[]"))
+        ]
         self.max_bytes = int(options.get("max_bytes_per_file", 4 << 20))
         self.max_chars = int(options.get("max_line_chars", 1 << 20))
         self.piece_bytes = int(options.get("piece_bytes", 32 << 20))
         self.keep_seconds = float(options.get("keep_seconds", 86400))
         self.progress = options["progress"]
+        self.shards = int(options.get("shards", 0))
         self.reached: dict = self._load()
 
     # ------------------------------------------------------------ offsets
 
     def _load(self) -> dict:
-        if not os.path.exists(self.progress):
+        if not os.path.exists(f"{self.progress}/reached.json"):
             return {}
-        with open(self.progress, encoding="utf-8") as file:
+        with open(f"{self.progress}/reached.json", encoding="utf-8") as file:
             return json.load(file)
 
     def _save(self) -> None:
-        fresh = f"{self.progress}.{os.getpid()}"
+        os.makedirs(self.progress, exist_ok=True)
+        fresh = f"{self.progress}/reached.{os.getpid()}"
         with open(fresh, "w", encoding="utf-8") as file:
             json.dump(self.reached, file, separators=(",", ":"))
-        os.replace(fresh, self.progress)
+        os.replace(fresh, f"{self.progress}/reached.json")
+
+    def _start_of(self, path: str) -> str | None:
+        """Where a file that was not seen before starts; nothing for one that is not read at all."""
+        for include, exclude, start_at in self.starts:
+            if include.match(path) and not exclude.match(path):
+                return start_at
+        return None if self.starts else self.start_at
 
     def _listing(self) -> dict[str, tuple[str, int]]:
         """Size of each regular file by identity, first path first."""
@@ -101,7 +133,7 @@ class TailReader(DataSourceStreamReader):
             taken |= set(_matched(include)) - set(_matched(exclude))
         out: dict[str, tuple[str, int]] = {}
         for path in _matched(self.include):
-            if path in taken or not os.path.isfile(path):
+            if path in taken or not os.path.isfile(path) or self._start_of(path) is None:
                 continue
             try:
                 info = os.stat(path)
@@ -110,17 +142,13 @@ class TailReader(DataSourceStreamReader):
             out.setdefault(f"{info.st_dev}:{info.st_ino}", (path, info.st_size))
         return out
 
-    def initialOffset(self) -> dict:
-        """Nothing read yet; each file then begins at the floor of its entry."""
-        return {}
-
-    def latestOffset(self) -> dict:
-        now, old = int(time.time()), self.reached
-        reached = {}
-        for key, (path, size) in self._listing().items():
+    def _reach(self, old: dict, listing: dict[str, tuple[str, int]]) -> dict:
+        """How far each file is read next, from where it was read to and its size now."""
+        now, reached = int(time.time()), {}
+        for key, (path, size) in listing.items():
             known = old.get(key)
             if known is None:
-                floor = size if self.start_at == "end" else 0
+                floor = size if self._start_of(path) == "end" else 0
                 known = {"floor": floor, "at": floor, "life": 0}
             elif known["at"] > size:
                 known = {"floor": 0, "at": 0, "life": known["life"] + 1}
@@ -129,6 +157,15 @@ class TailReader(DataSourceStreamReader):
         for key, known in old.items():
             if key not in reached and now - known["seen"] <= self.keep_seconds:
                 reached[key] = known
+        return reached
+
+    def initialOffset(self) -> dict:
+        """Nothing read yet; each file then begins at the floor of its entry."""
+        return {}
+
+    def latestOffset(self) -> dict:
+        old = self.reached
+        reached = self._reach(old, self._listing())
 
         def places(offsets: dict) -> dict:
             return {key: (entry["path"], entry["at"], entry["life"]) for key, entry in offsets.items()}
@@ -142,17 +179,24 @@ class TailReader(DataSourceStreamReader):
 
     # ------------------------------------------------------------ reading
 
-    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        pieces: list[Piece] = []
-        ranges: list[tuple[str, str, int, int, int]] = []
-        used = 0
+    @staticmethod
+    def _ranges(start: dict, end: dict) -> Iterator[tuple[str, str, int, int, int]]:
+        """Bytes between two offsets: (key, path, floor, from, to)."""
         for key, now in end.items():
             before = start.get(key)
             same = before is not None and before["life"] == now["life"]
             at = before["at"] if same else now["floor"]
-            while at < now["at"]:
-                stop = min(now["at"], at + self.piece_bytes - used)
-                ranges.append((key, now["path"], now["floor"], at, stop))
+            if at < now["at"]:
+                yield key, now["path"], now["floor"], at, now["at"]
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        pieces: list[Piece] = []
+        ranges: list[tuple[str, str, int, int, int]] = []
+        used = 0
+        for key, path, floor, at, to in self._ranges(start, end):
+            while at < to:
+                stop = min(to, at + self.piece_bytes - used)
+                ranges.append((key, path, floor, at, stop))
                 used += stop - at
                 at = stop
                 if used >= self.piece_bytes:
@@ -177,6 +221,99 @@ class TailReader(DataSourceStreamReader):
                 yield _batch(key, path, rows)
 
 
+class Shard(InputPartition):
+    """The files of a shard in the rounds after ``start`` up to ``end``."""
+
+    def __init__(self, number: int, start: int, end: int):
+        super().__init__(number)
+        self.number, self.start, self.end = number, start, end
+
+
+class ShardedTailReader(TailReader):
+    """The same bytes, found by the tasks that read them."""
+
+    def _load(self) -> dict:
+        return {}
+
+    def initialOffset(self) -> dict:
+        return {"round": 0}
+
+    def latestOffset(self) -> dict:
+        os.makedirs(self.progress, exist_ok=True)
+        path = f"{self.progress}/round"
+        number = 0
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as file:
+                number = int(file.read())
+        with open(f"{path}.{os.getpid()}", "w", encoding="utf-8") as file:
+            file.write(str(number + 1))
+        os.replace(f"{path}.{os.getpid()}", path)
+        return {"round": number + 1}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [Shard(number, start["round"], end["round"]) for number in range(self.shards)]
+
+    def read(self, partition: Shard) -> Iterator[pa.RecordBatch]:
+        folder = f"{self.progress}/{partition.number}"
+        os.makedirs(folder, exist_ok=True)
+        for number in range(partition.start + 1, partition.end + 1):
+            plan = self._plan(partition.number, folder, number)
+            yield from super().read(Piece([tuple(item) for item in plan["ranges"]]))
+        # A batch that runs again starts no earlier than this one did.
+        for name in os.listdir(folder):
+            stem = name.split(".")[0]
+            if stem.isdigit() and int(stem) < partition.start:
+                os.remove(f"{folder}/{name}")
+
+    def _plan(self, shard: int, folder: str, number: int) -> dict:
+        """What a round reads of the shard; made by whoever comes first."""
+        path = f"{folder}/{number}.json"
+        if not os.path.exists(path):
+            old = {}
+            if number > 1:
+                with open(f"{folder}/{number - 1}.json", encoding="utf-8") as file:
+                    old = json.load(file)["files"]
+            reached = self._reach(old, self._shard_listing(shard))
+            fresh = f"{folder}/{number}.{os.getpid()}-{time.monotonic_ns()}"
+            with open(fresh, "w", encoding="utf-8") as file:
+                json.dump({"files": reached, "ranges": list(self._ranges(old, reached))}, file, separators=(",", ":"))
+            try:
+                os.link(fresh, path)
+            except FileExistsError:
+                pass  # another attempt was first; its plan holds
+            os.remove(fresh)
+        with open(path, encoding="utf-8") as file:
+            return json.load(file)
+
+    def _shard_listing(self, shard: int) -> dict[str, tuple[str, int]]:
+        """Size of each of the shard's files; names of folders are read by all, only own files are looked at."""
+        out: dict[str, tuple[str, int]] = {}
+        excluded = _matcher(self.exclude)
+        taken = [(_matcher(include), _matcher(exclude)) for include, exclude in self.skip]
+        for pattern in self.include:
+            parent, name = os.path.split(pattern.replace("[^", "[!"))
+            fits = re.compile(fnmatch.translate(name)).match
+            for where in sorted(glob.glob(parent, include_hidden=True)) if glob.has_magic(parent) else [parent]:
+                try:
+                    entries = sorted(os.scandir(where), key=lambda entry: entry.name)
+                except (FileNotFoundError, NotADirectoryError):
+                    continue
+                for entry in entries:
+                    try:
+                        inode = os.stat(entry.path).st_ino if entry.is_symlink() else entry.inode()
+                        if inode % self.shards != shard or not fits(entry.name) or not entry.is_file():
+                            continue
+                        if excluded.match(entry.path) or any(has.match(entry.path) and not but.match(entry.path) for has, but in taken):
+                            continue
+                        if self._start_of(entry.path) is None:
+                            continue
+                        info = os.stat(entry.path)
+                    except FileNotFoundError:
+                        continue
+                    out.setdefault(f"{info.st_dev}:{info.st_ino}", (entry.path, info.st_size))
+        return out
+
+
 def _batch(key: str, path: str, rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
     starts, ends, lines = zip(*rows)
     return pa.RecordBatch.from_arrays(

@@ -16,7 +16,7 @@ from logweir.operators.flow import drop_report, follow
 from logweir.rules import FlowControl, duration_ms
 from logweir.session import staged
 from logweir.streaming.sinks import Sink
-from logweir.streaming.state_table import ADDED, StateTable, newest_per
+from logweir.streaming.state_table import ADDED, StateTable, newest_per, table_step
 
 _PLACE = ("file_key", "start_offset")
 
@@ -49,20 +49,20 @@ def limited_sink(sink: Sink, options: FlowControl, folder: str, key: Column, *,
     """
     held, counts = buckets(folder), dropped_counts(folder)
 
-    def send(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+    def send(batch: DataFrame, batch_id: int | str) -> None:
+        spark, step = batch.sparkSession, table_step(batch_id)
         # Written, not cached: a lost executor must not make its rows anew in another order.
         batch = staged(batch.withColumn("_key", key.cast("string")), "limited")
         narrow = batch.select(F.col("_key").alias("key"), F.col("ts").cast("timestamp").alias("ts"), *place)
         found = follow(
-            narrow, ["key"], options, order=("ts", *place), entry=held.before(spark, batch_id), with_buckets=True
+            narrow, ["key"], options, order=("ts", *place), entry=held.before(spark, step), with_buckets=True
         )
         decided = found.records.select(*place, "admitted", F.timestamp_micros("admit_us").alias("admit_ts"))
         rows = batch.drop("_key").join(decided, list(place))
         if options.mode == "drop":
             refused = found.records.where("not admitted")
-            counts.put(drop_report(refused, interval=f"{duration_ms(options.report_interval) / 1000} seconds"), batch_id)
+            counts.put(drop_report(refused, interval=f"{duration_ms(options.report_interval) / 1000} seconds"), step)
         sink(rows.where("admitted").drop("admitted"), batch_id)
-        held.put(found.buckets, batch_id)
+        held.put(found.buckets, step)
 
     return send

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logweir.operators import alerts, enrich, otlp
 from logweir.rules import AlertPolicy, ExportOptions
-from logweir.streaming.state_table import ADDED, StateTable
+from logweir.streaming.state_table import ADDED, StateTable, table_step
 
 #: Takes the rows of a micro-batch and the name its output goes under: the number of the batch, or a text for a redelivery.
 Sink = Callable[[DataFrame, int | str], None]
 
-_OUTCOME = "batch_id long, sink string, outcome string, error string"
+_OUTCOME = "batch string, sink string, outcome string, error string"
 
 
 def _outcomes(folder: str) -> StateTable:
@@ -41,13 +41,20 @@ class PolicyTable:
 
 
 def alert_sink(path: str, policy: AlertPolicy | PolicyTable) -> Sink:
-    """Write the alert messages of a batch under its own folder, so a replay replaces them."""
+    """Write the alert messages of a batch under its own folder, so a replay replaces them.
 
-    def send(batch: DataFrame, batch_id: int) -> None:
+    Alerts that an ignored keyword holds back become a table beside them, with
+    the keyword.
+    """
+
+    def send(batch: DataFrame, batch_id: int | str) -> None:
         active = policy.refresh(batch.sparkSession) if isinstance(policy, PolicyTable) else policy
         if active.enabled:
-            found = alerts.messages(batch, active).select("payload")
+            sent, ignored = alerts.split_ignored(alerts.select_alerts(batch, active))
+            found = alerts.rendered(sent, active).select("payload")
             found.write.mode("overwrite").text(f"{path}/batch={batch_id}")
+            if active.ignore_keywords:
+                ignored.write.mode("overwrite").parquet(f"{path}-ignored/batch={batch_id}")
 
     return send
 
@@ -55,7 +62,7 @@ def alert_sink(path: str, policy: AlertPolicy | PolicyTable) -> Sink:
 def export_sink(path: str, options: ExportOptions, keys: list[str], order: list[str]) -> Sink:
     """Write the request documents of a batch; oversize records go to a side table."""
 
-    def send(batch: DataFrame, batch_id: int) -> None:
+    def send(batch: DataFrame, batch_id: int | str) -> None:
         fits, rejected = enrich.split_oversize(batch, max_bytes=options.max_queue_bytes)
         documents = otlp.requests(otlp.pack_batches(fits, keys, order, options), keys)
         writer = documents.select("request").write.mode("overwrite")
@@ -71,7 +78,7 @@ def fan_out(sinks: dict[str, Sink], outcomes: str) -> Sink:
     Each outcome is a row of the ``outcomes`` table.
     """
 
-    def send(batch: DataFrame, batch_id: int) -> None:
+    def send(batch: DataFrame, batch_id: int | str) -> None:
         spark = batch.sparkSession
         batch.persist()
         try:
@@ -79,11 +86,11 @@ def fan_out(sinks: dict[str, Sink], outcomes: str) -> Sink:
             for name, sink in sinks.items():
                 try:
                     sink(batch, batch_id)
-                    rows.append((batch_id, name, "ok", None))
+                    rows.append((str(batch_id), name, "ok", None))
                 except Exception as error:  # noqa: BLE001 - best effort by design
                     said = str(error).splitlines() or [type(error).__name__]
-                    rows.append((batch_id, name, "failed", said[0]))
-            _outcomes(outcomes).put(spark.createDataFrame(rows, _OUTCOME).coalesce(1), batch_id)
+                    rows.append((str(batch_id), name, "failed", said[0]))
+            _outcomes(outcomes).put(spark.createDataFrame(rows, _OUTCOME).coalesce(1), table_step(batch_id))
         finally:
             batch.unpersist()
 
@@ -91,5 +98,5 @@ def fan_out(sinks: dict[str, Sink], outcomes: str) -> Sink:
 
 
 def read_outcomes(spark: SparkSession, outcomes: str) -> DataFrame:
-    """``batch_id, sink, outcome, error`` of every micro-batch."""
+    """``batch, sink, outcome, error`` of every micro-batch and drain."""
     return _outcomes(outcomes).before(spark).drop(ADDED)

@@ -88,6 +88,16 @@ class StateTable:
             files.delete(jvm.Path(f"{self.folder}/{name}"), True)
 
 
+def table_step(batch_id: int | str) -> int:
+    """Place of a batch in its tables: micro-batches are the even steps, what is drained after one follows it."""
+    return 2 * batch_id if isinstance(batch_id, int) else 2 * int(batch_id.split("-")[0]) + 1
+
+
+def batch_name(step: int) -> int | str:
+    """The batch that has a place in the tables."""
+    return f"{step // 2}-drain" if step % 2 else step // 2
+
+
 def newest_per(*keys: str) -> Callable[[DataFrame], DataFrame]:
     """A merge that keeps the row of the latest batch for each key."""
 

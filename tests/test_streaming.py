@@ -14,7 +14,7 @@ from logweir.operators.multiline import merge_lines
 from logweir.rules import (
     AlertPolicy, ExportOptions, Extractor, FileRule, FlowControl, Limits, Multiline, Retry, RuleSet, TraceId,
 )
-from logweir.sources.tail_source import TailReader, tail_lines
+from logweir.sources.tail_source import ShardedTailReader, TailReader, tail_lines
 from logweir.sources.text_lines import scan_lines
 from logweir.streaming import job, limits, sinks
 from logweir.streaming.redelivery import Outbox
@@ -40,12 +40,15 @@ class Rounds:
 
     def __init__(self, folder, **options):
         self.options = {
-            "include": json.dumps([f"{folder}/*.log"]), "progress": f"{folder}/progress.json", **options,
+            "include": json.dumps([f"{folder}/*.log"]), "progress": f"{folder}/progress", **options,
         }
         self.offset = None
 
+    def reader(self):
+        return (TailReader if self.options.get("shards", "0") == "0" else ShardedTailReader)(self.options)
+
     def read(self):
-        reader = TailReader(self.options)
+        reader = self.reader()
         start = reader.initialOffset() if self.offset is None else self.offset
         self.offset = reader.latestOffset()
         rows = []
@@ -55,18 +58,20 @@ class Rounds:
         return sorted(rows)
 
 
-def test_tail_follows_growth_and_waits_for_newlines(tmp_path):
+@pytest.mark.parametrize("shards", ["0", "3"])
+def test_tail_follows_growth_and_waits_for_newlines(tmp_path, shards):
     append(tmp_path / "a.log", b"one\ntw")
-    rounds = Rounds(tmp_path, start_at="beginning")
+    rounds = Rounds(tmp_path, shards=shards, start_at="beginning")
     assert rounds.read() == [("a.log", 0, 4, "one")]
     assert rounds.read() == []
     append(tmp_path / "a.log", b"o\r\n\xffx\n")
     assert rounds.read() == [("a.log", 4, 9, "two"), ("a.log", 9, 12, "�x")]
 
 
-def test_tail_starts_at_the_end_by_default(tmp_path):
+@pytest.mark.parametrize("shards", ["0", "3"])
+def test_tail_starts_at_the_end_by_default(tmp_path, shards):
     append(tmp_path / "a.log", b"old\npart")
-    rounds = Rounds(tmp_path)
+    rounds = Rounds(tmp_path, shards=shards)
     assert rounds.read() == []
     append(tmp_path / "a.log", b"ial\nnew\n")
     append(tmp_path / "b.log", b"unseen\n")
@@ -75,9 +80,10 @@ def test_tail_starts_at_the_end_by_default(tmp_path):
     assert rounds.read() == [("b.log", 7, 12, "seen")]
 
 
-def test_tail_restarts_truncated_and_follows_renamed_files(tmp_path):
+@pytest.mark.parametrize("shards", ["0", "3"])
+def test_tail_restarts_truncated_and_follows_renamed_files(tmp_path, shards):
     append(tmp_path / "a.log", b"one\ntwo\n")
-    rounds = Rounds(tmp_path, start_at="beginning")
+    rounds = Rounds(tmp_path, shards=shards, start_at="beginning")
     assert len(rounds.read()) == 2
     with open(tmp_path / "a.log", "wb") as file:
         file.write(b"new\n")
@@ -87,11 +93,12 @@ def test_tail_restarts_truncated_and_follows_renamed_files(tmp_path):
     assert rounds.read() == [("z.log", 4, 9, "more")]
 
 
-def test_tail_caps_rounds_and_cuts_pieces_without_loss(tmp_path):
+@pytest.mark.parametrize("shards", ["0", "3"])
+def test_tail_caps_rounds_and_cuts_pieces_without_loss(tmp_path, shards):
     rng = random.Random(2)
     lines = ["x" * rng.randint(0, 30) for _ in range(300)]
     append(tmp_path / "a.log", "".join(line + "\n" for line in lines).encode())
-    rounds = Rounds(tmp_path, start_at="beginning", max_bytes_per_file="500", piece_bytes="64", max_line_chars="20")
+    rounds = Rounds(tmp_path, shards=shards, start_at="beginning", max_bytes_per_file="500", piece_bytes="64", max_line_chars="20")
     found = []
     while len(found) < 300:
         got = rounds.read()
@@ -101,17 +108,67 @@ def test_tail_caps_rounds_and_cuts_pieces_without_loss(tmp_path):
     assert rounds.read() == []
 
 
-def test_tail_globs(tmp_path):
+@pytest.mark.parametrize("shards", ["0", "3"])
+def test_tail_globs(tmp_path, shards):
     for name in ("a.log", "b.log", "c.log", "d.txt"):
         append(tmp_path / name, name.encode() + b"\n")
     os.mkdir(tmp_path / "dir.log")
     rounds = Rounds(
-        tmp_path, start_at="beginning", exclude=json.dumps([f"{tmp_path}/b.*"]),
+        tmp_path, shards=shards, start_at="beginning", exclude=json.dumps([f"{tmp_path}/b.*"]),
         skip=json.dumps([[[f"{tmp_path}/[cd].*"], [f"{tmp_path}/d.*"]]]),
     )
     assert [row[0] for row in rounds.read()] == ["a.log"]
 
 
+def test_first_rule_decides_where_a_file_starts(tmp_path):
+    for shards in ("0", "2"):
+        folder = tmp_path / shards
+        os.mkdir(folder)
+        for name in ("a.log", "b.log", "c.log"):
+            append(folder / name, b"old\n")
+        starts = [[[f"{folder}/a.*"], [], "beginning"], [[f"{folder}/[ab].*"], [], "end"]]
+        rounds = Rounds(folder, shards=shards, starts=json.dumps(starts))
+        assert rounds.read() == [("a.log", 0, 4, "old")]
+        for name in ("a.log", "b.log", "c.log"):
+            append(folder / name, b"new\n")
+        assert rounds.read() == [("a.log", 4, 8, "new"), ("b.log", 4, 8, "new")]
+
+
+def test_a_shard_reads_again_what_it_read(tmp_path):
+    append(tmp_path / "a.log", b"one\n")
+    rounds = Rounds(tmp_path, shards="2", start_at="beginning")
+    first = rounds.read()
+    append(tmp_path / "a.log", b"two\n")
+
+    def rows(start, end):
+        reader = rounds.reader()
+        parts = [batch.to_pylist() for piece in reader.partitions(start, end) for batch in reader.read(piece)]
+        return sorted((row["start_offset"], row["line"]) for part in parts for row in part)
+
+    # The batch runs again although the file has grown, and then the next one takes the rest, two rounds at once.
+    assert [(row[1], row[3]) for row in first] == rows({"round": 0}, {"round": 1}) == [(0, "one")]
+    assert rows({"round": 1}, {"round": 3}) == [(4, "two")] == rows({"round": 1}, {"round": 3})
+
+
+def test_many_files_and_a_small_offset(tmp_path):
+    """A hundred thousand files: the offset of a batch is one number, and a task looks at its own files only."""
+    folders = [tmp_path / f"d{n}" for n in range(20)]
+    for folder in folders:
+        os.mkdir(folder)
+        for n in range(5000):
+            (folder / f"{n}.log").touch()
+    append(folders[3] / "77.log", b"line\n")
+    rounds = Rounds(tmp_path, shards="8", start_at="beginning", include=json.dumps([f"{tmp_path}/d*/*.log"]))
+    assert rounds.read() == [("77.log", 0, 5, "line")]
+    assert len(json.dumps(rounds.offset)) < 20
+    reader = rounds.reader()
+    held = [len(reader._shard_listing(shard)) for shard in range(8)]
+    assert sum(held) == 100_000 and max(held) < 20_000
+    append(folders[3] / "77.log", b"more\n")
+    append(folders[9] / "8.log", b"late\n")
+    assert rounds.read() == [("77.log", 5, 10, "more"), ("8.log", 0, 5, "late")]
+
+
 def test_stream_merge_equals_batch_over_restarts(spark, tmp_path):
     rng = random.Random(4)
     files = {
@@ -125,7 +182,7 @@ def test_stream_merge_equals_batch_over_restarts(spark, tmp_path):
         for name, value in data.items():
             append(tmp_path / "in" / name, value[: cuts[name]] if half == 0 else value[cuts[name]:])
         source = tail_lines(
-            spark, include=[f"{tmp_path}/in/*.log"], start_at="beginning", progress=f"{tmp_path}/progress.json"
+            spark, include=[f"{tmp_path}/in/*.log"], start_at="beginning", progress=f"{tmp_path}/progress"
         )
         stream = merge_stream(source, "^A", max_size=60, max_lines=4, first=["path"])
         run_once(stream, tmp_path)
@@ -141,7 +198,7 @@ def test_idle_records_are_flushed(spark, tmp_path):
     os.mkdir(tmp_path / "in")
     append(tmp_path / "in" / "a.log", b"A one\n more\n")
     source = tail_lines(
-        spark, include=[f"{tmp_path}/in/*.log"], start_at="beginning", progress=f"{tmp_path}/progress.json"
+        spark, include=[f"{tmp_path}/in/*.log"], start_at="beginning", progress=f"{tmp_path}/progress"
     )
     stream = merge_stream(source, "^A", flush_after_ms=500)
     query = (
@@ -361,16 +418,17 @@ def test_attempts_stay_few(spark, tmp_path):
     def export(frame, batch_id):
         raise RuntimeError("down")
 
-    retry = Retry(initial_interval="1s", max_interval="8s", max_elapsed_time="0s")
-    box = Outbox(f"{tmp_path}/box", retry, clock=lambda: now[0])
+    retry = Retry(initial_interval="1s", max_interval="4s", max_elapsed_time="0s")
+    box = Outbox(f"{tmp_path}/box", retry, clock=lambda: now[0], every=4)
     with pytest.raises(RuntimeError):
         box.guard(export)(spark.range(1), 0)
-    for number in range(1, 45):
+    for number in range(1, 14):
         now[0] += dt.timedelta(seconds=9)
         assert box.redeliver(spark, export, number) == [(0, False)]
     rows = box.attempts(spark).collect()
-    assert max(row.attempt for row in rows) == 45 and min(row.attempt for row in rows) == 1 and len(rows) <= 7
-    assert outbox.schedule(box.attempts(spark), retry).first().wait_ms == 8_000
+    assert max(row.attempt for row in rows) == 14 and min(row.attempt for row in rows) == 1 and len(rows) <= 6
+    assert outbox.schedule(box.attempts(spark), retry).first().wait_ms == 4_000
+    assert len(folders(tmp_path / "box" / "attempts")) <= 6
 
 
 def test_policy_table_keeps_the_last_valid_policy(spark, tmp_path):
