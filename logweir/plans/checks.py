@@ -136,23 +136,23 @@ timed as (select *, case when ok then epoch_us(cast(rtrim(stamp, 'Z') as timesta
 
 PROCESSES = """
 processes as (
-  select c_custkey as pid, lower(c_mktsegment) as comm, 'java -jar ' || c_name || '.jar --nation=' || c_nationkey as cmdline from customer),
+  select 'node' || (c_custkey % 3) as host, c_custkey // 3 as pid, lower(c_mktsegment) as comm, 'java -jar ' || c_name || '.jar --nation=' || c_nationkey as cmdline from customer),
 open_files as (
-  select o_custkey as pid, o_orderkey as fd_order,
+  select 'node' || (o_custkey % 3) as host, o_custkey // 3 as pid, o_orderkey as fd_order,
     case when o_orderkey % 11 = 0 then 'pipe:[' else '/data/' || lower(o_orderstatus) || '/' end || (o_orderkey % 4000)
       || case when o_orderkey % 13 = 0 then '.log (deleted)' when o_orderkey % 5 = 0 then '.tmp' else '.log' end as path
   from orders),
 looked as (
   select *, regexp_matches(comm, '^(machinery|house)') or true as looks from processes),
 matched as (
-  select pid, comm, cmdline, 0 as rule_idx, 'building' as rule from looked where regexp_matches(comm, '^building$')
+  select host, pid, comm, cmdline, 0 as rule_idx, 'building' as rule from looked where regexp_matches(comm, '^building$')
   union all
-  select pid, comm, cmdline, 1, 'nations' from looked
+  select host, pid, comm, cmdline, 1, 'nations' from looked
     where regexp_matches(comm, '^(machinery|house)') and regexp_matches(cmdline, '--nation=1\\d$')
   union all
-  select pid, comm, cmdline, 2, 'seven' from looked where regexp_matches(cmdline, '7\\.jar')),
+  select host, pid, comm, cmdline, 2, 'seven' from looked where regexp_matches(cmdline, '7\\.jar')),
 opened as (
-  select m.*, o.fd_order, regexp_replace(o.path, ' \\(deleted\\)$', '') as path from matched m join open_files o using (pid)),
+  select m.*, o.fd_order, regexp_replace(o.path, ' \\(deleted\\)$', '') as path from matched m join open_files o using (host, pid)),
 chosen as (
   select * from opened where path like '/%' and case rule
     when 'building' then regexp_matches(path, '\\.(log|tmp)$') and not regexp_matches(path, '\\.tmp$')
@@ -160,23 +160,23 @@ chosen as (
     else regexp_matches(path, '\\.log$') end),
 targets as (
   select * exclude (nth) from (
-    select *, row_number() over (partition by pid, rule order by fd_order) as nth from chosen)
+    select *, row_number() over (partition by host, pid, rule order by fd_order) as nth from chosen)
   where nth <= case rule when 'building' then 3 when 'seven' then 2 else 1000000000 end)
 """
 LISTING = """listing as (
-  select distinct regexp_replace(path, ' \\(deleted\\)$', '') as path from open_files where path like '/%')"""
+  select distinct host, regexp_replace(path, ' \\(deleted\\)$', '') as path from open_files where path like '/%')"""
 FIRST = f"""with {PROCESSES}, {LISTING},
 every as (
-  select path, 'process' as source_type, rule, 0 as rank, pid as process_idx, rule_idx, fd_order as include_idx from targets
+  select host, path, 'process' as source_type, rule, 0 as rank, pid as process_idx, rule_idx, fd_order as include_idx from targets
   union all
-  select path, 'file', 'finished', 1, 0, 0,
+  select host, path, 'file', 'finished', 1, 0, 0,
     case when regexp_matches(path, '^/data/f/[^/]*\\.log$') then 0 else 1 end from listing
     where (regexp_matches(path, '^/data/f/[^/]*\\.log$') or regexp_matches(path, '^/data/f/1[^/]*\\.tmp$'))
       and not regexp_matches(path, '^/data/f/[^/]*9\\.log$')
   union all
-  select path, 'file', 'all', 1, 0, 1, 0 from listing where regexp_matches(path, '^/data/[^/]/[^/]*\\.log$'))
-select 'node1' as host, path, source_type, rule, cast(process_idx as bigint) as process_idx, cast(include_idx as bigint) as include_idx
-from (select *, row_number() over (partition by path order by rank, process_idx, rule_idx, include_idx) as nth from every) where nth = 1
+  select host, path, 'file', 'all', 1, 0, 1, 0 from listing where regexp_matches(path, '^/data/[^/]/[^/]*\\.log$'))
+select host, path, source_type, rule, cast(process_idx as bigint) as process_idx, cast(include_idx as bigint) as include_idx
+from (select *, row_number() over (partition by host, path order by rank, process_idx, rule_idx, include_idx) as nth from every) where nth = 1
 """
 
 # ---------------------------------------------------------------- export
@@ -363,6 +363,15 @@ from doc_lines""",
 select line_no, path, ok as cri_ok, cast(us as varchar) as ts_us, cast(us * 1000 as varchar) as time_unix_nano, case when ok then stream end as stream,
   case when ok then flag end as flag, case when ok then body else line end as body,
   case when ok then 'log.cri.flag=' || flag || ';log.iostream=' || stream else '' end as attributes from timed""",
+    "cri_varied": """
+select event_id as line_no, epoch_us(ts) as ts_us, epoch_us(ts) * 1000 + case when event_id % 5 = 3 then 123 else 0 end as time_unix_nano,
+  case event_id % 5 when 1 then 28800 when 4 then -19800 else 0 end as utc_offset, case when event_id % 2 = 0 then 'stdout' else 'stderr' end as stream,
+  case when event_id % 7 = 3 then 'P' else 'F' end as flag,
+  'id=' || case event_id % 4 when 0 then lpad(lower(to_hex(event_id + 1)), 16, '0') when 1 then lpad(lower(to_hex(event_id)), 32, 'a')
+    when 2 then lpad(lower(to_hex(event_id)), 15, 'b') else repeat('0', 32) end || '.' as body from events""",
+    "trace_id_widths": """
+select event_id as line_no, case event_id % 4 when 0 then lpad(lower(to_hex(event_id + 1)), 32, '0')
+  when 1 then lpad(lower(to_hex(event_id)), 32, 'a') end as trace_id from events""",
     "severities": f"""with {EVENTS}, found as (select line_no, {_severity('body')} as severity_text from records)
 select line_no, severity_text, {NUMBER} as severity_number, 'log.level=' || severity_text as level from found""",
     "document_severities": f"""
@@ -397,27 +406,27 @@ select line_no, '{{"timeUnixNano":"' || nanos || '","observedTimeUnixNano":"{q.N
     "severity_by_resource": f"""with {EVENTS}
 select replace(replace(resource, '=', '|'), ';', '|') || '|' as resource, level as severity_text, count(*) as records
 from records where level <> 'TRACE' group by all""",
-    "rule_matches": f"with {PROCESSES} select pid, comm, cmdline, cast(rule_idx as integer) as rule_idx, rule from matched",
-    "opened_paths": f"with {PROCESSES} select pid, rule, fd_order, path from chosen",
+    "rule_matches": f"with {PROCESSES} select host, pid, comm, cmdline, cast(rule_idx as integer) as rule_idx, rule from matched",
+    "opened_paths": f"with {PROCESSES} select host, pid, rule, fd_order, path from chosen",
     "process_targets": f"""with {PROCESSES}
-select pid, rule, fd_order, path, 'log.file.path=' || path || ';log.source.rule=' || rule || ';log.source.type=process;process.command_line='
+select host, pid, rule, fd_order, path, 'log.file.path=' || path || ';log.source.rule=' || rule || ';log.source.type=process;process.command_line='
   || cmdline || ';process.name=' || comm || ';process.pid=' || pid
   || case rule when 'building' then ';team=b' when 'nations' then ';team=n' else '' end as resource from targets""",
     "process_paths": f"""with {PROCESSES}
-select pid, rule, fd_order, case when fd_order % 3 = 0 then '/proc/' || pid || '/root' || path else path end as path, path as reported_path, 'log.file.path=' || path || ';log.source.rule=' || rule || ';log.source.type=process;process.command_line='
+select host, pid, rule, fd_order, case when fd_order % 3 = 0 then '/proc/' || pid || '/root' || path else path end as path, path as reported_path, 'log.file.path=' || path || ';log.source.rule=' || rule || ';log.source.type=process;process.command_line='
   || cmdline || ';process.name=' || comm || ';process.pid=' || pid
   || case rule when 'building' then ';team=b' when 'nations' then ';team=n' else '' end as resource from targets""",
     "first_targets": FIRST,
     "new_targets": """
 select doc_id, '/data/docs/' || doc_id || '.log' as path from documents where doc_id % 7 = 0""",
-    "excluded_paths": f"with {PROCESSES}, {LISTING} select path from listing where not regexp_matches(path, '^/data/[of]/1[^/]*\\.log$')",
+    "excluded_paths": f"with {PROCESSES}, {LISTING} select host, path from listing l where path not in (select path from listing where regexp_matches(path, '^/data/[of]/1[^/]*\\.log$'))",
     "seen_paths": f"""with {EVENTS}
 select path, max(us) as seen_us from (
   select path, epoch_us(ts) as us from records
   union all select path, {q.NOW_MICROS - 86_400_000_000} from records where path like '%pod3\\_%' escape '\\')
 group by path having {q.NOW_MICROS - 86_400_000_000} - max(us) <= 36000000000""",
     "rule_options": f"""with {PROCESSES}
-select pid, rule, case rule when 'building' then 'beginning' else 'end' end as start_at,
+select host, pid, rule, case rule when 'building' then 'beginning' else 'end' end as start_at,
   cast(case rule when 'nations' then 250 else 5000 end as bigint) as flush_after_ms from matched""",
     "oversize_records": f"with {SIZED} select line_no, cast(size as bigint) as size, size <= 760 as fits from sized",
     "export_batches": f"""with recursive {BATCHES}
@@ -432,6 +441,12 @@ select 'logweir' as scope, resource, attributes, cast(nanos as varchar) as time,
   cast(number as integer) as severity_number, level as severity_text, body, case when line_no = 0 then null else trace end as trace_id
 from records where level <> 'TRACE'""",
     "delivery_schedule": SCHEDULE,
+    "retry_waits": f"""
+select event_id, cast(case event_id % 6 when 0 then event_id % 100 * 1000 when 1 then event_id % 10 * 1000 + 250 when 5 then 0
+  else greatest(epoch_us(date_trunc('second', ts)) - {q.NOW_MICROS}, 0) // 1000 end as bigint) as wait_ms from events""",
+    "reply_outcomes": """
+select event_id, case when event_id % 5 = 0 then 'network_error' when event_id % 4 in (2, 3) then 'http_error' when event_id % 3 = 0 then 'bad_answer'
+  when event_type = 'error' then 'rejected' else 'ok' end as outcome from events""",
     "alert_candidates": f"with {SENT} select line_no, level as severity_text, ignored_by from candidates",
     "error_types": """
 select doc_id, case when contains(text, 'shanti') then 'shanti' when contains(text, 'worthless') then 'worthless'
@@ -477,8 +492,9 @@ with pieces as (select doc_id // 50 as part, unnest(string_split(text, chr(10)))
 select part, count(*) as lines, cast(sum(strlen(line)) as bigint) as bytes from pieces where line <> '' group by 1""",
     "process_records": f"""with firsts as ({FIRST}), {DOCS},
 found as (
-  select f.path, f.rule, f.source_type, c_custkey as pid, lower(c_mktsegment) as comm, 'java -jar ' || c_name || '.jar --nation=' || c_nationkey as cmdline
-  from firsts f left join customer on f.source_type = 'process' and c_custkey = f.process_idx),
+  select f.path, f.rule, f.source_type, f.process_idx as pid, lower(c_mktsegment) as comm, 'java -jar ' || c_name || '.jar --nation=' || c_nationkey as cmdline
+  from firsts f left join customer on f.source_type = 'process' and c_custkey // 3 = f.process_idx and 'node' || (c_custkey % 3) = f.host
+  where f.host = 'node1'),
 lined as (
   select d.file_key, d.line_no, d.line, rule, 'log.file.path=' || path || ';log.source.rule=' || rule || ';log.source.type=' || source_type
     || case when source_type = 'process' then ';process.command_line=' || cmdline || ';process.name=' || comm || ';process.pid=' || pid

@@ -220,6 +220,19 @@ def cri_fields(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def cri_varied(spark: SparkSession, folder: str) -> DataFrame:
+    """Offsets, a comma before the fraction, nanoseconds and partial lines."""
+    return parse_cri(views.varied_lines(spark, folder)).select(
+        "line_no", F.unix_micros("ts").alias("ts_us"), "time_unix_nano", "utc_offset", "stream", "flag", "body"
+    )
+
+
+def trace_id_widths(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of 16 digits are filled up, of 32 kept; other widths and zeros are none."""
+    found = text.trace_id(F.col("body"), r"id=([0-9a-f]+)\.", True)
+    return parse_cri(views.varied_lines(spark, folder)).select("line_no", F.lower(F.hex(found)).alias("trace_id"))
+
+
 def severities(spark: SparkSession, folder: str) -> DataFrame:
     found = enrich.with_severity(_parsed(spark, folder))
     return found.select(
@@ -304,19 +317,19 @@ def severity_by_resource(spark: SparkSession, folder: str) -> DataFrame:
 
 def rule_matches(spark: SparkSession, folder: str) -> DataFrame:
     return targets.match_processes(views.processes(spark, folder), PROCESS_RULES).select(
-        "pid", "comm", "cmdline", F.col("rule_idx").cast("int").alias("rule_idx"), "rule"
+        "host", "pid", "comm", "cmdline", F.col("rule_idx").cast("int").alias("rule_idx"), "rule"
     )
 
 
 def opened_paths(spark: SparkSession, folder: str) -> DataFrame:
     matched = targets.match_processes(views.processes(spark, folder), PROCESS_RULES)
     opened = matched.join(views.open_files(spark, folder), ["host", "pid"])
-    return targets.select_paths(opened, PROCESS_RULES).select("pid", "rule", "fd_order", "path")
+    return targets.select_paths(opened, PROCESS_RULES).select("host", "pid", "rule", "fd_order", "path")
 
 
 def process_targets(spark: SparkSession, folder: str) -> DataFrame:
     found = targets.process_targets(views.processes(spark, folder), views.open_files(spark, folder), PROCESS_RULES)
-    return found.select("pid", "rule", "fd_order", "path", flat(F.col("resource")).alias("resource"))
+    return found.select("host", "pid", "rule", "fd_order", "path", flat(F.col("resource")).alias("resource"))
 
 
 def process_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -325,7 +338,7 @@ def process_paths(spark: SparkSession, folder: str) -> DataFrame:
     below = F.concat(F.lit("/proc/"), F.col("pid").cast("string"), F.lit("/root"), paths.strip_deleted(F.col("path")))
     opened = opened.withColumn("read_path", F.when(F.col("fd_order") % 3 == 0, below))
     found = targets.process_targets(views.processes(spark, folder), opened, PROCESS_RULES)
-    return found.select("pid", "rule", "fd_order", "path", "reported_path", flat(F.col("resource")).alias("resource"))
+    return found.select("host", "pid", "rule", "fd_order", "path", "reported_path", flat(F.col("resource")).alias("resource"))
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -348,8 +361,8 @@ def new_targets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def excluded_paths(spark: SparkSession, folder: str) -> DataFrame:
-    listing = listing(spark, folder)
-    return targets.exclude_paths(listing, listing.where(paths.matches_any(F.col("path"), ["/data/[of]/1*.log"]))).select("path")
+    listed = listing(spark, folder)
+    return targets.exclude_paths(listed, listed.where(paths.matches_any(F.col("path"), ["/data/[of]/1*.log"]))).select("host", "path")
 
 
 def seen_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -364,7 +377,7 @@ def seen_paths(spark: SparkSession, folder: str) -> DataFrame:
 def rule_options(spark: SparkSession, folder: str) -> DataFrame:
     options = RULES.options_frame(spark).select("rule", "start_at", "flush_after_ms")
     matched = targets.match_processes(views.processes(spark, folder), PROCESS_RULES)
-    return targets.attach_options(matched, options).select("pid", "rule", "start_at", "flush_after_ms")
+    return targets.attach_options(matched, options).select("host", "pid", "rule", "start_at", "flush_after_ms")
 
 
 # ---------------------------------------------------------------- export
@@ -445,6 +458,31 @@ def delivery_schedule(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def retry_waits(spark: SparkSession, folder: str) -> DataFrame:
+    """Retry-After texts of all forms: seconds, the three HTTP dates, some in the past, and nonsense."""
+    moment = F.timestamp_micros(views.micros("ts"))
+    # The fixed values of an HTTP date, whatever the language of the session.
+    month = F.array(*map(F.lit, outbox.MONTHS))[F.month(moment) - 1]
+    day, clock = F.date_format(moment, "dd"), F.date_format(moment, "HH:mm:ss")
+    texts = [
+        (F.col("event_id") % 100).cast("string"),
+        F.concat((F.col("event_id") % 10).cast("string"), F.lit(".25")),
+        F.concat(F.lit("Mon, "), day, F.lit(" "), month, F.date_format(moment, " yyyy "), clock, F.lit(" GMT")),
+        F.concat(F.lit("Monday, "), day, F.lit("-"), month, F.date_format(moment, "-yy "), clock, F.lit(" GMT")),
+        F.concat(F.lit("Mon "), month, F.lit(" "), F.lpad(F.dayofmonth(moment).cast("string"), 2, " "), F.lit(" "), clock, F.date_format(moment, " yyyy")),
+        F.lit("soon"),
+    ]
+    said = F.array(*texts)[(F.col("event_id") % len(texts)).cast("int")]
+    return views.table(spark, folder, "events").select("event_id", outbox.retry_after_ms(said, _now()).alias("wait_ms"))
+
+
+def reply_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Outcomes of webhook answers: status and error code."""
+    status = F.when(F.col("event_id") % 5 != 0, F.array(*map(F.lit, (200, 204, 404, 500)))[(F.col("event_id") % 4).cast("int")])
+    code = F.when(F.col("event_id") % 3 != 0, F.when(F.col("event_type") == "error", 93000).otherwise(0))
+    return views.table(spark, folder, "events").select("event_id", outbox.reply_outcome(status, code).alias("outcome"))
+
+
 # ---------------------------------------------------------------- alerts
 
 
@@ -559,10 +597,10 @@ QUERIES = {
     for function in (
         scan_text_files, scan_offsets, resumed_scan, incomplete_tail, incomplete_tail_quick, clean_lines, round_cap, resumed_lines,
         committed_offsets, merged_positions, pruned_positions, line_groups, merged_documents, merged_documents_limited,
-        merged_conversations, cri_fields, severities, document_severities, extracted_attributes, trace_ids, event_times,
+        merged_conversations, cri_fields, cri_varied, trace_id_widths, severities, document_severities, extracted_attributes, trace_ids, event_times,
         container_names, resources, record_sizes, document_sizes, log_records, kept_records, severity_by_resource,
         rule_matches, opened_paths, process_targets, process_paths, first_targets, new_targets, excluded_paths, seen_paths,
-        rule_options, oversize_records, export_batches, batch_resources, exported_requests, delivery_schedule,
+        rule_options, oversize_records, export_batches, batch_resources, exported_requests, delivery_schedule, retry_waits, reply_outcomes,
         alert_candidates, error_types, alert_messages, alert_messages_bounded, document_alerts, written_alerts,
         admitted_late, admitted_late_fleet, admitted, admitted_fleet, drop_report, flow_switch,
     )

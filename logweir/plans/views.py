@@ -43,6 +43,23 @@ def mixed_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def varied_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Container lines as other runtimes write them: offsets, a comma, nine digits, partial lines, ids of several widths."""
+    return table(spark, folder, "events").selectExpr(
+        "event_id as line_no",
+        """concat(
+             case event_id % 5
+               when 0 then date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+               when 1 then date_format(ts + interval 8 hours, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+08:00'")
+               when 2 then date_format(ts, "yyyy-MM-dd'T'HH:mm:ss,SSSSSS'Z'")
+               when 3 then date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'123Z'")
+               else date_format(ts - make_dt_interval(0, 5, 30), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'-05:30'") end,
+             case when event_id % 2 = 0 then ' stdout ' else ' stderr ' end, case when event_id % 7 = 3 then 'P ' else 'F ' end,
+             'id=', case event_id % 4 when 0 then lower(lpad(hex(event_id + 1), 16, '0')) when 1 then lower(lpad(hex(event_id), 32, 'a'))
+                                     when 2 then lower(lpad(hex(event_id), 15, 'b')) else repeat('0', 32) end, '.') as line""",
+    )
+
+
 def doc_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of each document, as if it were a file; the last piece has no newline."""
     docs = table(spark, folder, "documents")
@@ -67,10 +84,19 @@ def conv_lines(spark: SparkSession, folder: str) -> DataFrame:
     return numbered.select("file_key", "line_no", "line")
 
 
+def _host(number: Column) -> Column:
+    """Three hosts whose processes have the same numbers."""
+    return F.concat(F.lit("node"), (number % 3).cast("string"))
+
+
+def _pid(number: Column) -> Column:
+    return F.floor(number / 3).cast("long")
+
+
 def processes(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").select(
-        F.lit("node1").alias("host"),
-        F.col("c_custkey").alias("pid"),
+        _host(F.col("c_custkey")).alias("host"),
+        _pid(F.col("c_custkey")).alias("pid"),
         F.lower("c_mktsegment").alias("comm"),
         F.concat(F.lit("java -jar "), F.col("c_name"), F.lit(".jar --nation="), F.col("c_nationkey").cast("string")).alias("cmdline"),
     )
@@ -81,8 +107,8 @@ def open_files(spark: SparkSession, folder: str) -> DataFrame:
     folder_name = F.when(number % 11 == 0, F.lit("pipe:[")).otherwise(F.concat(F.lit("/data/"), F.lower("o_orderstatus"), F.lit("/")))
     ending = F.when(number % 13 == 0, F.lit(".log (deleted)")).when(number % 5 == 0, F.lit(".tmp")).otherwise(F.lit(".log"))
     return table(spark, folder, "orders").select(
-        F.lit("node1").alias("host"),
-        F.col("o_custkey").alias("pid"),
+        _host(F.col("o_custkey")).alias("host"),
+        _pid(F.col("o_custkey")).alias("pid"),
         number.alias("fd_order"),
         F.concat(folder_name, (number % 4000).cast("string"), ending).alias("path"),
     )

@@ -139,8 +139,8 @@ class AlertPolicy:
     max_content_length: int = 4000
 
     def validate(self) -> AlertPolicy:
-        _require(self.max_content_length > 0, "alert max_content_length must be positive")
-        _require(len(self.severity_levels) > 0, "alert severity_levels must not be empty")
+        _require(self.max_content_length > 0, "alerts need a max_content_length above zero")
+        _require(len(self.severity_levels) > 0, "alerts need at least one of severity_levels")
         _check_levels("alert severity_levels", self.severity_levels)
         _check_keywords("alert ignore_keywords", self.ignore_keywords)
         _check_keywords("alert error_type_keywords", self.error_type_keywords)
@@ -173,7 +173,7 @@ class RuleSet:
 
         With a session each pattern is also compiled once by Java.
         """
-        _require(self.export.enabled or self.alerts.enabled, "export and alerts cannot both be disabled")
+        _require(self.export.enabled or self.alerts.enabled, "nothing would leave: switch on export, alerts or both")
         if self.export.enabled:
             _check_export(self.export)
         if self.alerts.enabled:
@@ -243,38 +243,38 @@ def _check_export(export: ExportOptions) -> None:
     _require(export.compression in ("", "gzip"), "unknown export compression, only gzip can be named")
     _require(
         min(export.batch_size, export.max_batch_bytes, export.max_queue_bytes) > 0,
-        "export batch_size, max_batch_bytes and max_queue_bytes must be positive",
+        "export needs batch_size, max_batch_bytes and max_queue_bytes above zero",
     )
     _require(
         export.max_queue_bytes >= export.max_batch_bytes,
-        "export max_queue_bytes must be at least max_batch_bytes",
+        "a full export batch has more bytes than max_queue_bytes allows",
     )
 
 
 def _check_limits(limits: Limits) -> None:
     for item in fields(limits):
         value = getattr(limits, item.name)
-        _require((duration_ms(value) if isinstance(value, str) else value) > 0, f"{item.name} must be positive")
+        _require((duration_ms(value) if isinstance(value, str) else value) > 0, f"{item.name} has to be above zero")
 
 
 def _check_flow(flow: FlowControl) -> None:
     _require(
         flow.rate_per_second > 0 and flow.burst > 0 and duration_ms(flow.report_interval) > 0,
-        "flow control rate, burst and report_interval must be positive",
+        "flow control needs a rate, a burst and a report_interval above zero",
     )
-    _require(flow.mode in ("block", "drop"), "flow control mode must be block or drop")
+    _require(flow.mode in ("block", "drop"), "flow control knows the modes block and drop")
 
 
 def _check_levels(name: str, levels: Sequence[str]) -> None:
     upper = [level.upper() for level in levels]
     for level in upper:
-        _require(level in LEVELS, f"{name} value {level!r} must be one of {', '.join(LEVELS)}")
-    _require(len(set(upper)) == len(upper), f"duplicate {name} value")
+        _require(level in LEVELS, f"{name} names {level!r}, which is none of {', '.join(LEVELS)}")
+    _require(len(set(upper)) == len(upper), f"{name} names something twice")
 
 
 def _check_keywords(name: str, keywords: Sequence[str]) -> None:
-    _require(all(keyword.strip() for keyword in keywords), f"{name} must not contain empty values")
-    _require(len(set(keywords)) == len(keywords), f"duplicate {name} value")
+    _require(all(keyword.strip() for keyword in keywords), f"{name} has a blank keyword")
+    _require(len(set(keywords)) == len(keywords), f"{name} names something twice")
 
 
 def _check_pattern(name: str, pattern: str, spark: SparkSession | None, *, groups: int = 0) -> None:
@@ -284,7 +284,7 @@ def _check_pattern(name: str, pattern: str, spark: SparkSession | None, *, group
     except (PatternError, re.error) as error:
         raise RuleError(f"invalid {name}: {error}") from error
     _require(spark is None or compiles(spark, pattern), f"invalid {name}: {pattern!r}")
-    _require(capture_groups(pattern) >= groups, f"{name} must contain a capture group")
+    _require(capture_groups(pattern) >= groups, f"{name} has no group to capture with")
 
 
 def _check_rule(rule: ProcessRule | FileRule, spark: SparkSession | None) -> None:
@@ -299,7 +299,7 @@ def _check_rule(rule: ProcessRule | FileRule, spark: SparkSession | None) -> Non
         _require(bool(item.key and item.pattern), "an extractor needs a key and a pattern")
         _check_pattern(f"extractor {item.key!r}", item.pattern, spark, groups=1)
     keys = [item.key for item in rule.extractors]
-    _require(len(set(keys)) == len(keys), "duplicate extractor key")
+    _require(len(set(keys)) == len(keys), "two extractors write one key")
     if rule.trace_id.pattern:
         _check_pattern("trace id pattern", rule.trace_id.pattern, spark, groups=1)
     _check_levels("drop_levels", rule.drop_levels)
