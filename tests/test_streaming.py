@@ -453,5 +453,5 @@ def test_fan_out_goes_on_after_a_failure(spark, tmp_path):
     sink = sinks.fan_out({"bad": bad, "good": good}, f"{tmp_path}/outcomes")
     sink(spark.range(3), 7)
     assert calls == [3]
-    rows = {(r.batch_id, r.sink, r.outcome, r.error) for r in sinks.read_outcomes(spark, f"{tmp_path}/outcomes").collect()}
-    assert rows == {(7, "bad", "failed", "down"), (7, "good", "ok", None)}
+    rows = {(r.batch, r.sink, r.outcome, r.error) for r in sinks.read_outcomes(spark, f"{tmp_path}/outcomes").collect()}
+    assert rows == {("7", "bad", "failed", "down"), ("7", "good", "ok", None)}
