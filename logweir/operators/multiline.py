@@ -87,44 +87,41 @@ def _line_groups(lines: DataFrame, start_pattern: str, max_size: int, block: Col
     """
     kept = F.when(F.octet_length("line") > max_size, F.substring("line", 1, max_size)).otherwise(F.col("line"))
     source = lines.withColumn("line", kept)
-    keys = ["file_key"]
-    if block is not None:
-        source = source.withColumn("_part", block)
-        keys.append("_part")
-    ahead = Window.partitionBy(*keys).orderBy("line_no")
-    edged = source.withColumns(
-        {
-            "_edge": F.rlike("line", F.lit(java_pattern(start_pattern))),
-            "_after_text": F.coalesce(F.lag(F.col("line") != "").over(ahead), F.lit(False)),
-        }
+    # The order is worked out on narrow rows; lines move once, to meet their place.
+    part = block if block is not None else F.lit(0)
+    narrow = source.select(
+        "file_key", "line_no", part.alias("_part"), (F.octet_length("line").cast("long") + 1).alias("_used"),
+        F.rlike("line", F.lit(java_pattern(start_pattern))).alias("_edge"), (F.col("line") != "").alias("_text"),
     )
-    used = F.octet_length("line").cast("long") + 1
+    ahead = Window.partitionBy("file_key", "_part").orderBy("line_no")
+    edged = narrow.withColumn("_after_text", F.coalesce(F.lag("_text").over(ahead), F.lit(False)))
     begins = F.col("_edge") & F.col("_after_text")
+    within = F.col("_part") if block is not None else None
     counted = running(
         edged,
         ["file_key"],
         ["line_no"],
-        sums={"_total": used, "_nth": F.lit(1).cast("long")},
-        maxes={"_group": F.when(begins, F.col("line_no")), "_last_text": F.when(F.col("line") != "", F.col("line_no"))},
-        block=F.col("_part") if block is not None else None,
+        sums={"_total": F.col("_used"), "_nth": F.lit(1).cast("long")},
+        maxes={"_group": F.when(begins, F.col("line_no")), "_last_text": F.when(F.col("_text"), F.col("line_no"))},
+        block=within,
     ).withColumn("_group", F.coalesce(F.col("_group"), F.lit(-1)).cast("long"))
+    if block is not None:
+        # Read twice below, for the blocks and for the rows.
+        counted = staged(counted, "line-order")
     # Totals at the start of the group, carried along as a running maximum.
     carried = running(
         counted,
         ["file_key"],
         ["line_no"],
-        maxes={
-            "_before": F.when(begins, F.col("_total") - used),
-            "_skip": F.when(begins, F.col("_nth") - 1),
-        },
-        block=F.col("_part") if block is not None else None,
+        maxes={"_before": F.when(begins, F.col("_total") - F.col("_used")), "_skip": F.when(begins, F.col("_nth") - 1)},
+        block=within,
+    )
+    placed = carried.select(
+        "file_key", "line_no", "_edge", "_group", "_last_text",
+        (F.col("_total") - F.coalesce(F.col("_before"), F.lit(0))).alias("_bytes"),
+        (F.col("_nth") - 1 - F.coalesce(F.col("_skip"), F.lit(0))).alias("_pos"),
     )
-    return carried.withColumns(
-        {
-            "_bytes": F.col("_total") - F.coalesce(F.col("_before"), F.lit(0)),
-            "_pos": F.col("_nth") - 1 - F.coalesce(F.col("_skip"), F.lit(0)),
-        }
-    ).drop("_total", "_nth", "_before", "_skip", "_after_text", "_part")
+    return source.join(placed, ["file_key", "line_no"])
 
 
 def _merge(rows: DataFrame, first: Sequence[str]) -> DataFrame:

@@ -26,10 +26,10 @@ _RECORD = [
     T.StructField("lines", T.LongType()),
     T.StructField("body", T.StringType()),
 ]
-#: The open segment: first and last line, room used, rows, and whether it has text yet.
+#: The open segment: first and last line, room used, rows, whether it has text yet, and when it leaves if nothing comes.
 _OPEN = [
     T.StructField("first_line", T.LongType()), T.StructField("last_line", T.LongType()), T.StructField("used", T.LongType()),
-    T.StructField("held", T.LongType()), T.StructField("has_text", T.BooleanType()),
+    T.StructField("held", T.LongType()), T.StructField("has_text", T.BooleanType()), T.StructField("due", T.LongType()),
 ]
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -79,20 +79,19 @@ class MergeProcessor(StatefulProcessor):
             ]
             yield self._frame(records)
             return
-        done = self._cut(key, frame)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + flush_after)
+        due = timerValues.getCurrentProcessingTimeInMs() + flush_after
+        done = self._cut(key, frame, due)
+        self.handle.registerTimer(due)
         if done:
             yield self._frame(done)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.open.get() if self.open.exists() else None
-        if held is not None and held[4]:
-            record = self._record(key, held[0], held[1], [row[0] for row in self.text.get()], held[5:])
-            self._clear()
-            yield self._frame([record])
+        held = self.open.get()
+        if held is None or held[5] > expiredTimerInfo.getExpiryTimeInMs():
+            # Lines came since; their own timer follows.
             return
+        if held[4]:
+            yield self._frame([self._record(key, held[0], held[1], [row[0] for row in self.text.get()], held[6:])])
         self._clear()
 
     def _clear(self) -> None:
@@ -104,14 +103,14 @@ class MergeProcessor(StatefulProcessor):
         for values in frame.itertuples(index=False, name=None):
             yield tuple(None if value is None or value is pd.NaT or value != value else value for value in values)
 
-    def _cut(self, key: tuple, frame: pd.DataFrame) -> list[tuple]:
-        """Records that end in these lines; what stays open goes to the state."""
+    def _cut(self, key: tuple, frame: pd.DataFrame, due: int) -> list[tuple]:
+        """Records that end in these lines; what stays open goes to the state, to leave when ``due``."""
         at, line = frame["at"].to_numpy(), frame["line"].tolist()
         size = frame["size"].to_numpy(np.int64) + 1
         empty, edge = size == 1, frame["edge"].to_numpy(bool)
         count, max_bytes = len(line), self.max_size + 1
         first_text, cuts = next_cuts(size, empty, edge, self.max_lines, max_bytes)
-        held = self.open.get() if self.open.exists() else None
+        held = self.open.get()
         begin = 0
         if held is not None and held[4]:
             # Room and rows are used already, and any start ends the open record.
@@ -142,11 +141,11 @@ class MergeProcessor(StatefulProcessor):
         if begin > 0 and held is not None:
             # The open segment goes on with the first rows.
             if held[4]:
-                held = (held[0], int(at[begin - 1]), held[2] + int(size[:begin].sum()), held[3] + begin, True, *held[5:])
+                held = (held[0], int(at[begin - 1]), held[2] + int(size[:begin].sum()), held[3] + begin, True, due, *held[6:])
                 added = line[:begin]
             else:
                 numbers, added, values = opened(0, begin)
-                held = (*numbers[:3], held[3] + begin, numbers[4], *values)
+                held = (*numbers[:3], held[3] + begin, numbers[4], due, *values)
             if begin == count:
                 self.open.update(held)
                 if added:
@@ -156,14 +155,17 @@ class MergeProcessor(StatefulProcessor):
             added = []
         if held is not None and held[4]:
             before = [row[0] for row in self.text.get()]
-            done.append(self._record(key, held[0], held[1], [*before, *added], held[5:]))
+            done.append(self._record(key, held[0], held[1], [*before, *added], held[6:]))
         for low, high in zip(edges, edges[1:]):
             numbers, text, values = opened(low, high)
             if high < count:
                 done.append(self._record(key, numbers[0], numbers[1], text, values))
             else:
-                self.open.update((*numbers, *values))
-                self.text.put([(value,) for value in text]) if text else self.text.clear()
+                self.open.update((*numbers, due, *values))
+                if text:
+                    self.text.put([(value,) for value in text])
+                elif held is not None:
+                    self.text.clear()
         return done
 
 
