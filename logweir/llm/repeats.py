@@ -2,7 +2,9 @@
 
 Every string of ``length`` bytes holds one anchor: its smallest hashed n-gram.
 Equal strings have equal anchors, so strings can be compared where their
-anchors meet.  Chunks of documents first exchange anchor hashes alone; only
+anchors meet.  A string reaches further on one side of its anchor than on the
+other; the anchor's key takes in the bytes of that side, so a frequent n-gram
+in texts that are otherwise different brings nothing together.  Chunks of documents first exchange anchor hashes alone; only
 anchors of several documents send their contexts on.  There the contexts,
 aligned at the anchor, form an enhanced suffix array column by column.  A scan
 of its common prefixes gives the interval tree, and nodes whose occurrences
@@ -39,6 +41,11 @@ class Settings:
         """How far before its anchor a string can start."""
         return self.length - self.gram
 
+    @property
+    def side(self) -> int:
+        """Bytes beside its anchor that every string has, on the one side or the other."""
+        return self.back // 2
+
     @property
     def width(self) -> int:
         """Bytes from the first start to the last end around an anchor."""
@@ -103,9 +110,8 @@ def anchors(data: np.ndarray, ends: np.ndarray, settings: Settings) -> Anchors:
             if len(place):
                 change = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (document[1:] != document[:-1])]))
                 last = np.concatenate([change[1:], [len(place)]]) - 1
-                parts.append(
-                    (document[change], hashes[place[change]], place[change] + start, begin[inside[change]], begin[inside[last]])
-                )
+                whole_anchors = (document[change], place[change], begin[inside[change]], begin[inside[last]])
+                parts += _sided(hashes, *whole_anchors, start, settings)
         low, start = high, stop
     if not parts:
         empty = np.empty(0, np.int64)
@@ -113,6 +119,28 @@ def anchors(data: np.ndarray, ends: np.ndarray, settings: Settings) -> Anchors:
     return Anchors(*[np.concatenate(column) for column in zip(*parts, strict=True)])
 
 
+def _sided(
+    hashes: np.ndarray, document: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, start: int, settings: Settings
+) -> list[tuple[np.ndarray, ...]]:
+    """Anchors split by the side on which their strings reach at least ``side`` bytes, the left one if both.
+
+    The n-grams that cover the anchor and the bytes of that side make the key.
+    """
+    gram, side, out = settings.gram, settings.side, []
+    turn = place + start - side  # the last string start on the left side
+    for left in (True, False):
+        low, high = (first, np.minimum(last, turn)) if left else (np.maximum(first, turn + 1), last)
+        kept = np.flatnonzero(low <= high)
+        at = place[kept]
+        key = hashes[at] * _MIX[left]
+        steps = range(-side, 0, gram) if left else [min(step, side) for step in range(gram, gram + side, gram)]
+        for step in steps:
+            key = (key ^ hashes[at + step]) * _MIX[0]
+            key ^= key >> np.uint64(29)
+        out.append((document[kept], key * _MIX[1], at + start, low[kept], high[kept]))
+    return out
+
+
 _LAST_ID = np.iinfo(np.int64).max
 
 
