@@ -60,7 +60,7 @@ def with_next(documents: DataFrame, settings: Settings = Settings()) -> DataFram
     """``doc_id``, ``text`` and ``next_text``, the text of the document after it by id.
 
     The last document is followed by the first, a single one by itself.  Null
-    ids come first; equal ids are ordered by text.  Rows keep a bucket of ids
+    ids come first; equal ids are ordered by a hash of the text.  Rows keep a bucket of ids
     and a place in it, so that equal rows can be told apart.
     """
     figures = documents.agg(
@@ -233,7 +233,8 @@ def fingerprints(documents: DataFrame, settings: Settings = Settings()) -> DataF
     The edited text has the last half of the characters, rounded down, replaced
     by as many first characters of the next document.  Likeness is the share of
     paragraphs two texts have in common, 1 for two texts without any.  A null
-    text is empty.  Returns ``doc_id, n_chars, edited_sha256, fingerprint,
+    text is empty.  Repeated rows are documents of their own with equal
+    fingerprints; an empty table gives no rows.  Returns ``doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next, n_paragraphs, changed``.
     """
     half = F.floor(F.char_length("text") / 2).cast("int")

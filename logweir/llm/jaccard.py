@@ -296,7 +296,11 @@ def groups(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The documents with one row of each group left, that with the smallest id; all columns as they are."""
+    """The documents with one row of each group left, that with the smallest id; all columns as they are.
+
+    Texts without words (null, empty, blank) are one group; a null id comes
+    last.  Of repeated rows one stays; an empty table stays empty.
+    """
     joined = join(documents, settings)
     # One key for join and window, so that the texts move once; a null id is written as such.
     def key(place: str, text: Column) -> Column:

@@ -269,7 +269,12 @@ def mix(documents: DataFrame, settings: Settings = Settings()) -> Mix:
 
 
 def taken(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Per row of documents: ``doc_id, size, source_size, target, taken``."""
+    """Per row of documents: ``doc_id, size, source_size, target, taken``.
+
+    Null and empty texts have size 0 and nothing taken; a null source is the
+    last source.  Repeated rows are documents of their own; an empty table
+    gives no rows.
+    """
     mixed = mix(documents, settings)
     sums = mixed.parts.groupBy("source_at", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("_taken"))
     # Documents with words have starts of their own.

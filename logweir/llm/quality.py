@@ -358,14 +358,22 @@ def score(documents: DataFrame, scorer: Scorer | None, *, column: str = "quality
 
 
 def classify(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id``, ``score`` and ``accepted`` (1 from the threshold on) for every row."""
+    """``doc_id``, ``score`` and ``accepted`` (1 from the threshold on) for every row.
+
+    Null and empty texts score 0 and are not accepted; equal texts score alike.
+    An empty table gives no rows; other columns are left out.
+    """
     scored = score(documents.select("doc_id", "text"), fit(documents, settings), column="score")
     accepted = F.when(F.col("score") >= settings.threshold, 1).otherwise(0)
     return scored.select("doc_id", "score", accepted.alias("accepted"))
 
 
 def keep_good(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The documents that the scorer accepts, all columns as they are."""
+    """The documents that the scorer accepts, all columns as they are.
+
+    Null and empty texts are bad and go.  Repeated rows stay or go together; an
+    empty table stays empty.
+    """
     scorer = fit(documents, settings)
     rows = documents.select(F.struct("*").alias("_row"), F.col("text"))
     return score(rows, scorer, column="_quality").where(F.col("_quality") >= settings.threshold).select("_row.*")

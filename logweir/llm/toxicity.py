@@ -178,7 +178,8 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
     """Train on a bounded sample of labelled rows; rows of the held-out fold never take part.
 
     Null labels are skipped, a document with several labels counts as toxic if
-    one says so.  None when either class has no rows to learn from.  In the
+    one says so; of ids that many rows share, no more than ``4 * per_class``
+    rows in all are used.  None when either class has no rows to learn from.  In the
     calibration each class weighs as much as among all rows of the fold, however
     many of them the sample holds, so a score means the same at every size.
     """
@@ -205,6 +206,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
         rows.where("_half = 0")
         .select("doc_id", "_toxic", F.substring("_text", start.cast("int") + 1, F.lit(settings.slice_chars)).alias("_text"))
         .orderBy("doc_id", "_text")
+        .limit(4 * settings.per_class)
         .collect()
     )
     texts = {value: [row._text.lower().encode() for row in slices if row._toxic == value] for value in (0, 1)}
@@ -225,6 +227,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
         .select("_toxic", "_text")
         .mapInPandas(savings, "_toxic int, counts array<long>")
         .orderBy("_toxic", "counts")
+        .limit(4 * settings.per_class)
         .collect()
     )
     if len({row._toxic for row in found}) < 2:
@@ -264,7 +267,12 @@ def score(documents: DataFrame, model: Model | None, *, column: str = "toxicity"
 
 
 def classify(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` and ``predicted`` for every row of documents."""
+    """``doc_id``, ``held_out``, ``score`` and ``predicted`` for every row of documents.
+
+    Null and empty texts get the score of one empty window, a null id is not
+    held out, a score of exactly 0.5 is predicted toxic.  Repeated rows get
+    equal scores; an empty table gives no rows.  Other columns are left out.
+    """
     scored = score(documents.select("doc_id", "text"), fit(documents, labels, settings), column="score")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     return scored.select(
