@@ -485,6 +485,7 @@ CHECKS |= {
     "reported_drops": f"""with recursive {_drop(q.FLEET_RATE, q.FLEET_BURST, chr(39) + 'fleet' + chr(39))}
 select epoch_us(ts) // 21600000000 * 21600000000 as start_us, count(*) as dropped from steps where not admitted group by 1""",
     "tailed_documents": f"select part, start_offset, end_offset, line from ({CHECKS['scan_offsets']})",
+    "tailed_in_rounds": f"select part, start_offset, end_offset, line from ({CHECKS['scan_offsets']})",
     "streamed_admissions": CHECKS["admitted"],
     "streamed_waits": CHECKS["admitted_late"],
     "drained": """

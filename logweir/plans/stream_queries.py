@@ -93,26 +93,38 @@ def _rounds(folder: str) -> int:
     return 1 + largest // _ROUND_BYTES
 
 
-def tailed_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Files that grow between two runs; the second resumes where the first stopped."""
-    where = mounted_path(scratch_dir(spark, "tailed"))
+def _tailed(spark: SparkSession, folder: str, name: str, *, rounds: int, shards: int) -> DataFrame:
+    """Files that grow between two runs, read in so many rounds each; the second resumes where the first stopped."""
+    where = mounted_path(scratch_dir(spark, name))
     os.makedirs(f"{where}/in", exist_ok=True)
     parts = views.table(spark, folder, "documents").select(
         F.floor(F.col("doc_id") / 50).cast("long").alias("part"), "doc_id", "text"
     )
     for half in (True, False):
         _write_files(parts, f"{where}/in", half=half)
+        largest = max((os.path.getsize(os.path.join(f"{where}/in", name)) for name in os.listdir(f"{where}/in")), default=0)
+        cap = _ROUND_BYTES if rounds == 1 else max(1, largest // rounds)
         lines = tail_lines(
-            spark, include=[f"{where}/in/*.log"], start_at="beginning", max_bytes_per_file=_ROUND_BYTES,
+            spark, include=[f"{where}/in/*.log"], start_at="beginning", max_bytes_per_file=cap, shards=shards,
             progress=f"{where}/progress",
         )
         # A round ends at the cap of a file; further rounds follow until nothing is left.
-        for _ in range(_rounds(f"{where}/in")):
+        for _ in range(1 + largest // cap):
             _run(lines, where)
     part = F.regexp_extract("path", r"/(\d+)\.log$", 1).cast("long")
     return spark.read.parquet(f"{where}/out").select(part.alias("part"), "start_offset", "end_offset", "line")
 
 
+def tailed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Listed by the driver, a half of each file in one round."""
+    return _tailed(spark, folder, "tailed", rounds=1, shards=0)
+
+
+def tailed_in_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Listed by tasks, and with a cap below the size of the files."""
+    return _tailed(spark, folder, "tailed-rounds", rounds=3, shards=4)
+
+
 def drained(spark: SparkSession, folder: str) -> DataFrame:
     """Files that grow between two runs of the job, each run drained: what was exported per file, twice what must be once.
 
@@ -349,7 +361,7 @@ def refreshed_policy(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     function.__name__: function
     for function in (
-        streamed_documents, streamed_documents_limited, tailed_documents, streamed_admissions, streamed_waits,
+        streamed_documents, streamed_documents_limited, tailed_documents, tailed_in_rounds, streamed_admissions, streamed_waits,
         drained, process_records, limited_batches, limited_waits, reported_drops, fanned_out, ignored_alerts, redelivered,
         refreshed_policy,
     )
