@@ -2,9 +2,9 @@
 
 Every string of ``length`` bytes holds one anchor: its smallest hashed n-gram.
 Equal strings have equal anchors, so strings can be compared where their
-anchors meet.  A string reaches further on one side of its anchor than on the
-other; the anchor's key takes in the bytes of that side, so a frequent n-gram
-in texts that are otherwise different brings nothing together.  Chunks of documents first exchange anchor hashes alone; only
+anchors meet.  Where an anchor is frequent, strings meet by the anchor and the
+bytes beside it instead: a string reaches further on one side of its anchor,
+and has all bytes of that side.  Chunks of documents first exchange anchor hashes alone; only
 anchors of several documents send their contexts on.  There the contexts,
 aligned at the anchor, form an enhanced suffix array column by column.  A scan
 of its common prefixes gives the interval tree, and nodes whose occurrences
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,13 +29,18 @@ from logweir.llm.common import whole
 
 @dataclass(frozen=True)
 class Settings:
-    """Repeats of at least ``length`` bytes; chunks and parts are sized in bytes of text."""
+    """Repeats of at least ``length`` bytes; chunks and parts are sized in bytes of text.
+
+    Contexts of an anchor that occurs ``frequent`` times are dealt by what is
+    beside it.
+    """
 
     length: int = 50
     gram: int = 16
     chunk: int = 6_000_000
     part: int = 16_000_000
     slice: int = 1_000_000
+    frequent: int = 512
 
     @property
     def back(self) -> int:
@@ -89,6 +95,26 @@ class Anchors:
     first: np.ndarray
     last: np.ndarray
 
+    def sided(self, data: bytes, settings: Settings) -> Anchors:
+        """Anchors split by the side on which their strings have ``side`` bytes, the left one if both; hashes take these in."""
+        gram, side, parts = settings.gram, settings.side, []
+        turn = self.place - side  # the last string start of the left side
+        for mark, before, after, first, last in (
+            (1, side, gram, self.first, np.minimum(self.last, turn)), (2, 0, gram + side, np.maximum(self.first, turn + 1), self.last)
+        ):
+            rows = np.flatnonzero(first <= last)
+            hashes = [xxhash.xxh3_64_intdigest(data[at - before : at + after], mark) for at in self.place[rows].tolist()]
+            parts.append((self.document[rows], np.array(hashes, np.uint64), self.place[rows], first[rows], last[rows]))
+        return Anchors(*[np.concatenate(column) for column in zip(*parts, strict=True)])
+
+    def join(self, other: Anchors) -> Anchors:
+        pairs = zip(
+            (self.document, self.hash, self.place, self.first, self.last),
+            (other.document, other.hash, other.place, other.first, other.last),
+            strict=True,
+        )
+        return Anchors(*map(np.concatenate, pairs))
+
     def pick(self, rows: np.ndarray) -> Anchors:
         return Anchors(self.document[rows], self.hash[rows], self.place[rows], self.first[rows], self.last[rows])
 
@@ -110,8 +136,9 @@ def anchors(data: np.ndarray, ends: np.ndarray, settings: Settings) -> Anchors:
             if len(place):
                 change = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (document[1:] != document[:-1])]))
                 last = np.concatenate([change[1:], [len(place)]]) - 1
-                whole_anchors = (document[change], place[change], begin[inside[change]], begin[inside[last]])
-                parts += _sided(hashes, *whole_anchors, start, settings)
+                parts.append(
+                    (document[change], hashes[place[change]], place[change] + start, begin[inside[change]], begin[inside[last]])
+                )
         low, start = high, stop
     if not parts:
         empty = np.empty(0, np.int64)
@@ -119,28 +146,6 @@ def anchors(data: np.ndarray, ends: np.ndarray, settings: Settings) -> Anchors:
     return Anchors(*[np.concatenate(column) for column in zip(*parts, strict=True)])
 
 
-def _sided(
-    hashes: np.ndarray, document: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, start: int, settings: Settings
-) -> list[tuple[np.ndarray, ...]]:
-    """Anchors split by the side on which their strings reach at least ``side`` bytes, the left one if both.
-
-    The n-grams that cover the anchor and the bytes of that side make the key.
-    """
-    gram, side, out = settings.gram, settings.side, []
-    turn = place + start - side  # the last string start on the left side
-    for left in (True, False):
-        low, high = (first, np.minimum(last, turn)) if left else (np.maximum(first, turn + 1), last)
-        kept = np.flatnonzero(low <= high)
-        at = place[kept]
-        key = hashes[at] * _MIX[left]
-        steps = range(-side, 0, gram) if left else [min(step, side) for step in range(gram, gram + side, gram)]
-        for step in steps:
-            key = (key ^ hashes[at + step]) * _MIX[0]
-            key ^= key >> np.uint64(29)
-        out.append((document[kept], key * _MIX[1], at + start, low[kept], high[kept]))
-    return out
-
-
 _LAST_ID = np.iinfo(np.int64).max
 
 
@@ -187,7 +192,10 @@ def _parts(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _known(found: Anchors, ids: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (part, key) of a chunk in order, whether several ids have one, and the entry of each anchor."""
+    """Distinct (part, key) of a chunk in order, its uses, and the entry of each anchor.
+
+    Uses are the number of anchors, 127 at most, and 128 more where several ids have one.
+    """
     part, key = _parts(found.hash, parts)
     joined = (part.astype(np.uint64) << np.uint64(32)) | key
     distinct, entry = np.unique(joined, return_inverse=True)
@@ -195,7 +203,8 @@ def _known(found: Anchors, ids: np.ndarray, parts: int) -> tuple[np.ndarray, np.
     low, high = np.full(len(distinct), _LAST_ID), np.full(len(distinct), np.iinfo(np.int64).min)
     np.minimum.at(low, entry, own)
     np.maximum.at(high, entry, own)
-    return (distinct >> np.uint64(32)).astype(np.int64), distinct.astype(np.uint32), low < high, entry
+    uses = np.minimum(np.bincount(entry, minlength=len(distinct)), 127) + 128 * (low < high)
+    return (distinct >> np.uint64(32)).astype(np.int64), distinct.astype(np.uint32), uses.astype(np.uint8), entry
 
 
 def intervals(common: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -310,7 +319,9 @@ def remove(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     A byte goes when a string of ``length`` bytes over it also starts in a
     document with a smaller id; strings are judged on the input.  A null text
     is empty.  Rows with one id hide nothing from each other, a null id is
-    larger than any other.  ``starts`` and ``ends`` are the removed byte spans.
+    larger than any other; repeated rows are documents of their own, and an
+    empty table gives no rows.  ``starts`` and ``ends`` are the removed byte
+    spans.
     """
     # As text, a null id and a large one reach the tasks unchanged.
     rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), whole("text").alias("text"))
@@ -321,36 +332,44 @@ def remove(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     def hashes(chunk: pd.DataFrame) -> pd.DataFrame:
         at = int(chunk["chunk"].iloc[0])
         own = _Chunk(chunk, settings)
-        part, key, several, _ = _known(own.found, own.ids, parts)
+        part, key, uses, _ = _known(own.found, own.ids, parts)
         out = []
         for number in np.unique(part):
             low, high = np.searchsorted(part, [number, number + 1])
-            out.append((int(number), at, key[low:high].tobytes(), np.packbits(several[low:high]).tobytes()))
-        return pd.DataFrame(out, columns=["part", "chunk", "keys", "several"])
+            out.append((int(number), at, key[low:high].tobytes(), zstandard.compress(uses[low:high].tobytes(), 1)))
+        return pd.DataFrame(out, columns=["part", "chunk", "keys", "uses"])
 
     def shared(blobs: pd.DataFrame) -> pd.DataFrame:
         keys = [np.frombuffer(data, np.uint32) for data in blobs["keys"]]
-        several = [
-            np.unpackbits(np.frombuffer(data, np.uint8), count=len(own)).astype(bool)
-            for data, own in zip(blobs["several"], keys, strict=True)
+        uses = np.concatenate([np.frombuffer(zstandard.decompress(data), np.uint8) for data in blobs["uses"]])
+        distinct, entry, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        wanted = count > 1
+        wanted[entry[uses >= 128]] = True
+        frequent = np.bincount(entry, weights=uses & 127, minlength=len(distinct)) >= settings.frequent
+        edges = np.cumsum([0, *map(len, keys)])
+        masks = [
+            [np.packbits(flags[entry[low:high]]).tobytes() for flags in (wanted, wanted & frequent)] for low, high in zip(edges, edges[1:])
         ]
-        distinct, count = np.unique(np.concatenate(keys), return_counts=True)
-        wanted = np.union1d(distinct[count > 1], np.concatenate([own[flag] for own, flag in zip(keys, several, strict=True)]))
-        masks = [np.packbits(np.isin(own, wanted, assume_unique=True)).tobytes() for own in keys]
-        return pd.DataFrame({"chunk": blobs["chunk"], "part": blobs["part"], "mask": masks})
+        return pd.DataFrame(
+            {"chunk": blobs["chunk"], "part": blobs["part"], "mask": [mask[0] for mask in masks], "frequent": [mask[1] for mask in masks]}
+        )
 
     def contexts(chunk: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
         if not len(chunk) or not len(masks):
             return pd.DataFrame([], columns=["part", "chunk", "packed"])
         at, own = int(chunk["chunk"].iloc[0]), _Chunk(chunk, settings)
         part, key, _, entry = _known(own.found, own.ids, parts)
-        wanted = np.zeros(len(key), bool)
-        for number, mask in zip(masks["part"], masks["mask"], strict=True):
+        wanted, frequent = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        for number, *packed in zip(masks["part"], masks["mask"], masks["frequent"], strict=True):
             low, high = np.searchsorted(part, [number, number + 1])
-            wanted[low:high] = np.unpackbits(np.frombuffer(mask, np.uint8), count=high - low).astype(bool)
+            for flags, mask in zip((wanted, frequent), packed, strict=True):
+                flags[low:high] = np.unpackbits(np.frombuffer(mask, np.uint8), count=high - low).astype(bool)
         # Of equal contexts only the smallest id of the chunk goes on; the others are covered by it.
         picked = np.flatnonzero(wanted[entry] & ~own.hidden(own.found, settings))
-        found, number = own.found.pick(picked), part[entry[picked]]
+        often = frequent[entry[picked]]
+        split = own.found.pick(picked[often]).sided(own.data.tobytes(), settings)
+        found = own.found.pick(picked[~often]).join(split)
+        number = np.concatenate([part[entry[picked[~often]]], _parts(split.hash, parts)[0]])
         out = []
         order = np.lexsort((found.hash, number))
         found, number = found.pick(order), number[order]
@@ -406,8 +425,8 @@ def remove(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
         return _kept(own, starts, ends)
 
     by_chunk = dealt.groupBy("chunk")
-    keys = by_chunk.applyInPandas(hashes, "part long, chunk long, keys binary, several binary")
-    masks = keys.groupBy("part").applyInPandas(shared, "chunk long, part long, mask binary")
+    keys = by_chunk.applyInPandas(hashes, "part long, chunk long, keys binary, uses binary")
+    masks = keys.groupBy("part").applyInPandas(shared, "chunk long, part long, mask binary, frequent binary")
     sent = by_chunk.cogroup(masks.groupBy("chunk")).applyInPandas(contexts, "part long, chunk long, packed binary")
     spans = sent.groupBy("part").applyInPandas(covered, "chunk long, packed binary")
     found = by_chunk.cogroup(spans.toDF("chunk", "packed").groupBy("chunk")).applyInPandas(kept, _RESULT)
