@@ -240,8 +240,8 @@ def start(
     processes hold open, which lie under the globs ``processes``.  A file goes
     by the rule of its target.
 
-    ``folder`` is on shared storage and holds the checkpoint and the outputs.
-    A round starts every ``read_interval``; ``once`` runs a single round.
+    ``folder`` is on a file system that all tasks mount and holds the
+    checkpoint and the outputs.  A round starts every ``read_interval``; ``once`` runs a single round.
     The checkpoint carries offsets and open records over a restart, the folder
     ``buckets`` the flow control.  One bucket holds for all files, or one per
     value of ``limit_key``.  Refused records are counted in ``dropped``;
@@ -249,9 +249,8 @@ def start(
     kept in ``outbox`` and sent again when its wait is over.  ``drain`` sends
     what a stopped query left open.
     """
-    folder = mounted_path(folder)
+    progress = f"{mounted_path(folder)}/progress"
     rules.validate(spark)
-    progress = f"{folder}/progress"
     if rule is not None:
         bodies = rule_records(spark, rules, rule, progress=progress)
     elif found is None:
