@@ -260,9 +260,9 @@ def plain_alignment(rows):
         for side, ranges in enumerate(sides):
             for number, low, _ in ranges:
                 groups[bisect.bisect_right(ends, low)][side].append(number)
-        links = []
+        links, ends_b = [], [end for _, _, end in sides[1]]
         for group_a, low, high in sides[0]:
-            near = bisect.bisect_right([end for _, _, end in sides[1]], low)
+            near = bisect.bisect_right(ends_b, low)
             for number, start, _ in sides[1][near:]:
                 if start >= high:
                     break
