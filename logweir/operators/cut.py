@@ -179,9 +179,12 @@ def greedy_cut(
     )
     entries = _entries(narrow.unionByName(ahead), keys, block_rows, max_rows, max_bytes)
 
+    # Dealt by a hash of their own: a repartition by the columns of the join is
+    # left out as done by it, and the join itself may turn into a broadcast
+    # that reads each task's rows where they lie, or split a partition.
     placed = (
         marked.join(entries, [*keys, "_block"], "left")
-        .repartition(*keys, "_block")
+        .repartition(F.xxhash64(*keys, "_block"))
         .sortWithinPartitions(*keys, "_block", pos)
     )
     schema = T.StructType([*[placed.schema[name] for name in (*keys, pos, *carry)], T.StructField(out, T.LongType())])

@@ -45,6 +45,28 @@ def model_cut(items, max_rows, max_bytes):
     return out
 
 
+def test_blocks_stay_whole_when_their_join_turns_into_a_broadcast(spark):
+    """Long sequences whose join with the entry states is planned by shuffles and found small when it runs."""
+    sizes = {key: [(7 * n + key) % 13 + 1 for n in range(300)] for key in range(5)}
+    rows = [(key, n, size) for key, items in sizes.items() for n, size in enumerate(items)]
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        frame = spark.createDataFrame(rows, "k long, n long, size long").repartition(7, "n")
+        cuts = greedy_cut(frame, ["k"], pos="n", size=F.col("size"), max_rows=4, max_bytes=25, block_rows=16).collect()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert len(cuts) == len(rows)
+    for key, items in sizes.items():
+        expected = model_cut([(size, False, False) for size in items], 4, 25)
+        assert [row.segment for row in sorted(cuts, key=lambda row: row.n) if row.k == key] == expected
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_greedy_cut_equals_the_step_model(spark, seed):
     rng = random.Random(seed)
