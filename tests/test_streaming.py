@@ -5,8 +5,10 @@ import random
 import time
 from dataclasses import replace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logweir.operators import outbox
 from logweir.operators.lines import complete_lines, with_offsets
@@ -19,7 +21,7 @@ from logweir.sources.text_lines import scan_lines
 from logweir.streaming import job, limits, sinks
 from logweir.streaming.redelivery import Outbox
 from logweir.streaming.state_table import StateTable, newest_per
-from logweir.streaming.stateful import merge_stream, open_records
+from logweir.streaming.stateful import MergeProcessor, merge_stream, open_records
 
 
 def append(path, data):
@@ -194,6 +196,80 @@ def test_stream_merge_equals_batch_over_restarts(spark, tmp_path):
     assert got == sorted((r.file_key, r.body) for r in batch.collect())
 
 
+class _Maps:
+    """Keyed state of one shard, and what was asked of it."""
+
+    def __init__(self):
+        self.maps, self.calls, self.written, self.timers = {}, 0, 0, []
+
+    def getMapState(self, name, *schemas):  # noqa: N802
+        values, log = self.maps.setdefault(name, {}), self
+
+        class State:
+            def exists(self):
+                return bool(values)
+
+            def getValue(self, key):  # noqa: N802
+                log.calls += 1
+                return values.get(key)
+
+            def updateValue(self, key, value):  # noqa: N802
+                log.calls += 1
+                log.written += sum(len(item) for item in value if isinstance(item, str))
+                values[key] = value
+
+            def removeKey(self, key):  # noqa: N802
+                values.pop(key)
+
+            def iterator(self):
+                return iter(values.items())
+
+        return State()
+
+    def registerTimer(self, due):  # noqa: N802
+        self.timers.append(due)
+
+
+def test_files_of_a_shard_go_through_the_state_together():
+    """Rounds of a shard: records as if each file came at once, few looks at the state, and only new lines written to it."""
+    schema = T.StructType([T.StructField(name, T.LongType()) for name in ("file_key", "first_line", "last_line", "lines")]).add("body", "string")
+    rng = random.Random(5)
+    texts = {key: [rng.choice(["A" + "x" * rng.randint(0, 9), "b" * rng.randint(0, 9), ""]) for _ in range(60)] for key in range(50)}
+
+    def rows(low, high):
+        found = [(key, n, text) for key, lines in texts.items() for n, text in enumerate(lines) if low <= n < high]
+        rng.shuffle(found)
+        frame = pd.DataFrame(found, columns=["file_key", "at", "line"])
+        return frame.assign(size=frame["line"].str.len(), edge=frame["line"].str.startswith("A"), flush_ms=1000, alone=False)
+
+    class Now:
+        def getCurrentProcessingTimeInMs(self):  # noqa: N802
+            return 5
+
+    class Late:
+        def getExpiryTimeInMs(self):  # noqa: N802
+            return 1005
+
+    out, asked = {}, []
+    for bounds in ((0, 60), (0, 10, 20, 21, 40, 60)):
+        maps, got = _Maps(), []
+        processor = MergeProcessor(schema, [], 60, 4)
+        processor.init(maps)
+        for low, high in zip(bounds, bounds[1:]):
+            before = maps.calls
+            got += processor.handleInputRows((7,), iter([rows(low, high)]), Now())
+            asked.append(maps.calls - before)
+        assert set(maps.timers) == {1005} and len(maps.timers) == len(bounds) - 1
+        assert maps.written <= sum(len(text) + 1 for lines in texts.values() for text in lines)
+        got += processor.handleExpiredTimer((7,), Now(), Late())
+        assert not any(maps.maps.values())
+        out[bounds] = sorted(map(tuple, pd.concat(got).to_numpy().tolist()))
+    whole, pieces = out.values()
+    assert whole == pieces
+    # One update of the record and one of its text where nothing was open; else a look at both as well.
+    assert asked[0] <= 2 * len(texts) and max(asked) <= 5 * len(texts)
+
+
 def test_idle_records_are_flushed(spark, tmp_path):
     os.mkdir(tmp_path / "in")
     append(tmp_path / "in" / "a.log", b"A one\n more\n")
