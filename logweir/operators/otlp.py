@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +58,7 @@ def pack_batches(
     *,
     block: Column | None = None,
     block_rows: int = 65536,
+    hold: Callable[[DataFrame], DataFrame] = lambda places: places,
 ) -> DataFrame:
     """Add ``pos`` and ``batch``: greedy batches of at most ``batch_size`` records
     and ``max_batch_bytes`` estimated bytes per key, in the given order.
@@ -66,7 +67,9 @@ def pack_batches(
     spread well, such as source and hour; ``order`` must tell the records of a
     key apart.  The batch is the place of its first record, the same on every
     run, so a lost task can be repeated safely.  Places are found for keys,
-    order and sizes alone; the records move once, to meet theirs.
+    order and sizes alone; the records move once, to meet theirs.  The cuts read
+    the places several times: ``hold`` may keep them, so that the order is found
+    once.
     """
     sized = records if "size" in records.columns else with_record_size(records)
     place = list(dict.fromkeys([*keys, *order]))
@@ -74,7 +77,7 @@ def pack_batches(
         sized.select(*place, "size"), keys, order, sums={"_pos": F.lit(1).cast("long")}, block=block, exclusive=True
     )
     cuts = greedy_cut(
-        narrow, keys, pos="_pos", size=F.col("size"), max_rows=options.batch_size, max_bytes=options.max_batch_bytes,
+        hold(narrow), keys, pos="_pos", size=F.col("size"), max_rows=options.batch_size, max_bytes=options.max_batch_bytes,
         out="batch", block_rows=block_rows, carry=[name for name in order if name not in keys],
     )
     named = cuts.select(

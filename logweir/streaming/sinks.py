@@ -64,9 +64,19 @@ def export_sink(path: str, options: ExportOptions, keys: list[str], order: list[
 
     def send(batch: DataFrame, batch_id: int | str) -> None:
         fits, rejected = enrich.split_oversize(batch, max_bytes=options.max_queue_bytes)
-        documents = otlp.requests(otlp.pack_batches(fits, keys, order, options), keys)
-        writer = documents.select("request").write.mode("overwrite")
-        writer.option("compression", options.compression or "none").text(f"{path}/batch={batch_id}")
+        held = []
+
+        def hold(places: DataFrame) -> DataFrame:
+            held.append(places.persist())
+            return held[-1]
+
+        try:
+            documents = otlp.requests(otlp.pack_batches(fits, keys, order, options, hold=hold), keys)
+            writer = documents.select("request").write.mode("overwrite")
+            writer.option("compression", options.compression or "none").text(f"{path}/batch={batch_id}")
+        finally:
+            for places in held:
+                places.unpersist()
         rejected.select("size", *keys).write.mode("overwrite").parquet(f"{path}-rejected/batch={batch_id}")
 
     return send

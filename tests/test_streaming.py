@@ -531,3 +531,30 @@ def test_fan_out_goes_on_after_a_failure(spark, tmp_path):
     assert calls == [3]
     rows = {(r.batch, r.sink, r.outcome, r.error) for r in sinks.read_outcomes(spark, f"{tmp_path}/outcomes").collect()}
     assert rows == {("7", "bad", "failed", "down"), ("7", "good", "ok", None)}
+
+
+def test_export_finds_the_order_once_and_holds_it_only_while_it_writes(spark, tmp_path, monkeypatch):
+    """The places that the cuts read several times are kept for the write of a batch, and let go after it."""
+    rows = [(f"p{n % 2}", n, f"line {n}", "INFO", 9) for n in range(30)]
+    records = spark.createDataFrame(rows, "pod string, line_no long, body string, severity_text string, severity_number int").withColumns(
+        {
+            "attributes": F.create_map(F.lit("a"), F.lit("b")), "resource": F.create_map(F.lit("r"), F.col("pod")),
+            "resource_key": F.col("pod"), "trace_id": F.lit(None).cast("binary"),
+            "time_unix_nano": F.col("line_no"), "observed_ts": F.timestamp_micros(F.col("line_no")),
+        }
+    )
+    held, pack = [], sinks.otlp.pack_batches
+
+    def packed(*args, hold, **options):
+        def seen(places):
+            held.append((places.columns, kept := hold(places), kept.is_cached))
+            return kept
+
+        return pack(*args, hold=seen, **options)
+
+    monkeypatch.setattr(sinks.otlp, "pack_batches", packed)
+    sinks.export_sink(f"{tmp_path}/export", ExportOptions(batch_size=4), ["pod"], ["line_no"])(records, 0)
+    ((columns, kept, was_cached),) = held
+    assert set(columns) == {"pod", "line_no", "size", "_pos"} and was_cached and not kept.is_cached
+    written = spark.read.text(f"{tmp_path}/export/batch=0").collect()
+    assert len(written) == 8 and sum(row.value.count('"timeUnixNano"') for row in written) == 30
