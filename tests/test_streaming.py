@@ -270,6 +270,26 @@ def test_files_of_a_shard_go_through_the_state_together():
     assert asked[0] <= 2 * len(texts) and max(asked) <= 5 * len(texts)
 
 
+def test_files_without_a_pattern_share_a_call_and_no_state():
+    schema = T.StructType([T.StructField(name, T.LongType()) for name in ("file_key", "first_line", "last_line", "lines")])
+    schema = schema.add("body", "string").add("path", "string")
+    rows = [(key, n, f"line {n}\nof {key}", 9, False, 1000, key != 2, None if key == 3 else f"f{key}") for key in range(5) for n in (2, 0, 1)]
+    frame = pd.DataFrame(rows, columns=["file_key", "at", "line", "size", "edge", "flush_ms", "alone", "path"])
+
+    class Now:
+        def getCurrentProcessingTimeInMs(self):  # noqa: N802
+            return 5
+
+    maps = _Maps()
+    processor = MergeProcessor(schema, ["path"], 60, 4)
+    processor.init(maps)
+    (found,) = processor.handleInputRows((7,), iter([frame]), Now())
+    expected = [(key, n, n, 2, f"line {n}\nof {key}", None if key == 3 else f"f{key}") for key in (0, 1, 3, 4) for n in range(3)]
+    assert sorted(map(tuple, found.to_numpy().tolist())) == expected
+    # Only the file with a pattern has an open record.
+    assert list(maps.maps["open"]) == [(2,)]
+
+
 def test_idle_records_are_flushed(spark, tmp_path):
     os.mkdir(tmp_path / "in")
     append(tmp_path / "in" / "a.log", b"A one\n more\n")
