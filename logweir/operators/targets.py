@@ -11,6 +11,7 @@ from logweir.functions import paths
 from logweir.functions.patterns import java_pattern
 from logweir.operators import enrich
 from logweir.operators.enrich import by_rule
+from logweir.operators.steps import settle
 from logweir.rules import ProcessRule, RuleSet
 
 
@@ -122,7 +123,8 @@ def file_targets(files: DataFrame, families: Sequence[tuple[str, Sequence]]) ->
     def of(at: int) -> Column:
         return F.array(*[F.lit(way[at]) for way in ways])[F.col("_way")]
 
-    found = files.withColumn("_way", F.coalesce(*hits, F.lit(None).cast("int"))).where("_way is not null")
+    # Settled, so that a listing made distinct is matched by its paths and not by all rows it came from.
+    found = settle(files, _way=F.coalesce(*hits, F.lit(None).cast("int"))).where("_way is not null")
     named = found.withColumns(
         {"source_type": of(0), "rule": of(1), "rule_idx": of(2), "include_idx": of(3)}
     ).drop("_way")

@@ -6,7 +6,9 @@ the lines that are new and never the whole body.  Files are dealt over a fixed
 number of shards, the keys of the state: a micro-batch handles the rows of a
 shard at once, and each file costs a look at its record and the writes of what
 changed.  Rows of a file are put in order inside a micro-batch, whose size per
-file the tail source limits.
+file the tail source limits.  Lines go to the stateful step packed, a row for
+those of a file that come together, because Spark handles every row that enters
+that step by itself.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +42,10 @@ _OPEN = [
 ]
 #: Shards of files.  State is kept by them, so a stream keeps the number it began with.
 _SHARDS = 1024
+#: What lines of a packed row have each for itself.
+_OF_LINE = ("at", "line", "size", "edge")
+#: Bytes of text after which a packed row ends; a longer line is a row of its own.
+_PACK_BYTES = 1 << 20
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -55,6 +63,39 @@ def _shown(value):
     return None if value is None or value is pd.NaT or value != value else value
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines that come together as one row where they agree in all but ``_OF_LINE``, which become lists."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        files = pc.dictionary_encode(batch["file_key"], null_encoding="encode").indices.to_numpy()
+        dealt = batch.take(pa.array(np.argsort(files, kind="stable")))
+        # A row also ends where its text would be too much.
+        told = [np.cumsum(dealt["size"].fill_null(0).to_numpy()) // _PACK_BYTES]
+        for name in dealt.schema.names:
+            if name not in _OF_LINE:
+                told.append(pc.dictionary_encode(dealt[name], null_encoding="encode").indices.to_numpy())
+        begins = np.flatnonzero(np.append(True, np.any([values[1:] != values[:-1] for values in told], axis=0)))
+        offsets = pa.array(np.append(begins, dealt.num_rows), pa.int32())
+        columns = [
+            pa.ListArray.from_arrays(offsets, dealt[name]) if name in _OF_LINE else dealt[name].take(pa.array(begins))
+            for name in dealt.schema.names
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=dealt.schema.names)
+
+
+def unpacked(frame: pd.DataFrame, whole: Sequence[str] = ()) -> pd.DataFrame:
+    """The lines of packed rows, one row each; ``whole`` are numbers that came as text."""
+    counts = frame["at"].map(len).to_numpy()
+    columns = {}
+    for name in frame.columns:
+        values = frame[name]
+        if name in whole:
+            values = pd.Series([None if value is None else int(value) for value in values], dtype=object)
+        columns[name] = np.concatenate(values.tolist()) if name in _OF_LINE else values.repeat(counts).array
+    return pd.DataFrame(columns)
+
+
 class MergeProcessor(StatefulProcessor):
     """Joins the lines of the files of a shard to records; see ``merge_stream``."""
 
@@ -78,7 +119,7 @@ class MergeProcessor(StatefulProcessor):
         return (*key, begun, ended, body.count("\n") + 1, body, *carried)
 
     def _frame(self, records: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(records, columns=self.schema.fieldNames()).astype(object)
+        return pd.DataFrame(records, columns=self.schema.fieldNames(), dtype=object)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows), ignore_index=True)
@@ -201,6 +242,14 @@ class MergeProcessor(StatefulProcessor):
         return done
 
 
+class PackedMergeProcessor(MergeProcessor):
+    """The same for packed rows."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        whole = [name for name in self.first if isinstance(self.schema[name].dataType, T.IntegralType)]
+        return super().handleInputRows(key, (unpacked(frame, whole) for frame in rows), timerValues)
+
+
 def merge_stream(
     lines: DataFrame,
     start_pattern: str | Column,
@@ -223,7 +272,12 @@ def merge_stream(
     kept = F.when(F.octet_length("line") > max_size, F.substring("line", 1, max_size)).otherwise(F.col("line"))
     edge = F.rlike("line", F.lit(java_pattern(start_pattern))) if isinstance(start_pattern, str) else start_pattern
     flush = F.lit(flush_after_ms) if isinstance(flush_after_ms, int) else flush_after_ms
+    output = record_schema(lines, first)
+    # Numbers with nulls go as text: beside a null, pandas would have them as floats.
+    carried = [F.col(name).cast("string").alias(name) if isinstance(output[name].dataType, T.IntegralType) else F.col(name) for name in first]
+    shard = F.pmod(F.xxhash64("file_key"), F.lit(_SHARDS)).cast("int").alias("shard")
     source = lines.withColumn("line", kept).select(
+        shard,
         "file_key",
         F.col(order).alias("at"),
         "line",
@@ -231,12 +285,11 @@ def merge_stream(
         F.coalesce(edge, F.lit(False)).alias("edge"),
         F.coalesce(flush.cast("long"), F.lit(5_000).cast("long")).alias("flush_ms"),
         (F.lit(False) if alone is None else F.coalesce(alone, F.lit(False))).alias("alone"),
-        *first,
+        *carried,
     )
-    output = record_schema(lines, first)
-    shard = F.pmod(F.xxhash64("file_key"), F.lit(_SHARDS)).cast("int").alias("shard")
-    return source.select(shard, "*").groupBy("shard").transformWithStateInPandas(
-        MergeProcessor(output, first, max_size, max_lines), output, "Append", "ProcessingTime"
+    rows = T.StructType([T.StructField(field.name, T.ArrayType(field.dataType) if field.name in _OF_LINE else field.dataType) for field in source.schema])
+    return source.mapInArrow(packed, rows).groupBy("shard").transformWithStateInPandas(
+        PackedMergeProcessor(output, first, max_size, max_lines), output, "Append", "ProcessingTime"
     )
 
 

@@ -6,6 +6,7 @@ import time
 from dataclasses import replace
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,7 @@ from logweir.rules import (
 )
 from logweir.sources.tail_source import ShardedTailReader, TailReader, tail_lines
 from logweir.sources.text_lines import scan_lines
-from logweir.streaming import job, limits, sinks
+from logweir.streaming import job, limits, sinks, stateful
 from logweir.streaming.redelivery import Outbox
 from logweir.streaming.state_table import StateTable, newest_per
 from logweir.streaming.stateful import MergeProcessor, merge_stream, open_records
@@ -290,6 +291,43 @@ def test_files_without_a_pattern_share_a_call_and_no_state():
     assert list(maps.maps["open"]) == [(2,)]
 
 
+def test_lines_of_a_file_enter_the_stateful_step_as_one_row(monkeypatch):
+    moment, rows = dt.datetime(2026, 1, 1, 0, 0, 0, 5), []
+    for n in range(4):
+        for key in (7, None, 9):
+            rows.append((0, key, n, f"{key} é {n}", 8, n == 0, 250, False, None if key == 9 else "1700000000123456789", None if key == 9 else moment))
+    names = ["shard", "file_key", "at", "line", "size", "edge", "flush_ms", "alone", "nano", "ts"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.string(), pa.timestamp("us")]
+    batch = pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*rows), types)], names=names)
+    (found,) = stateful.packed(iter([batch.slice(0, 0), batch]))
+    assert found.num_rows == 3 and sorted(found["at"].to_pylist()) == [[0, 1, 2, 3]] * 3
+    back = stateful.unpacked(found.to_pandas(), ["nano"])
+    expected = sorted(
+        (repr(key), at, line, edge, None if nano is None else int(nano), ts and pd.Timestamp(ts)) for _, key, at, line, _, edge, _, _, nano, ts in rows
+    )
+    shown = [
+        (None if key != key else int(key), at, line, edge, nano, None if ts is pd.NaT else ts)
+        for key, at, line, edge, nano, ts in back[["file_key", "at", "line", "edge", "nano", "ts"]].itertuples(index=False, name=None)
+    ]
+    assert sorted((repr(key), *rest) for key, *rest in shown) == expected
+    # Where lines differ in what a row has once, or there is too much text, a further row begins.
+    differs = batch.set_column(6, "flush_ms", pa.array([n // 6 for n in range(12)], pa.int64()))
+    assert next(stateful.packed(iter([differs]))).num_rows == 6
+    monkeypatch.setattr(stateful, "_PACK_BYTES", 16)
+    assert next(stateful.packed(iter([batch]))).num_rows > 3
+
+
+def test_numbers_beside_nulls_keep_their_digits(spark, tmp_path):
+    """The time of the framing of one file beside files without one."""
+    rows = [(key, n, f"A{n}", None if key % 2 else 1_700_000_000_123_456_789 + n) for key in range(40) for n in range(3)]
+    lines = spark.createDataFrame(rows, "file_key long, start_offset long, line string, nano long")
+    lines.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = merge_stream(spark.readStream.schema(lines.schema).parquet(f"{tmp_path}/in"), "^A", first=["nano"])
+    run_once(stream, tmp_path)
+    found = spark.read.parquet(f"{tmp_path}/out").unionByName(open_records(spark, f"{tmp_path}/checkpoint", ["nano"]))
+    assert sorted((r.file_key, r.first_line, r.body, r.nano or 0) for r in found.collect()) == [(*row[:3], row[3] or 0) for row in rows]
+
+
 def test_idle_records_are_flushed(spark, tmp_path):
     os.mkdir(tmp_path / "in")
     append(tmp_path / "in" / "a.log", b"A one\n more\n")

@@ -131,3 +131,13 @@ def test_a_store_that_is_not_mounted_is_refused(spark):
     rule = FileRule(name="r", include=("/x/*.log",))
     with pytest.raises(ValueError, match="mounted"):
         job.start(spark, RuleSet(files=(rule,)), rule, folder="s3a://bucket/job")
+
+
+def test_globs_are_tried_on_distinct_paths(spark):
+    """A filter on what a glob says must not move below the step that makes the listing distinct."""
+    rows = [("node1", f"/data/f/{n % 3}.log") for n in range(30)]
+    listed = spark.createDataFrame(rows, "host string, path string").distinct()
+    found = targets.file_targets(listed, [("file", (FileRule(name="all", include=("/data/?/*.log",)),))])
+    assert found.count() == 3
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "data" not in plan[plan.index("Aggregate"):]
