@@ -197,7 +197,8 @@ def drain(
     use_state_store(spark)
     last = _last_batch(spark, folder)
     first = (*FIRST, "rule") if rule is None else FIRST
-    bodies = open_records(spark, f"{folder}/checkpoint", first).withColumnRenamed("first_line", "start_offset")
+    # Written down once: each look at the state opens the store of every partition.
+    bodies = staged(open_records(spark, f"{folder}/checkpoint", first).withColumnRenamed("first_line", "start_offset"), "open")
     fresh = staged(_without_drained(bodies, folder), "drained")
     if fresh.isEmpty():
         return

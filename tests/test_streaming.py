@@ -17,6 +17,7 @@ from logweir.operators.multiline import merge_lines
 from logweir.rules import (
     AlertPolicy, ExportOptions, Extractor, FileRule, FlowControl, Limits, Multiline, Retry, RuleSet, TraceId,
 )
+from logweir.session import staged
 from logweir.sources.tail_source import ShardedTailReader, TailReader, tail_lines
 from logweir.sources.text_lines import scan_lines
 from logweir.streaming import job, limits, sinks, stateful
@@ -328,6 +329,24 @@ def test_numbers_beside_nulls_keep_their_digits(spark, tmp_path):
     assert sorted((r.file_key, r.first_line, r.body, r.nano or 0) for r in found.collect()) == [(*row[:3], row[3] or 0) for row in rows]
 
 
+def test_a_drain_looks_at_the_state_once(spark, tmp_path, monkeypatch):
+    os.mkdir(tmp_path / "in")
+    rule = FileRule(name="docs", include=(f"{tmp_path}/in/*.log",), start_at="beginning", multiline=Multiline(start_pattern="^A", flush_after="1h"))
+    rules = RuleSet(files=(rule,))
+    append(tmp_path / "in" / "a.log", b"A one\n more\nA two\n")
+    job.start(spark, rules, rule, folder=f"{tmp_path}/job", once=True).awaitTermination()
+    written = []
+    monkeypatch.setattr(job, "staged", lambda frame, name: written.append(name) or staged(frame, name))
+    planned = []
+    put = StateTable.put
+    monkeypatch.setattr(StateTable, "put", lambda self, rows, step: planned.append(rows._jdf.queryExecution().toString()) or put(self, rows, step))
+    job.drain(spark, rules, rule, folder=f"{tmp_path}/job")
+    job.drain(spark, rules, rule, folder=f"{tmp_path}/job")
+    assert not any("StateTable" in plan for plan in planned) and written == ["open", "drained"] * 2
+    sent = spark.read.option("recursiveFileLookup", "true").text(f"{tmp_path}/job/export").collect()
+    assert sum(row.value.count('"stringValue":"A two"') for row in sent) == 1
+
+
 def test_idle_records_are_flushed(spark, tmp_path):
     os.mkdir(tmp_path / "in")
     append(tmp_path / "in" / "a.log", b"A one\n more\n")
